@@ -9,8 +9,9 @@ likelihood estimate over both register lists drops hopeless candidates, and the
 full sets confirm each link.
 
 Groups of any size are safe: documents with equal sets count as one before any
-join; a band's documents meet its smallest document only; the rest, where one
-band still holds documents with different labels, is compared in blocks.
+join; a band's documents meet its smallest document first, then others drawn for
+each band; what still has a label of its own is compared in blocks with the
+rest of its bands.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
 ROWS_A_BAND = 4
 #: Standard errors under the threshold up to which an estimate still goes to the exact check.
 SLACK = 5.0
-BLOCK = 128
+#: Open bands up to this size give their pairs to the exact check; larger ones go through stars, then cells.
+SMALL, BLOCK, TOP_BLOCK = 16, 512, 1024
+STAR_TURNS = 2
 
 
 def set_sketches(shingles: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -188,26 +191,104 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         now = after.select("a", "label")
 
 
-def rest_pairs(members: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs with different labels in a band, for bands whose documents have several labels.
+def open_bands(labelled: DataFrame) -> DataFrame:
+    """band, n: bands whose documents still have several labels."""
+    spread = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
+    return spread.where("x <> y").select("band", "n")
+
+
+def star_pairs(labelled: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each document of an open band with one document of another label, drawn anew for each band and seed."""
+    rows = labelled.join(open_bands(labelled).where(f"n > {SMALL}").select("band"), "band", "left_semi")
+    lead = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(seed)).alias("order"), "id", "label")).alias("lead"))
+    pairs = rows.join(lead, "band").where("label <> lead.label")
+    return pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
 
-    members: band, id, label. A band is dealt into blocks of about BLOCK documents; each two blocks meet
-    in one group, whose registers are compared at once; only likely pairs come out.
-    """
-    spread = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
-    spread = spread.where("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    held = members.join(spread, "band").join(sketch.select(F.col("doc_id").alias("id"), "n_shingles", "registers"), "id")
-    held = held.withColumn("block", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = held.select("band", "id", "label", "n_shingles", "registers", "block", other.alias("other"))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "n_shingles", "registers")
-    cells = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
+
+def small_pairs(labelled: DataFrame) -> DataFrame:
+    """(a, b) with different labels in an open band of at most SMALL documents."""
+    rows = labelled.join(open_bands(labelled).where(f"n <= {SMALL}").select("band"), "band", "left_semi")
+    dealt = rows.repartition("band").sortWithinPartitions("band", "id")
 
     def run(batches):
-        for cell in whole_groups(batches, ["band", "i", "j"]):
-            yield pa.RecordBatch.from_arrays(list(_cell_pairs(cell, percent)), ["a", "b"])
+        for table in whole_groups(batches, ["band"]):
+            band, ids, label = (table.column(c).to_numpy() for c in ("band", "id", "label"))
+            starts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+            sizes = np.diff(np.append(starts, len(band)))
+            for size in np.unique(sizes[sizes > 1]).tolist():
+                x, y = np.triu_indices(size, 1)
+                at = starts[sizes == size][:, None]
+                x, y = (at + x).reshape(-1), (at + y).reshape(-1)
+                on = label[x] != label[y]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x[on]]), pa.array(ids[y[on]])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def cell_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what the stars have left of open bands with more than SMALL documents, compared in full.
+
+    Only documents outside a band's most frequent label can bring links. They come in blocks; a block
+    meets each block of that label, and each other block, in a cell of its own, where the full sets are
+    compared at once. Of the links between two labels a cell returns one.
+    """
+    wide = open_bands(labelled).where(f"n > {SMALL}").select("band")
+    rows = labelled.join(wide, "band", "left_semi")
+    counts = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    most = most.select("band", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("top.n") / TOP_BLOCK).cast("int").alias("tops"))
+    held = rows.join(most, "band").withColumn("main", F.col("label") == F.col("top"))
+    held = held.withColumn("block", F.pmod(F.xxhash64("id", "band"), F.when(F.col("main"), F.col("tops")).otherwise(F.col("rest"))).cast("int"))
+    blocks = F.sequence(F.lit(0), F.col("rest") - 1)
+    with_top = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j")))
+    with_rest = F.transform(blocks, lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    of_top = F.transform(blocks, lambda k: F.struct(k.alias("i"), (-1 - F.col("block")).alias("j")))
+    cells = F.when(F.col("main"), of_top).otherwise(F.concat(with_top, with_rest))
+    dealt = held.select("band", "id", "label", F.explode(cells).alias("cell")).select("band", "cell.i", "cell.j", "id", "label")
+    dealt = dealt.join(sets, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        for table in whole_groups(batches, ["band", "i", "j"]):
+            keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
+            new = np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+            starts = np.flatnonzero(new).tolist()
+            for s, e in zip(starts, [*starts[1:], len(new)], strict=True):
+                a, b = _compared(table.slice(s, e - s), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """One link for every two labels of the cell that have any; shared shingles are counted by a matrix product."""
+    ids, label = cell.column("id").to_numpy(), cell.column("label").to_numpy()
+    lists = cell.column("shingles").combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    _, which, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = times[which] > 1
+    row, which = row[shared], (np.cumsum(times > 1) - 1)[which[shared]]
+    order = np.argsort(which, kind="stable")
+    row, which = row[order], which[order]
+    both, width = np.zeros((len(ids), len(ids)), np.float32), 4096
+    for k in range(0, int(which[-1]) + 1 if len(which) else 0, width):
+        a, b = np.searchsorted(which, (k, k + width))
+        has = np.zeros((len(ids), width), np.float32)
+        has[row[a:b], which[a:b] - k] = 1
+        both += has @ has.T
+    union = sizes[:, None] + sizes[None, :] - both
+    x, y = np.nonzero((100 * both >= percent * union) & (label[:, None] < label[None, :]))
+    _, first = np.unique(np.stack([label[x], label[y]], 1), axis=0, return_index=True)
+    x, y = ids[x[first]], ids[y[first]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def relabelled(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """id, label after the links have joined the labels of their ends."""
+    ends = links.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").where("x <> y")
+    found = components(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
+    joined = labels.join(found.toDF("label", "component"), "label", "left")
+    return written(joined.select("id", F.coalesce("component", "label").alias("label")), f"{name}-labels")
 
 
 def whole_groups(batches, keys: list[str]) -> Iterator[pa.Table]:
@@ -235,30 +316,6 @@ def _differs(before: pa.RecordBatch, after: pa.RecordBatch, keys: list[str]) ->
     return any(before.column(k)[before.num_rows - 1] != after.column(k)[0] for k in keys)
 
 
-def _cell_pairs(cell: pa.Table, percent: int):
-    band, i, j, block, ids, label, n = (cell.column(c).to_numpy() for c in ("band", "i", "j", "block", "id", "label", "n_shingles"))
-    registers = _registers(cell.column("registers"))
-    new = np.concatenate(([True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-    starts = np.flatnonzero(new)
-    floor = floor_of(percent / 100, registers.shape[1])
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, e in zip(starts.tolist(), np.append(starts[1:], len(new)).tolist(), strict=True):
-        if e - s < 2 or (i[s] == j[s] and (label[s:e] == label[s]).all()):
-            continue
-        x, y = np.triu_indices(e - s, 1)
-        x, y = x + s, y + s
-        on = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-        if i[s] != j[s]:
-            on &= block[x] != block[y]
-        x, y = x[on], y[on]
-        for k in range(0, len(x), 20_000):
-            p, q = x[k : k + 20_000], y[k : k + 20_000]
-            keep = joint_estimate(registers[p], registers[q], n[p].astype(float), n[q].astype(float)) >= floor
-            out_a.append(np.minimum(ids[p[keep]], ids[q[keep]]))
-            out_b.append(np.maximum(ids[p[keep]], ids[q[keep]]))
-    return pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
 
@@ -281,13 +338,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
 
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    first = written(confirmed(likely(stars, own, percent / 100).where(fits), sets, percent), "first-links")
-    label = first.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "id")
-    labelled = members.join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    more = rest_pairs(labelled, own, percent).join(first, ["a", "b"], "left_anti")
-    ends = own.select("doc_id", "n_shingles")
-    more = more.join(ends.toDF("a", "n_a"), "a").join(ends.toDF("b", "n_b"), "b")
-    links = first.union(confirmed(more, sets, percent))
+    links = written(confirmed(likely(stars, own, percent / 100).where(fits), sets, percent), "links-0")
+    label = links.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "id")
+    labels = written(in_bands.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+    placed = members.select("band", "id")
+    for turn in range(1, STAR_TURNS + 1):
+        pairs = star_pairs(placed.join(labels, "id"), turn).join(links, ["a", "b"], "left_anti")
+        more = written(confirmed(likely(pairs, own, percent / 100).where(fits), sets, percent), f"links-{turn}")
+        labels, links = relabelled(labels, more, f"turn-{turn}"), links.union(more)
+    labelled = placed.join(labels, "id")
+    pairs = small_pairs(labelled).join(links, ["a", "b"], "left_anti")
+    links = links.union(confirmed(likely(pairs, own, percent / 100).where(fits), sets, percent)).union(cell_links(labelled, sets.toDF("id", "shingles"), percent))
     found = components(links, "near")
 
     classes = equal.join(found, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm import chat_format, decontaminate, fingerprints, near_dedup, sentencepiece_viterbi, substring_dedup, token_files
+from raglens.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, sentencepiece_viterbi, substring_dedup, token_files, toxicity
 from raglens.session import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,30 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(planted)))
 
 
+def _fold(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_fold(7) == 2, F.lit(False)).alias("held_out"))
+    model, rest = lm_score.train(docs.where("not held_out"))
+    return lm_score.score(docs, model, rest)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(_fold(5) != 0))
+    rows = docs.select("doc_id", "text", "lang", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"))
+    return toxicity.score(rows, model, lang="lang").select("doc_id", "held_out", "score", "predicted", "flagged")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(_fold(3) != 1))
+    rows = docs.select("doc_id", "text", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"))
+    return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.read_token_files(token_files.write_token_files(docs, BPE, END_ID))
@@ -47,7 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_words(docs).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op5_token_files, op6_fingerprints, op7_near_dedup, op8_sentencepiece, op9_decontaminate, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_toxicity, op4_language_id, op5_token_files, op6_fingerprints, op7_near_dedup, op8_sentencepiece, op9_decontaminate, op10_substring_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
