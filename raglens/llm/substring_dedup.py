@@ -177,7 +177,7 @@ def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     copies = seen.where("doc_id > owner").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
     own = seen.where("doc_id = owner and searched").groupBy("anchor", "segment", "doc_id").agg(F.min(F.struct("start", "windows")).alias("at"), F.collect_list("start").alias("places"))
     own = written(own.select("anchor", "doc_id", "at.start", "at.windows", "places"), "searched-segments")
-    found = shard_repeats(segment_words(docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs, own, text))
+    found = written(shard_repeats(segment_words(docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs, own, text)), "found-runs")
     # a segment that its document holds at several places was searched at one of them
     again = own.where("size(places) > 1").select("doc_id", F.col("start").alias("at"), (F.col("start") + F.col("windows") - 1).alias("to"), F.explode("places").alias("place"))
     moved = found.join(again, "doc_id").where("first >= at and last <= to and place <> at")
