@@ -28,5 +28,5 @@ def to_epoch(iso: str | Column) -> Column:
     return F.when(iso.rlike(ISO), F.unix_seconds(F.try_to_timestamp(iso)))
 
 
-def rounded(x: Column, digits: int = 6) -> Column:
+def rounded(x: Column, digits: int = 9) -> Column:
     return F.round(x.cast("double"), digits)

@@ -45,7 +45,7 @@ def baseline_deltas(metrics: DataFrame, baseline_id: str) -> DataFrame:
     """run_id, metric, value, base, delta, relative_pct, improved, for every run but the baseline."""
     long = long_metrics(metrics, list(SORTABLE))
     base = long.where(F.col("run_id") == baseline_id).select("metric", F.col("value").alias("base"))
-    delta = F.round(F.col("value") - F.col("base"), 6)
+    delta = F.round(F.col("value") - F.col("base"), 9)
     up = F.col("metric").isin(*[m for m, better in SORTABLE.items() if better])
     relative = F.when(F.col("base") == 0, F.when(delta == 0, 0.0).otherwise(100.0)).otherwise(F.round(delta / F.abs("base") * 100, 2))
     joined = long.where(F.col("run_id") != baseline_id).join(F.broadcast(base), "metric")

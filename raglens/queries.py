@@ -98,13 +98,13 @@ dg as (select ans.*, ev.* exclude (run_id, query_id), top_out or 2 * out_of_peri
     when answer_correctness is null then null when answer_correctness < 0.4 and context_recall > 0.5 then 'CHUNKING_BOUNDARY_ERROR'
     else 'NO_FAILURE' end as failure_category
   from ans join ev using (run_id, query_id))"""
-MET = """met as (select run_id, count(q.query_id) as n_ok, round(avg(faithfulness), 6) as faithfulness, round(avg(context_precision), 6) as context_precision,
-    round(avg(context_recall), 6) as context_recall, round(avg(answer_relevance), 6) as answer_relevance, round(avg(answer_correctness), 6) as answer_correctness,
-    round(quantile_cont(latency_ms, 0.5), 6) as latency_p50_ms, round(quantile_cont(latency_ms, 0.95), 6) as latency_p95_ms,
-    round(avg(input_tokens + output_tokens), 6) as avg_tokens, round(avg(cost_usd), 9) as avg_cost_usd,
-    round(avg(case when q.at is not null then cast(valid > 0 as int) end), 6) as freshness_validity,
-    round(sum(case when q.at is not null then valid end) / nullif(sum(case when q.at is not null then known end), 0), 6) as temporal_citation_accuracy,
-    round(avg(case when q.modality in ('table', 'chart', 'spreadsheet', 'mixed') then cast(nontext as int) end), 6) as multimodal_grounding_rate
+MET = """met as (select run_id, count(q.query_id) as n_ok, round(avg(faithfulness), 9) as faithfulness, round(avg(context_precision), 9) as context_precision,
+    round(avg(context_recall), 9) as context_recall, round(avg(answer_relevance), 9) as answer_relevance, round(avg(answer_correctness), 9) as answer_correctness,
+    round(quantile_cont(latency_ms, 0.5), 9) as latency_p50_ms, round(quantile_cont(latency_ms, 0.95), 9) as latency_p95_ms,
+    round(avg(input_tokens + output_tokens), 9) as avg_tokens, round(avg(cost_usd), 9) as avg_cost_usd,
+    round(avg(case when q.at is not null then cast(valid > 0 as int) end), 9) as freshness_validity,
+    round(sum(case when q.at is not null then valid end) / nullif(sum(case when q.at is not null then known end), 0), 9) as temporal_citation_accuracy,
+    round(avg(case when q.modality in ('table', 'chart', 'spreadsheet', 'mixed') then cast(nontext as int) end), 9) as multimodal_grounding_rate
   from fx_runs left join dg q using (run_id) group by run_id)"""
 DG = f"with {IT}, {ANS}, {EV}"
 ALL = f"{DG}, {MET}"
@@ -121,7 +121,7 @@ def f10_run_metrics(spark, d):
     return run_metrics(spark, d)
 
 
-@query("select run_id, " + ", ".join(f"round(avg({c}), 6) as {c}, count({c}) as n_{c}" for c in scalars.SCORES) + " from fx_query_results group by run_id")
+@query("select run_id, " + ", ".join(f"round(avg({c}), 9) as {c}, count({c}) as n_{c}" for c in scalars.SCORES) + " from fx_query_results group by run_id")
 def f2_mean_valid(spark, d):
     return metrics.mean_valid(results(spark, d), ["run_id"])
 
@@ -137,12 +137,12 @@ def f1_sanitize_score(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("n"), scalars.sanitize_score(x).alias("score"))
 
 
-@query(f"{DG} select run_id, round(quantile_cont(latency_ms, 0.5), 6) as latency_p50_ms, round(quantile_cont(latency_ms, 0.95), 6) as latency_p95_ms from ans group by run_id")
+@query(f"{DG} select run_id, round(quantile_cont(latency_ms, 0.5), 9) as latency_p50_ms, round(quantile_cont(latency_ms, 0.95), 9) as latency_p95_ms from ans group by run_id")
 def f5_latency_percentiles(spark, d):
     return metrics.latency_percentiles(results(spark, d))
 
 
-@query(f"{ALL} select a.chunking_strategy, a.parsing_strategy, a.freshness_policy, round(x.latency_p50_ms - y.latency_p50_ms, 6) as overhead_ms from fx_runs a join fx_runs b using (chunking_strategy, parsing_strategy, freshness_policy) join met x on x.run_id = a.run_id join met y on y.run_id = b.run_id where a.retrieval_strategy = 'hybrid_reranker' and b.retrieval_strategy = 'hybrid'")
+@query(f"{ALL} select a.chunking_strategy, a.parsing_strategy, a.freshness_policy, round(x.latency_p50_ms - y.latency_p50_ms, 9) as overhead_ms from fx_runs a join fx_runs b using (chunking_strategy, parsing_strategy, freshness_policy) join met x on x.run_id = a.run_id join met y on y.run_id = b.run_id where a.retrieval_strategy = 'hybrid_reranker' and b.retrieval_strategy = 'hybrid'")
 def f11_reranker_overhead(spark, d):
     return metrics.reranker_overhead(runs(spark, d), run_metrics(spark, d))
 
@@ -182,8 +182,8 @@ def g7_secondary_failures(spark, d):
     return diagnoses(spark, d).select("run_id", "query_id", F.array_join("secondary_failures", ",").alias("secondary"), F.array_join("missing", ",").alias("missing"))
 
 
-@query(f"""{DG} select run_id, count(*) as n, round(avg(cast(failure_category = failure_type as int)), 6) as diagnostic_accuracy,
-round(avg(cast(case when failure_category in ('STALE_ANSWER', 'WRONG_VERSION') then 'T' else failure_category end = case when failure_type in ('STALE_ANSWER', 'WRONG_VERSION') then 'T' else failure_type end as int)), 6) as temporal_family_accuracy
+@query(f"""{DG} select run_id, count(*) as n, round(avg(cast(failure_category = failure_type as int)), 9) as diagnostic_accuracy,
+round(avg(cast(case when failure_category in ('STALE_ANSWER', 'WRONG_VERSION') then 'T' else failure_category end = case when failure_type in ('STALE_ANSWER', 'WRONG_VERSION') then 'T' else failure_type end as int)), 9) as temporal_family_accuracy
 from dg where failure_category is not null and failure_type is not null group by run_id""")
 def g9_diagnostic_accuracy(spark, d):
     return diagnosis.diagnostic_accuracy(diagnoses(spark, d))
@@ -194,7 +194,7 @@ def g17_failure_summary(spark, d):
     return diagnosis.failure_summary(diagnoses(spark, d), results(spark, d))
 
 
-@query(f"{DG} select run_id, count(failure_category) as n_diagnosed, round(count(*) filter (failure_category <> 'NO_FAILURE') / nullif(count(failure_category), 0), 6) as failure_rate from dg group by run_id")
+@query(f"{DG} select run_id, count(failure_category) as n_diagnosed, round(count(*) filter (failure_category <> 'NO_FAILURE') / nullif(count(failure_category), 0), 9) as failure_rate from dg group by run_id")
 def g18_failure_rate(spark, d):
     return diagnosis.failure_rate(diagnoses(spark, d))
 
@@ -280,8 +280,8 @@ def h4_baseline(spark, d):
 
 
 _DELTA = f"""{ALL}, {LONG}, b as (select metric, value as base from long where run_id = (select run_id from fx_runs where retrieval_strategy = 'vector_only' and chunking_strategy = 'recursive' and parsing_strategy = 'text_only' and freshness_policy = 'none')),
-dl as (select l.run_id, l.metric, l.value, base, round(l.value - base, 6) as delta, case when base = 0 then case when round(l.value - base, 6) = 0 then 0.0 else 100.0 end else round(round(l.value - base, 6) / abs(base) * 100, 2) end as relative_pct,
-case when l.metric in ('latency_p50_ms', 'avg_cost_usd') then round(l.value - base, 6) < 0 else round(l.value - base, 6) > 0 end as improved
+dl as (select l.run_id, l.metric, l.value, base, round(l.value - base, 9) as delta, case when base = 0 then case when round(l.value - base, 9) = 0 then 0.0 else 100.0 end else round(round(l.value - base, 9) / abs(base) * 100, 2) end as relative_pct,
+case when l.metric in ('latency_p50_ms', 'avg_cost_usd') then round(l.value - base, 9) < 0 else round(l.value - base, 9) > 0 end as improved
 from long l join b using (metric) where l.run_id <> (select run_id from fx_runs where retrieval_strategy = 'vector_only' and chunking_strategy = 'recursive' and parsing_strategy = 'text_only' and freshness_policy = 'none'))"""
 _BASE_ID = "r_16"
 
@@ -309,7 +309,7 @@ union all select 'best_for_tables', run_id, multimodal_grounding_rate, row_numbe
 union all select 'best_for_drift', run_id, freshness_validity, row_number() over (order by round(freshness_validity, 9) desc, run_id) from j where freshness_validity is not null and freshness_policy <> 'none'
 union all select 'best_for_long_pdfs', run_id, context_recall, row_number() over (order by round(context_recall, 9) desc, run_id) from j where context_recall is not null and parsing_strategy = 'text_table'
 union all select 'best_overall', run_id, v, row_number() over (order by round(v, 9) desc, run_id) from (select run_id, 0.4 * faithfulness + 0.3 * answer_correctness + 0.2 * context_recall + 0.1 * (1 - avg_cost_usd / max(avg_cost_usd) over ()) as v from j where faithfulness is not null and answer_correctness is not null and context_recall is not null and avg_cost_usd is not null))
-select objective, 'ok' as status, run_id, round(value, 6) as value from o where k = 1""")
+select objective, 'ok' as status, run_id, round(value, 9) as value from o where k = 1""")
 def h7_recommend(spark, d):
     return ranking.recommend(runs(spark, d), run_metrics(spark, d))
 
@@ -361,8 +361,8 @@ def h11_report_runs(spark, d):
 
 
 @query("""with j as (select r.*, coalesce(i.modality, 'None') as modality, coalesce(cast(i.answerable as varchar), 'false') as answerable, coalesce(status, 'ok') <> 'error' as ok from fx_query_results r left join fx_eval_items i on i.id = r.query_id)
-select run_id, 'modality' as grouping, modality as value, count(*) as n, count(*) filter (not ok) as n_error, count(answer_correctness) filter (ok) as n_scored, round(avg(answer_correctness) filter (ok), 6) as answer_correctness from j group by all
-union all select run_id, 'answerable', answerable, count(*), count(*) filter (not ok), count(answer_correctness) filter (ok), round(avg(answer_correctness) filter (ok), 6) from j group by all""")
+select run_id, 'modality' as grouping, modality as value, count(*) as n, count(*) filter (not ok) as n_error, count(answer_correctness) filter (ok) as n_scored, round(avg(answer_correctness) filter (ok), 9) as answer_correctness from j group by all
+union all select run_id, 'answerable', answerable, count(*), count(*) filter (not ok), count(answer_correctness) filter (ok), round(avg(answer_correctness) filter (ok), 9) from j group by all""")
 def h12_report_by_group(spark, d):
     return reporting.report_by_group(results(spark, d), items(spark, d))
 
@@ -372,7 +372,7 @@ def h13_report_failures(spark, d):
     return reporting.report_failures(runs(spark, d), diagnoses(spark, d)).select("run_id", "category", "n", "n_diagnosed")
 
 
-@query(f"{DG} select r.run_id, count(*) as n, count(*) filter (r.status = 'error') as n_error, count(r.answer_correctness) filter (coalesce(r.status, 'ok') <> 'error') as n_scored, round(avg(r.answer_correctness) filter (coalesce(r.status, 'ok') <> 'error'), 6) as answer_correctness, count(failure_category) as n_diagnosed, count(*) filter (failure_category = 'STALE_ANSWER') as n_stale, count(*) filter (failure_category = 'WRONG_VERSION') as n_wrong_version from fx_query_results r join it on it.id = r.query_id and it.temporal_pair_id is not null left join dg on dg.run_id = r.run_id and dg.query_id = r.query_id group by r.run_id")
+@query(f"{DG} select r.run_id, count(*) as n, count(*) filter (r.status = 'error') as n_error, count(r.answer_correctness) filter (coalesce(r.status, 'ok') <> 'error') as n_scored, round(avg(r.answer_correctness) filter (coalesce(r.status, 'ok') <> 'error'), 9) as answer_correctness, count(failure_category) as n_diagnosed, count(*) filter (failure_category = 'STALE_ANSWER') as n_stale, count(*) filter (failure_category = 'WRONG_VERSION') as n_wrong_version from fx_query_results r join it on it.id = r.query_id and it.temporal_pair_id is not null left join dg on dg.run_id = r.run_id and dg.query_id = r.query_id group by r.run_id")
 def h14_report_temporal(spark, d):
     return reporting.report_temporal(results(spark, d), items(spark, d), diagnoses(spark, d))
 
