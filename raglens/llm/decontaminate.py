@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from raglens.llm.fm_index import FMIndex
 from raglens.llm.shared import written
-from raglens.llm.words import ALNUM, U64, grams, ragged, slices, text_of, words_of
+from raglens.llm.words import LEAN_SLICE_BYTES, ALNUM, U64, grams, ragged, slices, text_of, words_of
 
 WINDOW = 10
 MOST_BYTES = 16 << 20
@@ -139,7 +139,7 @@ def find_spans(docs: DataFrame, phrases: Phrases, text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
         for batch in batches:
-            for rows, part in slices(batch, text):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 words = words_of(part, ALNUM, lower=True)
                 row, start, end, with_item, item = spans_of(phrases, words.hashes, words.first)
                 n = np.arange(len(part) + 1)
@@ -214,7 +214,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            for rows, part in slices(batch, text):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 hit = np.flatnonzero(rows.column("starts").value_lengths().to_numpy(zero_copy_only=False))
                 words = words_of(part, ALNUM, lower=True) if len(hit) else None
                 texts, keep = rows.column(text), np.ones(len(part), bool)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raglens.llm.words import LOWER, Text, ragged, slices, words_of
+from raglens.llm.words import LEAN_SLICE_BYTES, LOWER, Text, ragged, slices, words_of
 
 BUCKETS = 1 << 15
 TURNS = 6
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         model = sent.value
         for batch in batches:
-            for rows, part in slices(batch, text, 2 << 20):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 share, counts = model.infer(part)
                 best = share.argmax(1) if len(model.names) else np.zeros(len(counts), np.int64)
                 lettered = counts > 0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raglens.llm.shared import written
-from raglens.llm.words import SPACED, U64, mix, powers, shingle_sets, slices, words_of
+from raglens.llm.words import LEAN_SLICE_BYTES, SPACED, U64, mix, powers, shingle_sets, slices, words_of
 
 #: Registers of base 1.001 and rate 20 hold sets of 1 to 10**18 shingles in 16 bits.
 REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, size: int = 5, m: int = REGISTERS, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, part in slices(batch, text):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 sets, first = shingle_sets(words_of(part, SPACED, lower=True), size)
                 registers = set_sketches(sets, first, m)
                 keys = band_keys(registers).view(np.int64)
@@ -135,7 +135,7 @@ def shingle_table(docs: DataFrame, size: int = 5, text: str = "text") -> DataFra
 
     def run(batches):
         for batch in batches:
-            for rows, part in slices(batch, text):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 sets, first = shingle_sets(words_of(part, SPACED, lower=True), size)
                 values = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), values], ["id", "shingles"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from raglens.llm.units import UnitCache
-from raglens.llm.words import U64, Text, mix, powers, ragged, slices
+from raglens.llm.words import LEAN_SLICE_BYTES, U64, Text, mix, powers, ragged, slices
 
 MARK = "▁"
 #: Stands for a mark that the text itself holds; no piece has it, so it becomes bytes and comes back.
@@ -194,7 +194,7 @@ def encode_ids(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, part in slices(batch, text):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 ids, counts = pieces(model).encode(part)
                 bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))], [*names, "token_ids"])
@@ -221,7 +221,7 @@ def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for rows, part in slices(batch, text):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 ids, counts = pieces(model).encode(part)
                 back = pieces(model).decode(ids, counts)
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(counts)

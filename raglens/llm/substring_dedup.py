@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from raglens.llm.fm_index import FMIndex
 from raglens.llm.near_dedup import whole_groups
 from raglens.llm.shared import written
-from raglens.llm.words import SPACED, U64, grams, mix, powers, ragged, slices, words_of
+from raglens.llm.words import LEAN_SLICE_BYTES, SPACED, U64, grams, mix, powers, ragged, slices, words_of
 
 WINDOW = 50
 GRAM = 8
@@ -68,7 +68,7 @@ def anchor_table(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, part in slices(batch, text):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 words = words_of(part)
                 row, anchor, segment, start, size = anchors(words.hashes, words.first)
                 made = [pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
@@ -82,7 +82,7 @@ def segment_words(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Dat
 
     def run(batches):
         for batch in batches:
-            for rows, part in slices(batch, text):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 words = words_of(part)
                 lists = rows.column("parts")
                 owner = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -202,7 +202,7 @@ def kept_words(docs: DataFrame, text: str = "text", digest: bool = True) -> Data
 
     def run(batches):
         for batch in batches:
-            for rows, part in slices(batch, text):
+            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 words = words_of(part)
                 lists = rows.column("_runs").fill_null([])
                 owner = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))

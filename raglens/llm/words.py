@@ -16,6 +16,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 3 << 20
+#: For jobs that leave little of a worker's memory, such as the stages of a pipeline.
+LEAN_SLICE_BYTES = 1 << 20
 
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
