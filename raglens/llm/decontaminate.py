@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from raglens.llm.fm_index import FMIndex
 from raglens.llm.shared import written
-from raglens.llm.words import LEAN_SLICE_BYTES, ALNUM, U64, grams, ragged, slices, text_of, words_of
+from raglens.llm.words import ALNUM, LEAN_SLICE_BYTES, U64, grams, ragged, slices, text_of, tidy, words_of
 
 WINDOW = 10
 MOST_BYTES = 16 << 20
@@ -155,7 +155,7 @@ def find_spans(docs: DataFrame, phrases: Phrases, text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*names, "n_words", "starts", "ends", "items"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, {FOUND}")
+    return docs.mapInArrow(tidy(run), f"{kinds}, {FOUND}")
 
 
 def phrase_slices(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> list[Phrases]:
@@ -233,7 +233,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
                 columns = [texts.cast(pa.string()) if i == at else rows.column(c) for i, c in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(tidy(run), docs.schema)
 
 
 def sha256_of(ids: list[str]) -> str:

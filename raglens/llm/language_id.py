@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raglens.llm.words import LEAN_SLICE_BYTES, LOWER, Text, ragged, slices, words_of
+from raglens.llm.words import LEAN_SLICE_BYTES, LOWER, Text, ragged, slices, tidy, words_of
 
 BUCKETS = 1 << 15
 TURNS = 6
@@ -61,7 +61,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     text = "text"
-    total = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    total = known.mapInArrow(tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = [r["lang"] for r in total.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -179,4 +179,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 sets = [[model.names[j] for j in np.argsort(-s, kind="stable") if s[j] > 0] if ok else [] for s, ok in zip(share, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(preds, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(sets, pa.list_(pa.string()))], [*names, "lang_pred", "score", "languages"])
 
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, languages array<string>")
+    return docs.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double, languages array<string>")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raglens.llm.shared import written
-from raglens.llm.words import LEAN_SLICE_BYTES, SPACED, U64, mix, powers, shingle_sets, slices, words_of
+from raglens.llm.words import LEAN_SLICE_BYTES, SPACED, U64, mix, powers, shingle_sets, slices, tidy, words_of
 
 #: Registers of base 1.001 and rate 20 hold sets of 1 to 10**18 shingles in 16 bits.
 REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
@@ -122,7 +122,7 @@ def sketches(docs: DataFrame, size: int = 5, m: int = REGISTERS, text: str = "te
                 )
 
     schema = "doc_id long, n_shingles long, set_a long, set_b long, registers binary, bands array<long>"
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.select("doc_id", text).mapInArrow(tidy(run), schema)
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def shingle_table(docs: DataFrame, size: int = 5, text: str = "text") -> DataFra
                 values = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), values], ["id", "shingles"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("doc_id", text).mapInArrow(tidy(run), "id long, shingles array<long>")
 
 
 def likely(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
@@ -157,7 +157,7 @@ def likely(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
             keep = joint_estimate(r_a, r_b, n_a, n_b) >= floor_of(threshold, r_a.shape[1])
             yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long, n_a long, n_b long")
+    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(tidy(run), "a long, b long, n_a long, n_b long")
 
 
 def floor_of(threshold: float, m: int) -> float:
@@ -222,7 +222,7 @@ def small_pairs(labelled: DataFrame) -> DataFrame:
                 on = label[x] != label[y]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[x[on]]), pa.array(ids[y[on]])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def cell_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +256,7 @@ def cell_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 a, b = _compared(table.slice(s, e - s), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _compared(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:

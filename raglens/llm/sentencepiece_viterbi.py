@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from raglens.llm.units import UnitCache
-from raglens.llm.words import LEAN_SLICE_BYTES, U64, Text, mix, powers, ragged, slices
+from raglens.llm.words import LEAN_SLICE_BYTES, U64, Text, mix, powers, ragged, slices, tidy
 
 MARK = "▁"
 #: Stands for a mark that the text itself holds; no piece has it, so it becomes bytes and comes back.
@@ -199,7 +199,7 @@ def encode_ids(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))], [*names, "token_ids"])
 
-    return docs.mapInArrow(run, _ddl(docs) + ", token_ids array<int>")
+    return docs.mapInArrow(tidy(run), _ddl(docs) + ", token_ids array<int>")
 
 
 def decode_ids(rows: DataFrame, model: str, ids: str = "token_ids") -> DataFrame:
@@ -212,7 +212,7 @@ def decode_ids(rows: DataFrame, model: str, ids: str = "token_ids") -> DataFrame
             out = pieces(model).decode(lists.flatten().to_numpy(), lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([out.bytes_of(k).decode(errors="replace") for k in range(len(out))], pa.string())], [*names, "decoded"])
 
-    return rows.mapInArrow(run, _ddl(rows) + ", decoded string")
+    return rows.mapInArrow(tidy(run), _ddl(rows) + ", decoded string")
 
 
 def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -236,7 +236,7 @@ def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *made], [*names, *ROUND_TRIP])
 
-    return docs.mapInArrow(run, ", ".join([*([_ddl(docs.drop(text))] if names else []), "n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string, exact boolean"]))
+    return docs.mapInArrow(tidy(run), ", ".join([*([_ddl(docs.drop(text))] if names else []), "n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string, exact boolean"]))
 
 
 ROUND_TRIP = ["n_tokens", "ids_crc32", "decoded_chars", "decoded_sha256", "exact"]

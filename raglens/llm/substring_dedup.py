@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from raglens.llm.fm_index import FMIndex
 from raglens.llm.near_dedup import whole_groups
 from raglens.llm.shared import written
-from raglens.llm.words import LEAN_SLICE_BYTES, SPACED, U64, grams, mix, powers, ragged, slices, words_of
+from raglens.llm.words import LEAN_SLICE_BYTES, SPACED, U64, grams, mix, powers, ragged, slices, tidy, words_of
 
 WINDOW = 50
 GRAM = 8
@@ -74,7 +74,7 @@ def anchor_table(docs: DataFrame, text: str = "text") -> DataFrame:
                 made = [pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), *made], ["doc_id", "anchor", "segment", "start", "windows"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, anchor long, segment long, start int, windows int")
+    return docs.select("doc_id", text).mapInArrow(tidy(run), "doc_id long, anchor long, segment long, start int, windows int")
 
 
 def segment_words(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
@@ -97,7 +97,7 @@ def segment_words(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Dat
 
     parts = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("parts"))
     one = docs.select("doc_id", text).join(parts, "doc_id")
-    return one.mapInArrow(run, "anchor long, doc_id long, start int, words binary")
+    return one.mapInArrow(tidy(run), "anchor long, doc_id long, start int, words binary")
 
 
 def shard_repeats(segments: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def shard_repeats(segments: DataFrame) -> DataFrame:
         for shard in shards(whole_groups(batches, ["anchor"])):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard_runs(*shard)], ["doc_id", "first", "last"])
 
-    return dealt.mapInArrow(run, "doc_id long, first int, last int")
+    return dealt.mapInArrow(tidy(run), "doc_id long, first int, last int")
 
 
 def shards(tables, most: int = SHARD_WORDS) -> Iterator[tuple]:
@@ -219,7 +219,7 @@ def kept_words(docs: DataFrame, text: str = "text", digest: bool = True) -> Data
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(words.counts), pa.array(removed), pa.array(out, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{kinds}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(tidy(run), f"{kinds}, n_words long, n_removed long, kept string")
 
 
 def _joined(part, words, k: int, gone: np.ndarray) -> bytes:
