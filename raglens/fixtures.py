@@ -15,12 +15,12 @@ def _views() -> dict[str, str]:
   case when doc_id % 7 = 0 then null else 1577836800 + (doc_id % 3) * 31536000 end as effective_from,
   case when doc_id % 7 = 0 or doc_id % 3 = 2 then null else 1577836800 + (doc_id % 3 + 1) * 31536000 - 1 end as effective_to,
   text from documents""",
-        "fx_chunks": """select concat(d.doc_id, '#', cast(n.event_id as string)) as chunk_id, d.doc_id, d.filename, d.doc_version,
+        "fx_chunks": """select concat(d.doc_id, '#', cast(d.i as string)) as chunk_id, d.doc_id, d.filename, d.doc_version,
   d.effective_from, d.effective_to,
-  case (cast(d.doc_id as bigint) + n.event_id) % 10 when 0 then 'table' when 1 then 'image' when 2 then 'spreadsheet_cell' else 'text' end as chunk_type,
-  case when (cast(d.doc_id as bigint) + n.event_id) % 10 <= 2 then 'atomic' when n.event_id % 2 = 0 then 'recursive' else 'structure_aware' end as chunk_strategy,
-  n.event_id * 448 as start_index, substring(d.text, cast(n.event_id * 448 + 1 as int), 512) as content
-from fx_documents d join events n on n.event_id * 448 < length(d.text)""",
+  case (cast(d.doc_id as bigint) + d.i) % 10 when 0 then 'table' when 1 then 'image' when 2 then 'spreadsheet_cell' else 'text' end as chunk_type,
+  case when (cast(d.doc_id as bigint) + d.i) % 10 <= 2 then 'atomic' when d.i % 2 = 0 then 'recursive' else 'structure_aware' end as chunk_strategy,
+  d.i * 448 as start_index, substring(d.text, cast(d.i * 448 + 1 as int), 512) as content
+from (select w.*, cast(floor(w.start / 448.0) as bigint) as i from (select fx_documents.*, unnest(range(0, length(text), 448)) as start from fx_documents where length(text) > 0) w) d""",
         "fx_eval_items": """select concat('q_', cast(item_id as string)) as id, substring(text, 1, 80) as question, text as ground_truth,
   case item_id % 5 when 0 then cast(null as string) when 1 then '2020-06-01' when 2 then '2021-06-01' when 3 then 'not-a-date' else '2023-06-01' end as valid_from,
   case item_id % 6 when 1 then 'table' when 2 then 'chart' when 3 then 'spreadsheet' when 4 then 'mixed' else 'text' end as modality,
@@ -46,8 +46,8 @@ cross join (values ('none'), ('effective_date_filter')) e(f)""",
 from events cross join (select count(*) as m from benchmark) b where event_id < 24 * m""",
         "fx_retrieved": """select q.run_id, q.query_id, k.rank, c.chunk_id, c.filename, c.doc_version, c.chunk_type, c.effective_from, c.effective_to
 from fx_query_results q cross join (values (1), (2), (3), (4), (5)) k(rank)
-join (select x.*, row_number() over (order by cast(doc_id as bigint), start_index) - 1 as i, t.m from fx_chunks x cross join (select count(*) as m from fx_chunks) t) c
-  on c.i = (q.n * 7 + k.rank * 11) % c.m""",
+cross join (select max(doc_id) + 1 as m from documents) t
+join (select * from fx_chunks where start_index = 0) c on cast(c.doc_id as bigint) = (q.n * 7 + k.rank * 11) % t.m""",
     }
 
 
@@ -80,7 +80,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    whole = with_views(sql)
+    whole = with_views(sql).replace("unnest(range(0, length(text), 448))", "explode(sequence(0, length(text) - 1, 448))")
     for name in ("documents", "benchmark", "events", "labels", "pages", "embeddings"):
         if re.search(rf"\b{name}\b", whole):
             table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -49,6 +49,9 @@ def apply_budget(results: DataFrame, limit: float | None, order: str = "n") -> D
 
 
 def normalise_error(results: DataFrame) -> DataFrame:
-    """An errored row has no answer and no tokens."""
+    """An errored row has no answer, no chunks and no tokens."""
     bad = F.coalesce(F.col("status"), F.lit("ok")) == "error"
+    if "retrieved_chunks" in results.columns:
+        none = F.array().cast(results.schema["retrieved_chunks"].dataType)
+        results = results.withColumn("retrieved_chunks", F.when(bad, none).otherwise(F.col("retrieved_chunks")))
     return results.withColumns({c: F.when(bad, F.lit(0)).otherwise(F.col(c)) for c in ("input_tokens", "output_tokens")} | {"generated_answer": F.when(bad, F.lit("")).otherwise(F.col("generated_answer"))})

@@ -142,15 +142,25 @@ def text_units(elements: DataFrame) -> DataFrame:
     return own.groupBy("doc_id", "unit").agg(F.first("page").alias("page"), F.array_join(F.transform(rows, lambda x: x["c"]), "\n\n").alias("content"))
 
 
-def build_index_chunks(texts: DataFrame, others: DataFrame, strategies: list[str]) -> DataFrame:
-    """Text chunked by every strategy; tables, images and sheet rows once, tagged atomic."""
+#: What names a chunk's place in its document, by strategy.
+PLACES = {"fixed": ["start_index"], "recursive": ["chunk_idx"], "semantic": ["chunk_idx"], "structure_aware": ["section", "chunk_idx"]}
+
+
+def build_index_chunks(texts: DataFrame, others: DataFrame, strategies: list[str], documents: DataFrame) -> DataFrame:
+    """Text chunked by every strategy; tables, images and sheet rows (doc_id, elem_idx, content, chunk_type) once, tagged atomic.
+
+    chunk_id is a hash of document, strategy and place, so a repeated ingest gives the same ids. Every chunk
+    has its document's filename, version and dates.
+    """
     made = {"fixed": chunk_fixed, "recursive": chunk_recursive, "semantic": chunk_semantic, "structure_aware": chunk_structure}
-    parts = [made[s](texts).select("doc_id", "content", F.lit(s).alias("chunk_strategy"), F.lit("text").alias("chunk_type")) for s in strategies]
-    parts.append(others.where("trim(coalesce(content, '')) <> ''").select("doc_id", "content", F.lit("atomic").alias("chunk_strategy"), "chunk_type"))
+    tagged = lambda df, strategy, kind, place: df.select("doc_id", "content", F.lit(strategy).alias("chunk_strategy"), kind.alias("chunk_type"), F.concat_ws(".", *[F.col(c).cast("string") for c in place]).alias("place"))
+    parts = [tagged(made[s](texts), s, F.lit("text"), PLACES[s]) for s in strategies]
+    parts.append(tagged(others.where("trim(coalesce(content, '')) <> ''"), "atomic", F.col("chunk_type"), ["elem_idx"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("chunk_id", F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "chunk_strategy", "content"), 256))
+    out = out.withColumn("chunk_id", F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "chunk_strategy", "place"), 256)).drop("place")
+    return out.join(documents.select("doc_id", "filename", "doc_version", "effective_from", "effective_to"), "doc_id", "left")
 
 
 def chunk_counts(chunks: DataFrame, strategies: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raglens.functions.scalars import KEY_METRICS, is_ok, rounded, sanitize_score, to_epoch
@@ -142,6 +142,12 @@ def reasoning_todo(diagnoses: DataFrame, cached: DataFrame) -> DataFrame:
     return diagnoses.join(good, ["run_id", "query_id"], "left_anti").select("run_id", "query_id", F.coalesce("failure_category", F.lit("UNDIAGNOSED")).alias("category"))
 
 
+def pick_result_for_reasoning(results: DataFrame, order: str = "n") -> DataFrame:
+    """The first answer of each (run_id, query_id); an errored row only where there is no other."""
+    first = Window.partitionBy("run_id", "query_id").orderBy(~is_ok(), order)
+    return results.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
 def reasoning_prompt(diagnoses: DataFrame, items: DataFrame) -> DataFrame:
     """A prompt of the question, category, metrics and the first five chunks."""
     tag = F.transform(F.slice("retrieved_chunks", 1, 5), lambda c: F.format_string("[%s %s %s]", F.coalesce(c["chunk_type"], F.lit("text")), c["filename"], c["doc_version"]))

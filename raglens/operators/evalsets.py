@@ -52,6 +52,14 @@ def unmatched_source_docs(items: DataFrame, documents: DataFrame) -> DataFrame:
     return named.join(documents.select("filename"), "filename", "left_anti").orderBy("filename")
 
 
+def register_eval_set(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """The items with item_count and n_unmatched (named documents that don't exist); no row if any item has a fault."""
+    size = items.agg(F.count("*").alias("item_count"))
+    lost = unmatched_source_docs(items, documents).agg(F.count("*").alias("n_unmatched"))
+    faults = validate_eval_items(items).agg(F.count("*").alias("_faults"))
+    return items.crossJoin(F.broadcast(size.crossJoin(lost).crossJoin(faults))).where("_faults = 0").drop("_faults")
+
+
 def validate_document_ids(ids: DataFrame, documents: DataFrame) -> DataFrame:
     """Unknown ids in the order given, each once."""
     first = ids.groupBy("doc_id").agg(F.min("position").alias("position"))

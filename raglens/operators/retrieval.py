@@ -30,6 +30,11 @@ def filter_scope(chunks: DataFrame, doc_ids: DataFrame | None) -> DataFrame:
     return chunks if doc_ids is None else chunks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def drop_null_content(chunks: DataFrame, lexical: bool = False) -> DataFrame:
+    """Chunks with content; a lexical corpus leaves out empty content too."""
+    return chunks.where("content is not null and content <> ''" if lexical else "content is not null")
+
+
 def type_fits(parsing: str | Column, kind: str | Column) -> Column:
     parsing, kind = (F.col(x) if isinstance(x, str) else x for x in (parsing, kind))
     out = F.lit(True)
@@ -139,7 +144,7 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, keys: list[str], k: int)
     key's vocabulary. Only the questions' terms are joined with chunk terms.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    own = chunks.where("content is not null and content <> ''").select(*keys, "chunk_id", words(F.col("content")).alias("w"))
+    own = drop_null_content(chunks, lexical=True).select(*keys, "chunk_id", words(F.col("content")).alias("w"))
     size = own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_length"))
     terms = own.select(*keys, "chunk_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(*keys, "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
     spread = terms.groupBy(*keys, "term").agg(F.count("*").alias("df"))
@@ -187,7 +192,7 @@ def recency_sort(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 def assemble_context(candidates: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The first k contents joined for the prompt, beside all chunks in order; chunks without content go first."""
-    kept = candidates.where("content is not null")
+    kept = drop_null_content(candidates)
     rows = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "content")))
     out = kept.groupBy(*keys).agg(rows.alias("chunks"))
     return out.withColumn("context", F.array_join(F.transform(F.slice("chunks", 1, k), lambda c: c["content"]), "\n\n---\n\n"))

@@ -18,10 +18,10 @@ DEFAULT_MODEL, DEFAULT_TOP_K, MOST_CONFIGS = "gpt-4o-mini", 5, 32
 
 def config_matrix(spark: SparkSession, axes: dict[str, list[str]] | None = None) -> DataFrame:
     """All combinations; an axis that is missing or empty takes all its values."""
-    out = None
+    out = spark.range(1)
     for name, values in AXES.items():
-        own = spark.createDataFrame([(v,) for v in (axes or {}).get(name) or values], f"{name} string")
-        out = own if out is None else out.crossJoin(own)
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, (axes or {}).get(name) or values))))
+    out = out.drop("id")
     return out.withColumns({"reranker_enabled": F.col("retrieval_strategy") == "hybrid_reranker", "llm_model": F.lit(DEFAULT_MODEL), "top_k": F.lit(DEFAULT_TOP_K)})
 
 

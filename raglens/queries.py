@@ -223,16 +223,20 @@ def g25_reasoning_todo(spark, d):
     return diagnosis.reasoning_todo(diagnoses(spark, d), cached)
 
 
-@query(f"""{DG}, {FB}, t as (select dg.*, rating, correct_label from dg left join fb using (run_id, query_id) where failure_category is not null and not {_LACK}),
+_LABELS = f"""{DG}, {FB}, t as (select dg.*, rating, correct_label from dg left join fb using (run_id, query_id) where failure_category is not null and not {_LACK}),
 l as (select *, case when rating = 'positive' then 'NO_FAILURE' when correct_label is not null then correct_label when failure_category <> 'NO_FAILURE' and failure_type in (select category from cats) then failure_type else failure_category end as label,
-case when rating = 'positive' or correct_label is not null then 'feedback' when failure_category <> 'NO_FAILURE' and failure_type in (select category from cats) then 'eval_set' else 'classifier' end as source from t where coalesce(failure_type, '') <> 'UNANSWERABLE')
-select run_id, query_id, label, source, round(least(latency_ms / 10000, 1), 6) as f_latency, cast(case when modality in ('mixed', 'spreadsheet') then 'table' else modality end = 'table' as int) as f_is_table from l""".replace("with ", f"with {CATS}, ", 1))
+case when rating = 'positive' or correct_label is not null then 'feedback' when failure_category <> 'NO_FAILURE' and failure_type in (select category from cats) then 'eval_set' else 'classifier' end as source from t where coalesce(failure_type, '') <> 'UNANSWERABLE')""".replace("with ", f"with {CATS}, ", 1)
+
+
+@query(f"""{_LABELS}
+select run_id, query_id, label, source, round(least(latency_ms / 10000, 1), 6) as f_latency, cast(case when modality in ('mixed', 'spreadsheet') then 'table' else modality end = 'table' as int) as f_is_table from l""")
 def g13_training_set(spark, d):
     own = diagnosis.training_set(diagnoses(spark, d), feedback(spark, d))
     return own.select("run_id", "query_id", "label", "source", F.round("f_latency", 6).alias("f_latency"), F.col("f_is_table").cast("int").alias("f_is_table"))
 
 
-@query()
+@query(f"""{_LABELS} select source, count(*) as n, round(count(*) / sum(count(*)) over (), 9) as share,
+row_number() over (order by count(*) desc, case source when 'feedback' then 0 when 'eval_set' then 1 else 2 end) = 1 as dominant from l group by source""")
 def g14_label_source_summary(spark, d):
     return diagnosis.label_source_summary(diagnosis.training_set(diagnoses(spark, d), feedback(spark, d)))
 
@@ -249,7 +253,10 @@ def g16_predict(spark, d):
     return ml.predict(ml.train_classifier(own, trees=20), own)
 
 
-@query()
+@query(f"""{DG}, tags as (select run_id, query_id, string_agg('[' || chunk_type || ' ' || filename || ' ' || doc_version || ']', ' ' order by rank) filter (rank <= 5) as tags from fx_retrieved group by all)
+select run_id, query_id, concat_ws(chr(10), coalesce(i.question, ''), coalesce(failure_category, 'UNDIAGNOSED'),
+  concat_ws(', ', 'faithfulness=' || coalesce(printf('%.3f', faithfulness), 'n/a'), 'context_recall=' || coalesce(printf('%.3f', context_recall), 'n/a'), 'context_precision=' || coalesce(printf('%.3f', context_precision), 'n/a'), 'answer_correctness=' || coalesce(printf('%.3f', answer_correctness), 'n/a')), coalesce(tags, '')) as prompt
+from dg left join fx_eval_items i on i.id = query_id left join tags using (run_id, query_id)""")
 def g22_reasoning_prompt(spark, d):
     return diagnosis.reasoning_prompt(diagnoses(spark, d), items(spark, d))
 
@@ -601,11 +608,14 @@ def b4_chunk_structure(spark, d):
     return chunking.chunk_structure(table(spark, d, "documents"))
 
 
-@query("with e as (select page_id, count(*) as n from pages group by page_id) select page_id from e")
+@query("""with e as (select conv_id as doc_id, turn as elem_idx, text as content, turn % 5 <> 3 and coalesce(trim(text), '') <> '' as is_text, turn % 4 = 0 as h, turn // 6 as page from conversations),
+n as (select *, case when coalesce(lag(is_text) over w, false) and lag(page) over w is not distinct from page then 0 else 1 end as new from e window w as (partition by doc_id order by elem_idx)),
+u as (select *, sum(new) over (partition by doc_id order by elem_idx) as unit from n)
+select doc_id, cast(unit as bigint) as unit, any_value(page) as page, string_agg(case when h then concat('## ', content) else content end, chr(10) || chr(10) order by elem_idx) as content from u where is_text group by doc_id, unit""")
 def b7_text_units(spark, d):
-    own = ingest.html_to_elements(table(spark, d, "pages")).select(F.col("page_id").alias("doc_id"), "elem_idx", "content", "chunk_type", "is_heading", F.lit(1).alias("page"))
-    units = chunking.text_units(own).select(F.col("doc_id").alias("page_id")).distinct()
-    return table(spark, d, "pages").select("page_id").distinct().join(units, "page_id", "left").select("page_id")
+    kind = F.when(F.col("turn") % 5 == 3, "table").otherwise("text")
+    own = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("elem_idx"), F.col("text").alias("content"), kind.alias("chunk_type"), (F.col("turn") % 4 == 0).alias("is_heading"), F.floor(F.col("turn") / 6).alias("page"))
+    return chunking.text_units(own)
 
 
 @query("select s as chunk_strategy, count(c.chunk_id) as n from (values ('fixed'), ('recursive'), ('structure_aware'), ('atomic')) v(s) left join fx_chunks c on c.chunk_strategy = s group by s")
@@ -711,7 +721,12 @@ def j1_embed(spark, d):
     return table(spark, d, "documents").select("doc_id", scorers.embed("text").alias("embedding"))
 
 
-@query()
+_TOKENS = """tok as (select id, question, ground_truth, list_distinct(list_filter(regexp_split_to_array(lower(question), '[^A-Za-z0-9_]+'), lambda w: w <> '')) as q,
+  list_distinct(list_filter(regexp_split_to_array(lower(ground_truth), '[^A-Za-z0-9_]+'), lambda w: w <> '')) as t from fx_eval_items)"""
+
+
+@query(f"""with {_TOKENS} select id, round(len(list_intersect(q, t)) / nullif(len(q), 0), 6) as faithfulness, round(len(list_intersect(t, q)) / nullif(len(t), 0), 6) as answer_correctness,
+case when len(t) > 0 then 1.0::double end as context_recall, case when len(t) > 0 then 1.0::double end as context_precision, case when len(q) > 0 then 1.0::double else 0.0 end as answer_relevance from tok""")
 def j4_score_answers(spark, d):
     own = items(spark, d).select("id", "question", "ground_truth", F.col("question").alias("generated_answer"), F.array("ground_truth").alias("contexts"))
     return scorers.score_answers(own).select("id", *[F.round(c, 6).alias(c) for c in scalars.SCORES])
@@ -731,6 +746,157 @@ def i3_run_sessions(spark, d):
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
+@query(f"with {_TOKENS} select id, round(coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0.0), 6) as score from tok")
+def j2_score_pairs(spark, d):
+    return items(spark, d).select("id", F.round(scorers.score_pairs("question", "ground_truth"), 6).alias("score"))
+
+
+@query(f"with {_TOKENS} select id, case when len(list_intersect(q, t)) >= len(q) then ground_truth else question end as generated_answer, 'ok' as status from tok")
+def j3_generate(spark, d):
+    chunk = lambda rank, c: F.struct(F.lit(rank).alias("rank"), F.col(c).alias("content"))
+    own = items(spark, d).withColumn("chunks", F.array(chunk(1, "ground_truth"), chunk(2, "question")))
+    return scorers.generate(own).select("id", "generated_answer", "status")
+
+
+# --- further operators of ingest, sets and scope ------------------------------
+
+
+@query("""with r as (select s_nationkey as doc_id, row_number() over (partition by s_nationkey order by s_suppkey) as row_no, cast(s_suppkey as varchar) as a, s_name as b from supplier), h as (select * from r where row_no = 1)
+select doc_id, 0 as row_no, concat('Sheet: suppliers | Columns: ', concat_ws(', ', a, nullif(trim(b), ''))) as content, 'text' as chunk_type from h
+union all select r.doc_id, r.row_no, concat('suppliers | row ', r.row_no, ': ', concat_ws(', ', h.a || '=' || r.a, case when trim(r.b) <> '' then h.b || '=' || r.b end)), 'spreadsheet_cell' from r join h using (doc_id) where r.row_no > 1""")
+def a5_sheet_rows(spark, d):
+    row = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    own = table(spark, d, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.lit(0).alias("sheet_idx"), F.lit("suppliers").alias("sheet_name"), row.alias("row_no"), F.array(F.col("s_suppkey").cast("string"), "s_name").alias("cells"))
+    return ingest.sheet_rows_to_elements(own).drop("sheet_idx")
+
+
+@query("select event_id as id, concat('a', event_id, ',b') as docs, case event_id % 5 when 0 then true when 1 then false when 4 then true end as answerable, event_id % 5 <> 2 as answerable_valid from events")
+def a10_eval_rows(spark, d):
+    word = F.element_at(F.array(*map(F.lit, ("Yes", "0", "maybe", "", " TRUE"))), (F.col("event_id") % 5 + 1).cast("int"))
+    own = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit(" a"), F.col("event_id").cast("string"), F.lit(" ; ;b")).alias("source_docs"), word.alias("answerable"))
+    return ingest.parse_eval_row(own).select("id", F.array_join("source_docs", ",").alias("docs"), "answerable", "answerable_valid")
+
+
+@query("select concat('s_', ord % 4) as eval_set_id, 'upload' as source, count(*) filter (ord % 4 < 3) as item_count from fx_eval_items group by ord % 4")
+def a11_eval_set_catalog(spark, d):
+    own = items(spark, d).withColumn("eval_set_id", F.concat(F.lit("s_"), (F.col("ord") % 4).cast("string")))
+    return evalsets.eval_set_catalog(own.where("ord % 4 < 3"), own.select("eval_set_id", F.lit("upload").alias("source")).distinct())
+
+
+@query("select doc_id, filename, effective_from from fx_documents")
+def a14_list_documents(spark, d):
+    return ingest.list_documents(view(spark, d, "fx_documents")).select("doc_id", "filename", "effective_from")
+
+
+@query("select chunk_id, chunk_type from fx_chunks where chunk_type in ('text', 'table', 'spreadsheet_cell')")
+def a19_parse_elements(spark, d):
+    return ingest.parse_elements(view(spark, d, "fx_chunks"), "text_table").select("chunk_id", "chunk_type")
+
+
+def _descriptions(spark, d):
+    text = F.when(F.col("page_id") % 4 == 0, "PLAIN_TEXT_ONLY").when(F.col("page_id") % 4 == 1, " ").when(F.col("page_id") % 4 == 2, F.concat(F.lit("| a | --- "), "url")).otherwise(F.col("url"))
+    return table(spark, d, "pages").select((F.col("page_id") % 10).alias("doc_id"), (F.floor(F.col("page_id") / 10) + 1).alias("page"), text.alias("description"))
+
+
+_DESC = "with p as (select page_id % 10 as doc_id, page_id // 10 + 1 as page, page_id % 4 as k, url from pages)"
+
+
+@query(f"{_DESC} select doc_id, page, case k when 2 then concat('| a | --- ', url) else url end as content, concat('vision_', page) as table_id, k = 2 or contains(url, '|') and contains(url, '---') as vision_has_table from p where page <= 20 and k >= 2")
+def a20_page_descriptions(spark, d):
+    return ingest.page_descriptions_to_elements(_descriptions(spark, d), 20).drop("chunk_type")
+
+
+@query(f"{_DESC} select doc_id, count(*) filter (page <= 20) as sent, count(*) filter (page > 20) as skipped, count(*) filter (page <= 20 and k = 0) as plain, count(*) filter (page <= 20 and k >= 2) as chunks from p group by doc_id")
+def a20_description_counts(spark, d):
+    return ingest.description_counts(_descriptions(spark, d), 20)
+
+
+@query("select event_id as id, event_id % 3 < 2 as is_heading from events")
+def b6_heading_flag(spark, d):
+    pair = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    n = F.col("event_id") % 3
+    own = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(n == 0, pair("element_type", "Title")).when(n == 1, pair("heading_level", "Heading 2")).otherwise(pair("element_type", "Text")).alias("metadata"))
+    return own.select("id", chunking.heading_flag().alias("is_heading"))
+
+
+@query("""with w as (select doc_id, filename, doc_version, unnest(range(0, length(text), 448)) as at_, text from fx_documents where length(text) > 0)
+select sha256(concat_ws(chr(31), doc_id, 'fixed', cast(at_ as varchar))) as chunk_id, doc_id, filename, doc_version, 'fixed' as chunk_strategy, 'text' as chunk_type, length(substring(text, at_ + 1, 512)) as n_chars from w where trim(substring(text, at_ + 1, 512), ' ') <> ''
+union all select sha256(concat_ws(chr(31), doc_id, 'atomic', cast(start_index as varchar))), doc_id, filename, doc_version, 'atomic', chunk_type, length(content) from fx_chunks where chunk_type <> 'text' and trim(content, ' ') <> ''""")
+def b8_build_index_chunks(spark, d):
+    docs = view(spark, d, "fx_documents")
+    others = view(spark, d, "fx_chunks").where("chunk_type <> 'text'").select("doc_id", F.col("start_index").alias("elem_idx"), "content", "chunk_type")
+    out = chunking.build_index_chunks(docs.select("doc_id", "text"), others, ["fixed"], docs)
+    return out.select("chunk_id", "doc_id", "filename", "doc_version", "chunk_strategy", "chunk_type", F.length("content").alias("n_chars"))
+
+
+@query("""with s as (select event_id as position, case event_id % 5 when 0 then 'vector_only' when 1 then 'bm25' when 2 then 'hybrid' when 3 then 'hybrid_reranker' else 'magic' end as r, case event_id % 3 when 0 then 'text_only' when 1 then 'text_table' end as p, case event_id % 4 when 0 then 0 when 1 then 5 when 2 then 5 else 7 end as k from events),
+f as (select *, min(position) over (partition by r, p, k) as first from s)
+select position, 'retrieval_strategy: magic' as error from f where r = 'magic' union all select position, 'parsing_strategy: missing' from f where p is null union all select position, 'top_k below 1' from f where k < 1
+union all select position, concat('same as ', first) from f where first < position union all select position, 'too many' from f where position >= 32""")
+def c3_validate_configs(spark, d):
+    n = F.col("event_id")
+    names = F.element_at(F.array(*map(F.lit, [*configs.AXES["retrieval_strategy"], "magic"])), (n % 5 + 1).cast("int"))
+    own = table(spark, d, "events").select(n.alias("position"), names.alias("retrieval_strategy"), F.lit("recursive").alias("chunking_strategy"), F.when(n % 3 == 0, "text_only").when(n % 3 == 1, "text_table").alias("parsing_strategy"), F.lit("none").alias("freshness_policy"), F.when(n % 4 == 0, 0).when(n % 4 == 2, 5).when(n % 4 == 3, 7).alias("top_k"), F.when(n % 2 == 0, configs.DEFAULT_MODEL).alias("llm_model"))
+    return configs.validate_configs(own)
+
+
+@query("select cast(item_id * 40 % 997 as varchar) as doc_id, min(item_id) as position from benchmark where cast(item_id * 40 % 997 as varchar) not in (select doc_id from fx_documents) group by 1")
+def c9_validate_document_ids(spark, d):
+    own = table(spark, d, "benchmark").select((F.col("item_id") * 40 % 997).cast("string").alias("doc_id"), F.col("item_id").alias("position"))
+    return evalsets.validate_document_ids(own, view(spark, d, "fx_documents"))
+
+
+@query("""with n as (select concat('doc_', ord * 40, '.html') as f from fx_eval_items), t as (select count(distinct f) as lost from n where f not in (select filename from fx_documents)), s as (select count(*) as c, max(ord) as m from fx_eval_items)
+select id, s.c as item_count, t.lost as n_unmatched from fx_eval_items cross join t cross join s where s.m < 5000""")
+def c15_register_eval_set(spark, d):
+    own = items(spark, d).withColumns({"valid_from": F.nullif("valid_from", F.lit("not-a-date")), "source_docs": F.array(F.concat(F.lit("doc_"), (F.col("ord") * 40).cast("string"), F.lit(".html")))})
+    return evalsets.register_eval_set(own, view(spark, d, "fx_documents")).select("id", "item_count", "n_unmatched")
+
+
+@query("select chunk_id from fx_chunks where cast(doc_id as bigint) % 3 = 0")
+def d1_filter_scope(spark, d):
+    scope = view(spark, d, "fx_documents").where("cast(doc_id as bigint) % 3 = 0")
+    return retrieval.filter_scope(view(spark, d, "fx_chunks"), scope).select("chunk_id")
+
+
+@query("select doc_id from documents where text is not null and text <> ''")
+def d13_drop_null_content(spark, d):
+    return retrieval.drop_null_content(table(spark, d, "documents").withColumnRenamed("text", "content"), lexical=True).select("doc_id")
+
+
+@query("select run_id, query_id, case when status = 'error' then '' else query_id end as generated_answer, case when status = 'error' then 0 else input_tokens end as input_tokens, case when status = 'error' then 0 else output_tokens end as output_tokens from fx_query_results")
+def e7_normalise_error(spark, d):
+    own = view(spark, d, "fx_query_results").withColumn("generated_answer", F.col("query_id"))
+    return accounting.normalise_error(own).select("run_id", "query_id", "generated_answer", "input_tokens", "output_tokens")
+
+
+@query(f"""{DG}, k as (select *, case when modality in ('mixed', 'spreadsheet') then 'table' else coalesce(modality, 'text') end as kind from dg)
+select run_id, query_id, coalesce(faithfulness, 0.0) as f_faithfulness, coalesce(context_recall, 0.0) as f_context_recall, coalesce(context_precision, 0.0) as f_context_precision, coalesce(answer_correctness, 0.0) as f_answer_correctness, coalesce(answer_relevance, 0.0) as f_answer_relevance,
+round(least(coalesce(latency_ms / 10000, 0.0), 1.0), 9) as f_latency, round(least(coalesce(cost_usd / 0.10, 0.0), 1.0), 9) as f_cost, cast(kind = 'text' as double) as f_is_text, cast(kind = 'table' as double) as f_is_table, cast(kind = 'chart' as double) as f_is_chart,
+coalesce(cast(dated as double), 0.0) as f_dated, coalesce(cast(out_of_period as double), 0.0) as f_out, cast(nontext as double) as f_nontext, cast(version_mismatch as double) as f_version from k""")
+def g11_extract_features(spark, d):
+    own = diagnosis.extract_features(diagnoses(spark, d))
+    named = [c for c in own.columns if c.startswith("f_") and c not in ("f_latency", "f_cost")]
+    return own.select("run_id", "query_id", *named, F.round("f_latency", 9).alias("f_latency"), F.round("f_cost", 9).alias("f_cost"))
+
+
+@query("with x as (select run_id, query_id, n, status from fx_query_results union all select run_id, query_id, n - 1, 'error' from fx_query_results where n % 5 = 0) select run_id, query_id, n from x qualify row_number() over (partition by run_id, query_id order by coalesce(status, 'ok') = 'error', n) = 1")
+def g21_pick_result(spark, d):
+    own = view(spark, d, "fx_query_results").select("run_id", "query_id", "n", "status")
+    copies = own.where("n % 5 = 0").withColumns({"n": F.col("n") - 1, "status": F.lit("error")})
+    return diagnosis.pick_result_for_reasoning(own.unionByName(copies)).select("run_id", "query_id", "n")
+
+
+@query(f"{_EXP} select experiment_id, count(*) as n_runs, min(run_id) as first_run, round(sum(run_id % 100 / 100.0), 6) as faithfulness from e group by experiment_id")
+def h18_experiment_list(spark, d):
+    own = _experiments(spark, d)
+    scores = own.select("run_id", (F.col("run_id") % 100 / 100).alias("faithfulness"), F.lit(None).cast("double").alias("answer_correctness"))
+    named = own.groupBy("experiment_id").agg(F.max("run_id").alias("created_at"))
+    listed = lifecycle.experiment_list(named, own, scores)
+    total = F.aggregate("runs", F.lit(0.0), lambda s, r: s + r["faithfulness"])
+    return listed.select("experiment_id", F.size("runs").alias("n_runs"), F.col("runs")[0]["run_id"].alias("first_run"), F.round(total, 6).alias("faithfulness"))
+
+
 @query(f"{DG} select retrieval_strategy, parsing_strategy, failure_category, count(*) as n from dg join fx_runs using (run_id) group by all")
 def failure_by_config(spark, d):
     """The flagship: from chunks with validity and scores to counts of root causes for each configuration."""

@@ -20,7 +20,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_eval_set_json(spark: SparkSession, path: str) -> DataFrame:
     """Items of a list, or of an object's `items`; anything else is an error. sha256 is the file's."""
     item = "array<struct<id:string,question:string,ground_truth:string,source_docs:array<string>,valid_from:string,valid_to:string,modality:string,difficulty:string,answerable:boolean,failure_type:string,temporal_pair_id:string,expected_version:string>>"
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"), F.sha2("content", 256).alias("sha256"))
+    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
     items = F.when(F.trim("text").startswith("["), F.from_json("text", item)).otherwise(F.from_json("text", f"items {item}")["items"])
     checked = raw.withColumn("items", F.coalesce(items, F.raise_error(F.concat(F.lit("no list of items: "), F.col("path"))).cast(item)))
     return checked.select("sha256", F.posexplode("items").alias("ord", "item")).select("ord", "item.*", "sha256")
@@ -28,7 +28,7 @@ def read_eval_set_json(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_eval_row(rows: DataFrame) -> DataFrame:
     """CSV cells of evaluation items: lists split at `;`, booleans by word, empty cells absent."""
-    docs = F.filter(F.transform(F.split("source_docs", ";"), F.trim), lambda x: x != "")
+    docs = F.filter(F.transform(F.split("source_docs", ";"), lambda x: F.trim(x)), lambda x: x != "")
     yes = F.lower(F.trim("answerable"))
     flag = F.when(yes.isin("true", "1", "yes", "y"), True).when(yes.isin("false", "0", "no", "n"), False)
     return rows.withColumns({"source_docs": docs, "answerable_valid": flag.isNotNull() | (F.coalesce(yes, F.lit("")) == ""), "answerable": flag})

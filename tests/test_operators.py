@@ -114,3 +114,56 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
         docs.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.stream_ingest(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "store")).count() == chunking.chunk_fixed(docs).count()
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"documents": [{"filename": "a.pdf", "version_label": "", "effective_from": "2024-01-01"}, {"filename": "b.csv", "effective_to": ""}]}')
+    got = [tuple(r) for r in ingest.read_manifest(spark, str(tmp_path / "m.json")).select("filename", "version_label", "effective_from", "effective_to").orderBy("filename").collect()]
+    assert got == [("a.pdf", "v1", "2024-01-01", None), ("b.csv", "v1", None, None)]
+    for name, text in (("list.json", '[{"id": "x"}, {"id": "y"}]'), ("object.json", '{"items": [{"id": "x"}, {"id": "y"}]}')):
+        (tmp_path / name).write_text(text)
+        assert [(r["ord"], r["id"]) for r in ingest.read_eval_set_json(spark, str(tmp_path / name)).orderBy("ord").collect()] == [(0, "x"), (1, "y")]
+    (tmp_path / "e.csv").write_text('id,source_docs,answerable\nx," a ; ;b",Yes\ny,,perhaps\n')
+    got = [(r["source_docs"], r["answerable"], r["answerable_valid"]) for r in ingest.read_eval_set_csv(spark, str(tmp_path / "e.csv")).orderBy("id").collect()]
+    assert got == [(["a", "b"], True, True), (None, None, False)]
+
+
+def test_repeated_text_keeps_its_chunks(spark):
+    docs = spark.createDataFrame([(1, "x" * 2000, "f", "v1", 0, None)], "doc_id long, text string, filename string, doc_version string, effective_from long, effective_to long")
+    others = spark.createDataFrame([(1, 0, "t", "table"), (1, 1, "t", "table"), (1, 2, " ", "table")], "doc_id long, elem_idx int, content string, chunk_type string")
+    out = chunking.build_index_chunks(docs, others, list(chunking.PLACES), docs)
+    assert out.count() == out.select("chunk_id").distinct().count()
+    assert out.where("chunk_strategy = 'atomic'").count() == 2 and out.where("filename is null").count() == 0
+
+
+def test_a_fault_keeps_the_whole_set_out(spark):
+    schema = "ord int, id string, question string, ground_truth string, valid_from string, modality string, failure_type string, source_docs array<string>"
+    good = [(0, "a", "q", "t", None, None, None, ["f", "g"]), (1, "b", "q", "t", None, None, None, None)]
+    docs = spark.createDataFrame([("f",)], "filename string")
+    got = evalsets.register_eval_set(spark.createDataFrame(good, schema), docs).collect()
+    assert [(r["item_count"], r["n_unmatched"]) for r in got] == [(2, 1)] * 2
+    assert evalsets.register_eval_set(spark.createDataFrame([*good, (2, "a", "q", "t", None, None, None, None)], schema), docs).isEmpty()
+
+
+def test_stream_evaluate_equals_batch(spark, tmp_path):
+    schema = "run_id string, query_id string, status string, ts timestamp, faithfulness double, context_recall double, context_precision double, answer_correctness double, retrieved_chunks array<struct<rank:int,filename:string,doc_version:string,chunk_type:string,effective_from:long,effective_to:long>>"
+    at = Q - Q % 86400
+    from datetime import datetime
+
+    rows = [(f"r{i % 2}", f"q{i % 4}", "error" if i == 3 else "ok", datetime(2024, 1, 1), i / 10, 0.9, 0.9, 0.2, [(1, "f", "v1", "text", at - 10, at - 5)]) for i in range(8)]
+    results = spark.createDataFrame(rows, schema).dropDuplicates(["run_id", "query_id"])
+    items = spark.createDataFrame([(f"q{i}", "2024-06-01" if i else None, "text", None, None) for i in range(4)], "id string, valid_from string, modality string, expected_version string, failure_type string")
+    results.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        jobs.stream_evaluate(spark.readStream.schema(results.schema).parquet(str(tmp_path / "in")), items, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+    want = diagnosis.diagnose(spark.read.parquet(str(tmp_path / "in")), items).select("run_id", "query_id", "failure_category", "confidence")
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, want.collect()))
+
+
+def test_stream_status_takes_the_latest_row_of_each_run(spark, tmp_path):
+    rows = [("e", "r1", "running", 1, None, None), ("e", "r1", "done", 2, 5, 6), ("e", "r2", "failed", 1, None, None), ("f", "r3", "running", 1, None, None)]
+    events = spark.createDataFrame(rows, "experiment_id string, run_id string, status string, ts long, evaluated_at long, diagnosed_at long")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    jobs.stream_experiment_status(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+    got = {r["experiment_id"]: r["next_status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"e": "done", "f": None}
