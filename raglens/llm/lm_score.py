@@ -5,16 +5,17 @@ pre-aggregate their own pairs, and ranges of the hash space meet in one task
 each. A count c is held as its level, 1 + floor(log_1.5 c): the filter gets an
 entry for each level up to it, so reading a count means probing level after
 level until one is missing. Each hash range fills its own block of the filter,
-which has a fixed largest size and goes to all workers. Where a block is too
-small for all its counts at ten bits an entry, the least count that enters
-rises. Probabilities discount each pair by one occurrence and give what that
-frees, as measured for each level of the context, to the token's own share.
+ten bits an entry, so the filter grows with the entries and no count is dropped.
+The blocks stay in a table: each slice of the texts sends its distinct keys to
+the blocks, and their levels come back to it. Probabilities discount each pair
+by one occurrence and give what that frees, as measured for each level of the
+context, to the token's own share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -23,19 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raglens.llm.shared import written
-from raglens.llm.words import SPACED, U64, mix, ragged, slices, words_of
+from raglens.llm.words import SLICE_BYTES, SPACED, U64, mix, ragged, slices, text_of, words_of
 
 LOG_BASE = 1.5
 LEVELS = 64
 PROBES = 4
 BITS_AN_ENTRY = 10
-#: The filter's largest size, and the largest number of tokens whose exact counts are sent along.
-MOST_BITS = 1 << 28
+#: The largest number of tokens whose exact counts are sent along.
 MOST_EXACT = 1 << 20
 RANGE_TOKENS = 1 << 21
 _HELD = 1 << 20
 _END = mix(np.array([11], U64))[0]
 _BEGIN = mix(np.array([12], U64))[0]
+_LOW = U64(0xFFFFFFFF)
 _PAIR, _SINGLE = U64(0xB5AD4ECEDA1CE2A9), U64(0x00000000F39CC060)
 
 
@@ -52,7 +53,8 @@ def sequences(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix(before * _PAIR + tokens)
+    """The low half is the context's, so that pairs can be summed by context; the high half deals them to ranges."""
+    return (mix(before * _PAIR + tokens) & ~_LOW) | (before & _LOW)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -122,11 +124,20 @@ class Tally:
         keys, counts = _summed(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
         self.parts, self.size = [], 0
         cuts = np.searchsorted(keys, np.arange(1, self.ranges, dtype=U64) << U64(64 - _bits(self.ranges))) if self.ranges > 1 else []
-        rows = [(k, a.astype("<u8").tobytes(), b.astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(a)]
+        rows = [(k, planes(a), b.astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(a)]
         at, a, b = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([self.kind] * len(at), pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["part", "kind", "keys", "counts"])
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Keys byte by byte, the highest of all first: what sorted keys share compresses away."""
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").reshape(-1).astype(U64)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order].astype(np.int64)
@@ -136,7 +147,11 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Model:
-    bloom: BloomCounts
+    #: part, block: the filter, a row for each of the hash ranges.
+    blocks: DataFrame | None
+    ranges: int
+    #: Bytes and rows of the training texts.
+    size: int
     tokens: int
     types: int
     #: Exact counts of the most frequent tokens, by hash.
@@ -145,30 +160,49 @@ class Model:
     #: For each level of the context: the share that goes to the token's own probability.
     backoff: np.ndarray
 
-    def log10(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P(token | token before) of each place, from probes alone."""
-        single, which = _probed(self.bloom, tokens ^ _SINGLE)
-        alone = (TYPICAL[single[which]] + 1) / (self.tokens + self.types + 1)
-        context, which = _probed(self.bloom, before ^ _SINGLE)
-        context = context[which]
-        pair, which = _probed(self.bloom, pair_keys(before, tokens))
-        pair = TYPICAL[pair[which]]
+    def log10(self, single: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log10 P(token | token before) of each place, from the levels of the token, the token before and both."""
+        alone = (TYPICAL[single] + 1) / (self.tokens + self.types + 1)
+        pair = TYPICAL[pair]
         seen = np.minimum(np.maximum(pair - 1, 0) / np.maximum(TYPICAL[context], np.maximum(pair, 1)), 1)
         share = self.backoff[context]
         return np.log10(np.where(context > 0, np.minimum(seen, 1 - share) + share * alone, alone))
 
 
-def _probed(bloom: BloomCounts, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    different, which = np.unique(keys, return_inverse=True)
-    return bloom.levels(different), which.reshape(-1)
+def _size(rows: DataFrame, text: str) -> int:
+    return rows.agg((F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + F.count("*")).alias("n")).first()["n"]
 
 
-def train(rows: DataFrame, text: str = "text", most_bits: int = MOST_BITS, most_exact: int = MOST_EXACT) -> tuple[Model, DataFrame]:
+@dataclass
+class Probes:
+    """A slice's distinct keys by hash range, and where its places find their levels."""
+
+    keys: np.ndarray
+    part: np.ndarray
+    order: np.ndarray
+    token: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+
+
+def probes_of(tokens: np.ndarray, before: np.ndarray, first: np.ndarray, ranges: int) -> Probes:
+    single, which = np.unique(np.concatenate((np.array([_BEGIN]), tokens)), return_inverse=True)
+    token = which[1:]
+    context = np.empty_like(token)
+    context[1:] = token[:-1]
+    context[first[:-1]] = which[0]
+    pairs, pair = np.unique(pair_keys(before, tokens), return_inverse=True)
+    keys = np.concatenate((single ^ _SINGLE, pairs))
+    part = (keys >> U64(64 - _bits(ranges))).astype(np.int32) if ranges > 1 else np.zeros(len(keys), np.int32)
+    order = np.argsort(part, kind="stable")
+    return Probes(keys, part, order, token, context, pair + len(single))
+
+
+def train(rows: DataFrame, text: str = "text", most_exact: int = MOST_EXACT) -> tuple[Model, DataFrame]:
     """The model, and a table (key, n) of all tokens whose exact counts it doesn't hold."""
-    size = rows.agg((F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + F.count("*")).alias("n")).first()["n"]
+    size = _size(rows, text)
     guess = size // 4 + 1
     ranges = 1 << _bits(max(1, -(-guess // RANGE_TOKENS)))
-    bits = 1 << max(10, _bits(min(most_bits, 8 * guess)) - _bits(ranges))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, pair = Tally(0, ranges), Tally(1, ranges)
@@ -184,23 +218,24 @@ def train(rows: DataFrame, text: str = "text", most_bits: int = MOST_BITS, most_
         found = []
         for kind in (0, 1):
             own = pdf[pdf["kind"] == kind]
-            found.append(_summed(np.frombuffer(b"".join(own["keys"]), "<u8").astype(U64), np.frombuffer(b"".join(own["counts"]), "<u4")))
+            found.append(_summed(np.concatenate([np.zeros(0, U64), *map(from_planes, own["keys"])]), np.frombuffer(b"".join(own["counts"]), "<u4")))
         (keys, counts), (pairs, pair_counts) = found
-        block, floor = _filled(np.concatenate((keys ^ _SINGLE, pairs)), np.concatenate((counts, pair_counts)), bits)
+        every, count = np.concatenate((keys ^ _SINGLE, pairs)), np.concatenate((counts, pair_counts))
+        block, _ = _filled(every, count, max(1 << 10, -(-int(level_of(count).sum()) * BITS_AN_ENTRY // 8) * 8))
         levels = np.bincount(level_of(counts), minlength=LEVELS)[:LEVELS]
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "block": [block.tobytes()], "floor": [floor], "tokens": [int(counts.sum())], "types": [len(keys)], "levels": [levels], "keys": [keys.astype("<u8").tobytes()], "counts": [counts.astype("<i8").tobytes()]})
+        context, which = np.unique(pairs & _LOW, return_inverse=True)
+        mass = np.bincount(which, pair_counts / TYPICAL[level_of(pair_counts)], len(context))
+        times = np.bincount(which, pair_counts, len(context)).astype("<i8")
+        made = {"contexts": context.astype("<u4"), "mass": mass.astype("<f8"), "times": times, "keys": keys.astype("<u8"), "counts": counts.astype("<i8")}
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "block": [block.tobytes()], "tokens": [int(counts.sum())], "types": [len(keys)], "levels": [levels], **{k: [v.tobytes()] for k, v in made.items()}})
 
     # a token's key in the filter differs from its key here in low bits only, so both have one range
     counted = rows.select(text).mapInArrow(tally, "part int, kind int, keys binary, counts binary")
-    schema = "part int, block binary, floor int, tokens long, types long, levels array<long>, keys binary, counts binary"
+    schema = "part int, block binary, tokens long, types long, levels array<long>, contexts binary, mass binary, times binary, keys binary, counts binary"
     table = written(counted.groupBy("part").applyInPandas(gather, schema), "token-counts")
-    blocks, floor = np.zeros((ranges, bits // 8), np.uint8), np.ones(ranges, np.int64)
     tokens = types = 0
     levels = np.zeros(LEVELS, np.int64)
-    # the blocks are most_bits together at most
-    for r in table.select("part", "block", "floor", "tokens", "types", "levels").toLocalIterator():
-        blocks[r["part"]] = np.frombuffer(r["block"], np.uint8)
-        floor[r["part"]] = r["floor"]
+    for r in table.select("tokens", "types", "levels").toLocalIterator():
         tokens, types, levels = tokens + r["tokens"], types + r["types"], levels + np.array(r["levels"])
     above = np.cumsum(levels[::-1])[::-1]
     least = int(np.argmax(above <= most_exact))
@@ -218,17 +253,14 @@ def train(rows: DataFrame, text: str = "text", most_bits: int = MOST_BITS, most_
     exact = cut(True).toArrow()
     keys = exact.column("key").to_numpy().view(U64)
     order = np.argsort(keys)
-    model = Model(BloomCounts(blocks, floor), tokens, types, keys[order], exact.column("n").to_numpy()[order], np.ones(LEVELS))
-    model.backoff = _backoff(rows, text, model.bloom)
+    model = Model(table.select("part", "block"), ranges, size, tokens, types, keys[order], exact.column("n").to_numpy()[order], _backoff(table))
     return model, cut(False)
 
 
 def _filled(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """A block's bits, and the level from which it holds entries."""
+    """A block's bits, and the level from which it holds entries: the first."""
     level = level_of(counts)
     floor = 1
-    while floor < LEVELS - 1 and np.maximum(level - floor + 1, 0).sum() * BITS_AN_ENTRY > bits:
-        floor += 1
     block = np.zeros(bits, bool)
     for k in range(floor, int(level.max(initial=0)) + 1):
         own = keys[level >= k]
@@ -237,23 +269,23 @@ def _filled(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray
     return np.packbits(block, bitorder="little"), floor
 
 
-def _backoff(rows: DataFrame, text: str, bloom: BloomCounts) -> np.ndarray:
+def _backoff(table: DataFrame) -> np.ndarray:
     """For each level of the context, the sum of 1/count of all pairs there over their number."""
-    sent = rows.sparkSession.sparkContext.broadcast(bloom)
 
-    def run(batches):
-        mass, n = np.zeros(LEVELS), np.zeros(LEVELS)
+    def contexts(batches):
         for batch in batches:
-            for _, part in slices(batch, text):
-                tokens, before, _ = sequences(words_of(part, SPACED, lower=True))
-                context, which = _probed(sent.value, before ^ _SINGLE)
-                context = context[which]
-                pair, which = _probed(sent.value, pair_keys(before, tokens))
-                mass += np.bincount(context, 1 / np.maximum(TYPICAL[pair[which]], 1), LEVELS)
-                n += np.bincount(context, minlength=LEVELS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(mass), pa.array(n)], ["level", "mass", "n"])
-
-    sums = rows.select(text).mapInArrow(run, "level long, mass double, n double").groupBy("level").agg(F.sum("mass").alias("mass"), F.sum("n").alias("n")).collect()
+            for c, m, t in zip(*(batch.column(x).to_pylist() for x in ("contexts", "mass", "times")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, "<u4").astype(np.int64)), pa.array(np.frombuffer(m, "<f8")), pa.array(np.frombuffer(t, "<i8"))], ["context", "mass", "times"])
+
+    def singles(batches):
+        for batch in batches:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array((np.frombuffer(k, "<u8") & _LOW).astype(np.int64)), pa.array(np.frombuffer(c, "<i8"))], ["context", "n"])
+
+    mass = table.select("contexts", "mass", "times").mapInArrow(contexts, "context long, mass double, times long").groupBy("context").agg(F.sum("mass").alias("mass"), F.sum("times").alias("times"))
+    own = table.select("keys", "counts").mapInArrow(singles, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    level = F.when(F.col("n") > 0, 1 + F.floor(F.log(F.col("n")) / F.lit(float(np.log(LOG_BASE))) + 1e-9)).otherwise(0)
+    sums = mass.join(own, "context", "left").groupBy(level.alias("level")).agg(F.sum("mass").alias("mass"), F.sum("times").alias("n")).collect()
     out = np.ones(LEVELS)
     for r in sums:
         out[r["level"]] = np.clip((r["mass"] + 1) / (r["n"] + 1), 1e-3, 1)
@@ -267,28 +299,58 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, text: str = "text") ->
     """
     names = [c for c in docs.columns if c != text]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ranges = model.ranges
+    size = _size(docs, text)
+    # a range's probes go to so many cells that each stays as small as the range was in training
+    cells = max(1, -(-size // max(1, model.size, ranges * RANGE_TOKENS)))
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, blocks=None))
+    # by content, not by place: both uses deal every row alike
+    sliced = docs.select(*names, text, F.pmod(F.xxhash64(*docs.columns), F.lit(size // SLICE_BYTES + 1)).alias("_slice"))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        at = rows.column("_slice")[0].as_py()
+        probes = probes_of(*sequences(words_of(text_of(rows.column(text).combine_chunks()), SPACED, lower=True)), ranges)
+        part = probes.part[probes.order]
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        keys = [planes(x) for x in np.split(probes.keys[probes.order], cut[1:])]
+        return pa.table({"cell": pa.array(part[cut].astype(np.int64) * cells + at % cells), "slice": pa.array([at] * len(cut), pa.int64()), "keys": pa.array(keys, pa.binary())})
+
+    def answer(asked: pa.Table, block: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"slice": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
+        keys = [from_planes(x) for x in asked.column("keys").to_pylist()]
+        levels = np.zeros(sum(map(len, keys)), np.uint8)
+        if block.num_rows:
+            bits = np.frombuffer(block.column("block")[0].as_py(), np.uint8)
+            levels = BloomCounts(bits[None, :], np.ones(1, np.int64)).levels(np.concatenate(keys)).astype(np.uint8)
+        found = np.split(levels, np.cumsum([len(x) for x in keys])[:-1])
+        return pa.table({"slice": asked.column("slice"), "cell": asked.column("cell"), "levels": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         model = sent.value
-        for batch in batches:
-            for rows, part in slices(batch, text):
-                tokens, before, first = sequences(words_of(part, SPACED, lower=True))
-                at = np.minimum(np.searchsorted(model.keys, tokens), max(len(model.keys) - 1, 0))
-                held = model.keys[at] == tokens if len(model.keys) else np.zeros(len(tokens), bool)
-                base = np.zeros(len(tokens))
-                base[held] = np.log10((model.counts[at[held]] + 1) / (model.tokens + model.types + 1))
-                other = np.concatenate(([0], np.cumsum(~held)))[first].astype(np.int32)
-                made = [
-                    pa.array(np.diff(first)),
-                    pa.array(np.add.reduceat(held.astype(np.int64), first[:-1])),
-                    pa.array(np.add.reduceat(base, first[:-1])),
-                    pa.array(np.add.reduceat(model.log10(tokens, before), first[:-1])),
-                    pa.ListArray.from_arrays(other, pa.array(tokens[~held].view(np.int64))),
-                ]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *made], [*names, "n_tokens", "_known", "_base", "score", "_other"])
-
-    first = docs.mapInArrow(run, f"{kinds}, n_tokens long, _known long, _base double, score double, _other array<long>")
+        tokens, before, first = sequences(words_of(text_of(rows.column(text).combine_chunks()), SPACED, lower=True))
+        probes = probes_of(tokens, before, first, ranges)
+        levels = np.empty(len(probes.keys), np.int64)
+        levels[probes.order] = np.frombuffer(b"".join(answers.sort_by("cell").column("levels").to_pylist()), np.uint8)
+        scores = model.log10(levels[probes.token], levels[probes.before], levels[probes.pair])
+        at = np.minimum(np.searchsorted(model.keys, tokens), max(len(model.keys) - 1, 0))
+        held = model.keys[at] == tokens if len(model.keys) else np.zeros(len(tokens), bool)
+        base = np.zeros(len(tokens))
+        base[held] = np.log10((model.counts[at[held]] + 1) / (model.tokens + model.types + 1))
+        other = np.concatenate(([0], np.cumsum(~held)))[first].astype(np.int32)
+        made = [
+            pa.array(np.diff(first)),
+            pa.array(np.add.reduceat(held.astype(np.int64), first[:-1])),
+            pa.array(np.add.reduceat(base, first[:-1])),
+            pa.array(np.add.reduceat(scores, first[:-1])),
+            pa.ListArray.from_arrays(other, pa.array(tokens[~held].view(np.int64))),
+        ]
+        return pa.Table.from_arrays([*(rows.column(c) for c in names), *made], [*names, "n_tokens", "_known", "_base", "score", "_other"])
+
+    asked = sliced.groupBy("_slice").applyInArrow(ask, "cell long, slice long, keys binary")
+    blocks = model.blocks.select(F.explode(F.sequence(F.col("part").cast("long") * cells, F.col("part").cast("long") * cells + cells - 1)).alias("cell"), "block")
+    answers = asked.groupBy("cell").cogroup(blocks.groupBy("cell")).applyInArrow(answer, "slice long, cell long, levels binary")
+    first = sliced.groupBy("_slice").cogroup(answers.withColumnRenamed("slice", "_slice").groupBy("_slice")).applyInArrow(finish, f"{kinds}, n_tokens long, _known long, _base double, score double, _other array<long>")
     first = written(first.withColumn("_row", F.monotonically_increasing_id()), "scores")
     other = first.select("_row", F.explode("_other").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("times"))
     found = other.join(rest, "key", "left").select("_row", "times", F.coalesce("n", F.lit(0)).alias("n"))

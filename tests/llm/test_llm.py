@@ -340,3 +340,46 @@ def test_pipeline(spark, tmp_path, texts):
     assert decontaminate.contamination(out["benchmark_leaks"], spark.read.parquet(str(tmp_path / "benchmark.parquet"))).where("contaminated").count() == 0
     assert out["token_ids"].where("not exact").count() == 0
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(out["token_ids"].collect())
+
+
+def test_lm_score_keeps_every_count(spark, monkeypatch):
+    """Short words, so more entries a byte than a filter sized by bytes can hold: scores follow the exact counts' levels."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789!$%&()*+-/:;<=>?[]^_{|}~", k=1200)) for _ in range(12)]
+    texts += [" ".join(chr(0x4E00 + i) for i in range(600)), "rare one rare one"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    single, pair, context = Counter(), Counter(), Counter()
+    for t in texts:
+        tokens = [*t.split(), "end"]
+        single.update(tokens)
+        pair.update(zip(["begin", *tokens], tokens))
+        context.update(["begin", *tokens][:-1])
+    typical = lambda n: lm_score.TYPICAL[lm_score.level_of(np.array([n]))[0]]
+    level = lambda x: int(lm_score.level_of(np.array([single[x]]))[0])
+    mass, n = Counter(), Counter()
+    for (a, b), c in pair.items():
+        mass[level(a)] += c / typical(c)
+        n[level(a)] += c
+    whole = sum(single.values()) + len(single) + 1
+
+    def expected(t):
+        total = 0
+        for a, b in zip(["begin", *t.split()], [*t.split(), "end"]):
+            alone = (typical(single[b]) + 1) / whole
+            share = min(max((mass[level(a)] + 1) / (n[level(a)] + 1), 1e-3), 1)
+            p = typical(pair[a, b])
+            seen = min(max(p - 1, 0) / max(typical(single[a]), p, 1), 1)
+            total += math.log10(min(seen, 1 - share) + share * alone if single[a] else alone)
+        return total
+
+    model, rest = lm_score.train(rows)
+    for limit in (3 << 20, 3000):  # with 3000, texts go in several slices
+        monkeypatch.setattr(lm_score, "SLICE_BYTES", limit, raising=False)
+        for r in lm_score.score(rows, model, rest).collect():
+            assert abs(r["score"] - expected(texts[r["doc_id"]])) < 0.02 * r["n_tokens"]
+    # several hash ranges, and several cells for each
+    monkeypatch.setattr(lm_score, "RANGE_TOKENS", 1000)
+    model, rest = lm_score.train(rows)
+    assert model.ranges > 1
+    for r in lm_score.score(rows, model, rest).collect():
+        assert abs(r["score"] - expected(texts[r["doc_id"]])) < 0.02 * r["n_tokens"]
