@@ -7,8 +7,9 @@ Segments that are word for word equal count once; an anchor with one distinct
 segment needs no search. The others go to shards, whole anchors to each; a
 shard's segments become one FM-index, and every segment is streamed through it
 by backward search: matching statistics cut at 50 words give, for each window,
-the smallest document that holds it. Anchors too large for a shard are indexed in
-blocks, and each block is streamed with the anchor's other blocks.
+the smallest document that holds it. Anchors with many words, such as those of a
+common line, would make one task of each: their windows are dealt one by one, by
+a hash of their 50 words, and meet in groups of equal windows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from raglens.llm.words import LEAN_SLICE_BYTES, SPACED, U64, grams, mix, powers,
 WINDOW = 50
 GRAM = 8
 SHARD_WORDS = 1 << 19
+#: An anchor whose distinct segments have more words goes window by window.
+HOT_WORDS = 1 << 16
 _Q = 0xF1357AEA2E62A9C5
 
 
@@ -165,6 +168,34 @@ def shard_runs(words: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.
     return doc[owner], at, (at + size - 1).astype(np.int32)
 
 
+def window_table(segments: DataFrame) -> DataFrame:
+    """anchor, window (a hash of its words), doc_id, first: all windows of the segments."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = batch.column("words").cast(pa.large_binary())
+            offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // 8
+            words = np.frombuffer(raw.buffers()[2], U64)
+            n = np.diff(offsets) - WINDOW + 1
+            owner = np.repeat(np.arange(len(n)), n)
+            window = grams(words, WINDOW)[ragged(offsets[:-1], n)]
+            first = (batch.column("start").to_numpy()[owner] + ragged(np.zeros(len(n), np.int64), n)).astype(np.int32)
+            anchor, doc = (batch.column(c).take(pa.array(owner)) for c in ("anchor", "doc_id"))
+            yield pa.RecordBatch.from_arrays([anchor, pa.array(window.view(np.int64)), doc, pa.array(first)], ["anchor", "window", "doc_id", "first"])
+
+    return segments.mapInArrow(tidy(run), "anchor long, window long, doc_id long, first int")
+
+
+def hot_repeats(segments: DataFrame) -> DataFrame:
+    """What shard_repeats finds, window by window."""
+    windows = written(window_table(segments), "hot-windows")
+    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last_owner")).where("owner < last_owner")
+    found = windows.join(least.select("anchor", "window", "owner"), ["anchor", "window"]).where("doc_id > owner")
+    return found.select("doc_id", "first", F.col("first").alias("last"))
+
+
 def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, first, last: runs of windows that also start in a document with a smaller doc_id."""
     table = written(anchor_table(docs, text), "anchors").where("doc_id is not null")
@@ -177,7 +208,15 @@ def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     copies = seen.where("doc_id > owner").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
     own = seen.where("doc_id = owner and searched").groupBy("anchor", "segment", "doc_id").agg(F.min(F.struct("start", "windows")).alias("at"), F.collect_list("start").alias("places"))
     own = written(own.select("anchor", "doc_id", "at.start", "at.windows", "places"), "searched-segments")
-    found = written(shard_repeats(segment_words(docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs, own, text)), "found-runs")
+    held = docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs
+    hot = own.groupBy("anchor").agg(F.sum(F.col("windows") + WINDOW - 1).alias("words")).where(F.col("words") > HOT_WORDS).select("anchor")
+    hot = written(hot, "hot-anchors")
+    if hot.isEmpty():
+        found = shard_repeats(segment_words(held, own, text))
+    else:
+        cold = shard_repeats(segment_words(held, own.join(F.broadcast(hot), "anchor", "left_anti"), text))
+        found = cold.union(hot_repeats(segment_words(held, own.join(F.broadcast(hot), "anchor", "left_semi"), text)))
+    found = written(found, "found-runs")
     # a segment that its document holds at several places was searched at one of them
     again = own.where("size(places) > 1").select("doc_id", F.col("start").alias("at"), (F.col("start") + F.col("windows") - 1).alias("to"), F.explode("places").alias("place"))
     moved = found.join(again, "doc_id").where("first >= at and last <= to and place <> at")

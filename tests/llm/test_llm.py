@@ -383,3 +383,31 @@ def test_lm_score_keeps_every_count(spark, monkeypatch):
     assert model.ranges > 1
     for r in lm_score.score(rows, model, rest).collect():
         assert abs(r["score"] - expected(texts[r["doc_id"]])) < 0.02 * r["n_tokens"]
+
+
+def test_substring_dedup_deals_hot_anchors(spark, monkeypatch):
+    """A common line in many contexts: no task gets a hot anchor's segments, and the result is brute force's."""
+    rng = random.Random(12)
+    line = [f"line{i}" for i in range(30)]
+    shared = [[f"s{k}w{i}" for i in range(25)] for k in range(3)]
+    texts = []
+    for i in range(40):
+        own = [f"d{i}x{rng.randrange(10**6)}" for _ in range(60)]
+        texts.append(own[:20] + (shared[i % 3] if i % 4 else own[20:30]) + line + own[30:])
+    first, expected = {}, {}
+    for i, w in enumerate(texts):
+        gone = set()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                gone.update(range(k, k + 50))
+        expected[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    most, searched = 500, []
+    search = substring_dedup.shard_repeats
+    monkeypatch.setattr(substring_dedup, "HOT_WORDS", most, raising=False)
+    monkeypatch.setattr(substring_dedup, "shard_repeats", lambda segments: searched.append(segments) or search(segments))
+    got = substring_dedup.kept_words(docs).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == expected
+    assert sum(x[1] for x in expected.values()) > 500
+    words = [r["n"] for r in searched[0].groupBy("anchor").agg((F.sum(F.length("words")) / 8).alias("n")).collect()]
+    assert max(words, default=0) <= most
