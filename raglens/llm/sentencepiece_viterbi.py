@@ -93,7 +93,8 @@ class Pieces:
         start[offsets[filled]] = True
         return self.cache.rows(Text(data, offsets), np.flatnonzero(start))
 
-    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
+        units = [text.bytes_of(k).decode() for k in range(len(text))]
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         order = np.argsort(lengths, kind="stable")
         found: list = [None] * len(units)

@@ -30,6 +30,8 @@ from raglens.llm.words import U64, Text, ragged, slices
 BLOCK = 256
 PERCENTILE = 95
 FILE_IDS = 1 << 21
+#: Units go to the tokenizer in runs of about so many bytes.
+RUN_BYTES = 1 << 12
 MAGIC = 0x31464F50
 
 
@@ -157,8 +159,34 @@ class BpeEncoder:
         from tokenizers import Tokenizer
 
         self.model, self.cache = Tokenizer.from_file(path), UnitCache(self._encode)
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # a byte-level piece has a character for each byte; an added token stands for its own text
+        added = {i: len(x.content.encode()) for i, x in self.model.get_added_tokens_decoder().items()}
+        self.sizes = np.array([added.get(i) or len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size())])
+
+    def _encode(self, units: Text) -> tuple[np.ndarray, np.ndarray]:
+        """Units that may stand side by side go as runs of text; the pieces' sizes tell where each one ends."""
+        size = np.diff(units.offsets)
+        first, last = units.offsets[:-1], units.offsets[1:] - 1
+        second = units.data[np.minimum(first + 1, len(units.data) - 1)]
+        odd = np.concatenate(([0], np.cumsum(_MAYBE_SPACE[units.data])))
+        plain = np.diff(odd[units.offsets]) == 0
+        ascii_ends = (second < 0x80) & (units.data[last] < 0x80)
+        fits = (size > 1) & (units.data[first] == 0x20) & _VISIBLE[second] & _VISIBLE[units.data[last]] & (plain | ascii_ends)
+        joined, alone = np.flatnonzero(fits), np.flatnonzero(~fits)
+        ids, counts = [np.zeros(0, np.uint32)] * 2, np.zeros(len(size), np.int64)
+        if len(joined):
+            data, ends = units.data[ragged(first[joined], size[joined])].tobytes(), np.cumsum(size[joined])
+            cuts = [0, *ends[np.flatnonzero(np.diff(ends // RUN_BYTES))].tolist(), len(data)]
+            ids[0] = self._ids([data[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])[0]
+            places = np.searchsorted(np.cumsum(self.sizes[ids[0]]), ends) + 1
+            counts[joined] = np.diff(places, prepend=0)
+        if len(alone):
+            ids[1], counts[alone] = self._ids([units.bytes_of(k).decode() for k in alone.tolist()])
+        start = np.empty(len(size), np.int64)
+        start[joined], start[alone] = np.cumsum(counts[joined]) - counts[joined], len(ids[0]) + np.cumsum(counts[alone]) - counts[alone]
+        return np.concatenate(ids)[ragged(start, counts)], counts
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, coded), np.int64, len(coded))
         return np.fromiter(chain.from_iterable(coded), np.uint32, int(counts.sum())), counts
@@ -194,9 +222,10 @@ def encoder(path: str) -> BpeEncoder:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", file_ids: int = FILE_IDS, make: Callable[[str], BpeEncoder] = encoder) -> DataFrame:
     """Encodes the documents in ascending doc_id order into files; returns the written table.
 
-    Columns: part and number (the files' order), doc_ids (as they stand in the file), n_ids, data (the file).
-    Null and empty texts have the end id alone; null doc_ids come first; rows with one doc_id are ordered
-    by their text. `end_id` is appended to each document.
+    Columns: part and number (the files' order), before (ids in the part's files before), n_ids, doc_ids
+    (as they stand in the file), data (the file). Null and empty texts have the end id alone; null doc_ids
+    come first; rows with one doc_id are ordered by their text, equal rows stand side by side. `end_id` is
+    appended to each document. Units of text are told apart by 64-bit hashes. Other columns are left out.
     """
     bounds = range_bounds(docs, "doc_id", 4 * partitions(docs.sparkSession))
     # consecutive ranges go to one partition each, so ids within a partition ascend too
@@ -221,14 +250,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, text: str =
                         yield from held.close()
         yield from held.close()
 
-    return written(dealt.mapInArrow(run, "part int, number int, n_ids long, doc_ids array<long>, data binary"), "token-files")
+    return written(dealt.mapInArrow(run, "part int, number int, before long, n_ids long, doc_ids array<long>, data binary"), "token-files")
 
 
 class Held:
     """What goes into the next file of a range."""
 
     def __init__(self, part: int = -1):
-        self.part, self.number = part, 0
+        self.part, self.number, self.before = part, 0, 0
         self._empty()
 
     def _empty(self) -> None:
@@ -244,20 +273,19 @@ class Held:
         if self.docs:
             docs = pa.concat_arrays(self.docs)
             data = encode_file(np.concatenate(self.ids), np.concatenate(self.counts))
-            made = [pa.array([self.part], pa.int32()), pa.array([self.number], pa.int32()), pa.array([self.size], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([data], pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, ["part", "number", "n_ids", "doc_ids", "data"])
-            self.number += 1
+            longs = [pa.array([x], pa.int64()) for x in (self.before, self.size)]
+            made = [pa.array([self.part], pa.int32()), pa.array([self.number], pa.int32()), *longs, pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([data], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["part", "number", "before", "n_ids", "doc_ids", "data"])
+            self.number, self.before = self.number + 1, self.before + self.size
             self._empty()
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32, from the files alone."""
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))  # a few rows a partition
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = totals.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("part_start"))
-    own = files.select("part", "number", "n_ids")
-    inside = own.select("part", "number", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")).alias("file_start"))
-    placed = files.join(inside, ["part", "number"]).join(before, "part")
-    placed = placed.select((F.col("part_start") + F.col("file_start")).alias("base"), "doc_ids", "data")
+    # a row a part, of which there are four for each shuffle partition
+    placed = files.join(F.broadcast(before), "part").select((F.col("part_start") + F.col("before")).alias("base"), "doc_ids", "data")
 
     def run(batches):
         for batch in batches:

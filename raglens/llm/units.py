@@ -10,18 +10,21 @@ from raglens.llm.words import U64, Text, ragged, words_of
 
 _ANY = np.ones(256, bool)
 #: Units that a worker keeps at most; a full cache is emptied.
-MOST_UNITS = 1 << 19
+MOST_UNITS = 1 << 20
 
 
 class UnitCache:
-    """Ids of units by the units' hashes. encode: strings to their ids end to end, and each string's number of ids."""
+    """Ids of units by the units' 64-bit hashes (units of one hash count as equal).
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST_UNITS):
+    encode: a Text of units to their ids end to end, and each unit's number of ids.
+    """
+
+    def __init__(self, encode: Callable[[Text], tuple[np.ndarray, np.ndarray]], most: int = MOST_UNITS):
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.start, self.count, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.start, self.count, self.ids = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def rows(self, text: Text, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows end to end, and each row's number of ids; units begin at `starts`, among them each row's first byte."""
@@ -40,10 +43,10 @@ class UnitCache:
         at = np.minimum(np.searchsorted(self.keys, units), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != units) if len(self.keys) else np.arange(len(units))
         if len(new):
-            raw, ends = data.tobytes(), np.append(starts[1:], len(data))
-            texts = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            ids, counts = self.encode(texts)
-            begin = len(self.ids) + np.cumsum(counts) - counts
+            begin = starts[first[new]]
+            sizes = np.append(starts[1:], len(data))[first[new]] - begin
+            ids, counts = self.encode(Text(data[ragged(begin, sizes)], np.concatenate(([0], np.cumsum(sizes)))))
+            begin, counts = (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32), counts.astype(np.int32)
             keys = np.concatenate((self.keys, units[new]))
             order = np.argsort(keys)
             self.keys, self.start, self.count = keys[order], np.concatenate((self.start, begin))[order], np.concatenate((self.count, counts))[order]
