@@ -12,6 +12,8 @@ Groups of any size are safe: documents with equal sets count as one before any
 join; a band's documents meet its smallest document first, then others drawn for
 each band; what still has a label of its own is compared in blocks with the
 rest of its bands.
+
+A document is a row: rows are told apart by doc_id and a hash of their text.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raglens.llm.shared import written
+from raglens.llm.shared import column, scratch, version, written
 from raglens.llm.words import LEAN_SLICE_BYTES, SPACED, U64, mix, powers, shingle_sets, slices, tidy, words_of
 
 #: Registers of base 1.001 and rate 20 hold sets of 1 to 10**18 shingles in 16 bits.
@@ -33,6 +35,8 @@ ROWS_A_BAND = 4
 SLACK = 5.0
 #: Open bands up to this size give their pairs to the exact check; larger ones go through stars, then cells.
 SMALL, BLOCK, TOP_BLOCK = 16, 512, 1024
+#: A block of a cell holds about so many shingles at most.
+BLOCK_SHINGLES = 1 << 19
 STAR_TURNS = 2
 
 
@@ -98,31 +102,30 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.
     return (lo + hi) / 2
 
 
-def sketches(docs: DataFrame, size: int = 5, m: int = REGISTERS, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, registers (binary), and band keys."""
+def sketches(docs: DataFrame, size: int = 5, m: int = REGISTERS) -> DataFrame:
+    """doc_id, version, n_shingles, two hashes of the whole set, registers (binary). docs: doc_id, version, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
+            for rows, part in slices(batch, "text", LEAN_SLICE_BYTES):
                 sets, first = shingle_sets(words_of(part, SPACED, lower=True), size)
-                registers = set_sketches(sets, first, m)
-                keys = band_keys(registers).view(np.int64)
-                keys = keys[np.diff(first) > 0].reshape(-1)
-                bands = np.concatenate(([0], np.cumsum(np.where(np.diff(first) > 0, m // ROWS_A_BAND, 0))))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id"),
-                        pa.array(np.diff(first)),
-                        pa.array(_sums(mix(sets), first).view(np.int64)),
-                        pa.array(_sums(mix(sets ^ U64(0x5851F42D4C957F2D)), first).view(np.int64)),
-                        pa.array([r.tobytes() for r in registers], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(bands, pa.int32()), pa.array(keys)),
-                    ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "registers", "bands"],
-                )
-
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, registers binary, bands array<long>"
-    return docs.select("doc_id", text).mapInArrow(tidy(run), schema)
+                made = [np.diff(first), _sums(mix(sets), first).view(np.int64), _sums(mix(sets ^ U64(0x5851F42D4C957F2D)), first).view(np.int64)]
+                registers = pa.array([r.tobytes() for r in set_sketches(sets, first, m)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("version"), *map(pa.array, made), registers], ["doc_id", "version", "n_shingles", "set_a", "set_b", "registers"])
+
+    return docs.mapInArrow(tidy(run), "doc_id long, version long, n_shingles long, set_a long, set_b long, registers binary")
+
+
+def bands_of(sets: DataFrame) -> DataFrame:
+    """id, band: each set's band keys."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_registers(batch.column("registers"))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))), pa.array(keys.reshape(-1))], ["id", "band"])
+
+    return sets.select("id", "registers").mapInArrow(tidy(run), "id long, band long")
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -130,22 +133,22 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def shingle_table(docs: DataFrame, size: int = 5, text: str = "text") -> DataFrame:
-    """doc_id and its distinct shingles as sorted longs."""
+def shingle_table(docs: DataFrame, size: int = 5) -> DataFrame:
+    """id and its distinct shingles as sorted longs. docs: id, text."""
 
     def run(batches):
         for batch in batches:
-            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
+            for rows, part in slices(batch, "text", LEAN_SLICE_BYTES):
                 sets, first = shingle_sets(words_of(part, SPACED, lower=True), size)
                 values = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), values], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([rows.column("id"), values], ["id", "shingles"])
 
-    return docs.select("doc_id", text).mapInArrow(tidy(run), "id long, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, shingles array<long>")
 
 
 def likely(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose joint estimate is not far under the threshold."""
-    own = sketch.select("doc_id", "n_shingles", "registers")
+    own = sketch.select("id", "n_shingles", "registers")
     both = pairs.join(own.toDF("a", "n_a", "r_a"), "a").join(own.toDF("b", "n_b", "r_b"), "b")
 
     def run(batches):
@@ -191,24 +194,24 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         now = after.select("a", "label")
 
 
-def open_bands(labelled: DataFrame) -> DataFrame:
-    """band, n: bands whose documents still have several labels."""
+def open_members(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """band, id, label, n: the members of bands that still have several labels, and the number of them."""
+    labelled = members.join(labels, "id")
     spread = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
-    return spread.where("x <> y").select("band", "n")
+    return written(labelled.join(spread.where("x <> y").select("band", "n"), "band").select("band", "id", "label", "n"), name)
 
 
-def star_pairs(labelled: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each document of an open band with one document of another label, drawn anew for each band and seed."""
-    rows = labelled.join(open_bands(labelled).where(f"n > {SMALL}").select("band"), "band", "left_semi")
+def star_pairs(opened: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each document of a larger open band with one document of another label, drawn anew for each band and seed."""
+    rows = opened.where(f"n > {SMALL}").select("band", "id", "label")
     lead = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(seed)).alias("order"), "id", "label")).alias("lead"))
     pairs = rows.join(lead, "band").where("label <> lead.label")
     return pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
 
 
-def small_pairs(labelled: DataFrame) -> DataFrame:
+def small_pairs(opened: DataFrame) -> DataFrame:
     """(a, b) with different labels in an open band of at most SMALL documents."""
-    rows = labelled.join(open_bands(labelled).where(f"n <= {SMALL}").select("band"), "band", "left_semi")
-    dealt = rows.repartition("band").sortWithinPartitions("band", "id")
+    dealt = opened.where(f"n <= {SMALL}").select("band", "id", "label").repartition("band").sortWithinPartitions("band", "id")
 
     def run(batches):
         for table in whole_groups(batches, ["band"]):
@@ -225,18 +228,19 @@ def small_pairs(labelled: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def cell_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def cell_links(opened: DataFrame, own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): what the stars have left of open bands with more than SMALL documents, compared in full.
 
-    Only documents outside a band's most frequent label can bring links. They come in blocks; a block
-    meets each block of that label, and each other block, in a cell of its own, where the full sets are
-    compared at once. Of the links between two labels a cell returns one.
+    Only documents outside a band's most frequent label can bring links. They come in blocks, bounded by
+    documents and by shingles; a block meets each block of that label, and each other block, in a cell of
+    its own, where the full sets are compared at once. Of the links between two labels a cell returns one.
     """
-    wide = open_bands(labelled).where(f"n > {SMALL}").select("band")
-    rows = labelled.join(wide, "band", "left_semi")
-    counts = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
-    most = counts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
-    most = most.select("band", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("top.n") / TOP_BLOCK).cast("int").alias("tops"))
+    rows = opened.where(f"n > {SMALL}").drop("n").join(own.select("id", "n_shingles"), "id")
+    counts = rows.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    most = counts.groupBy("band").agg(F.max(F.struct("n", "label", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    parts = lambda n, s, most: F.ceil(F.greatest(n / most, s / BLOCK_SHINGLES)).cast("int")
+    rest = parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"), BLOCK)
+    most = most.select("band", F.col("top.label").alias("top"), rest.alias("rest"), parts(F.col("top.n"), F.col("top.s"), TOP_BLOCK).alias("tops"))
     held = rows.join(most, "band").withColumn("main", F.col("label") == F.col("top"))
     held = held.withColumn("block", F.pmod(F.xxhash64("id", "band"), F.when(F.col("main"), F.col("tops")).otherwise(F.col("rest"))).cast("int"))
     blocks = F.sequence(F.lit(0), F.col("rest") - 1)
@@ -316,42 +320,66 @@ def _differs(before: pa.RecordBatch, after: pa.RecordBatch, keys: list[str]) ->
     return any(before.column(k)[before.num_rows - 1] != after.column(k)[0] for k in keys)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
+def near_groups(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, version (of its text), n_shingles, component_id, first.
 
-    Two documents are linked if 100 * shared >= percent * all of their distinct `size`-word shingles.
-    Null and empty texts have no shingles and no links; texts of fewer words are one shingle; equal
-    sets are linked; a repeated doc_id has each of its rows in the result; rows without doc_id have
-    no component and are kept.
+    component_id is the smallest doc_id that links reach; first marks the rows of the smallest (doc_id,
+    version) of their component, of which equal rows are all marked. The rest as in near_duplicates.
     """
-    sketch = written(sketches(docs, size), "sketches")
-    known = sketch.where("doc_id is not null and n_shingles > 0")
-    equal = written(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")), "equal-sets")
-    chosen = known.dropDuplicates(["doc_id", "set_a", "set_b"]).join(equal.select(F.col("id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"])
-    bands = chosen.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
+    rows = docs.select("doc_id", version(text).alias("version"), column(text).alias("text"))
+    with scratch() as keep:
+        sketch = written(sketches(rows, size), "sketches")
+        known = sketch.where("doc_id is not null and n_shingles > 0")
+        kinds = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "version")).alias("least"), F.first("registers").alias("registers"))
+        equal = written(kinds.withColumn("id", F.monotonically_increasing_id()), "equal-sets")
+        found = linked(rows, equal, percent, size, known.groupBy("doc_id", "version").count().where("count > 1").isEmpty())
+        classes = equal.select("set_a", "set_b", "n_shingles", "id", "least").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
+        least = classes.groupBy("component").agg(F.min("least").alias("chosen"))
+        classes = classes.join(least, "component").select("set_a", "set_b", "n_shingles", "chosen")
+        own = sketch.drop("registers").where("doc_id is not null").join(classes, ["set_a", "set_b", "n_shingles"], "left")
+        own = own.select("doc_id", "version", "n_shingles", F.coalesce("chosen.doc_id", "doc_id").alias("component_id"), F.coalesce(F.col("chosen") == F.struct("doc_id", "version"), F.lit(True)).alias("first"))
+        lone = sketch.where("doc_id is null").select("doc_id", "version", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+        return keep(written(own.union(lone), "near-groups"))
+
+
+def linked(rows: DataFrame, equal: DataFrame, percent: int, size: int, once: bool) -> DataFrame:
+    """id, component (the smallest id that links reach) of the different sets that have any link. once: no row is repeated."""
+    bands = bands_of(equal)
     shared = bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     members = written(bands.join(shared.select("band", "lead"), "band"), "band-members")
 
     in_bands = members.select("id").distinct()
-    sets = written(shingle_table(docs.join(in_bands.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), size).dropDuplicates(["id"]), "shingle-sets")
-    own = written(chosen.join(in_bands.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"]), "band-sketches")
+    own = written(equal.join(in_bands, "id", "left_semi").select("id", "n_shingles", "registers", "least.*"), "band-sketches")
+    sets = shingle_table(rows.join(own.select("id", "doc_id", "version"), ["doc_id", "version"]), size)
+    sets = written(sets if once else sets.dropDuplicates(["id"]), "shingle-sets")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        return confirmed(likely(pairs, own, percent / 100).where(fits), sets, percent)
 
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(likely(stars, own, percent / 100).where(fits), sets, percent), "links-0")
+    links = written(checked(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()), "links-0")
     label = links.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "id")
-    labels = written(in_bands.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+    labels = written(own.select("id").join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
     placed = members.select("band", "id")
+    opened = open_members(placed, labels, "open-0")
     for turn in range(1, STAR_TURNS + 1):
-        pairs = star_pairs(placed.join(labels, "id"), turn).join(links, ["a", "b"], "left_anti")
-        more = written(confirmed(likely(pairs, own, percent / 100).where(fits), sets, percent), f"links-{turn}")
+        if opened.where(f"n > {SMALL}").isEmpty():
+            break
+        more = written(checked(star_pairs(opened, turn).join(links, ["a", "b"], "left_anti")), f"links-{turn}")
         labels, links = relabelled(labels, more, f"turn-{turn}"), links.union(more)
-    labelled = placed.join(labels, "id")
-    pairs = small_pairs(labelled).join(links, ["a", "b"], "left_anti")
-    links = links.union(confirmed(likely(pairs, own, percent / 100).where(fits), sets, percent)).union(cell_links(labelled, sets.toDF("id", "shingles"), percent))
-    found = components(links, "near")
-
-    classes = equal.join(found, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        opened = open_members(placed, labels, f"open-{turn}")
+    links = links.union(checked(small_pairs(opened).join(links, ["a", "b"], "left_anti"))).union(cell_links(opened, own, sets, percent))
+    return components(links, "near")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
+
+    Two documents are linked if 100 * shared >= percent * all of their distinct `size`-word shingles.
+    Null and empty texts have no shingles and no links; texts of fewer words are one shingle; equal
+    sets are linked; a repeated doc_id has each of its rows in the result, with its own text's links;
+    rows without doc_id have no component and are kept. Shingles are 64-bit hashes, equal sets equal
+    128-bit sums of them. Other columns are left out.
+    """
+    groups = near_groups(docs, percent, size)
+    return groups.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
