@@ -1,8 +1,10 @@
-"""FM-index over sequences of symbols: suffix array, wavelet matrix, backward search.
+"""Compressed FM-index over sequences of symbols: wavelet matrix, backward search, sampled positions.
 
 One index covers one shard: some sequences, each closed by a terminator that
-sorts before all symbols. Searches advance many patterns in lockstep, one
-symbol a step, so that every rank over the wavelet matrix is one numpy call.
+sorts before all symbols. Building sorts the suffixes; what stays is the
+wavelet matrix of the symbols before them, bit vectors, and samples: neither
+text nor suffix array. Searches advance many patterns in lockstep, one symbol
+a step, so that every rank over the wavelet matrix is one numpy call.
 """
 
 from __future__ import annotations
@@ -12,20 +14,59 @@ import numpy as np
 U64 = np.uint64
 
 
+class Bits:
+    """A bit vector with ranks: 64 bits a word, and the number of ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        padded = np.zeros((self.n // 64 + 1) * 64, np.uint8)
+        padded[: self.n] = bits
+        self.words = np.packbits(padded, bitorder="little").view(U64)
+        self.counts = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1])).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before the place."""
+        word, low = at >> 6, (at & 63).astype(U64)
+        return self.counts[word] + np.bitwise_count(self.words[word] & ((U64(1) << low) - U64(1)))
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(U64)) & U64(1)).astype(np.int64)
+
+    def last_one(self, at: np.ndarray) -> np.ndarray:
+        """The last one at or before the place; bit 0 has to be one."""
+        word = at >> 6
+        held = self.words[word] & (~U64(0) >> (U64(63) - (at & 63).astype(U64)))
+        empty = np.flatnonzero(held == 0)
+        if len(empty):
+            word[empty] = np.searchsorted(self.counts, self.counts[word[empty]]) - 1
+            held[empty] = self.words[word[empty]]
+        high = held >> U64(32)
+        top = np.frexp(np.where(high > 0, high, held & U64(0xFFFFFFFF)).astype(np.float64))[1] - 1
+        return (word << 6) + top + np.where(high > 0, 32, 0)
+
+    def next_one(self, at: np.ndarray) -> np.ndarray:
+        """The first one at or after the place; n if there is none."""
+        word = at >> 6
+        held = self.words[word] & (~U64(0) << (at & 63).astype(U64))
+        empty = np.flatnonzero(held == 0)
+        if len(empty):
+            word[empty] = np.searchsorted(self.counts, self.counts[np.minimum(word[empty] + 1, len(self.words) - 1)], side="right") - 1
+            held[empty] = self.words[word[empty]] & np.where(word[empty] > at[empty] >> 6, ~U64(0), U64(0))
+        low = held & (~held + U64(1))
+        return np.where(held == 0, self.n, (word << 6) + np.frexp(low.astype(np.float64))[1] - 1)
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence: one bit vector a level, with counts every 64 bits."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.n, self.bits = len(symbols), max(1, int(sigma - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
+        self.levels: list[Bits] = []
+        self.zeros: list[int] = []
         now = symbols.astype(np.int64, copy=False)
         for level in range(self.bits - 1, -1, -1):
             bit = ((now >> level) & 1).astype(bool)
-            padded = np.zeros((self.n // 64 + 1) * 64, np.uint8)
-            padded[: self.n] = bit
-            packed = np.packbits(padded, bitorder="little").view(U64)
-            self.words.append(packed)
-            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1])))
+            self.levels.append(Bits(bit))
             self.zeros.append(int(self.n - bit.sum()))
             now = np.concatenate((now[~bit], now[bit]))
         start = np.zeros(sigma, np.int64)
@@ -34,8 +75,7 @@ class WaveletMatrix:
     def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k in range(self.bits):
             bit = (symbols >> (self.bits - 1 - k)) & 1
-            word, below = at >> 6, (at & 63).astype(U64)
-            ones = self.counts[k][word] + np.bitwise_count(self.words[k][word] & ((U64(1) << below) - U64(1)))
+            ones = self.levels[k].rank(at)
             at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
         return at
 
@@ -47,9 +87,7 @@ class WaveletMatrix:
         """The symbols at the places."""
         out = np.zeros(len(at), np.int64)
         for k in range(self.bits):
-            word, low = at >> 6, (at & 63).astype(U64)
-            bit = ((self.words[k][word] >> low) & U64(1)).astype(np.int64)
-            ones = self.counts[k][word] + np.bitwise_count(self.words[k][word] & ((U64(1) << low) - U64(1)))
+            bit, ones = self.levels[k].get(at), self.levels[k].rank(at)
             at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
             out = out << 1 | bit
         return out
@@ -60,48 +98,30 @@ class FMIndex:
 
     symbols: 1 .. sigma-1 within sequences; starts: where each sequence starts in them.
     sample: every so many places of the text keep their suffix position (0: none do).
+    window, owner: for repeated(), the number of symbols in a row, and each sequence's owner.
     """
 
-    def __init__(self, symbols: np.ndarray, starts: np.ndarray, sigma: int, sample: int = 16):
+    def __init__(self, symbols: np.ndarray, starts: np.ndarray, sigma: int, sample: int = 16, window: int = 0, owner: np.ndarray | None = None):
         lengths = np.diff(np.append(starts, len(symbols)))
         self.first = starts + np.arange(len(starts))  # in the text, where each sequence has a terminator
-        self.last = self.first + lengths
-        self.n = len(symbols) + len(starts)
+        last = self.first + lengths
+        self.n, self.sigma, self.window = len(symbols) + len(starts), sigma, window
         text = np.zeros(self.n, np.int64)
-        text[np.delete(np.arange(self.n), self.last)] = symbols
-        self.text, self.sigma = text, sigma
-        self.end = np.repeat(self.last, lengths + 1)
-        self._sort(int(lengths.max(initial=0)) + 1)
-        before = text[self.sa - 1]  # the first suffix's predecessor is the last terminator
+        text[np.delete(np.arange(self.n), last)] = symbols
+        end = np.repeat(last, lengths + 1)
+        sa, ranks = _sorted(text, end, int(lengths.max(initial=0)) + 1, window)
+        before = text[sa - 1]  # the first suffix's predecessor is the last terminator
         self.wavelet = WaveletMatrix(before, sigma)
         self.c = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))[:-1]))
-        self.sample = sample
         if sample:
-            kept = self.sa % sample == 0
-            kept |= text[self.sa] == 0
-            kept |= before == 0
-            self.marked, self.positions = kept, self.sa[kept]
-            self.marks = np.concatenate(([0], np.cumsum(kept)))
-
-    def _sort(self, longest: int) -> None:
-        """The suffix array by prefix doubling; self.ranks: by length 1, 2, 4, .. each place's rank."""
-        place = np.arange(self.n)
-        rank = np.unique(self.text, return_inverse=True)[1].astype(np.int64)
-        self.ranks, k = [(1, rank)], 1
-        while k < longest and int(rank.max(initial=0)) + 1 < self.n:
-            key = rank * (self.n + 1) + self._shifted(rank, k)
-            order = np.argsort(key)
-            sorted_key = key[order]
-            rank = np.empty(self.n, np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-            k *= 2
-            self.ranks.append((k, rank))
-        self.sa = place[np.argsort(rank, kind="stable")]
-
-    def _shifted(self, rank: np.ndarray, k: int) -> np.ndarray:
-        """For each place one more than the rank k places on, 0 past its sequence's end."""
-        to = np.arange(self.n) + k
-        return np.where(to <= self.end, rank[np.minimum(to, self.n - 1)] + 1, 0)
+            kept = (sa % sample == 0) | (text[sa] == 0) | (before == 0)
+            self.marked, self.positions = Bits(kept), sa[kept].astype(np.int32)
+        if window:
+            # where the first window-1 symbols differ from those of the suffix before, and the first window symbols
+            self.shorter, full = (_classes(sa, ranks, end, k) for k in (window - 1, window))
+            self.owners, rank = np.unique(owner, return_inverse=True)
+            self.least = np.minimum.reduceat(np.repeat(rank, lengths + 1)[sa], np.flatnonzero(full)).astype(np.int32)
+            self.shorter, self.full = Bits(self.shorter), Bits(full)
 
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the intervals of patterns with a symbol put before them."""
@@ -125,9 +145,9 @@ class FMIndex:
         at, steps, out = at.copy(), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         todo = np.arange(len(at))
         while len(todo):
-            known = self.marked[at[todo]]
+            known = self.marked.get(at[todo]) == 1
             done = todo[known]
-            out[done] = self.positions[self.marks[at[done]]] + steps[done]
+            out[done] = self.positions[self.marked.rank(at[done])] + steps[done]
             todo = todo[~known]
             if len(todo):
                 c = self.wavelet.access(at[todo])
@@ -135,45 +155,69 @@ class FMIndex:
                 steps[todo] += 1
         return out
 
-    def groups(self, length: int) -> np.ndarray:
-        """Where, in suffix order, the first `length` symbols differ from those of the suffix before."""
-        k, rank = [x for x in self.ranks if x[0] <= length][-1]
-        more = self._shifted(rank, length - k)[self.sa] if length > k else 0
-        pair = rank[self.sa] * (self.n + 2) + more
-        return np.concatenate(([True], pair[1:] != pair[:-1]))
-
-    def repeated_windows(self, length: int, owner: np.ndarray) -> np.ndarray:
-        """For each place: the smallest owner of a sequence that holds the `length` symbols from there.
-
-        Walks all sequences right to left in lockstep, keeping the suffix interval of
-        the next symbols, at most `length` of them: their matching statistics, cut at
-        the length asked for. Before each further symbol the pattern drops its last one,
-        which widens the interval to all suffixes that share length-1 symbols. Places
-        with fewer symbols left get the largest integer.
+    def repeated(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """For each place of streamed sequences the smallest owner of an indexed one that holds the `window`
+        symbols from there; the largest integer where none does, or fewer symbols are left.
+
+        Walks the streams right to left in lockstep with their matching statistics, cut at the window: the
+        interval of the longest run of next symbols that the index holds. A run of full length drops its last
+        symbol first, which widens the interval to all suffixes with window-1 symbols in common. Where a
+        symbol (0: not in the index) ends all matches, the run is searched anew with its last symbols dropped.
         """
         none = np.iinfo(np.int64).max
-        out = np.full(self.n, none, np.int64)
-        owner_at = np.repeat(owner, self.last - self.first + 1)
-        shorter = np.flatnonzero(self.groups(length - 1)) if length > 1 else np.zeros(1, np.int64)
-        shorter_of = np.cumsum(np.isin(np.arange(self.n), shorter, assume_unique=True)) - 1
-        shorter = np.append(shorter, self.n)
-        full = np.flatnonzero(self.groups(length))
-        full_of = np.zeros(self.n, np.int64)
-        full_of[full[1:]] = 1
-        full_of = np.cumsum(full_of)
-        least = np.minimum.reduceat(owner_at[self.sa], full)
-        lengths = self.last - self.first
-        active = np.flatnonzero(lengths >= length)
-        lo, hi = np.zeros(len(lengths), np.int64), np.full(len(lengths), self.n, np.int64)
-        step = 0
+        out, ends = np.full(len(symbols), none, np.int64), np.append(starts[1:], len(symbols))
+        lo, hi, size = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64), np.zeros(len(starts), np.int64)
+        active, step = np.flatnonzero(ends - starts >= self.window), 1
         while len(active):
-            if step >= length:
-                hi[active] = shorter[shorter_of[hi[active] - 1] + 1]
-                lo[active] = shorter[shorter_of[lo[active]]]
-            place = self.last[active] - 1 - step
-            lo[active], hi[active] = self.extend(self.text[place], lo[active], hi[active])
+            place = ends[active] - step
+            a, b, long = lo[active], hi[active], size[active]
+            cut = np.flatnonzero(long == self.window)
+            if len(cut):
+                a[cut], b[cut] = self.shorter.last_one(a[cut]), self.shorter.next_one(b[cut])
+                long[cut] -= 1
+            a, b = self.extend(symbols[place], a, b)
+            long += 1
+            lost = np.flatnonzero((a >= b) | (symbols[place] == 0))
+            while len(lost):
+                long[lost] = np.where(symbols[place[lost]] == 0, 0, long[lost] - 1)
+                a[lost], b[lost] = self.search(symbols, place[lost], long[lost])
+                b[lost[long[lost] == 0]] = self.n
+                lost = lost[a[lost] >= b[lost]]
+            whole = np.flatnonzero(long == self.window)
+            out[place[whole]] = self.owners[self.least[self.full.rank(a[whole] + 1) - 1]]
+            lo[active], hi[active], size[active] = a, b, long
             step += 1
-            if step >= length:
-                out[place] = least[full_of[lo[active]]]
-            active = active[lengths[active] > step]
+            active = active[ends[active] - starts[active] >= step]
         return out
+
+
+def _sorted(text: np.ndarray, end: np.ndarray, longest: int, keep: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The suffix array by prefix doubling, and by length 1, 2, 4, .. up to `keep` each place's rank."""
+    n, k = len(text), 1
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    ranks = [(1, rank)]
+    while k < longest and int(rank.max(initial=0)) + 1 < n:
+        key = rank * (n + 1) + _shifted(rank, end, k)
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        k *= 2
+        if k <= keep:
+            ranks.append((k, rank))
+    return np.argsort(rank, kind="stable"), ranks
+
+
+def _shifted(rank: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    """For each place one more than the rank k places on, 0 past its sequence's end."""
+    to = np.arange(len(rank)) + k
+    return np.where(to <= end, rank[np.minimum(to, len(rank) - 1)] + 1, 0)
+
+
+def _classes(sa: np.ndarray, ranks: list[tuple[int, np.ndarray]], end: np.ndarray, length: int) -> np.ndarray:
+    """In suffix order: do the first `length` symbols differ from those of the suffix before?"""
+    if length == 0:
+        return np.arange(len(sa)) == 0
+    k, rank = [x for x in ranks if x[0] <= length][-1]
+    pair = rank[sa] * (len(sa) + 2) + (_shifted(rank, end, length - k)[sa] if length > k else 0)
+    return np.concatenate(([True], pair[1:] != pair[:-1]))

@@ -4,32 +4,73 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FOLDERS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+_SCOPES = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's spark.checkpoint.dir; where it is unset and all runs on this machine, a folder of our own."""
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if given:
         return given
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if spark not in _FOLDERS:
         _FOLDERS[spark] = "file://" + tempfile.mkdtemp(prefix="raglens-")
     return _FOLDERS[spark]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+    """The rows as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
+
+    Inside scratch() the table goes when that ends, else when the program does. Shuffle files that made
+    it are let go at once: Spark deletes them once the driver has collected what refers to them.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/raglens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    scopes = getattr(_SCOPES, "held", [])
+    (scopes[-1] if scopes else _KEPT).append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator:
+    """Drops the tables that are written inside it, but those handed to what it yields."""
+    held: list[tuple[SparkSession, str]] = []
+    if not hasattr(_SCOPES, "held"):
+        _SCOPES.held = []
+    _SCOPES.held.append(held)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own = [x for x in held if x[1] == df._table]
+        held[:] = [x for x in held if x[1] != df._table]
+        (_SCOPES.held[-2] if len(_SCOPES.held) > 1 else _KEPT).extend(own)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.held.remove(held)
+        for spark, path in held:
+            _drop(spark, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -43,6 +84,41 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+@atexit.register
+def _drop_kept() -> None:
+    for spark, path in _KEPT:
+        _drop(spark, path)
+
+
+def beside(df: DataFrame, made: list[str]) -> list[str]:
+    """The columns that stay beside new ones: one of the same name, in any case, gives way."""
+    taken = {m.lower() for m in made}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def schema_of(df: DataFrame, names: list[str], made: str) -> T.StructType:
+    """The columns of these names, then new ones given as text."""
+    return T.StructType([*(T.StructField(n, df.schema[n].dataType) for n in names), *T.StructType.fromDDL(made).fields])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many more underscores as no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def version(text: str) -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.coalesce(column(text), F.lit("")))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -81,8 +81,8 @@ def test_repeated_windows_of_one_index():
     base = rng.integers(1, 5, 300)
     symbols, starts, owner = np.concatenate((base, base[50:150], base[:40], base)), np.array([0, 300, 400, 440]), np.array([7, 3, 9, 3])
     for n in (1, 5, 17, 50):
-        got = FMIndex(symbols, starts, 5, sample=0).repeated_windows(n, owner)
-        index = FMIndex(symbols, starts, 5, sample=0)
+        index = FMIndex(symbols, starts, 5, sample=0, window=n, owner=owner)
+        got = index.repeated(symbols, starts)
         seen = defaultdict(lambda: 10**9)
         parts = np.split(symbols, starts[1:])
         for p, o in zip(parts, owner, strict=True):
@@ -90,7 +90,7 @@ def test_repeated_windows_of_one_index():
                 seen[p[i : i + n].tobytes()] = min(seen[p[i : i + n].tobytes()], int(o))
         for k, p in enumerate(parts):
             for i in range(len(p) - n + 1):
-                assert got[index.first[k] + i] == seen[p[i : i + n].tobytes()]
+                assert got[starts[k] + i] == seen[p[i : i + n].tobytes()]
 
 
 def test_near_duplicates(spark, docs, texts, monkeypatch):
@@ -405,9 +405,13 @@ def test_substring_dedup_deals_hot_anchors(spark, monkeypatch):
     most, searched = 500, []
     search = substring_dedup.shard_repeats
     monkeypatch.setattr(substring_dedup, "HOT_WORDS", most, raising=False)
-    monkeypatch.setattr(substring_dedup, "shard_repeats", lambda segments: searched.append(segments) or search(segments))
+
+    def counted(segments):
+        searched.extend(r["n"] for r in segments.groupBy("anchor").agg((F.sum(F.length("words")) / 8).alias("n")).collect())
+        return search(segments)
+
+    monkeypatch.setattr(substring_dedup, "shard_repeats", counted)
     got = substring_dedup.kept_words(docs).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == expected
     assert sum(x[1] for x in expected.values()) > 500
-    words = [r["n"] for r in searched[0].groupBy("anchor").agg((F.sum(F.length("words")) / 8).alias("n")).collect()]
-    assert max(words, default=0) <= most
+    assert 0 < max(searched) <= most
