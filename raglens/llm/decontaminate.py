@@ -13,7 +13,6 @@ text; a larger benchmark is searched slice by slice and the spans merged after.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raglens.llm.fm_index import FMIndex
-from raglens.llm.shared import written
+from raglens.llm.shared import beside, column, free_name, schema_of, written
 from raglens.llm.words import ALNUM, LEAN_SLICE_BYTES, U64, grams, ragged, slices, text_of, tidy, words_of
 
 WINDOW = 10
@@ -134,7 +133,7 @@ FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
 def find_spans(docs: DataFrame, phrases: Phrases, text: str = "text") -> DataFrame:
     """The documents with n_words, the merged spans' first words and ends, and the items found, as they stand."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
-    names = [f.name for f in docs.schema]
+    names = beside(docs, ["n_words", "starts", "ends", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
@@ -152,10 +151,9 @@ def find_spans(docs: DataFrame, phrases: Phrases, text: str = "text") -> DataFra
                     pa.ListArray.from_arrays(at, pa.array((end - base).astype(np.int32))),
                     pa.ListArray.from_arrays(np.searchsorted(with_item, n).astype(np.int32), titles),
                 ]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*names, "n_words", "starts", "ends", "items"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *made], [*names, "n_words", "starts", "ends", "items"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(tidy(run), f"{kinds}, {FOUND}")
+    return docs.mapInArrow(tidy(run), schema_of(docs, names, FOUND))
 
 
 def phrase_slices(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> list[Phrases]:
@@ -172,17 +170,19 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     A window is WINDOW words in a row of an item, or all words of a shorter one; null and empty texts
     have no words. Items without an id count for spans, not among the items. Rows that are repeated,
-    or share an id, each get their own result.
+    or share an id, each get their own result. Input columns named like an output give way to it.
     """
     parts = phrase_slices(benchmark, most_bytes)
     if len(parts) == 1:
         return find_spans(docs, parts[0], text).withColumn("items", _ids(F.col("items")))
-    marked = written(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    found = find_spans(marked, parts[0], text)
+    docs = docs.select(*map(column, beside(docs, ["n_words", "starts", "ends", "items"])))
+    row = free_name(docs, "_row")
+    marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    found = find_spans(marked, parts[0], text).withColumnRenamed(row, "_row")
     for other in parts[1:]:
-        found = found.unionByName(find_spans(marked, other, text))
+        found = found.unionByName(find_spans(marked, other, text).withColumnRenamed(row, "_row"))
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct(x["starts"].alias("s"), x["ends"].alias("e")))
-    kept = found.withColumn("spans", spans).groupBy("_row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    kept = found.select("_row", "n_words", spans.alias("spans"), "items").groupBy("_row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     empty = F.lit(None).cast("array<struct<s:int,e:int>>")
 
     def join(done, x):
@@ -193,7 +193,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     runs = F.aggregate("spans", F.coalesce(empty, F.array().cast("array<struct<s:int,e:int>>")), join)
     kept = kept.select("_row", "n_words", runs.alias("runs"), "items")
     kept = kept.select("_row", "n_words", F.col("runs.s").alias("starts"), F.col("runs.e").alias("ends"), _ids(F.col("items")).alias("items"))
-    return marked.join(kept, "_row").drop("_row")
+    return marked.join(kept.withColumnRenamed("_row", row), row).drop(row)
 
 
 def _ids(items):
@@ -209,15 +209,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs with the spans cut from the text; a document that had only such words is left out."""
-    found = contaminated_spans(docs, benchmark, text)
-    names, at = docs.columns, docs.columns.index(text)
+    rest = [c for c in docs.columns if c != text]
+    packed = docs.select(column(text).alias("text"), F.struct(F.lit(0).alias("_"), *[column(c).alias(f"c{k}") for k, c in enumerate(rest)]).alias("rest"))
+    found = contaminated_spans(packed, benchmark)
+    names = ["text", "rest"]
 
     def run(batches):
         for batch in batches:
-            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
+            for rows, part in slices(batch, "text", LEAN_SLICE_BYTES):
                 hit = np.flatnonzero(rows.column("starts").value_lengths().to_numpy(zero_copy_only=False))
                 words = words_of(part, ALNUM, lower=True) if len(hit) else None
-                texts, keep = rows.column(text), np.ones(len(part), bool)
+                texts, keep = rows.column("text"), np.ones(len(part), bool)
                 if len(hit):
                     texts = texts.to_pylist()
                     for k in hit.tolist():
@@ -230,11 +232,8 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
                         texts[k] = b"".join([*out, raw[done:]]).decode()
                         keep[k] = left > 0
                     texts = pa.array(texts, pa.string())
-                columns = [texts.cast(pa.string()) if i == at else rows.column(c) for i, c in enumerate(names)]
-                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
-
-    return found.mapInArrow(tidy(run), docs.schema)
-
+                yield pa.RecordBatch.from_arrays([texts.cast(pa.string()), rows.column("rest")], names).filter(pa.array(keep))
 
-def sha256_of(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    cut = found.mapInArrow(tidy(run), packed.schema)
+    own = {c: f"c{k}" for k, c in enumerate(rest)}
+    return cut.select(*[F.col("text").alias(c) if c == text else F.col("rest").getField(own[c]).alias(c) for c in docs.columns])

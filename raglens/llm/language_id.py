@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raglens.llm.shared import beside, schema_of
 from raglens.llm.words import LEAN_SLICE_BYTES, LOWER, Text, ragged, slices, tidy, words_of
 
 BUCKETS = 1 << 15
@@ -159,9 +160,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (its proportion) and languages (the selected set, by proportion).
 
     A null text, or one without any letter, is UNKNOWN with score 0; so is all where nothing was learned.
+    Each row is judged by its own text. Of equal proportions the first language in order wins. Input columns
+    named like an output give way to it.
     """
-    names, sent = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    names, sent = beside(docs, ["lang_pred", "score", "languages"]), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = sent.value
@@ -177,6 +179,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 preds = [model.names[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
                 score = np.where(known, share.max(1, initial=0), 0.0)
                 sets = [[model.names[j] for j in np.argsort(-s, kind="stable") if s[j] > 0] if ok else [] for s, ok in zip(share, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(preds, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(sets, pa.list_(pa.string()))], [*names, "lang_pred", "score", "languages"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(preds, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(sets, pa.list_(pa.string()))], [*names, "lang_pred", "score", "languages"])
 
-    return docs.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double, languages array<string>")
+    return docs.mapInArrow(tidy(run), schema_of(docs, names, "lang_pred string, score double, languages array<string>"))

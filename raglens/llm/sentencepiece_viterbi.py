@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from raglens.llm.shared import beside, schema_of
 from raglens.llm.units import UnitCache
 from raglens.llm.words import LEAN_SLICE_BYTES, U64, Text, mix, powers, ragged, slices, tidy
 
@@ -190,35 +191,39 @@ def pieces(path: str) -> Pieces:
 
 
 def encode_ids(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """docs with token_ids; null and empty texts have none."""
-    names = docs.columns
+    """docs with token_ids; null and empty texts have none. An input column of that name gives way."""
+    names = beside(docs, ["token_ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
                 ids, counts = pieces(model).encode(part)
                 bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))], [*names, "token_ids"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))], [*names, "token_ids"])
 
-    return docs.mapInArrow(tidy(run), _ddl(docs) + ", token_ids array<int>")
+    return docs.mapInArrow(tidy(run), schema_of(docs, names, "token_ids array<int>"))
 
 
 def decode_ids(rows: DataFrame, model: str, ids: str = "token_ids") -> DataFrame:
     """rows with decoded: the texts that the ids spell; bytes that are no UTF-8 become replacement characters."""
-    names = rows.columns
+    names = beside(rows, ["decoded"])
 
     def run(batches):
         for batch in batches:
             lists = batch.column(ids)
             out = pieces(model).decode(lists.flatten().to_numpy(), lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([out.bytes_of(k).decode(errors="replace") for k in range(len(out))], pa.string())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([out.bytes_of(k).decode(errors="replace") for k in range(len(out))], pa.string())], [*names, "decoded"])
 
-    return rows.mapInArrow(tidy(run), _ddl(rows) + ", decoded string")
+    return rows.mapInArrow(tidy(run), schema_of(rows, names, "decoded string"))
 
 
 def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """docs without text, with n_tokens, ids_crc32 (little-endian 32-bit ids), decoded_chars, decoded_sha256, exact."""
-    names = [c for c in docs.columns if c != text]
+    """docs without text, with n_tokens, ids_crc32 (little-endian 32-bit ids), decoded_chars, decoded_sha256, exact.
+
+    Null and empty texts have no ids and decode to nothing. Each row has its own text's result. Words are told
+    apart by 64-bit hashes. Input columns named like an output give way to it.
+    """
+    names = [c for c in beside(docs, ROUND_TRIP) if c != text]
 
     def run(batches):
         for batch in batches:
@@ -237,11 +242,7 @@ def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *made], [*names, *ROUND_TRIP])
 
-    return docs.mapInArrow(tidy(run), ", ".join([*([_ddl(docs.drop(text))] if names else []), "n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string, exact boolean"]))
+    return docs.mapInArrow(tidy(run), schema_of(docs, names, "n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string, exact boolean"))
 
 
 ROUND_TRIP = ["n_tokens", "ids_crc32", "decoded_chars", "decoded_sha256", "exact"]
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raglens.llm.shared import beside, column, schema_of
 from raglens.llm.words import ALNUM, U64, mix, ragged, slices, words_of
 
 BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
@@ -208,10 +209,10 @@ def calibrated(scores: np.ndarray, labels: np.ndarray) -> float:
 def score(docs: DataFrame, model: Model, text: str = "text", lang: str | None = None) -> DataFrame:
     """docs with score, predicted (score >= 0.5) and, given a language column, flagged (by its threshold, else 0.5).
 
-    Null and empty texts get the output's offset alone, like texts without words.
+    Null and empty texts get the output's offset alone, like texts without words. Each row is scored by its
+    own text. Input columns named like an output give way to it.
     """
-    names, sent = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    names, sent = beside(docs, ["score", "predicted", "flagged"]), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = sent.value
@@ -220,6 +221,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", lang: str | None =
                 value = model.scores(*buckets(words_of(part, ALNUM, lower=True)))
                 limit = [model.thresholds.get(x, 0.5) for x in rows.column(lang).to_pylist()] if lang else 0.5
                 made = [pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array((value >= limit).astype(bool))]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*names, "score", "predicted", "flagged"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *made], [*names, "score", "predicted", "flagged"])
 
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int, flagged boolean")
+    return docs.mapInArrow(run, schema_of(docs, names, "score double, predicted int, flagged boolean"))
