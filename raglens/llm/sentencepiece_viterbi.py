@@ -7,7 +7,8 @@ before each run of spaces and the parts decode alone. Different words of equal
 length advance together: at each end place, substring hashes of every length
 probe the sorted piece keys, and vectorised maxima store score and backpointer.
 Of equal sums the longest last piece wins. A character without a piece becomes
-its bytes.
+its bytes. Long words would advance alone: their pieces are probed for many end
+places at once, and only the maxima are taken place by place.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ _OWN_MARK = 0x110000
 _P = 0xD1342543DE82EF95
 _FILTER_BITS = 22
 _CELLS = 1 << 20
+#: Words of more characters go alone, so many end places at once.
+LONG, PLACES = 128, 1 << 17
 
 
 class Pieces:
@@ -104,6 +107,10 @@ class Pieces:
             length = int(lengths[order[at]])
             end = min(int(np.searchsorted(lengths[order], length, side="right")), at + max(1, _CELLS // length))
             rows = order[at:end]
+            if length > LONG:
+                found[order[at]] = self.segment_long(np.frombuffer(units[order[at]].encode("utf-32-le"), np.uint32))
+                at += 1
+                continue
             codes = np.frombuffer("".join([units[i] for i in rows]).encode("utf-32-le"), np.uint32).reshape(len(rows), length)
             ids, counts = self.segment(codes)
             for i, piece in zip(rows.tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
@@ -147,6 +154,49 @@ class Pieces:
                 best[end, rows], back[end, rows], piece[end, rows] = total[more], 1, -1
         return self._trace(codes, back, piece)
 
+    def segment_long(self, codes: np.ndarray) -> np.ndarray:
+        """The same for one word of any length: ids of its pieces."""
+        n, back, piece = len(codes), np.ones(len(codes) + 1, np.int8), np.full(len(codes) + 1, -1, np.int32)
+        best = [0.0]  # of the last `longest` places
+        for first in range(0, n, PLACES):
+            last, lead = min(first + PLACES, n), max(0, first - self.longest)
+            own = codes[lead:last]
+            coded = mix(np.where(own == 0x20, 0x2581, np.where(own == 0x2581, _OWN_MARK, own)).astype(U64) + U64(1))
+            ends, sizes, found = [], [], []
+            key = np.zeros(len(own), U64)
+            for size in range(1, min(self.longest, last) + 1):
+                # the key of the `size` characters that end at each place: one more before those of size-1
+                key[size - 1 :] += coded[: len(own) - size + 1] * self.powers[size - 1]
+                places = np.arange(max(size - 1, first - lead), len(own))
+                places = places[self.filter[key[places] >> U64(64 - _FILTER_BITS)]]
+                at = np.minimum(np.searchsorted(self.keys, key[places]), len(self.keys) - 1)
+                hit = self.keys[at] == key[places]
+                ends.append(places[hit] + lead + 1)
+                sizes.append(np.full(len(ends[-1]), size))
+                found.append(at[hit])
+            end, size, at = (np.concatenate(x) for x in (ends, sizes, found))
+            order = np.lexsort((-size, end))
+            size, at = size[order], at[order]
+            bounds = np.searchsorted(end[order], np.arange(first + 1, last + 2)).tolist()
+            size_, score, ids = size.tolist(), self.score[at].tolist(), self.ids[at].tolist()
+            for k in range(last - first):
+                top, width, which, single = -np.inf, 1, -1, False
+                for j in range(bounds[k], bounds[k + 1]):
+                    total = best[-size_[j]] + score[j]
+                    single = single or size_[j] == 1
+                    if total > top:
+                        top, width, which = total, size_[j], ids[j]
+                if not single and best[-1] + self.unknown > top:
+                    top, width, which = best[-1] + self.unknown, 1, -1
+                best.append(top)
+                back[first + k + 1], piece[first + k + 1] = width, which
+            best = best[-self.longest :]
+        out, at, back, piece = [], n, memoryview(back), memoryview(piece)
+        while at:
+            out += [piece[at]] if piece[at] >= 0 else self.byte_ids[np.frombuffer(chr(codes[at - 1]).encode(), np.uint8)].tolist()[::-1]
+            at -= back[at]
+        return np.array(out[::-1], np.int64)
+
     def _trace(self, codes: np.ndarray, back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, length = codes.shape
         at, row, out = np.full(n, length), np.arange(n), []
