@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raglens.llm.shared import beside, column, schema_of
+from raglens.llm.shared import beside, schema_of
 from raglens.llm.words import ALNUM, U64, mix, ragged, slices, words_of
 
 BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
 PAD = 1 << BITS
-#: The sample: so many rows of each label at most, by the order of a hash, each of MOST_WORDS words at most.
-MOST_ROWS, MOST_WORDS = 3000, 20_000
+#: The sample: so many rows of each label at most, by the order of a hash. Of a text of more than MOST_WORDS
+#: words it holds windows of WINDOW words, evenly spread over the whole text.
+MOST_ROWS, MOST_WORDS, WINDOW = 3000, 20_000, 100
+BINS = 1000
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 300, 128, 0.02
 
 
@@ -166,7 +168,11 @@ def _step(model: Model, texts, labels, weight, rate: float, step: list) -> None:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str | None = "lang") -> Model:
-    """Fits on at most MOST_ROWS rows of each label (1, 0), then calibrates thresholds on them by language."""
+    """Fits on at most MOST_ROWS rows of each label (1, 0), then calibrates thresholds by language on all labelled rows.
+
+    A doc_id that `labels` holds twice is toxic if either says so; of a doc_id with several texts the one of the
+    smallest hash is in the sample. A language without toxic rows has the threshold 0.5.
+    """
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = own.where("toxic = 1").orderBy(order).limit(MOST_ROWS).union(own.where("toxic = 0").orderBy(order).limit(MOST_ROWS))
@@ -176,34 +182,46 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str | No
             for rows, part in slices(batch):
                 ids, first = buckets(words_of(part, ALNUM, lower=True))
                 ids = [ids[a : b - max(WIDTHS) + 1] for a, b in zip(first[:-1], first[1:], strict=True)]
-                keep = np.array([len(x) <= MOST_WORDS for x in ids], bool)
-                data = pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "toxic", "lang")), data], ["doc_id", "toxic", "lang", "ids"]).filter(pa.array(keep))
+                data = pa.array([spread_windows(x).astype("<i4").tobytes() for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "toxic")), data], ["doc_id", "toxic", "ids"])
 
-    language = F.col(lang) if lang else F.lit(None).cast("string")
-    rows = docs.select("doc_id", F.col(text).alias("text"), language.alias("lang")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "lang")
-    sample = sorted(rows.mapInArrow(run, "doc_id long, toxic int, lang string, ids binary").collect(), key=lambda r: (r["doc_id"], bytes(r["ids"])))
+    texts = docs.select("doc_id", F.col(text).alias("text"))
+    # two limits bound what is broadcast and collected
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    sample = sorted(rows.mapInArrow(run, "doc_id long, toxic int, ids binary").collect(), key=lambda r: (r["doc_id"], bytes(r["ids"])))
     if not sample:
         return fit([], np.zeros(0, np.int64))
     texts = [np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in sample]
     y = np.array([r["toxic"] for r in sample])
     model = fit(texts, y)
-    scores = np.concatenate([model.scores(*_laid(texts[k : k + BATCH])) for k in range(0, len(texts), BATCH)])
-    langs = np.array([r["lang"] or "" for r in sample], object)
-    for name in sorted(set(langs.tolist())):
-        if name and y[langs == name].any():
-            model.thresholds[name] = calibrated(scores[langs == name], y[langs == name])
+    if lang:
+        model.thresholds = thresholds(docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")).join(own, "doc_id"), model)
     return model
 
 
-def calibrated(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold of the best F1 score, midway to the next lower score."""
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+def spread_windows(ids: np.ndarray) -> np.ndarray:
+    """The words, or evenly spread windows of them if there are more than MOST_WORDS."""
+    if len(ids) <= MOST_WORDS:
+        return ids
+    starts = np.linspace(0, len(ids) - WINDOW, MOST_WORDS // WINDOW).astype(np.int64)
+    return ids[(starts[:, None] + np.arange(WINDOW)).reshape(-1)]
+
+
+def thresholds(rows: DataFrame, model: Model) -> dict[str, float]:
+    """For each language with toxic rows the threshold of the best F1 score, from all rows (text, lang, toxic) in bins of their scores."""
+    place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+    scored = score(rows.where("lang is not null"), model).groupBy("lang", place.alias("bin")).agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
+    bins = scored.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("bin")).alias("at"), "hits", "n"))).alias("bins"), F.sum("hits").alias("all")).where("all > 0")
+    # a row a language, of at most BINS bins
+    return {r["lang"]: best_threshold(np.array([tuple(b) for b in r["bins"]]), r["all"]) for r in bins.toLocalIterator()}
+
+
+def best_threshold(bins: np.ndarray, hits: int) -> float:
+    """bins: (minus the bin, toxic rows, all rows), from the highest score on; midway to the next lower bin."""
+    f1 = 2 * np.cumsum(bins[:, 1]) / (np.cumsum(bins[:, 2]) + hits)
     k = int(np.argmax(f1))
-    low = scores[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float((scores[order[k]] + low) / 2)
+    low = 1 - bins[k + 1, 0] if k + 1 < len(bins) else 0
+    return float((low - bins[k, 0]) / 2 / BINS)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", lang: str | None = None) -> DataFrame:
