@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raglens.llm.shared import written
+from raglens.llm.shared import beside, column, partitions, schema_of, written
 from raglens.llm.words import SLICE_BYTES, SPACED, U64, mix, ragged, slices, text_of, words_of
 
 LOG_BASE = 1.5
@@ -33,6 +33,8 @@ BITS_AN_ENTRY = 10
 #: The largest number of tokens whose exact counts are sent along.
 MOST_EXACT = 1 << 20
 RANGE_TOKENS = 1 << 21
+#: Text bytes of a shuffle partition of slices, about.
+PART_BYTES = 64 << 20
 _HELD = 1 << 20
 _END = mix(np.array([11], U64))[0]
 _BEGIN = mix(np.array([12], U64))[0]
@@ -232,6 +234,7 @@ def train(rows: DataFrame, text: str = "text", most_exact: int = MOST_EXACT) ->
     # a token's key in the filter differs from its key here in low bits only, so both have one range
     counted = rows.select(text).mapInArrow(tally, "part int, kind int, keys binary, counts binary")
     schema = "part int, block binary, tokens long, types long, levels array<long>, contexts binary, mass binary, times binary, keys binary, counts binary"
+    counted = counted.repartition(max(partitions(rows.sparkSession), ranges), "part")
     table = written(counted.groupBy("part").applyInPandas(gather, schema), "token-counts")
     tokens = types = 0
     levels = np.zeros(LEVELS, np.int64)
@@ -295,17 +298,22 @@ def _backoff(table: DataFrame) -> np.ndarray:
 def score(docs: DataFrame, model: Model, rest: DataFrame, text: str = "text") -> DataFrame:
     """docs without text, with n_tokens, n_known, train_tokens, base_score and score.
 
-    Null and empty texts are one end. Tokens outside the model's exact counts are looked up in `rest`.
+    Null and empty texts are one end. Tokens outside the model's exact counts are looked up in `rest`. Each
+    row, repeated or not, gets its own text's score. Input columns named like an output give way to it.
     """
-    names = [c for c in docs.columns if c != text]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    ranges = model.ranges
+    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    given = [c for c in beside(docs, made) if c != text]
+    docs = docs.select(*[column(c).alias(f"c{k}") for k, c in enumerate(given)], column(text).alias("text"))
+    names, text = docs.columns[:-1], "text"
+    ranges, least = model.ranges, partitions(docs.sparkSession)
     size = _size(docs, text)
     # a range's probes go to so many cells that each stays as small as the range was in training
     cells = max(1, -(-size // max(1, model.size, ranges * RANGE_TOKENS)))
     sent = docs.sparkSession.sparkContext.broadcast(replace(model, blocks=None))
     # by content, not by place: both uses deal every row alike
     sliced = docs.select(*names, text, F.pmod(F.xxhash64(*docs.columns), F.lit(size // SLICE_BYTES + 1)).alias("_slice"))
+    parts = max(least, size // PART_BYTES)
+    sliced = sliced.repartition(parts, "_slice")
 
     def ask(rows: pa.Table) -> pa.Table:
         at = rows.column("_slice")[0].as_py()
@@ -347,14 +355,14 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, text: str = "text") ->
         ]
         return pa.Table.from_arrays([*(rows.column(c) for c in names), *made], [*names, "n_tokens", "_known", "_base", "score", "_other"])
 
-    asked = sliced.groupBy("_slice").applyInArrow(ask, "cell long, slice long, keys binary")
-    blocks = model.blocks.select(F.explode(F.sequence(F.col("part").cast("long") * cells, F.col("part").cast("long") * cells + cells - 1)).alias("cell"), "block")
+    asked = sliced.groupBy("_slice").applyInArrow(ask, "cell long, slice long, keys binary").repartition(max(least, ranges * cells), "cell")
+    blocks = model.blocks.select(F.explode(F.sequence(F.col("part").cast("long") * cells, F.col("part").cast("long") * cells + cells - 1)).alias("cell"), "block").repartition(max(least, ranges * cells), "cell")
     answers = asked.groupBy("cell").cogroup(blocks.groupBy("cell")).applyInArrow(answer, "slice long, cell long, levels binary")
-    first = sliced.groupBy("_slice").cogroup(answers.withColumnRenamed("slice", "_slice").groupBy("_slice")).applyInArrow(finish, f"{kinds}, n_tokens long, _known long, _base double, score double, _other array<long>")
+    first = sliced.groupBy("_slice").cogroup(answers.withColumnRenamed("slice", "_slice").repartition(parts, "_slice").groupBy("_slice")).applyInArrow(finish, schema_of(docs, names, "n_tokens long, _known long, _base double, score double, _other array<long>"))
     first = written(first.withColumn("_row", F.monotonically_increasing_id()), "scores")
     other = first.select("_row", F.explode("_other").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("times"))
     found = other.join(rest, "key", "left").select("_row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     whole = model.tokens + model.types + 1
     more = found.groupBy("_row").agg(F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(whole)))).alias("_more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_seen"))
     out = first.join(more, "_row", "left")
-    return out.select(*names, "n_tokens", (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"), "score")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, given, strict=True)], "n_tokens", (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"), "score")
