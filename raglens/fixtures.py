@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from raglens.session import table
 
+
 def _views() -> dict[str, str]:
     return {
         "fx_documents": """select cast(doc_id as string) as doc_id, concat('doc_', cast(doc_id as string), '.html') as filename,
@@ -19,23 +20,27 @@ def _views() -> dict[str, str]:
   d.effective_from, d.effective_to,
   case (cast(d.doc_id as bigint) + d.i) % 10 when 0 then 'table' when 1 then 'image' when 2 then 'spreadsheet_cell' else 'text' end as chunk_type,
   case when (cast(d.doc_id as bigint) + d.i) % 10 <= 2 then 'atomic' when d.i % 2 = 0 then 'recursive' else 'structure_aware' end as chunk_strategy,
-  d.i * 448 as start_index, substring(d.text, cast(d.i * 448 + 1 as int), 512) as content
+  d.i * 448 as start_index, substring(d.text, cast(d.i * 448 + 1 as int), 512) as content, cast(d.i + 1 as int) as page,
+  case when (cast(d.doc_id as bigint) + d.i) % 20 = 0 then 'gpt4o_vision' else cast(null as string) end as source, cast(floor((length(d.text) + 447) / 448.0) as bigint) as doc_chunks
 from (select w.*, cast(floor(w.start / 448.0) as bigint) as i from (select fx_documents.*, unnest(range(0, length(text), 448)) as start from fx_documents where length(text) > 0) w) d""",
-        "fx_eval_items": """select concat('q_', cast(item_id as string)) as id, substring(text, 1, 80) as question, text as ground_truth,
+        "fx_eval_items": """select concat('q_', cast(item_id as string)) as id, split_part(text, '. ', 1) as question, text as ground_truth,
   case item_id % 5 when 0 then cast(null as string) when 1 then '2020-06-01' when 2 then '2021-06-01' when 3 then 'not-a-date' else '2023-06-01' end as valid_from,
   case item_id % 6 when 1 then 'table' when 2 then 'chart' when 3 then 'spreadsheet' when 4 then 'mixed' else 'text' end as modality,
   item_id % 8 <> 0 as answerable,
   case item_id % 7 when 1 then 'WRONG_VERSION' when 2 then 'STALE_ANSWER' when 3 then 'TABLE_RETRIEVAL_MISS' when 4 then 'LOW_RECALL_RETRIEVAL' when 5 then 'NO_FAILURE' when 6 then 'UNANSWERABLE' else cast(null as string) end as failure_type,
   case when item_id % 5 in (1, 2) then concat('tp_', cast(cast(floor(item_id / 5.0) as bigint) as string)) else cast(null as string) end as temporal_pair_id,
-  case when item_id % 9 = 0 then 'v2' else cast(null as string) end as expected_version, item_id as ord
-from benchmark""",
-        "fx_runs": """select concat('r_', cast(row_number() over (order by r, c, p, f) - 1 as string)) as run_id, r as retrieval_strategy,
+  case when item_id % 9 = 0 then 'v2' else cast(null as string) end as expected_version, item_id as ord,
+  case when item_id % 3 = 0 then null else list_transform(range(0, 24), lambda j: concat('doc_', cast(((item_id * 24 + j) * 7 + 11) % t.m as string), '.html')) end as source_docs
+from benchmark cross join (select max(doc_id) + 1 as m from documents) t""",
+        "fx_runs": """select concat('r_', cast(24 * x.experiment + row_number() over (partition by x.experiment order by r, c, p, f) - 1 as string)) as run_id, concat('e_', cast(x.experiment as string)) as experiment_id, r as retrieval_strategy,
   c as chunking_strategy, p as parsing_strategy, f as freshness_policy, 'gpt-4o-mini' as llm_model, 5 as top_k
 from (values ('vector_only'), ('hybrid'), ('hybrid_reranker')) a(r)
 cross join (values ('recursive'), ('structure_aware')) b(c)
 cross join (values ('text_only'), ('text_table')) d(p)
-cross join (values ('none'), ('effective_date_filter')) e(f)""",
-        "fx_query_results": """select concat('r_', cast(event_id % 24 as string)) as run_id, concat('q_', cast(cast(floor(event_id / 24.0) as bigint) as string)) as query_id,
+cross join (values ('none'), ('effective_date_filter')) e(f)
+cross join (select distinct cast(floor(event_id / (24.0 * m)) as bigint) as experiment from events cross join (select count(*) as m from benchmark) b) x""",
+        "fx_query_results": """select concat('r_', cast(24 * cast(floor(event_id / (24.0 * m)) as bigint) + event_id % 24 as string)) as run_id, concat('q_', cast(cast(floor(event_id / 24.0) as bigint) % m as string)) as query_id,
+  concat('answer ', cast(event_id as string), ' ', event_type) as generated_answer,
   event_id as n, case when event_type = 'error' then 'error' when event_id % 17 = 0 then cast(null as string) else 'ok' end as status,
   value * 10 as latency_ms, 200 + event_id % 300 as input_tokens, 20 + event_id % 50 as output_tokens,
   case when event_id % 13 = 0 then null else (event_id * 37 % 101) / cast(100 as double) end as faithfulness,
@@ -43,11 +48,11 @@ cross join (values ('none'), ('effective_date_filter')) e(f)""",
   case when event_id % 23 = 0 then null else (event_id * 71 % 101) / cast(100 as double) end as context_precision,
   case when event_id % 11 = 0 then null else (event_id * 29 % 101) / cast(100 as double) end as answer_correctness,
   (event_id * 43 % 101) / cast(100 as double) as answer_relevance
-from events cross join (select count(*) as m from benchmark) b where event_id < 24 * m""",
-        "fx_retrieved": """select q.run_id, q.query_id, k.rank, c.chunk_id, c.filename, c.doc_version, c.chunk_type, c.effective_from, c.effective_to
+from events cross join (select count(*) as m from benchmark) b""",
+        "fx_retrieved": """select q.run_id, q.query_id, k.rank, c.chunk_id, c.filename, c.doc_version, c.chunk_type, c.effective_from, c.effective_to, c.content, c.page, c.source
 from fx_query_results q cross join (values (1), (2), (3), (4), (5)) k(rank)
 cross join (select max(doc_id) + 1 as m from documents) t
-join (select * from fx_chunks where start_index = 0) c on cast(c.doc_id as bigint) = (q.n * 7 + k.rank * 11) % t.m""",
+join fx_chunks c on cast(c.doc_id as bigint) = (q.n * 7 + k.rank * 11) % t.m and c.start_index = 448 * ((q.n + k.rank) % c.doc_chunks)""",
     }
 
 
@@ -80,7 +85,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    whole = with_views(sql).replace("unnest(range(0, length(text), 448))", "explode(sequence(0, length(text) - 1, 448))")
+    whole = with_views(sql).replace("unnest(range(0, length(text), 448))", "explode(sequence(0, length(text) - 1, 448))").replace("list_transform(range(0, 24), lambda j:", "transform(sequence(0, 23), j ->")
     for name in ("documents", "benchmark", "events", "labels", "pages", "embeddings"):
         if re.search(rf"\b{name}\b", whole):
             table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -28,5 +28,16 @@ def to_epoch(iso: str | Column) -> Column:
     return F.when(iso.rlike(ISO), F.unix_seconds(F.try_to_timestamp(iso)))
 
 
+def is_blank(x: str | Column) -> Column:
+    """NULL, or nothing but white space of any kind."""
+    x = F.col(x) if isinstance(x, str) else x
+    return ~F.coalesce(x.rlike(r"(?U)\S"), F.lit(False))
+
+
+def stripped(x: str | Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def rounded(x: Column, digits: int = 9) -> Column:
     return F.round(x.cast("double"), digits)

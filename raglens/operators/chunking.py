@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raglens.functions.scalars import is_blank, stripped
 from raglens.functions.scorers import embed
 
 SIZE, OVERLAP = 512, 64
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
-HEADING = r"^(#{1,4} .+|[A-Z][A-Z0-9 ]{3,}|(Section|Article|Part|Chapter) \w+ ?[–—:.-].{0,100})$"
+#: Markdown headings, lines in capitals, numbered sections whose number ends in a separator.
+HEADING = r"(?U)^(#{1,4}\s.+|[A-Z][A-Z\s]{3,}|(Section|Article|Part|Chapter)\s+\d+\s*[–—:.-]\s+\S.{0,100})$"
 
 
 def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -21,7 +23,7 @@ def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Da
     starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(step)))
     out = docs.select("doc_id", "text", F.explode(starts).alias("start_index"))
     out = out.select("doc_id", "start_index", F.substring(F.col("text"), F.col("start_index") + 1, F.lit(size)).alias("content"))
-    return out.where("trim(content) <> ''").withColumn("end_index", F.col("start_index") + F.length("content"))
+    return out.where(~is_blank("content")).withColumn("end_index", F.col("start_index") + F.length("content"))
 
 
 def split_recursive(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:
@@ -79,7 +81,7 @@ def chunk_recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence")).where("trim(sentence) <> ''")
+    return docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence")).where(~is_blank("sentence"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -109,9 +111,9 @@ def sections(docs: DataFrame) -> DataFrame:
     lines = lines.withColumn("head", F.col("line").rlike(HEADING).cast("int"))
     lines = lines.withColumn("section", F.sum("head").over(Window.partitionBy("doc_id").orderBy("pos")))
     out = lines.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "head"))).alias("r"))
-    title = F.when(F.col("r")[0]["head"] == 1, F.trim(F.regexp_replace(F.col("r")[0]["line"], "^#+ ", "")))
+    title = F.when(F.col("r")[0]["head"] == 1, stripped(F.col("r")[0]["line"]))
     out = out.select("doc_id", "section", title.alias("section_title"), F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("content"))
-    return out.where("trim(content) <> ''")
+    return out.where(~is_blank("content"))
 
 
 def chunk_structure(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -133,7 +135,7 @@ def heading_flag() -> Column:
 def text_units(elements: DataFrame) -> DataFrame:
     """doc_id, unit, content: runs of text elements of one page, headings marked; other or blank elements start anew."""
     order = Window.partitionBy("doc_id").orderBy("elem_idx")
-    text = (F.col("chunk_type") == "text") & (F.coalesce(F.trim("content"), F.lit("")) != "")
+    text = (F.col("chunk_type") == "text") & ~is_blank("content")
     own = elements.withColumn("is_text", text)
     new = ~F.coalesce(F.lag("is_text").over(order), F.lit(False)) | ~F.lag("page").over(order).eqNullSafe(F.col("page"))
     own = own.withColumn("unit", F.sum(new.cast("int")).over(order)).where("is_text")
@@ -155,7 +157,7 @@ def build_index_chunks(texts: DataFrame, others: DataFrame, strategies: list[str
     made = {"fixed": chunk_fixed, "recursive": chunk_recursive, "semantic": chunk_semantic, "structure_aware": chunk_structure}
     tagged = lambda df, strategy, kind, place: df.select("doc_id", "content", F.lit(strategy).alias("chunk_strategy"), kind.alias("chunk_type"), F.concat_ws(".", *[F.col(c).cast("string") for c in place]).alias("place"))
     parts = [tagged(made[s](texts), s, F.lit("text"), PLACES[s]) for s in strategies]
-    parts.append(tagged(others.where("trim(coalesce(content, '')) <> ''"), "atomic", F.col("chunk_type"), ["elem_idx"]))
+    parts.append(tagged(others.where(~is_blank("content")), "atomic", F.col("chunk_type"), ["elem_idx"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -164,7 +166,13 @@ def build_index_chunks(texts: DataFrame, others: DataFrame, strategies: list[str
 
 
 def chunk_counts(chunks: DataFrame, strategies: list[str]) -> DataFrame:
-    """Chunks of each configured strategy and of atomic, zero-filled."""
+    """Chunks of each configured strategy and of atomic, zero-filled; document_counts has the documents' own."""
     names = chunks.sparkSession.createDataFrame([(s,) for s in [*strategies, "atomic"]], "chunk_strategy string")
     counts = chunks.groupBy("chunk_strategy").agg(F.count("*").alias("n"))
     return names.join(counts, "chunk_strategy", "left").na.fill(0, ["n"])
+
+
+def document_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, chunks_indexed of every document; 0 without chunks."""
+    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks_indexed"))
+    return documents.select("doc_id").join(counts, "doc_id", "left").na.fill(0, ["chunks_indexed"])

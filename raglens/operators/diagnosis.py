@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raglens.functions.scalars import KEY_METRICS, is_ok, rounded, sanitize_score, to_epoch
+from raglens.functions.scalars import KEY_METRICS, is_blank, is_ok, rounded, sanitize_score, stripped, to_epoch
 from raglens.operators.metrics import NON_TEXT
 
 CATEGORIES = ["STALE_ANSWER", "WRONG_VERSION", "CHART_LAYOUT_BLINDNESS", "TABLE_RETRIEVAL_MISS", "LOW_RECALL_RETRIEVAL", "UNSUPPORTED_SYNTHESIS", "IRRELEVANT_CONTEXT_POLLUTION", "CHUNKING_BOUNDARY_ERROR", "NO_FAILURE"]
 RULE_CONFIDENCE = 0.7
+VISION_SOURCE = "gpt4o_vision"
+#: What a prompt says about each category.
+DESCRIPTIONS = {
+    "STALE_ANSWER": "The answer rests on a document that had expired by the question's date.",
+    "WRONG_VERSION": "Chunks of another version of the document were used than the question needs.",
+    "CHART_LAYOUT_BLINDNESS": "The answer is in a chart or layout, and no reading of the page image was retrieved.",
+    "TABLE_RETRIEVAL_MISS": "The answer is in a table or sheet, and only plain text was retrieved.",
+    "LOW_RECALL_RETRIEVAL": "The retrieved chunks lack most of what the answer needs.",
+    "UNSUPPORTED_SYNTHESIS": "The answer says what the retrieved chunks don't support.",
+    "IRRELEVANT_CONTEXT_POLLUTION": "Most of the retrieved chunks have nothing to do with the question.",
+    "CHUNKING_BOUNDARY_ERROR": "The facts were retrieved, but cut apart by chunk boundaries.",
+    "NO_FAILURE": "No failure was found.",
+}
+#: Chunks of a prompt, and characters of each.
+PROMPT_CHUNKS, PROMPT_CHARS = 5, 400
 
 
 def chunk_period(chunk: Column, at: Column) -> Column:
@@ -35,7 +50,8 @@ def has_nontext_chunk() -> Column:
 
 
 def has_vision_chunk() -> Column:
-    return F.exists("retrieved_chunks", lambda c: F.coalesce(c["chunk_type"] == "image", F.lit(False)))
+    """A chunk of a page that was looked at: of type image, or from the vision reader."""
+    return F.exists("retrieved_chunks", lambda c: F.coalesce(c["chunk_type"] == "image", F.lit(False)) | F.coalesce(c["source"] == VISION_SOURCE, F.lit(False)))
 
 
 def version_mismatch() -> Column:
@@ -129,11 +145,13 @@ def scores_to_compute(results: DataFrame) -> DataFrame:
 
 
 def rediagnosis_plan(runs: DataFrame, results: DataFrame) -> DataFrame:
-    """run_id, ok, missing, will_rescore: all answers of a run that lacks any score."""
+    """run_id, ok, missing, will_rescore (all answers of a run that lacks any score), and why a run can't be diagnosed
+    anew: it isn't done, wasn't evaluated, or has no results."""
     lack = F.reduce(F.array(*[sanitize_score(c).isNull() for c in KEY_METRICS]), F.lit(False), lambda a, x: a | x)
-    found = results.groupBy("run_id").agg(F.count_if(is_ok()).alias("ok"), F.count_if(is_ok() & lack).alias("missing"))
-    out = runs.select("run_id").join(found, "run_id", "left").na.fill(0, ["ok", "missing"])
-    return out.select("run_id", "ok", "missing", F.when(F.col("missing") > 0, F.col("ok")).otherwise(0).alias("will_rescore"), F.when(F.col("ok") == 0, "no results").alias("reason"))
+    found = results.groupBy("run_id").agg(F.count("*").alias("total"), F.count_if(is_ok()).alias("ok"), F.count_if(is_ok() & lack).alias("missing"))
+    out = runs.select("run_id", "status", "evaluated_at").join(found, "run_id", "left").na.fill(0, ["total", "ok", "missing"])
+    reason = F.when(~F.coalesce(F.col("status") == "done", F.lit(False)), F.concat(F.lit("status is "), F.coalesce("status", F.lit("unknown")))).when(F.col("evaluated_at").isNull(), "not evaluated").when(F.col("total") == 0, "no results")
+    return out.select("run_id", "ok", "missing", F.when(F.col("missing") > 0, F.col("ok")).otherwise(0).alias("will_rescore"), reason.alias("reason"))
 
 
 def reasoning_todo(diagnoses: DataFrame, cached: DataFrame) -> DataFrame:
@@ -149,19 +167,30 @@ def pick_result_for_reasoning(results: DataFrame, order: str = "n") -> DataFrame
 
 
 def reasoning_prompt(diagnoses: DataFrame, items: DataFrame) -> DataFrame:
-    """A prompt of the question, category, metrics and the first five chunks."""
-    tag = F.transform(F.slice("retrieved_chunks", 1, 5), lambda c: F.format_string("[%s %s %s]", F.coalesce(c["chunk_type"], F.lit("text")), c["filename"], c["doc_version"]))
-    number = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("n/a"))
-    parts = [F.concat(F.lit(f"{c}="), F.when(F.col(c).isNull(), F.lit("n/a")).otherwise(number(F.col(c)))) for c in KEY_METRICS]
+    """A prompt of the question, the answer, the first chunks with what is known of them, the scored metrics and the category."""
+    known = lambda name, c: F.when(~is_blank(c.cast("string")), F.concat(F.lit(f"{name}="), c.cast("string")))
+
+    def shown(c, n):
+        tags = F.array_compact(F.array(F.concat(F.lit("type="), F.coalesce(c["chunk_type"], F.lit("text"))), known("file", c["filename"]), known("version", c["doc_version"]), known("page", F.nullif(c["page"], F.lit(0)))))
+        return F.concat(F.lit("Chunk "), (n + 1).cast("string"), F.lit(" ("), F.array_join(tags, ", "), F.lit("):\n"), F.substring(F.coalesce(c["content"], F.lit("")), 1, PROMPT_CHARS))
+
+    chunks = F.array_join(F.transform(F.slice("retrieved_chunks", 1, PROMPT_CHUNKS), shown), "\n")
+    scores = F.concat_ws("\n", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.format_string("%.3f", F.col(c)))) for c in KEY_METRICS])
+    category = F.coalesce("failure_category", F.lit("UNDIAGNOSED"))
+    about = F.coalesce(F.create_map(*[F.lit(x) for kv in DESCRIPTIONS.items() for x in kv])[category], category)
     joined = diagnoses.join(items.select(F.col("id").alias("query_id"), "question"), "query_id", "left")
-    return joined.select("run_id", "query_id", F.concat_ws("\n", F.coalesce("question", F.lit("")), F.coalesce("failure_category", F.lit("UNDIAGNOSED")), F.concat_ws(", ", *parts), F.array_join(tag, " ")).alias("prompt"))
+    parts = {"Question": F.coalesce("question", F.lit("")), "Answer": F.coalesce("generated_answer", F.lit("")), "Chunks": chunks, "Metrics": scores, "Category": F.concat(category, F.lit("\n"), about)}
+    return joined.select("run_id", "query_id", F.concat_ws("\n\n", *[F.concat(F.lit(f"# {k}\n"), v) for k, v in parts.items()]).alias("prompt"))
 
 
 def parse_reasoning(raw: DataFrame) -> DataFrame:
-    """root_cause, confidence and parse_error of raw model texts; no JSON object: the first 500 characters."""
-    parsed = F.from_json("raw", "root_cause string, confidence double")
-    good = F.trim("raw").startswith("{") & parsed.isNotNull() & F.get_json_object("raw", "$").isNotNull()
-    return raw.withColumns({"parse_error": ~F.coalesce(good, F.lit(False)), "root_cause": F.when(good, F.coalesce(parsed["root_cause"], F.lit(""))).otherwise(F.substring("raw", 1, 500)), "confidence": F.when(good, F.coalesce(parsed["confidence"], F.lit(0.5)))})
+    """The fields of raw model texts; a confidence that the model didn't give stays NULL. What is no JSON object has
+    parse_error, and its first 500 characters as root_cause."""
+    parsed = F.from_json("raw", "reasoning_steps array<string>, root_cause string, fix_suggestion string, stakeholder_summary string, confidence double")
+    good = F.coalesce(stripped("raw").startswith("{") & F.get_json_object("raw", "$").isNotNull(), F.lit(False))
+    text = lambda name, other: F.when(good, F.coalesce(parsed[name], F.lit(""))).otherwise(other)
+    steps = F.when(good, F.coalesce(parsed["reasoning_steps"], F.array().cast("array<string>"))).otherwise(F.array(F.lit("no structured response")))
+    return raw.withColumns({"parse_error": ~good, "reasoning_steps": steps, "root_cause": text("root_cause", F.substring(F.coalesce("raw", F.lit("")), 1, 500)), "fix_suggestion": text("fix_suggestion", F.lit("read the raw response")), "stakeholder_summary": text("stakeholder_summary", F.lit("the analysis gave no structured result")), "confidence": F.when(good, parsed["confidence"])})
 
 
 def extract_features(rows: DataFrame) -> DataFrame:
@@ -192,11 +221,23 @@ def training_set(diagnoses: DataFrame, feedback: DataFrame) -> DataFrame:
     return extract_features(resolve_training_label(on.join(feedback, ["run_id", "query_id"], "left")))
 
 
+def training_counts(diagnoses: DataFrame, feedback: DataFrame) -> DataFrame:
+    """One row: diagnosed answers skipped for missing scores and as unanswerable, labels that feedback or the item
+    changed, and positive ratings among the rows trained on."""
+    on = diagnoses.where("failure_category is not null").join(feedback, ["run_id", "query_id"], "left")
+    short, odd = F.size("missing") > 0, F.coalesce(F.col("failure_type") == "UNANSWERABLE", F.lit(False))
+    skipped = on.agg(F.count_if(short).alias("missing_scores"), F.count_if(~short & odd).alias("unanswerable"))
+    kept = training_set(diagnoses, feedback).agg(F.count("*").alias("rows"), F.count_if(F.col("label") != F.col("failure_category")).alias("overrides"), F.count_if(F.col("rating") == "positive").alias("positive_ratings"))
+    return skipped.crossJoin(kept)
+
+
 def label_source_summary(training: DataFrame) -> DataFrame:
-    """source, n, share, dominant (ties: feedback, eval_set, classifier)."""
+    """source, n, share, dominant (ties: feedback, eval_set, classifier), and a warning where the classifier's own labels dominate."""
     total = training.groupBy("source").agg(F.count("*").alias("n"))
     sums = total.agg(F.sum("n").alias("total"), F.max(F.struct("n", _priority("source").alias("p"), "source")).alias("best"))
-    return total.crossJoin(F.broadcast(sums)).select("source", "n", rounded(F.col("n") / F.col("total")).alias("share"), (F.col("source") == F.col("best.source")).alias("dominant"))
+    share = F.col("n") / F.col("total")
+    warning = F.when((F.col("source") == "classifier") & (F.col("best.source") == "classifier"), F.format_string("%.0f%% of the labels are the classifier's own", share * 100))
+    return total.crossJoin(F.broadcast(sums)).select("source", "n", rounded(share).alias("share"), (F.col("source") == F.col("best.source")).alias("dominant"), warning.alias("warning"))
 
 
 def _priority(source: str) -> Column:

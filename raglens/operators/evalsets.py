@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raglens.functions.scalars import is_blank, stripped
+
 MODALITIES = ["text", "table", "chart", "spreadsheet", "mixed"]
 FAILURE_TYPES = ["STALE_ANSWER", "WRONG_VERSION", "CHART_LAYOUT_BLINDNESS", "TABLE_RETRIEVAL_MISS", "LOW_RECALL_RETRIEVAL", "UNSUPPORTED_SYNTHESIS", "IRRELEVANT_CONTEXT_POLLUTION", "CHUNKING_BOUNDARY_ERROR", "NO_FAILURE", "UNANSWERABLE"]
 STRICT_TYPES = [t for t in FAILURE_TYPES if t not in ("IRRELEVANT_CONTEXT_POLLUTION", "UNSUPPORTED_SYNTHESIS", "NO_FAILURE")]
@@ -12,38 +14,93 @@ MOST_ITEMS = 5000
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
-def _blank(c: str) -> Column:
-    return F.col(c).isNull() | (F.trim(c) == "")
+DIFFICULTIES = ["easy", "medium", "hard"]
+#: Columns of an item, and their types; what a set lacks counts as NULL.
+ITEM = {"ord": "int", "id": "string", "question": "string", "ground_truth": "string", "source_docs": "array<string>", "valid_from": "string", "valid_to": "string", "modality": "string", "difficulty": "string", "answerable": "boolean", "answerable_valid": "boolean", "failure_type": "string", "evidence": "string", "evidence_valid": "boolean", "temporal_pair_id": "string", "extra_cells": "boolean"}
+
+
+def _date(c: str) -> Column:
+    return F.when(F.col(c).rlike(_DATE), F.expr(f"try_cast({c} as date)"))
+
+
+def _fault(on: Column, field: str | None, message: str) -> Column:
+    return F.when(on, F.struct(F.lit(field).cast("string").alias("field"), F.lit(message).alias("message")))
+
 
+def _unknown(c: str, known: list[str]) -> Column:
+    return F.col(c).isNotNull() & ~F.col(c).isin(*known)
 
-def _bad_date(c: str) -> Column:
-    return F.col(c).isNotNull() & ~(F.col(c).rlike(_DATE) & F.expr(f"try_cast({c} as date)").isNotNull())
+
+def _whole(items: DataFrame) -> DataFrame:
+    return items.withColumns({c: F.lit(None).cast(kind) for c, kind in ITEM.items() if c not in items.columns})
+
+
+def _dates() -> list[Column]:
+    checks = [_fault(F.col(c).isNotNull() & _date(c).isNull(), c, "not a date") for c in ("valid_from", "valid_to")]
+    return [*checks, _fault(F.coalesce(_date("valid_from") > _date("valid_to"), F.lit(False)), "valid_to", "before valid_from")]
 
 
 def validate_eval_items(items: DataFrame) -> DataFrame:
-    """(ord, id, field, message) of every fault; items without any row here are valid."""
-    same = F.first("ord").over(Window.partitionBy("id").orderBy("ord"))
-    fault = lambda on, field, message: F.when(on, F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
-    checks = [fault(_blank(c), c, "required") for c in ("id", "question", "ground_truth")]
-    checks.append(fault(F.col("id").isNotNull() & (F.col("_first") < F.col("ord")), "id", "duplicate"))
-    checks.append(fault(_bad_date("valid_from"), "valid_from", "not a date"))
-    checks.append(fault(F.col("modality").isNotNull() & ~F.col("modality").isin(*MODALITIES), "modality", "unknown"))
-    checks.append(fault(F.col("failure_type").isNotNull() & ~F.col("failure_type").isin(*FAILURE_TYPES), "failure_type", "unknown"))
-    checks.append(fault(F.col("ord") >= MOST_ITEMS, "ord", "too many items"))
-    return items.withColumn("_first", same).select("ord", "id", F.inline(F.array_compact(F.array(*checks))))
-
-
-def validate_eval_items_strict(items: DataFrame) -> DataFrame:
-    """The stricter validator: fewer failure types, unanswerable items need their type or none, and none else may have it."""
-    fault = lambda on, field, message: F.when(on, F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
-    t = F.col("failure_type")
-    checks = [fault(_blank("question"), "question", "required"), fault(F.col("answerable").isNull(), "answerable", "required"), fault(t.isNotNull() & ~t.isin(*STRICT_TYPES), "failure_type", "unknown"), fault(~F.col("answerable") & t.isNotNull() & (t != "UNANSWERABLE"), "failure_type", "unanswerable")]
-    return items.select("ord", "id", F.inline(F.array_compact(F.array(*checks))))
-
-
-def eval_set_catalog(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """(ord, id, field, message) of every fault; a set without any row here is valid.
+
+    A set without items, or with more than MOST_ITEMS, has one row for that, without ord, and no others.
+    `answerable_valid`, `evidence_valid` and `extra_cells` say what a reader saw that typed columns can't hold.
+    """
+    first = F.first("ord").over(Window.partitionBy("id").orderBy("ord"))
+    docs = F.exists("source_docs", is_blank)
+    checks = [_fault(F.coalesce("extra_cells", F.lit(False)), None, "more cells than the header")]
+    checks += [_fault(is_blank(c), c, "required") for c in ("id", "question", "ground_truth")]
+    checks.append(_fault(~is_blank("id") & (F.col("_first") < F.col("ord")), "id", "duplicate"))
+    checks.append(_fault(F.coalesce(docs, F.lit(False)), "source_docs", "not a list of names"))
+    checks += _dates()
+    checks += [_fault(_unknown("modality", MODALITIES), "modality", "unknown"), _fault(_unknown("difficulty", DIFFICULTIES), "difficulty", "unknown")]
+    checks.append(_fault(~F.coalesce("answerable_valid", F.lit(True)), "answerable", "not a boolean"))
+    checks.append(_fault(_unknown("failure_type", FAILURE_TYPES), "failure_type", "unknown"))
+    checks.append(_fault(~F.coalesce("evidence_valid", F.lit(True)), "evidence", "neither object nor text"))
+    size = items.agg(F.count("*").alias("_size"))
+    none = F.lit(None)
+    whole = size.where(f"_size = 0 or _size > {MOST_ITEMS}").select(none.cast("int").alias("ord"), none.cast("string").alias("id"), none.cast("string").alias("field"), F.when(F.col("_size") == 0, "no items").otherwise("too many items").alias("message"))
+    rows = _whole(items).join(F.broadcast(size.where(f"_size <= {MOST_ITEMS}")))  # one row
+    rows = rows.withColumn("_first", first).select(F.col("ord").cast("int").alias("ord"), "id", F.inline(F.array_compact(F.array(*checks))))
+    return rows.unionByName(whole)
+
+
+#: The stricter validator wants all of these.
+STRICT_FIELDS = ["id", "question", "ground_truth", "source_docs", "modality", "difficulty", "answerable"]
+
+
+def validate_eval_items_strict(items: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """The stricter validator: more fields are required, fewer failure types known; documents are in the manifest
+    (filename), if given; answerable items name one; unanswerable ones have their type or none."""
+    rows = _whole(items)
+    t, docs = F.col("failure_type"), F.coalesce(F.size("source_docs"), F.lit(0))
+    twice = F.col("id").isNotNull() & (F.first("ord").over(Window.partitionBy("id").orderBy("ord")) < F.col("ord"))
+    checks = [_fault(F.col(c).isNull(), c, "missing") for c in STRICT_FIELDS]
+    checks += [_fault(F.col(c).isNotNull() & is_blank(c), c, "empty") for c in ("question", "ground_truth")]
+    checks += [_fault(F.col("_twice"), "id", "duplicate"), _fault(_unknown("modality", MODALITIES), "modality", "unknown"), _fault(_unknown("difficulty", DIFFICULTIES), "difficulty", "unknown"), _fault(_unknown("failure_type", STRICT_TYPES), "failure_type", "unknown"), *_dates()]
+    answerable = F.coalesce("answerable", F.lit(False))
+    checks.append(_fault(answerable & F.col("source_docs").isNotNull() & (docs == 0), "source_docs", "answerable without documents"))
+    checks.append(_fault(F.col("answerable").isNotNull() & ~answerable & t.isNotNull() & (t != "UNANSWERABLE"), "failure_type", "unanswerable"))
+    found = rows.withColumn("_twice", twice).select("ord", "id", F.inline(F.array_compact(F.array(*checks))))
+    if manifest is None:
+        return found
+    named = rows.select("ord", "id", F.explode("source_docs").alias("filename"))
+    lost = named.join(manifest.select("filename").distinct(), "filename", "left_anti")
+    return found.unionByName(lost.select("ord", "id", F.lit("source_docs").alias("field"), F.concat(F.lit("not in the manifest: "), "filename").alias("message")))
+
+
+def eval_set_catalog(items: DataFrame, sources: DataFrame, default: str | None = None) -> DataFrame:
+    """Sets with item_count and is_default, built-in ones by id, then uploads, newest first (uploaded_at).
+
+    A set that could not be read (`readable` false) is left out.
+    """
+    if "readable" in sources.columns:
+        sources = sources.where(F.coalesce("readable", F.lit(True))).drop("readable")
     counts = items.groupBy("eval_set_id").agg(F.count("*").alias("item_count"))
-    return sources.join(counts, "eval_set_id", "left").na.fill(0, ["item_count"])
+    out = sources.join(counts, "eval_set_id", "left").na.fill(0, ["item_count"]).withColumn("is_default", F.col("eval_set_id").eqNullSafe(F.lit(default)))
+    upload = F.col("source") == "upload"
+    newest = F.when(upload, F.col("uploaded_at")).desc_nulls_last() if "uploaded_at" in sources.columns else F.lit(0)
+    return out.orderBy(upload, newest, "eval_set_id")
 
 
 def unmatched_source_docs(items: DataFrame, documents: DataFrame) -> DataFrame:
@@ -52,12 +109,17 @@ def unmatched_source_docs(items: DataFrame, documents: DataFrame) -> DataFrame:
     return named.join(documents.select("filename"), "filename", "left_anti").orderBy("filename")
 
 
-def register_eval_set(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """The items with item_count and n_unmatched (named documents that don't exist); no row if any item has a fault."""
+def register_eval_set(items: DataFrame, documents: DataFrame, name: str | None = None, filename: str = "eval_set") -> DataFrame:
+    """The items with the set's name, item_count and the named documents that don't exist; no row if any item has a fault.
+
+    A blank name becomes the file's.
+    """
     size = items.agg(F.count("*").alias("item_count"))
-    lost = unmatched_source_docs(items, documents).agg(F.count("*").alias("n_unmatched"))
+    lost = unmatched_source_docs(items, documents).agg(F.array_sort(F.collect_list("filename")).alias("unmatched"))
     faults = validate_eval_items(items).agg(F.count("*").alias("_faults"))
-    return items.crossJoin(F.broadcast(size.crossJoin(lost).crossJoin(faults))).where("_faults = 0").drop("_faults")
+    one = size.crossJoin(lost).crossJoin(faults)  # one row
+    named = items.withColumn("set_name", F.lit(name if name and name.strip() else filename))
+    return named.crossJoin(F.broadcast(one)).where("_faults = 0").drop("_faults").withColumn("n_unmatched", F.size("unmatched").cast("long"))
 
 
 def validate_document_ids(ids: DataFrame, documents: DataFrame) -> DataFrame:
@@ -68,38 +130,80 @@ def validate_document_ids(ids: DataFrame, documents: DataFrame) -> DataFrame:
 
 def normalise_quotes(c: str | Column) -> Column:
     c = F.translate(c, "‘’“”", "''\"\"")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r" ([,.;:])", "$1"))
+    return stripped(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r" ([,.;:])", "$1"))
 
 
 def check_evidence(quotes: DataFrame, documents: DataFrame) -> DataFrame:
-    """quotes (id, filename, quote) with found: the normalised quote is in the normalised document."""
+    """quotes (id, filename, quote [, location]) with found (the normalised quote is in the normalised document) and
+    status: ok, missing, a note where the location is a chart image, or no document."""
     own = documents.select("filename", normalise_quotes(F.col("text")).alias("_text"))
     joined = quotes.join(own, "filename", "left")
-    return joined.withColumn("found", F.coalesce(F.contains("_text", normalise_quotes(F.col("quote"))), F.lit(False))).drop("_text")
+    found = F.coalesce(F.contains("_text", normalise_quotes(F.col("quote"))), F.lit(False))
+    chart = F.coalesce(F.contains("location", F.lit("chart image")), F.lit(False)) if "location" in quotes.columns else F.lit(False)
+    status = F.when(F.col("_text").isNull(), "no document").when(found, "ok").when(chart, "note").otherwise("missing")
+    return joined.withColumns({"found": found, "status": status}).drop("_text")
+
+
+def check_cells(expected: DataFrame, cells: DataFrame) -> DataFrame:
+    """expected (id, filename, sheet, ref, value) with actual and matches: numbers within a millionth, else equal normalised texts."""
+    joined = expected.join(cells.select("filename", "sheet", "ref", F.col("value").alias("actual")), ["filename", "sheet", "ref"], "left")
+    a, b = F.col("actual").try_cast("double"), F.col("value").try_cast("double")
+    same = F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) < 1e-6).otherwise(normalise_quotes(F.col("actual")) == normalise_quotes(F.col("value")))
+    return joined.withColumn("matches", F.coalesce(same, F.lit(False)))
+
+
+def _paired() -> Column:
+    return F.coalesce(F.col("temporal_pair_id") != "", F.lit(False))
 
 
 def subset_temporal(items: DataFrame) -> DataFrame:
-    return items.where("temporal_pair_id is not null").orderBy("ord")
+    return items.where(_paired()).orderBy("ord")
 
 
 def subset_multimodal(items: DataFrame) -> DataFrame:
-    return items.where(F.col("modality").isin("table", "chart", "spreadsheet")).orderBy("ord")
+    """Answerable items of no pair on tables, sheets and charts."""
+    return items.where(~_paired() & F.coalesce("answerable", F.lit(False)) & F.col("modality").isin("table", "chart", "spreadsheet")).orderBy("ord")
+
+
+def _first_pairs(items: DataFrame, n: int) -> DataFrame:
+    first = items.where(_paired()).groupBy("temporal_pair_id").agg(F.min("ord").alias("o"))
+    return first.orderBy("o").limit(n).select("temporal_pair_id")
+
+
+def subset_smoke(items: DataFrame) -> DataFrame:
+    """The first pair, and the first answerable table, the first answerable chart and the first unanswerable item."""
+    first = items.join(F.broadcast(_first_pairs(items, 1)), "temporal_pair_id", "left_semi").select("ord")
+    yes = F.coalesce("answerable", F.lit(False))
+    kind = F.when(yes & F.col("modality").isin("table", "chart"), F.col("modality")).when(F.col("answerable") == F.lit(False), "unanswerable")
+    single = items.where(kind.isNotNull()).groupBy(kind.alias("kind")).agg(F.min("ord").alias("ord")).select("ord")
+    return items.join(F.broadcast(first.union(single).distinct()), "ord", "left_semi").select(items.columns).orderBy("ord")
 
 
 #: The first pairs, and how many other items of each class.
 CORE_PAIRS, CORE_COUNTS = 8, {"unanswerable": 6, "table": 8, "spreadsheet": 4, "chart": 6}
 
 
+def _core_kind() -> Column:
+    return F.when(F.col("answerable") == F.lit(False), "unanswerable").otherwise(F.col("modality"))
+
+
 def subset_core(items: DataFrame, pairs: int = CORE_PAIRS, counts: dict[str, int] = CORE_COUNTS) -> DataFrame:
     """All items of the first pairs, and the first few of each class among the other items, in source order."""
-    first = items.where("temporal_pair_id is not null").groupBy("temporal_pair_id").agg(F.min("ord").alias("o"))
-    first = first.orderBy("o").limit(pairs).select("temporal_pair_id")
-    paired = items.join(F.broadcast(first), "temporal_pair_id", "left_semi")
-    kind = F.when(~F.coalesce("answerable", F.lit(True)), "unanswerable").otherwise(F.col("modality"))
-    single = items.where("temporal_pair_id is null").withColumn("_kind", kind).where(F.col("_kind").isin(*counts))
+    first = F.broadcast(_first_pairs(items, pairs))  # that many rows
+    paired = items.join(first, "temporal_pair_id", "left_semi")
+    rest = items.join(first, "temporal_pair_id", "left_anti").withColumn("_kind", _core_kind()).where(F.col("_kind").isin(*counts))
     most = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
-    single = single.withColumn("_n", F.row_number().over(Window.partitionBy("_kind").orderBy("ord"))).where(F.col("_n") <= most[F.col("_kind")])
-    return paired.select(items.columns).unionByName(single.select(items.columns)).orderBy("ord")
+    rest = rest.withColumn("_n", F.row_number().over(Window.partitionBy("_kind").orderBy("ord"))).where(F.col("_n") <= most[F.col("_kind")])
+    return paired.select(items.columns).unionByName(rest.select(items.columns)).orderBy("ord")
+
+
+def core_shortfalls(items: DataFrame, pairs: int = CORE_PAIRS, counts: dict[str, int] = CORE_COUNTS) -> DataFrame:
+    """class, wanted, held of the classes, and of the pairs, of which there are fewer than the core set wants."""
+    rest = items.join(F.broadcast(_first_pairs(items, pairs)), "temporal_pair_id", "left_anti")
+    held = rest.groupBy(_core_kind().alias("class")).agg(F.count("*").alias("held"))
+    held = held.unionByName(items.where(_paired()).agg(F.lit("pairs").alias("class"), F.count_distinct("temporal_pair_id").alias("held")))
+    wanted = items.sparkSession.createDataFrame([*counts.items(), ("pairs", pairs)], "class string, wanted int")
+    return wanted.join(held, "class", "left").na.fill(0, ["held"]).where("held < wanted")
 
 
 def check_pairs_intact(subset: DataFrame, full: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raglens.functions.scalars import SCORES, is_ok, rounded, sanitize_score, to_epoch
+from raglens.functions.scalars import SCORES, is_blank, is_ok, rounded, sanitize_score, to_epoch
 
 NON_TEXT = ("table", "spreadsheet_cell", "image")
+#: Written by the diagnosis, not by an evaluation.
+ACCURACIES = ("diagnostic_accuracy", "temporal_family_accuracy")
 GROUNDED_MODALITIES = ("table", "chart", "spreadsheet", "mixed")
 
 
@@ -28,13 +30,17 @@ def score_inputs(results: DataFrame, items: DataFrame) -> DataFrame:
     """What a scorer gets: question, non-empty contexts, ground truth ('' where the item is unknown)."""
     own = items.select(F.col("id").alias("query_id"), "question", "ground_truth")
     joined = results.where(is_ok()).join(own, "query_id", "left")
-    return joined.select("run_id", "query_id", F.coalesce("question", F.lit("")).alias("question"), F.filter("contexts", lambda c: c.isNotNull() & (F.trim(c) != "")).alias("contexts"), F.coalesce("ground_truth", F.lit("")).alias("ground_truth"))
+    return joined.select("run_id", "query_id", F.coalesce("question", F.lit("")).alias("question"), F.filter("contexts", lambda c: ~is_blank(c)).alias("contexts"), F.coalesce("ground_truth", F.lit("")).alias("ground_truth"))
 
 
 def align_scores(results: DataFrame, scores: DataFrame, columns: list[str] = SCORES) -> DataFrame:
-    """Scores by (run_id, query_id); where a key is scored twice, it counts as unscored."""
-    once = scores.groupBy("run_id", "query_id").agg(*[F.when(F.count("*") == 1, F.first(sanitize_score(c))).alias(c) for c in columns])
-    return results.join(once, ["run_id", "query_id"], "left")
+    """Scores by (run_id, query_id). A run whose scores aren't one for each of its answers counts as unscored as a whole."""
+    key = ["run_id", "query_id"]
+    once = scores.groupBy(*key).agg(F.count("*").alias("_n"), *[F.first(sanitize_score(c)).alias(c) for c in columns])
+    asked = results.groupBy(*key).agg(F.count("*").alias("_m"))
+    whole = asked.join(once, key, "full_outer").groupBy("run_id").agg(F.bool_and(F.coalesce(F.col("_n") == F.col("_m"), F.lit(False))).alias("_whole"))
+    joined = results.join(once, key, "left").join(whole, "run_id", "left")
+    return joined.select(*key, *[c for c in results.columns if c not in key], *[F.when(F.col("_whole"), F.col(c)).alias(c) for c in columns])
 
 
 def latency_percentiles(results: DataFrame) -> DataFrame:
@@ -53,8 +59,8 @@ def in_period(chunk: Column, at: Column) -> Column:
 
 
 def with_items(results: DataFrame, items: DataFrame) -> DataFrame:
-    """Answers with their item's date (epoch seconds) and modality."""
-    own = items.select(F.col("id").alias("query_id"), to_epoch("valid_from").alias("at"), "modality")
+    """Answers with their item's date (epoch seconds), modality and source documents."""
+    own = items.select(F.col("id").alias("query_id"), to_epoch("valid_from").alias("at"), "modality", "source_docs")
     return results.where(is_ok()).join(own, "query_id", "left")
 
 
@@ -73,8 +79,10 @@ def temporal_citation_accuracy() -> Column:
 
 
 def multimodal_grounding_rate() -> Column:
-    """Over results of other than text questions: the share with a chunk that isn't text; an unnamed type is text."""
-    hit = F.exists("retrieved_chunks", lambda c: F.coalesce(c["chunk_type"], F.lit("text")).isin(*NON_TEXT))
+    """Over results of other than text questions: the share with a chunk that isn't text, from one of the item's
+    source documents (from any if it names none); an unnamed type is text."""
+    named = F.coalesce(F.size("source_docs"), F.lit(0)) > 0
+    hit = F.exists("retrieved_chunks", lambda c: F.coalesce(c["chunk_type"], F.lit("text")).isin(*NON_TEXT) & (~named | F.coalesce(F.array_contains("source_docs", F.coalesce(c["filename"], F.lit(""))), F.lit(False))))
     return rounded(F.avg(F.when(F.col("modality").isin(*GROUNDED_MODALITIES), hit.cast("double"))))
 
 
@@ -83,6 +91,7 @@ def compute_run_metrics(runs: DataFrame, results: DataFrame, items: DataFrame) -
     q = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
     found = with_items(results, items).groupBy("run_id").agg(
         F.count("*").alias("n_ok"),
+        rounded(F.avg("latency_ms")).alias("avg_latency_ms"),
         *[rounded(F.avg(sanitize_score(c))).alias(c) for c in SCORES],
         rounded(q[0]).alias("latency_p50_ms"),
         rounded(q[1]).alias("latency_p95_ms"),
@@ -96,15 +105,18 @@ def compute_run_metrics(runs: DataFrame, results: DataFrame, items: DataFrame) -
 
 
 def reranker_overhead(runs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Median latency of the reranked run less that of the hybrid run of the same other settings."""
-    axes = ["chunking_strategy", "parsing_strategy", "freshness_policy"]
-    own = runs.join(metrics.select("run_id", "latency_p50_ms"), "run_id")
-    slow = own.where("retrieval_strategy = 'hybrid_reranker'").select(*axes, F.col("latency_p50_ms").alias("x"))
-    base = own.where("retrieval_strategy = 'hybrid'").select(*axes, F.col("latency_p50_ms").alias("y"))
+    """Mean latency of the reranked run less that of the hybrid run of the same experiment and other settings."""
+    axes = [c for c in ("experiment_id", "chunking_strategy", "parsing_strategy", "freshness_policy") if c in runs.columns]
+    own = runs.join(metrics.select("run_id", "avg_latency_ms"), "run_id")
+    slow = own.where("retrieval_strategy = 'hybrid_reranker'").select(*axes, F.col("avg_latency_ms").alias("x"))
+    base = own.where("retrieval_strategy = 'hybrid'").select(*axes, F.col("avg_latency_ms").alias("y"))
     return slow.join(base, axes).select(*axes, rounded(F.col("x") - F.col("y")).alias("overhead_ms"))
 
 
 def upsert_run_metrics(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """One row a run: new values win, old accuracies stay until there are new ones."""
+    """One row a run: a run's new row takes the place of the old one, NULLs too; only its old accuracies stay
+    until there are new ones."""
     kept = [c for c in existing.columns if c != "run_id"]
-    return existing.alias("o").join(new.alias("n"), "run_id", "full_outer").select("run_id", *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) if c in new.columns else F.col(f"o.{c}") for c in kept])
+    pair = existing.alias("o").join(new.alias("n").withColumn("_new", F.lit(True)), "run_id", "full_outer")
+    pick = lambda c: F.coalesce(f"n.{c}", f"o.{c}") if c in ACCURACIES else F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    return pair.select("run_id", *[pick(c).alias(c) if c in new.columns else F.col(f"o.{c}") for c in kept])

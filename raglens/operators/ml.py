@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEAST_ROWS, TREES, DEPTH, HELD_OUT = 10, 200, 4, 0.2
@@ -35,8 +35,21 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("p", F.array_max(vector_to_array("probability"))).select("run_id", "query_id", F.col("predicted").alias("label"), F.round("p", 6).alias("probability"))
 
 
+def accuracy(model: PipelineModel, training: DataFrame) -> DataFrame:
+    """accuracy and rows of the held-out rows."""
+    own = split(training).where("held_out")
+    pairs = own.select("run_id", "query_id", F.col("label").alias("truth")).join(predict(model, own), ["run_id", "query_id"])
+    return pairs.agg(F.round(F.avg((F.col("truth") == F.col("label")).cast("double")), 4).alias("accuracy"), F.count("*").alias("n"))
+
+
+def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """feature, importance: the forest's, from the highest on."""
+    names, forest = model.stages[1].getInputCols(), model.stages[2]
+    return spark.createDataFrame([(n, round(float(v), 9)) for n, v in zip(names, forest.featureImportances.toArray(), strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
 def report(model: PipelineModel, training: DataFrame) -> DataFrame:
-    """label, precision, recall and support on the held-out rows."""
+    """label, precision, recall, f1 and support on the held-out rows."""
     own = split(training).where("held_out")
     pairs = own.select("run_id", "query_id", F.col("label").alias("truth")).join(predict(model, own), ["run_id", "query_id"])
     counts = pairs.groupBy("truth", "label").agg(F.count("*").alias("n"))
@@ -44,4 +57,5 @@ def report(model: PipelineModel, training: DataFrame) -> DataFrame:
     support = counts.groupBy("truth").agg(F.sum("n").alias("support"))
     said = counts.groupBy("label").agg(F.sum("n").alias("said")).withColumnRenamed("label", "truth")
     joined = support.join(hit, "truth", "left").join(said, "truth", "left").na.fill(0)
-    return joined.select(F.col("truth").alias("label"), F.coalesce(F.round(F.try_divide("hits", "said"), 4), F.lit(0.0)).alias("precision"), F.round(F.col("hits") / F.col("support"), 4).alias("recall"), "support")
+    f1 = F.round(2 * F.col("hits") / (F.col("said") + F.col("support")), 4)
+    return joined.select(F.col("truth").alias("label"), F.coalesce(F.round(F.try_divide("hits", "said"), 4), F.lit(0.0)).alias("precision"), F.round(F.col("hits") / F.col("support"), 4).alias("recall"), f1.alias("f1"), "support")

@@ -32,12 +32,13 @@ def report_runs(runs: DataFrame, metrics: DataFrame, results: DataFrame, diagnos
 
 
 def report_by_group(results: DataFrame, items: DataFrame) -> DataFrame:
-    """run_id, grouping, value: counts and mean correctness by modality and by answerable, in one pass."""
+    """run_id, grouping, value: counts, and each score's mean and number, by modality and by answerable, in one pass."""
     own = items.select(F.col("id").alias("query_id"), F.coalesce("modality", F.lit("None")).alias("modality"), F.coalesce(F.col("answerable").cast("string"), F.lit("false")).alias("answerable"))
     joined = results.join(own, "query_id", "left").na.fill({"modality": "None", "answerable": "false"})
-    score = F.when(is_ok(), sanitize_score("answer_correctness"))
-    out = joined.groupingSets([["run_id", "modality"], ["run_id", "answerable"]], "run_id", "modality", "answerable").agg(F.grouping("modality").alias("g"), F.count("*").alias("n"), F.count_if(~is_ok()).alias("n_error"), F.count(score).alias("n_scored"), rounded(F.avg(score)).alias("answer_correctness"))
-    return out.select("run_id", F.when(F.col("g") == 0, "modality").otherwise("answerable").alias("grouping"), F.coalesce("modality", "answerable").alias("value"), "n", "n_error", "n_scored", "answer_correctness")
+    scores = {c: F.when(is_ok(), sanitize_score(c)) for c in SCORES}
+    means = [a for c, x in scores.items() for a in (rounded(F.avg(x)).alias(c), F.count(x).alias(f"n_{c}"))]
+    out = joined.groupingSets([["run_id", "modality"], ["run_id", "answerable"]], "run_id", "modality", "answerable").agg(F.grouping("modality").alias("g"), F.count("*").alias("n"), F.count_if(~is_ok()).alias("n_error"), *means)
+    return out.select("run_id", F.when(F.col("g") == 0, "modality").otherwise("answerable").alias("grouping"), F.coalesce("modality", "answerable").alias("value"), "n", "n_error", *[x for c in SCORES for x in (c, f"n_{c}")])
 
 
 def report_failures(runs: DataFrame, diagnoses: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def join_integrity(results: DataFrame, items: DataFrame) -> DataFrame:
 def completeness(runs: DataFrame, results: DataFrame, items: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """issue, run_id, query_id: missing, errored, unscored, undiagnosed results, and runs without any."""
     key = ["run_id", "query_id"]
-    expected = runs.select("run_id").crossJoin(F.broadcast(items.select(F.col("id").alias("query_id"))))
+    expected = items.select(F.col("id").alias("query_id")).crossJoin(runs.select("run_id"))
     issue = lambda df, name: df.select(F.lit(name).alias("issue"), *key)
     empty = runs.join(results, "run_id", "left_anti").select(F.lit("empty_run").alias("issue"), "run_id", F.lit(None).cast("string").alias("query_id"))
     return issue(expected.join(results, key, "left_anti"), "missing").union(issue(results.where(~is_ok()), "errored")).union(issue(results.where(is_ok() & sanitize_score("answer_correctness").isNull()), "unscored")).union(issue(diagnoses.where("failure_category is null"), "undiagnosed")).union(empty)
@@ -85,6 +86,3 @@ def csv_cells(df: DataFrame) -> DataFrame:
 def write_report_csv(df: DataFrame, path: str) -> None:
     csv_cells(df).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
 
-
-def mean_table(results: DataFrame, by: list[str]) -> DataFrame:
-    return results.where(is_ok()).groupBy(*by).agg(*[rounded(F.avg(sanitize_score(c))).alias(c) for c in SCORES])

@@ -1,20 +1,25 @@
 """Retrieval: which chunks a question may see under a configuration, and their ranks.
 
-Filters run before ranking. The eligible set depends only on the corpus key
-(parsing, chunking, freshness and question date), so it and the rankings are
-computed once for each key and question and shared by all configurations.
+Filters run before ranking. Which chunks a configuration sees depends only on the
+corpus key (parsing, chunking, freshness and question date) and on a chunk's type,
+tag and validity: chunks alike in these form a group, and keys meet groups, not
+chunks. Rankings are computed once for each key and question that are asked
+together, and shared by all configurations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raglens.functions.scalars import to_epoch
+from raglens.functions.scorers import embed, score_pairs
 
 #: The chunk types each parsing strategy sees.
 CHUNK_TYPES = {"text_only": ["text"], "text_table": ["text", "table"], "text_table_vision": ["text", "table", "image"], "spreadsheet_aware": ["spreadsheet_cell", "text"]}
@@ -70,26 +75,43 @@ def key_date(policy: str, at: str) -> Column:
     return F.when(F.col(policy).isin(*DATED_POLICIES), F.col(at))
 
 
-def eligible_chunks(keys: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each key's chunks. Keys meet chunks by chunk type, the rest of the conditions filter the join."""
+GROUPED_BY = ["chunk_type", "chunk_strategy", "effective_from", "effective_to"]
+SALTS = 16
+
+
+def with_group(chunks: DataFrame) -> DataFrame:
+    """chunks with `group`: a number for all that keys look at (a 64-bit hash of it)."""
+    return chunks.withColumn("group", F.xxhash64(F.to_json(F.struct(*GROUPED_BY))))
+
+
+def eligible_groups(keys: DataFrame, chunks: DataFrame) -> DataFrame:
+    """keys with each `group` of chunks that they see. Keys meet groups by chunk type, dealt over SALTS parts of each."""
+    groups = with_group(chunks).select("group", *GROUPED_BY).distinct().withColumn("_salt", F.pmod(F.xxhash64("group"), F.lit(SALTS)))
     rules = [(p, k) for p, kinds in CHUNK_TYPES.items() for k in kinds]
-    allowed = keys.sparkSession.createDataFrame(rules, "parsing_strategy string, chunk_type string")
-    typed = keys.join(allowed, "parsing_strategy")
-    joined = chunks.join(F.broadcast(typed), "chunk_type")
-    return joined.where(chunking_fits("chunking_strategy", "chunk_strategy", "chunk_type") & freshness_fits("freshness_policy", "at"))
+    allowed = keys.sparkSession.createDataFrame(rules, "parsing_strategy string, _kind string")
+    known = keys.join(allowed, "parsing_strategy")
+    # an unknown parsing strategy sees every type
+    other = keys.where(~F.coalesce(F.col("parsing_strategy").isin(*CHUNK_TYPES), F.lit(False))).crossJoin(groups.select(F.col("chunk_type").alias("_kind")).distinct())
+    typed = known.select(*keys.columns, "_kind").unionByName(other).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    joined = groups.join(typed.withColumnRenamed("_salt", "_part"), F.col("chunk_type").eqNullSafe(F.col("_kind")) & (F.col("_salt") == F.col("_part")))
+    return joined.where(chunking_fits("chunking_strategy", "chunk_strategy", "chunk_type") & freshness_fits("freshness_policy", "at")).select(*keys.columns, "group")
+
+
+def eligible_chunks(keys: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each key's chunks."""
+    return with_group(chunks).join(eligible_groups(keys, chunks), "group").drop("group")
 
 
 def strategy_not_indexed(chunks: DataFrame, strategies: DataFrame) -> DataFrame:
-    """strategy, reason: text is there but none of it for the strategy."""
-    text = chunks.where("chunk_type = 'text'").groupBy("chunk_strategy").agg(F.count("*").alias("n"))
-    has = text.agg(F.sum("n").alias("text_chunks"))
-    own = text.select(F.col("chunk_strategy").alias("strategy"), "n")
-    joined = strategies.crossJoin(F.broadcast(has)).join(own, "strategy", "left")
-    return joined.select("strategy", F.when((F.col("text_chunks") > 0) & F.col("n").isNull(), F.lit("not indexed")).alias("reason"))
+    """strategy, reason: text is there but none of it fits the strategy; untagged text counts as recursive."""
+    text = chunks.where(F.coalesce("chunk_type", F.lit("text")) == "text").groupBy("chunk_strategy").agg(F.count("*").alias("n"))
+    joined = strategies.join(text, F.lit(True), "left")  # a row a tag
+    found = joined.groupBy("strategy").agg(F.sum("n").alias("n"), F.bool_or((F.col("n") > 0) & chunking_fits("strategy", "chunk_strategy", F.lit("text"))).alias("fits"))
+    return found.select("strategy", F.when((F.col("n") > 0) & ~F.col("fits"), F.lit("not indexed")).alias("reason"))
 
 
-def vector_top_k(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """question_id, vec_id, similarity, rank: exact cosine top k.
+def vector_top_k(questions: DataFrame, vectors: DataFrame, k: int, group: str | None = None) -> DataFrame:
+    """question_id, vec_id, similarity, rank: exact cosine top k; given a group column, of each group (and the group).
 
     The vectors stay where they are; question blocks go to them, each task multiplies its batches with the
     block and keeps the k best of each question, and the tasks' candidates meet for the last ranking.
@@ -98,19 +120,19 @@ def vector_top_k(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     spark = questions.sparkSession
     blocks = max(1, -(-questions.count() // QUESTION_BLOCK))
     part = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    found = None
+    kinds = ", ".join(f"{name} {df.schema[c].dataType.simpleString()}" for name, df, c in (("question_id", questions, "question_id"), ("vec_id", vectors, "vec_id"), *([("group", vectors, group)] if group else [])))
+    schema = f"{kinds}, similarity double"
+    found, own_vectors = None, vectors.select("vec_id", "embedding", *([F.col(group).alias("group")] if group else []))
     for n in range(blocks):
         own = questions.where(part == n).select("question_id", "embedding").toArrow() if blocks > 1 else questions.select("question_id", "embedding").toArrow()
         if own.num_rows == 0:
             continue
-        ids = own.column("question_id").to_numpy()
-        q = _unit(own.column("embedding").combine_chunks())
-        sent = spark.sparkContext.broadcast((ids, q))
-        best = vectors.select("vec_id", "embedding").mapInArrow(_nearest(sent, k), "question_id long, vec_id long, similarity double")
+        sent = spark.sparkContext.broadcast((own.column("question_id").combine_chunks(), _unit(own.column("embedding").combine_chunks())))
+        best = own_vectors.mapInArrow(_nearest(sent, k, group is not None), schema)
         found = best if found is None else found.union(best)
     if found is None:
-        return spark.createDataFrame([], "question_id long, vec_id long, similarity double, rank int")
-    order = Window.partitionBy("question_id").orderBy(F.col("similarity").desc(), "vec_id")
+        found = spark.createDataFrame([], schema)
+    order = Window.partitionBy("question_id", *(["group"] if group else [])).orderBy(F.col("similarity").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
 
 
@@ -120,68 +142,166 @@ def _unit(lists) -> np.ndarray:
     return np.divide(flat, norm, out=np.zeros_like(flat), where=norm > 0)
 
 
-def _nearest(sent, k: int):
+def _nearest(sent, k: int, grouped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
-        value, which = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        held: dict = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             sims = np.round(q @ _unit(batch.column("embedding")).T, 9)
-            value = np.concatenate((value, sims), axis=1)
-            which = np.concatenate((which, np.broadcast_to(batch.column("vec_id").to_numpy(), sims.shape)), axis=1)
-            order = np.lexsort((which, -value), axis=1)[:, :k]
-            value, which = np.take_along_axis(value, order, 1), np.take_along_axis(which, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, value.shape[1])), pa.array(which.reshape(-1)), pa.array(value.reshape(-1))], ["question_id", "vec_id", "similarity"])
+            names = np.array(batch.column("vec_id").to_pylist())
+            groups = np.array(batch.column("group").to_pylist()) if grouped else np.zeros(len(names), np.int64)
+            for g in np.unique(groups).tolist():
+                own = np.flatnonzero(groups == g)
+                value, which = sims[:, own], np.broadcast_to(names[own], (len(ids), len(own)))
+                if g in held:
+                    value, which = np.concatenate((held[g][0], value), axis=1), np.concatenate((held[g][1], which), axis=1)
+                order = np.lexsort((which, -value), axis=1)[:, :k]
+                held[g] = np.take_along_axis(value, order, 1), np.take_along_axis(which, order, 1)
+        for g, (value, which) in held.items():
+            made = {"question_id": ids.take(pa.array(np.repeat(np.arange(len(ids)), value.shape[1]))), "vec_id": pa.array(which.reshape(-1).tolist()), **({"group": pa.array([g] * which.size)} if grouped else {}), "similarity": pa.array(value.reshape(-1))}
+            yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
     return run
 
 
-def bm25_top_k(questions: DataFrame, chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
+def bm25_top_k(questions: DataFrame, chunks: DataFrame, groups: DataFrame, keys: list[str], k: int, asked: DataFrame | None = None) -> DataFrame:
     """keys, question_id, chunk_id, score, rank: Okapi BM25 over each key's own chunks; k chunks even at score 0.
 
-    Tokens are split at white space, case kept. An idf below zero becomes FLOOR times the mean idf of the
-    key's vocabulary. Only the questions' terms are joined with chunk terms.
+    chunks (chunk_id, content, group) are seen by the keys that `groups` (keys, group) gives; asked (keys,
+    question_id) says which questions each key is asked, all by default. Tokens are split at white space, case
+    kept. An idf below zero becomes FLOOR times the mean idf of the key's vocabulary. Frequencies are counted
+    for groups and then summed for keys. The chunks stay where they are: blocks of TERM_BLOCK questions go to
+    them with their terms' idf, each task multiplies its chunks' term weights with the block and keeps the k
+    best for each key and question, and the tasks' candidates meet for the last ranking.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    own = drop_null_content(chunks, lexical=True).select(*keys, "chunk_id", words(F.col("content")).alias("w"))
-    size = own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_length"))
-    terms = own.select(*keys, "chunk_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(*keys, "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-    spread = terms.groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    idf = spread.join(F.broadcast(size), keys).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = idf.groupBy(*keys).agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.join(F.broadcast(mean), keys).withColumn("idf", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")))
-    asked = questions.select("question_id", F.explode(words(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    wanted = asked.select("term").distinct()
-    scored = terms.join(wanted, "term", "left_semi").join(idf.select(*keys, "term", "idf", "avg_length"), [*keys, "term"]).select(*keys, "chunk_id", "term", (F.col("idf") * tf).alias("part"))
-    hits = scored.join(asked, "term").groupBy(*keys, "question_id", "chunk_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
-    # chunks without any term score 0: k of them a key are enough to fill a list
-    spare = Window.partitionBy(*keys).orderBy("chunk_id")
-    fill = own.withColumn("_n", F.row_number().over(spare)).join(F.broadcast(hits.groupBy(*keys, "question_id").agg(F.count("*").alias("_hits")).groupBy(*keys).agg(F.max("_hits").alias("_hits"))), keys, "left")
-    fill = fill.where(F.col("_n") <= F.coalesce("_hits", F.lit(0)) + k).select(*keys, "chunk_id").join(F.broadcast(questions.select("question_id")))
-    none = fill.join(hits, [*keys, "question_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    order = Window.partitionBy(*keys, "question_id").orderBy(F.col("score").desc(), "chunk_id")
-    both = hits.unionByName(none.select(hits.columns)).withColumn("score", F.round("score", 6))
-    return both.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
-
-
-def rrf_fuse(vector: DataFrame, lexical: DataFrame, keys: list[str], content: str, limit: int, weights=RRF_WEIGHTS, c: int = RRF_C) -> DataFrame:
-    """Reciprocal rank fusion; equal contents merge and add up, the first seen stands for them."""
-    part = lambda df, w, source: df.select(*keys, content, "rank", (F.lit(w) / (F.col("rank") + c)).alias("part"), F.lit(source).alias("source"))
+    own = drop_null_content(chunks, lexical=True).select("chunk_id", "group", words(F.col("content")).alias("w"))
+    named = groups.select(F.to_json(F.struct(*keys)).alias("_key"), "group", *keys)
+    seen = named.select("_key", "group")
+    size = own.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).join(seen, "group")
+    size = size.groupBy("_key").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg_length"))
+    spread = own.select("group", F.explode(F.array_distinct("w")).alias("term")).groupBy("group", "term").agg(F.count("*").alias("df"))
+    idf = spread.join(seen, "group").groupBy("_key", "term").agg(F.sum("df").alias("df")).join(size, "_key")
+    idf = idf.withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    mean = idf.groupBy("_key").agg(F.avg("idf").alias("mean_idf"))
+    terms = questions.select("question_id", F.explode(words(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
+    wanted = terms.select("term").distinct()
+    idf = idf.join(wanted, "term", "left_semi").join(mean, "_key").select("_key", "term", "avg_length", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    pairs = named.select("_key").distinct().crossJoin(questions.select("question_id")) if asked is None else asked.select(F.to_json(F.struct(*keys)).alias("_key"), "question_id").distinct()
+
+    spark = questions.sparkSession
+    blocks = max(1, -(-questions.count() // TERM_BLOCK))
+    part = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    of = lambda df, n: df.where(part == n) if blocks > 1 else df
+    kinds = f"_key string, question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+    scopes = seen.toArrow()  # a row for each group of chunks that a key sees
+    lengths = {r["_key"]: r["avg_length"] for r in size.collect()}
+    found, weights = None, idf.select("_key", "term", "idf").toArrow() if blocks == 1 else None
+    for n in range(blocks):
+        block = TermBlock.of(of(questions, n).select("question_id").toArrow(), of(terms, n).toArrow(), of(pairs, n).toArrow(), scopes, lengths, weights if weights is not None else idf.join(of(terms, n).select("term").distinct(), "term", "left_semi").select("_key", "term", "idf").toArrow())
+        best = own.mapInArrow(_best_terms(spark.sparkContext.broadcast(block), k), kinds)
+        found = best if found is None else found.union(best)
+    order = Window.partitionBy("_key", "question_id").orderBy(F.col("score").desc(), "chunk_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
+    return ranked.join(named.select("_key", *keys).distinct(), "_key").select(*keys, "question_id", "chunk_id", "score", "rank")
+
+
+#: Questions whose terms go to every task at a time.
+TERM_BLOCK = 512
+#: Chunks whose term weights a task holds at a time.
+CHUNK_BLOCK = 512
+
+
+@dataclass
+class TermBlock:
+    """Questions as columns of term counts, and for each key its idf, mean length, groups and questions."""
+
+    ids: pa.Array
+    vocabulary: pa.Array
+    times: np.ndarray
+    names: list[str]
+    idf: list[np.ndarray]
+    length: list[float]
+    asked: list[np.ndarray]
+    seen_by: dict
+
+    @classmethod
+    def of(cls, ids: pa.Table, terms: pa.Table, pairs: pa.Table, scopes: pa.Table, lengths: dict, idf: pa.Table) -> TermBlock:
+        ids, vocabulary = ids.column("question_id").combine_chunks(), pc.unique(terms.column("term").combine_chunks())
+        where = lambda table, name, values: pc.index_in(table.column(name).combine_chunks(), value_set=values).to_numpy(zero_copy_only=False)
+        times = np.zeros((len(vocabulary), len(ids)))
+        times[where(terms, "term", vocabulary), where(terms, "question_id", ids)] = terms.column("times").to_numpy()
+        names = [x for x in pc.unique(scopes.column("_key")).to_pylist() if x in lengths]
+        known = pa.array(names, pa.string())
+        weight = np.zeros((len(names), len(vocabulary)))
+        key, term = where(idf, "_key", known), where(idf, "term", vocabulary)
+        weight[key, term] = idf.column("idf").to_numpy()
+        own, question = where(pairs, "_key", known), where(pairs, "question_id", ids)
+        asked = [np.unique(question[own == i]).astype(np.int64) for i in range(len(names))]
+        seen_by: dict = {}
+        for i, g in zip(where(scopes, "_key", known).tolist(), scopes.column("group").to_pylist(), strict=True):
+            if i == i and len(asked[int(i)]):
+                seen_by.setdefault(g, []).append(int(i))
+        return cls(ids, vocabulary, times, names, list(weight), [lengths[x] for x in names], asked, seen_by)
+
+
+def _best_terms(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = sent.value, {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK_BLOCK):
+                batch = whole.slice(start, CHUNK_BLOCK)
+                batch = batch.take(pc.sort_indices(batch.column("chunk_id")))  # of equal scores the smaller id wins
+                lists, names, groups = batch.column("w"), np.array(batch.column("chunk_id").to_pylist()), np.array(batch.column("group").to_pylist())
+                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                at = pc.index_in(lists.flatten(), value_set=block.vocabulary)
+                row, hit = np.repeat(np.arange(len(size)), size), at.is_valid().to_numpy(zero_copy_only=False)
+                tf = np.zeros((len(size), len(block.vocabulary)))
+                np.add.at(tf, (row[hit], at.drop_null().to_numpy()), 1)
+                for g in np.unique(groups).tolist():
+                    for key in block.seen_by.get(g, ()):
+                        _merge(block, held, key, tf[groups == g], size[groups == g], names[groups == g], k)
+        for key, (value, which) in held.items():
+            ids = block.ids.take(pa.array(np.repeat(block.asked[key], value.shape[1])))
+            yield pa.RecordBatch.from_arrays([pa.array([block.names[key]] * which.size, pa.string()), ids, pa.array(which.reshape(-1).tolist()), pa.array(value.reshape(-1))], ["_key", "question_id", "chunk_id", "score"])
+
+    return run
+
+
+def _merge(block: TermBlock, held: dict, key: int, tf: np.ndarray, size: np.ndarray, names: np.ndarray, k: int) -> None:
+    """Scores some chunks, in order of their ids, for the questions of a key, and keeps the k best of each."""
+    used = np.flatnonzero(tf.any(0))
+    tf = tf[:, used]
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / block.length[key])[:, None]) * block.idf[key][used]
+    scores = np.round((weight @ block.times[np.ix_(used, block.asked[key])]).T, 6)
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    value, which = np.take_along_axis(scores, top, 1), names[top]
+    if key in held:
+        value, which = np.concatenate((held[key][0], value), axis=1), np.concatenate((held[key][1], which), axis=1)
+        top = np.lexsort((which, -value), axis=1)[:, :k]
+        value, which = np.take_along_axis(value, top, 1), np.take_along_axis(which, top, 1)
+    held[key] = value, which
+
+
+def rrf_fuse(vector: DataFrame, lexical: DataFrame, keys: list[str], content: str, limit: int, weights=RRF_WEIGHTS, c: int = RRF_C, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion; equal contents merge and add up, the first seen stands for them, with its `carry` columns."""
+    part = lambda df, w, source: df.select(*keys, content, "rank", (F.lit(w) / (F.col("rank") + c)).alias("part"), F.lit(source).alias("source"), *carry)
     both = part(vector, weights[0], 0).unionByName(part(lexical, weights[1], 1))
-    merged = both.groupBy(*keys, content).agg(F.round(F.sum("part"), 9).alias("score"), F.min(F.struct("source", "rank")).alias("seen"))
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "seen", content)
-    return merged.withColumn("rank", F.row_number().over(order)).where(f"rank <= {limit}").drop("seen")
+    merged = both.groupBy(*keys, content).agg(F.round(F.sum("part"), 9).alias("score"), F.min(F.struct("source", "rank", *carry)).alias("seen"))
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "seen.source", "seen.rank", content)
+    merged = merged.withColumn("rank", F.row_number().over(order)).where(f"rank <= {limit}")
+    return merged.select(*keys, content, "score", *[F.col(f"seen.{x}").alias(x) for x in carry], "rank")
 
 
 def rerank(candidates: DataFrame, keys: list[str], k: int, score: Column) -> DataFrame:
-    """The k best by a pair score; where it fails (NULL) for any candidate, the old order stays uncut."""
+    """The k best by a pair score; where it fails (NULL) for any candidate, the old order stays uncut, with rerank_error."""
     scored = candidates.withColumn("rerank_score", score)
     failed = F.max(F.col("rerank_score").isNull()).over(Window.partitionBy(*keys))
     order = Window.partitionBy(*keys).orderBy(F.when(F.col("_failed"), F.lit(0.0)).otherwise(-F.col("rerank_score")), "rank")
     out = scored.withColumn("_failed", failed).withColumn("new_rank", F.row_number().over(order))
-    return out.where(F.col("_failed") | (F.col("new_rank") <= k)).withColumns({"reranked": ~F.col("_failed"), "rank": F.col("new_rank")}).drop("_failed", "new_rank")
+    return out.where(F.col("_failed") | (F.col("new_rank") <= k)).withColumns({"reranked": ~F.col("_failed"), "rerank_error": F.when(F.col("_failed"), "a candidate has no score"), "rank": F.col("new_rank")}).drop("_failed", "new_rank")
 
 
 def recency_sort(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -198,15 +318,47 @@ def assemble_context(candidates: DataFrame, keys: list[str], k: int) -> DataFram
     return out.withColumn("context", F.array_join(F.transform(F.slice("chunks", 1, k), lambda c: c["content"]), "\n\n---\n\n"))
 
 
-def retrieve(runs: DataFrame, items: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """run_id, query_id, chunk_id, rank: lexical retrieval for every run and question.
+STRATEGIES = ("vector_only", "bm25", "hybrid", "hybrid_reranker")
 
-    Ranked once for each corpus key and question, then handed to all runs of the key.
+
+def retrieve(runs: DataFrame, items: DataFrame, chunks: DataFrame, k: int = 5, embedding: Callable[[str], Column] = embed) -> DataFrame:
+    """run_id, query_id, chunk_id, rank, reranked: each run's chunks for each question, by its retrieval strategy.
+
+    vector_only and unknown strategies rank by cosine, bm25 lexically, hybrid fuses both, hybrid_reranker
+    reranks the fusion and cuts it to k; under recency_biased the newest come first. Each ranking is computed
+    once for a corpus key and question, then handed to all runs of the key. chunks have chunk_id, content and
+    what keys look at.
     """
     keys = ["parsing_strategy", "chunking_strategy", "freshness_policy", "at"]
-    pool = eligible_chunks(corpus_keys(runs, items), chunks).withColumn("at", F.coalesce("at", F.lit(-1)))
-    questions = items.select(F.col("id").alias("question_id"), "question")
-    ranked = bm25_top_k(questions, pool, keys, k)
+    by = [*keys, "question_id"]
+    own = with_group(drop_null_content(chunks))
+    date = F.coalesce(key_date("freshness_policy", "date"), F.lit(-1))
     dated = items.select(F.col("id").alias("question_id"), to_epoch("valid_from").alias("date"))
-    own = ranked.join(dated, "question_id").where(F.col("at") == F.coalesce(key_date("freshness_policy", "date"), F.lit(-1)))
-    return own.join(F.broadcast(runs), keys[:3]).select("run_id", F.col("question_id").alias("query_id"), "chunk_id", "score", "rank")
+    settings = runs.select(*keys[:3]).distinct()
+    asked = dated.crossJoin(F.broadcast(settings)).select(*keys[:3], date.alias("at"), "question_id")  # at most 64 settings
+    # small tables that the plan below reads many times
+    asked = asked.persist()
+    groups = eligible_groups(corpus_keys(runs, items), chunks).withColumn("at", F.coalesce("at", F.lit(-1))).persist()
+    questions = items.select(F.col("id").alias("question_id"), "question")
+
+    lexical = bm25_top_k(questions, own.select("chunk_id", "content", "group"), groups, keys, k, asked)
+    vectors = vector_top_k(questions.withColumn("embedding", embedding("question")), own.select(F.col("chunk_id").alias("vec_id"), embedding("content").alias("embedding"), "group"), k, "group")
+    near = vectors.drop("rank").join(groups, "group").join(asked, by, "left_semi")
+    best = Window.partitionBy(*by).orderBy(F.col("similarity").desc(), "vec_id")
+    vector = near.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select(*by, F.col("vec_id").alias("chunk_id"), "rank")
+
+    texts = own.select("chunk_id", "content", "effective_from")
+    named = lambda df: df.select(*by, "chunk_id", "rank").join(texts, "chunk_id")
+    vector, lexical = named(vector), named(lexical)
+    hybrid = rrf_fuse(vector, lexical, by, "content", 2 * k, carry=("chunk_id", "effective_from"))
+    reranked = rerank(hybrid.join(questions, "question_id"), by, k, score_pairs("question", "content"))
+    lists = [(vector, F.lit(False)), (lexical, F.lit(False)), (hybrid, F.lit(False)), (reranked, F.col("reranked"))]
+    every = None
+    for name, (rows, flag) in zip(STRATEGIES, lists, strict=True):
+        part = rows.select(*by, F.lit(name).alias("strategy"), "chunk_id", "effective_from", "rank", flag.alias("reranked"))
+        every = part if every is None else every.unionByName(part)
+    newest = recency_sort(every.where("freshness_policy = 'recency_biased'"), [*by, "strategy"])
+    every = every.where("coalesce(freshness_policy, '') <> 'recency_biased'").unionByName(newest)
+    strategy = F.when(F.col("retrieval_strategy").isin(*STRATEGIES), F.col("retrieval_strategy")).otherwise("vector_only")
+    wanted = runs.select("run_id", *keys[:3], strategy.alias("strategy"))
+    return every.join(wanted, [*keys[:3], "strategy"]).select("run_id", F.col("question_id").alias("query_id"), "chunk_id", "rank", "reranked")

@@ -26,7 +26,8 @@ def config_matrix(spark: SparkSession, axes: dict[str, list[str]] | None = None)
 
 
 def validate_configs(specs: DataFrame) -> DataFrame:
-    """(position, error) of bad specs; defaults are filled before duplicates are looked for."""
+    """(position, error) of bad specs; defaults are filled before duplicates are looked for. No spec at all is one
+    error without position; `unknown_fields` (an array), if there, names what a spec has beyond the known ones."""
     filled = specs.na.fill({"top_k": DEFAULT_TOP_K, "llm_model": DEFAULT_MODEL})
     bad = [F.when(~F.coalesce(F.col(a).isin(*values), F.lit(False)), F.concat(F.lit(f"{a}: "), F.coalesce(a, F.lit("missing")))) for a, values in AXES.items()]
     bad.append(F.when(F.col("top_k") < 1, "top_k below 1"))
@@ -34,7 +35,11 @@ def validate_configs(specs: DataFrame) -> DataFrame:
     first = F.first("position").over(same)
     bad.append(F.when(F.col("_first") < F.col("position"), F.concat(F.lit("same as "), F.col("_first").cast("string"))))
     bad.append(F.when(F.col("position") >= MOST_CONFIGS, "too many"))
-    return filled.withColumn("_first", first).select("position", F.explode(F.array_compact(F.array(*bad))).alias("error"))
+    if "unknown_fields" in specs.columns:
+        bad.append(F.when(F.size("unknown_fields") > 0, F.concat(F.lit("unknown: "), F.array_join("unknown_fields", ", "))))
+    none = specs.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast(specs.schema["position"].dataType).alias("position"), F.lit("no configuration").alias("error"))
+    found = filled.withColumn("_first", first).select("position", F.explode(F.array_compact(F.array(*bad))).alias("error"))
+    return found.unionByName(none)
 
 
 def plan_runs(configs: DataFrame, items: DataFrame) -> DataFrame:

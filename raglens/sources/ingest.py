@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from raglens.functions.scalars import is_blank, stripped
+
 #: Fixed values.
 FILE_TYPES = {".pdf": "pdf", ".docx": "docx", ".doc": "docx", ".xlsx": "xlsx", ".csv": "csv", ".html": "html", ".htm": "html"}
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
@@ -27,10 +29,15 @@ def read_eval_set_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_eval_row(rows: DataFrame) -> DataFrame:
-    """CSV cells of evaluation items: lists split at `;`, booleans by word, empty cells absent."""
+    """CSV cells of evaluation items: lists split at `;`, booleans by word, empty cells absent. Evidence that starts
+    with a brace is an object (evidence_object, of texts), or invalid; any other is text."""
     docs = F.filter(F.transform(F.split("source_docs", ";"), lambda x: F.trim(x)), lambda x: x != "")
     yes = F.lower(F.trim("answerable"))
     flag = F.when(yes.isin("true", "1", "yes", "y"), True).when(yes.isin("false", "0", "no", "n"), False)
+    if "evidence" in rows.columns:
+        brace = F.coalesce(stripped("evidence").startswith("{"), F.lit(False))
+        parsed = F.when(brace, F.from_json("evidence", "map<string,string>"))
+        rows = rows.withColumns({"evidence_object": parsed, "evidence_valid": ~brace | F.get_json_object("evidence", "$").isNotNull(), "evidence": F.when(~is_blank("evidence"), F.col("evidence"))})
     return rows.withColumns({"source_docs": docs, "answerable_valid": flag.isNotNull() | (F.coalesce(yes, F.lit("")) == ""), "answerable": flag})
 
 
@@ -125,6 +132,31 @@ def parse_elements(elements: DataFrame, strategy: str) -> DataFrame:
     return elements.where(F.col("chunk_type").isin(*kinds, "spreadsheet_cell"))
 
 
+#: The readers of file types; the others have none.
+READERS = {"html": "html", "csv": "csv", "xlsx": "sheet", "pdf": "pages", "docx": "pages"}
+
+
+def dispatch_elements(files: DataFrame, pages: DataFrame, sheets: DataFrame, rows: DataFrame, described: DataFrame, strategy: str, max_pages: int = 50) -> DataFrame:
+    """doc_id, elem_idx, content, chunk_type, error: each file's elements by its reader, as the strategy keeps them.
+
+    files (doc_id, filename); pages (doc_id, html) and sheets, rows, described as the readers take them; rows
+    (doc_id, row_no, names, values) are CSV cells. A file of no known type is one row with an error and no content.
+    """
+    own = files.select("doc_id", detect_file_type("filename").alias("file_type"), suffix("filename").alias("suffix"))
+    of = lambda df, *kinds: df.join(own.where(F.col("file_type").isin(*kinds)).select("doc_id"), "doc_id", "left_semi")
+    shape = lambda df, at, kind: df.select("doc_id", F.col(at).cast("int").alias("elem_idx"), "content", kind.alias("chunk_type"))
+    html = shape(html_to_elements(of(pages, "html", "pdf", "docx"), key="doc_id"), "elem_idx", F.col("chunk_type"))
+    sheet = sheet_rows_to_elements(of(sheets, "xlsx"))
+    sheet = shape(sheet, "row_no", F.col("chunk_type"))
+    pairs = F.filter(F.arrays_zip("names", "values"), lambda x: ~is_blank(x["values"]))
+    text = F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), F.array_join(F.transform(pairs, lambda x: F.concat(x["names"], F.lit("="), x["values"])), ", "))
+    cells = shape(of(rows, "csv").withColumn("content", text), "row_no", F.lit("spreadsheet_cell"))
+    images = shape(page_descriptions_to_elements(of(described, "pdf"), max_pages), "page", F.lit("image"))
+    found = parse_elements(html.unionByName(sheet).unionByName(cells).unionByName(images), strategy).withColumn("error", F.lit(None).cast("string"))
+    bad = own.where(~F.col("file_type").isin(*READERS)).select("doc_id", F.lit(None).cast("int").alias("elem_idx"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("chunk_type"), F.concat(F.lit("no reader for "), F.coalesce(F.nullif("suffix", F.lit("")), F.lit("a file without suffix"))).alias("error"))
+    return found.unionByName(bad)
+
+
 def replace_document_chunks(store: DataFrame, new: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """Deletes all chunks of the documents, then adds the new ones: the same under any number of retries."""
     return store.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
@@ -143,4 +175,9 @@ def scan_chunks(store: DataFrame, doc_ids: DataFrame | None = None) -> DataFrame
 
 
 def list_documents(documents: DataFrame) -> DataFrame:
-    return documents.orderBy(F.col("effective_from").desc_nulls_last(), "doc_id")
+    """Documents (doc_id, metadata, created_at, parse_status) newest first, with parsing_strategy from the metadata."""
+    return documents.withColumn("parsing_strategy", F.col("metadata")["strategy"]).orderBy(F.col("created_at").desc_nulls_last(), "doc_id")
+
+
+def done_count(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count_if(F.col("parse_status") == "done").alias("done"), F.count("*").alias("documents"))

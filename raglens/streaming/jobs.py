@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raglens.functions.scalars import is_ok
 from raglens.operators.chunking import chunk_fixed
 from raglens.operators.diagnosis import diagnose
 from raglens.operators.lifecycle import experiment_status
 from raglens.sources.ingest import replace_document_chunks
 
 
-def run_health(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Counts of events and errors and mean value for each window; batch and stream alike."""
+def run_health(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
+    """For each run (`by`) and window: queries, errors, cost and latency of the answers; batch and stream alike.
+
+    events: ts, status, cost_usd, latency_ms and the columns of `by`.
+    """
     own = events.withColumn("ts", F.col("ts").cast("timestamp"))
     own = own.withWatermark("ts", late) if own.isStreaming else own
-    agg = own.groupBy(F.window("ts", window, slide or window)).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("value"))
-    return agg.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "errors", "value")
+    ok, keys = is_ok(), by or []
+    agg = own.groupBy(*keys, F.window("ts", window, slide or window)).agg(F.count("*").alias("n"), F.count_if(~ok).alias("errors"), F.round(F.sum(F.when(ok, F.col("cost_usd"))), 9).alias("cost_usd"), F.round(F.avg(F.when(ok, F.col("latency_ms"))), 9).alias("latency_ms"))
+    return agg.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "errors", "cost_usd", "latency_ms")
 
 
 def run_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -27,21 +32,40 @@ def run_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 min
     return agg.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+BUCKETS = 64
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target, files = _path(spark, path)
+    return files.exists(target)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target, files = _path(spark, path)
+    files.delete(target, True)
+
+
 def stream_ingest(documents: DataFrame, store: str, checkpoint: str):
     """New documents to chunks. A batch replaces its documents' chunks, so a repeated batch changes nothing."""
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = chunk_fixed(batch.dropDuplicates(["doc_id"])).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-        touched = new.select("bucket").distinct()
-        try:
-            old = spark.read.parquet(store).join(F.broadcast(touched), "bucket", "left_semi")
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+        new = chunk_fixed(batch.dropDuplicates(["doc_id"])).withColumn("bucket", bucket)
+        # from the documents, not from their chunks: an emptied document has none, but loses its old ones
+        touched = batch.select(bucket.alias("bucket")).distinct()
+        if _exists(spark, store):
+            old = spark.read.parquet(store).join(F.broadcast(touched), "bucket", "left_semi")  # BUCKETS rows at most
             new = replace_document_chunks(old.select(new.columns), new, batch.select("doc_id"))
-        except Exception as e:  # noqa: BLE001 - the first batch has no store to read
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new = new.checkpoint()  # the store that it reads is written next
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(store)
+        for row in touched.join(new.select("bucket").distinct(), "bucket", "left_anti").collect():
+            _delete(spark, f"{store}/bucket={row['bucket']}")  # nothing is left of it, so that nothing was overwritten
 
     return documents.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
 
@@ -53,11 +77,35 @@ def stream_evaluate(results: DataFrame, items: DataFrame, out: str, checkpoint:
     return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def latest_runs(rows: DataFrame) -> DataFrame:
+    """Each run's latest row by ts; of equal times any further state goes before an earlier one."""
+    state = F.struct("ts", F.col("diagnosed_at").isNotNull(), F.col("evaluated_at").isNotNull(), "status", "evaluated_at", "diagnosed_at")
+    return rows.groupBy("experiment_id", "run_id").agg(F.max(state).alias("r")).select("experiment_id", "run_id", "r.ts", "r.status", "r.evaluated_at", "r.diagnosed_at")
+
+
 def stream_experiment_status(run_events: DataFrame, out: str, checkpoint: str):
-    """Run events to experiment states; a batch holds the latest row of each run, its result is keyed by batch."""
+    """Run events (experiment_id, run_id, ts, status, evaluated_at, diagnosed_at) to changes of experiment states.
+
+    The latest row of each run stays in `out`/runs, the state last emitted in `out`/states, a folder a batch each;
+    a batch reads those of the batch before, so that a repeated one changes nothing. `out`/changes/batch=n has
+    the experiments whose state is new: each state, done too, is emitted once.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("experiment_id", "run_id").agg(F.max_by(F.struct("status", "evaluated_at", "diagnosed_at"), "ts").alias("r")).select("experiment_id", "run_id", "r.*")
-        experiment_status(latest).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark, rows = batch.sparkSession, batch.select("experiment_id", "run_id", "ts", "status", "evaluated_at", "diagnosed_at")
+        before = batch_id - 1
+        known = _exists(spark, f"{out}/states/batch={before}")
+        if known:
+            rows = spark.read.parquet(f"{out}/runs/batch={before}").unionByName(rows)
+        latest_runs(rows).write.mode("overwrite").parquet(f"{out}/runs/batch={batch_id}")
+        states = experiment_status(spark.read.parquet(f"{out}/runs/batch={batch_id}"))
+        states.write.mode("overwrite").parquet(f"{out}/states/batch={batch_id}")
+        states = spark.read.parquet(f"{out}/states/batch={batch_id}")
+        if known:
+            old = spark.read.parquet(f"{out}/states/batch={before}").withColumnRenamed("next_status", "old")
+            states = states.join(old, "experiment_id", "left").where("not next_status <=> old").drop("old")
+        states.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
+        for name in ("runs", "states"):
+            _delete(spark, f"{out}/{name}/batch={batch_id - 2}")
 
     return run_events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -69,9 +69,10 @@ def test_chunks(spark):
 
 
 def test_bm25_keeps_chunks_without_hits(spark):
-    chunks = spark.createDataFrame([(1, "a", "x y"), (1, "b", "x x z"), (1, "c", "w")], "key int, chunk_id string, content string")
+    chunks = spark.createDataFrame([(1, "a", "x y"), (1, "b", "x x z"), (1, "c", "w")], "group int, chunk_id string, content string")
+    groups = spark.createDataFrame([(7, 1)], "key int, group int")
     questions = spark.createDataFrame([("q", "z z")], "question_id string, question string")
-    got = retrieval.bm25_top_k(questions, chunks, ["key"], 2).orderBy("rank").collect()
+    got = retrieval.bm25_top_k(questions, chunks, groups, ["key"], 2).orderBy("rank").collect()
     assert [r["chunk_id"] for r in got] == ["b", "a"] and got[0]["score"] > 0 and got[1]["score"] == 0
 
 
