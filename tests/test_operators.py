@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from raglens.operators import accounting, chunking, diagnosis, evalsets, lifecycle, reporting, retrieval
+from raglens.operators import accounting, chunking, diagnosis, evalsets, lifecycle, metrics, ranking, reporting, retrieval
 from raglens.plans import configs
 from raglens.sources import ingest
 from raglens.streaming import jobs
@@ -100,13 +100,13 @@ def test_valid_items_have_no_rows(spark):
 def test_stream_equals_batch(spark, tmp_path):
     from pyspark.sql import types as T
 
-    rows = [(i, f"2024-01-01 {i % 5:02d}:00:00", i % 3, "error" if i % 4 == 0 else "view", 1.0) for i in range(40)]
-    batch = spark.createDataFrame(rows, "event_id int, t string, user_id int, event_type string, value double").withColumn("ts", F.to_timestamp("t")).drop("t")
+    rows = [(f"r{i % 3}", f"2024-01-01 {i % 5:02d}:00:00", "error" if i % 4 == 0 else "ok", 0.25, float(i)) for i in range(40)]
+    batch = spark.createDataFrame(rows, "run_id string, t string, status string, cost_usd double, latency_ms double").withColumn("ts", F.to_timestamp("t")).drop("t")
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(T.StructType(batch.schema.fields)).parquet(str(tmp_path / "in"))
-    query = jobs.run_health(stream).writeStream.outputMode("complete").format("memory").queryName("health").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = jobs.run_health(stream, by=["run_id"]).writeStream.outputMode("complete").format("memory").queryName("health").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
-    assert sorted(map(str, spark.table("health").collect())) == sorted(map(str, jobs.run_health(batch).collect()))
+    assert sorted(map(str, spark.table("health").collect())) == sorted(map(str, jobs.run_health(batch, by=["run_id"]).collect()))
 
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
@@ -147,13 +147,13 @@ def test_a_fault_keeps_the_whole_set_out(spark):
 
 
 def test_stream_evaluate_equals_batch(spark, tmp_path):
-    schema = "run_id string, query_id string, status string, ts timestamp, faithfulness double, context_recall double, context_precision double, answer_correctness double, retrieved_chunks array<struct<rank:int,filename:string,doc_version:string,chunk_type:string,effective_from:long,effective_to:long>>"
+    schema = "run_id string, query_id string, status string, ts timestamp, faithfulness double, context_recall double, context_precision double, answer_correctness double, retrieved_chunks array<struct<rank:int,filename:string,doc_version:string,chunk_type:string,effective_from:long,effective_to:long,source:string>>"
     at = Q - Q % 86400
     from datetime import datetime
 
-    rows = [(f"r{i % 2}", f"q{i % 4}", "error" if i == 3 else "ok", datetime(2024, 1, 1), i / 10, 0.9, 0.9, 0.2, [(1, "f", "v1", "text", at - 10, at - 5)]) for i in range(8)]
+    rows = [(f"r{i % 2}", f"q{i % 4}", "error" if i == 3 else "ok", datetime(2024, 1, 1), i / 10, 0.9, 0.9, 0.2, [(1, "f", "v1", "text", at - 10, at - 5, None)]) for i in range(8)]
     results = spark.createDataFrame(rows, schema).dropDuplicates(["run_id", "query_id"])
-    items = spark.createDataFrame([(f"q{i}", "2024-06-01" if i else None, "text", None, None) for i in range(4)], "id string, valid_from string, modality string, expected_version string, failure_type string")
+    items = spark.createDataFrame([(f"q{i}", "2024-06-01" if i else None, "text", None, None, None) for i in range(4)], "id string, valid_from string, modality string, source_docs array<string>, expected_version string, failure_type string")
     results.coalesce(1).write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         jobs.stream_evaluate(spark.readStream.schema(results.schema).parquet(str(tmp_path / "in")), items, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
@@ -161,10 +161,90 @@ def test_stream_evaluate_equals_batch(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, want.collect()))
 
 
-def test_stream_status_takes_the_latest_row_of_each_run(spark, tmp_path):
-    rows = [("e", "r1", "running", 1, None, None), ("e", "r1", "done", 2, 5, 6), ("e", "r2", "failed", 1, None, None), ("f", "r3", "running", 1, None, None)]
-    events = spark.createDataFrame(rows, "experiment_id string, run_id string, status string, ts long, evaluated_at long, diagnosed_at long")
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    jobs.stream_experiment_status(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
-    got = {r["experiment_id"]: r["next_status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {"e": "done", "f": None}
+def test_stream_status_keeps_runs_over_batches(spark, tmp_path):
+    """A batch that lacks a run still counts it, and each state is emitted once."""
+    schema = "experiment_id string, run_id string, ts long, status string, evaluated_at long, diagnosed_at long"
+    batches = [
+        [("e", "r1", 1, "running", None, None), ("e", "r1", 2, "done", 5, 6), ("e", "r2", 1, "running", None, None), ("f", "r3", 1, "running", None, None)],
+        [("e", "r2", 3, "running", None, None)],
+        [("e", "r2", 4, "done", 7, 8), ("e", "r1", 0, "pending", None, None)],
+        [("e", "r2", 5, "done", 7, 8), ("f", "r3", 2, "failed", None, None)],
+    ]
+    seen = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema(spark.createDataFrame([], schema).schema).parquet(str(tmp_path / "in"))
+        jobs.stream_experiment_status(events, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+        seen.append({r["experiment_id"]: r["next_status"] for r in spark.read.parquet(str(tmp_path / "out" / "changes" / f"batch={k}")).collect()})
+    assert seen == [{"e": None, "f": None}, {}, {"e": "done"}, {"f": "failed"}]
+
+
+def test_emptied_documents_lose_their_chunks(spark, tmp_path):
+    schema = "doc_id long, text string"
+    for rows in ([(1, "x" * 600), (2, "y" * 600)], [(1, ""), (2, "z" * 100)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        docs = spark.readStream.schema(spark.createDataFrame([], schema).schema).parquet(str(tmp_path / "in"))
+        jobs.stream_ingest(docs, str(tmp_path / "store"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+    assert [(r["doc_id"], r["content"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()] == [(2, "z" * 100)]
+
+
+def test_grounding_counts_source_documents_only(spark):
+    chunk = "array<struct<chunk_type:string,filename:string,effective_from:long,effective_to:long>>"
+    results = spark.createDataFrame([("r", "a", "ok", [("table", "f", None, None)]), ("r", "b", "ok", [("table", "f", None, None)]), ("r", "c", "ok", [(None, "g", None, None), ("image", "g", None, None)]), ("r", "d", "ok", [("text", "g", None, None)])], f"run_id string, query_id string, status string, retrieved_chunks {chunk}")
+    items = spark.createDataFrame([("a", None, "table", ["g"]), ("b", None, "table", ["f"]), ("c", None, "mixed", None), ("d", None, "chart", [])], "id string, valid_from string, modality string, source_docs array<string>")
+    assert metrics.with_items(results, items).agg(metrics.multimodal_grounding_rate().alias("x")).first()["x"] == 0.5
+
+
+def test_new_metrics_take_the_place_of_old_ones(spark):
+    schema = "run_id string, faithfulness double, diagnostic_accuracy double"
+    got = metrics.upsert_run_metrics(spark.createDataFrame([("r", 0.5, 0.9), ("s", 0.1, 0.2)], schema), spark.createDataFrame([("r", None, None)], schema)).collect()
+    assert sorted(map(tuple, got)) == [("r", None, 0.9), ("s", 0.1, 0.2)]
+
+
+def test_headings_and_blanks(spark):
+    lines = ["Section 2.1 applies here", "GPT4 2024", "Section 1 – Definitions.", "INTRODUCTION", "## Two", "Section 2(a)(1)", "Article 7: x"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").orderBy("i").select(F.col("x").rlike(chunking.HEADING)).collect()]
+    assert got == [False, False, True, True, True, False, True]
+    assert chunking.chunk_fixed(spark.createDataFrame([(1, "\n\t" * 300)], "doc_id long, text string")).count() == 0
+
+
+def test_untagged_text_serves_the_recursive_strategy(spark):
+    chunks = spark.createDataFrame([("text", None), ("table", "fixed")], "chunk_type string, chunk_strategy string")
+    names = spark.createDataFrame([("fixed",), ("recursive",)], "strategy string")
+    found = lambda df: {r["strategy"]: r["reason"] for r in retrieval.strategy_not_indexed(df, names).collect()}
+    assert found(chunks) == {"fixed": "not indexed", "recursive": None}
+    assert found(chunks.where("chunk_type = 'table'")) == {"fixed": None, "recursive": None}
+
+
+def test_each_strategy_retrieves_in_its_own_way(spark):
+    """Unknown strategies act as vector_only, unknown parsing sees all types, the newest come first under recency_biased."""
+    chunks = [("a", "cat cat cat", "text", 30), ("b", "dog dog", "text", 20), ("c", "cat dog", "image", 10), ("d", "mouse", "image", 5), ("e", "mouse", "image", 4)]
+    chunks = spark.createDataFrame([(i, t, k, "recursive", f, None) for i, t, k, f in chunks], "chunk_id string, content string, chunk_type string, chunk_strategy string, effective_from long, effective_to long")
+    items = spark.createDataFrame([("q", "cat", None)], "id string, question string, valid_from string")
+    settings = [("r1", "vector_only", "text_only", "none"), ("r2", "bm25", "text_only", "none"), ("r3", "hybrid", "text_only", "none"), ("r4", "hybrid_reranker", "text_only", "none"), ("r5", "magic", "any", "none"), ("r6", "bm25", "any", "recency_biased")]
+    runs = spark.createDataFrame([(r, s, p, "recursive", f) for r, s, p, f in settings], "run_id string, retrieval_strategy string, parsing_strategy string, chunking_strategy string, freshness_policy string")
+    count = lambda t: F.array(*[F.size(F.split(t, w)).cast("double") - 1 for w in ("cat", "dog", "mouse")])
+    got = retrieval.retrieve(runs, items, chunks, 2, count).orderBy("run_id", "rank").collect()
+    lists = {}
+    for r in got:
+        lists.setdefault(r["run_id"], []).append(r["chunk_id"])
+    assert lists == {"r1": ["a", "b"], "r2": ["a", "b"], "r3": ["a", "b"], "r4": ["a", "b"], "r5": ["a", "c"], "r6": ["a", "c"]}
+    assert {r["run_id"] for r in got if r["reranked"]} == {"r4"}
+
+
+def test_a_comparison_names_what_is_missing(spark):
+    schema = "run_id string, retrieval_strategy string, chunking_strategy string, parsing_strategy string, freshness_policy string"
+    base, other = ("b", *ranking.BASELINE.values()), ("r", "hybrid", "recursive", "text_only", "none")
+    values = "run_id string, " + ", ".join(f"{m} double" for m in ranking.SORTABLE)
+    scored = spark.createDataFrame([("b", *[0.5] * 9), ("r", *[0.6] * 8, None)], values)
+    error = lambda rows, target=None: ranking.baseline_comparison(spark.createDataFrame(rows, schema), scored, target).first()
+    assert error([other])["error"] == "no_baseline" and error([base])["error"] == "no_other_runs" and error([base, other], "x")["error"] == "unknown_target"
+    good = error([base, other])
+    assert (good["run_id"], good["improvements"], good["regressions"], good["not_compared"], good["top_change"]) == ("r", 7, 1, 1, 20.0)
+
+
+def test_an_empty_or_overlong_set_is_one_fault(spark):
+    schema = "ord int, id string, question string, ground_truth string"
+    assert [r["message"] for r in evalsets.validate_eval_items(spark.createDataFrame([], schema)).collect()] == ["no items"]
+    many = spark.range(evalsets.MOST_ITEMS + 1).select(F.col("id").cast("int").alias("ord"), F.lit(None).cast("string").alias("id"), F.lit("q").alias("question"), F.lit("t").alias("ground_truth"))
+    assert [r["message"] for r in evalsets.validate_eval_items(many).collect()] == ["too many items"]
