@@ -1,10 +1,10 @@
 """Benchmark decontamination by an FM-index over each shard of the training documents.
 
-A shard is a slice of a task's documents. Its words become the ids of the
-benchmark's vocabulary; only stretches whose every few words in a row also
-stand in a row in some benchmark item can hold an occurrence, and just these
-are indexed. All distinct test phrases are then searched backwards at once
-through wavelet-matrix ranks, occurrences are located by sampled suffix
+A shard is what a task reads, up to SHARD_BYTES of it. Its words become the ids
+of the benchmark's vocabulary; only stretches whose every few words in a row
+also stand in a row in some benchmark item can hold an occurrence, and just
+these are indexed. All distinct test phrases are then searched backwards at
+once through wavelet-matrix ranks, occurrences are located by sampled suffix
 positions, and their spans are merged for each document.
 
 The test phrases go to the workers in slices of at most `most_bytes` benchmark
@@ -27,6 +27,8 @@ from raglens.llm.words import ALNUM, LEAN_SLICE_BYTES, U64, grams, ragged, slice
 
 WINDOW = 10
 MOST_BYTES = 16 << 20
+#: Text of one shard, about.
+SHARD_BYTES = 32 << 20
 _FILTER_BITS = 20
 
 
@@ -73,12 +75,12 @@ class Phrases:
         return cls(vocabulary, symbols, np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64), length, items.column("item_id").to_pylist(), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), order, runs, run_filter)
 
 
-def find(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word place) of every occurrence in documents whose words start at `first`."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def stretches(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start and length, in words, of what can hold an occurrence in documents whose words start at `first`, and its symbols."""
+    none = np.zeros(0, np.int64)
     q, least = phrases.order, int(phrases.lengths.min(initial=WINDOW))
     if len(phrases.lengths) == 0 or len(hashes) < q:
-        return none
+        return none, none, none
     key = grams(hashes, q)
     hit = np.flatnonzero(phrases.run_filter[key >> U64(64 - _FILTER_BITS)])
     at = np.minimum(np.searchsorted(phrases.runs, key[hit]), len(phrases.runs) - 1)
@@ -86,17 +88,19 @@ def find(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> tuple[np.nd
     row = np.searchsorted(first, hit, side="right") - 1
     hit, row = (x[hit + q <= first[row + 1]] for x in (hit, row))
     if len(hit) == 0:
-        return none
+        return none, none, none
     new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1])))
     begin = np.flatnonzero(new)
     start, length = hit[begin], np.diff(np.append(begin, len(hit))) + q - 1
     start, length = start[length >= least], length[length >= least]
+    return start, length, np.searchsorted(phrases.vocabulary, hashes[ragged(start, length)]) + 1
+
+
+def occurrences(phrases: Phrases, start: np.ndarray, length: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, word place) of every occurrence in the stretches of a shard."""
     if len(start) == 0:
-        return none
-    places = ragged(start, length)
-    symbols = np.searchsorted(phrases.vocabulary, hashes[places]) + 1
-    offsets = np.concatenate(([0], np.cumsum(length)[:-1]))
-    index = FMIndex(symbols, offsets, len(phrases.vocabulary) + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    index = FMIndex(symbols, np.concatenate(([0], np.cumsum(length)[:-1])), len(phrases.vocabulary) + 1)
     lo, hi = index.search(phrases.symbols, phrases.starts, phrases.lengths)
     window = np.repeat(np.arange(len(lo)), hi - lo)
     where = index.locate(ragged(lo, hi - lo))
@@ -104,10 +108,9 @@ def find(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> tuple[np.nd
     return window, start[stretch] + where - index.first[stretch]
 
 
-def spans_of(phrases: Phrases, hashes: np.ndarray, first: np.ndarray):
-    """Merged word spans (row, start, end) and distinct (row, item) of a slice of documents."""
-    window, place = find(phrases, hashes, first)
-    cover = np.zeros(len(hashes) + 1, np.int64)
+def spans_of(phrases: Phrases, window: np.ndarray, place: np.ndarray, first: np.ndarray):
+    """Merged word spans (row, start, end) and distinct (row, item) of a shard's documents."""
+    cover = np.zeros(int(first[-1]) + 1, np.int32)
     np.add.at(cover, place, 1)
     np.add.at(cover, place + phrases.lengths[window], -1)
     inside = np.cumsum(cover[:-1]) > 0
@@ -127,6 +130,45 @@ def spans_of(phrases: Phrases, hashes: np.ndarray, first: np.ndarray):
     return np.searchsorted(first, start, side="right") - 1, start, end, pairs[:, 0], pairs[:, 1]
 
 
+class Shard:
+    """A task's documents until they are searched together."""
+
+    def __init__(self, phrases: Phrases, names: list[str]):
+        self.phrases, self.names = phrases, names
+        self._empty()
+
+    def _empty(self) -> None:
+        self.rows, self.counts, self.found, self.words, self.size = [], [], [], 0, 0
+
+    def add(self, rows: pa.RecordBatch, part) -> None:
+        words = words_of(part, ALNUM, lower=True)
+        start, length, symbols = stretches(self.phrases, words.hashes, words.first)
+        self.found.append((start + self.words, length, symbols))
+        self.rows.append(rows)
+        self.counts.append(words.counts)
+        self.words, self.size = self.words + int(words.first[-1]), self.size + len(part.data)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """The documents with n_words, starts, ends and items."""
+        if not self.rows:
+            return
+        phrases = self.phrases
+        first = np.concatenate(([0], np.cumsum(np.concatenate(self.counts))))
+        window, place = occurrences(phrases, *(np.concatenate([f[k] for f in self.found]) for k in range(3)))
+        row, start, end, with_item, item = spans_of(phrases, window, place, first)
+        titles = np.array([*phrases.items, None], object)
+        begin = 0
+        for rows, counts in zip(self.rows, self.counts, strict=True):
+            n = begin + np.arange(len(counts) + 1)
+            at, own = np.searchsorted(row, n).astype(np.int32), np.searchsorted(with_item, n).astype(np.int32)
+            base = first[row[at[0] : at[-1]]]
+            lists = [pa.ListArray.from_arrays(at - at[0], pa.array((x[at[0] : at[-1]] - base).astype(np.int32))) for x in (start, end)]
+            named = pa.ListArray.from_arrays(own - own[0], pa.array(titles[item[own[0] : own[-1]]].tolist(), pa.string()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in self.names), pa.array(counts), *lists, named], [*self.names, "n_words", "starts", "ends", "items"])
+            begin += len(counts)
+        self._empty()
+
+
 FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
@@ -136,22 +178,13 @@ def find_spans(docs: DataFrame, phrases: Phrases, text: str = "text") -> DataFra
     names = beside(docs, ["n_words", "starts", "ends", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = sent.value
+        shard = Shard(sent.value, names)
         for batch in batches:
             for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
-                words = words_of(part, ALNUM, lower=True)
-                row, start, end, with_item, item = spans_of(phrases, words.hashes, words.first)
-                n = np.arange(len(part) + 1)
-                at = np.searchsorted(row, n).astype(np.int32)
-                base = words.first[row]
-                titles = pa.array([phrases.items[k] for k in item], pa.string())
-                made = [
-                    pa.array(words.counts),
-                    pa.ListArray.from_arrays(at, pa.array((start - base).astype(np.int32))),
-                    pa.ListArray.from_arrays(at, pa.array((end - base).astype(np.int32))),
-                    pa.ListArray.from_arrays(np.searchsorted(with_item, n).astype(np.int32), titles),
-                ]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *made], [*names, "n_words", "starts", "ends", "items"])
+                shard.add(rows, part)
+                if shard.size >= SHARD_BYTES:
+                    yield from shard.close()
+        yield from shard.close()
 
     return docs.mapInArrow(tidy(run), schema_of(docs, names, FOUND))
 
