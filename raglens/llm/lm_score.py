@@ -5,7 +5,7 @@ pre-aggregate their own pairs, and ranges of the hash space meet in one task
 each. A count c is held as its level, 1 + floor(log_1.5 c): the filter gets an
 entry for each level up to it, so reading a count means probing level after
 level until one is missing. Each hash range fills its own block of the filter,
-ten bits an entry, so the filter grows with the entries and no count is dropped.
+twelve bits an entry, so the filter grows with the entries and no count is dropped.
 The blocks stay in a table: each slice of the texts sends its distinct keys to
 the blocks, and their levels come back to it. Probabilities discount each pair
 by one occurrence and give what that frees, as measured for each level of the
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raglens.llm.shared import beside, column, partitions, schema_of, written
+from raglens.llm.shared import beside, column, partitions, schema_of, scratch, written
 from raglens.llm.words import SLICE_BYTES, SPACED, U64, mix, ragged, slices, text_of, words_of
 
 LOG_BASE = 1.5
 LEVELS = 64
-PROBES = 4
-BITS_AN_ENTRY = 10
+PROBES = 5
+BITS_AN_ENTRY = 12
 #: The largest number of tokens whose exact counts are sent along.
 MOST_EXACT = 1 << 20
 RANGE_TOKENS = 1 << 21
@@ -140,6 +140,22 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").reshape(-1).astype(U64)
 
 
+def short_keys(keys: np.ndarray) -> np.ndarray:
+    """40 bits of each key: what the filter of its hash range holds, and what is sent to ask it."""
+    return mix(keys) >> U64(24)
+
+
+def short_planes(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].T).tobytes()
+
+
+def from_short_planes(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(5, -1)
+    whole = np.zeros((rows.shape[1], 8), np.uint8)
+    whole[:, 3:] = rows.T
+    return whole.view(">u8").reshape(-1).astype(U64)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order].astype(np.int64)
@@ -177,7 +193,7 @@ def _size(rows: DataFrame, text: str) -> int:
 
 @dataclass
 class Probes:
-    """A slice's distinct keys by hash range, and where its places find their levels."""
+    """A slice's distinct keys, short, their hash ranges, their order by range and key, and where places find their levels."""
 
     keys: np.ndarray
     part: np.ndarray
@@ -196,7 +212,8 @@ def probes_of(tokens: np.ndarray, before: np.ndarray, first: np.ndarray, ranges:
     pairs, pair = np.unique(pair_keys(before, tokens), return_inverse=True)
     keys = np.concatenate((single ^ _SINGLE, pairs))
     part = (keys >> U64(64 - _bits(ranges))).astype(np.int32) if ranges > 1 else np.zeros(len(keys), np.int32)
-    order = np.argsort(part, kind="stable")
+    keys = short_keys(keys)
+    order = np.lexsort((keys, part))
     return Probes(keys, part, order, token, context, pair + len(single))
 
 
@@ -223,7 +240,7 @@ def train(rows: DataFrame, text: str = "text", most_exact: int = MOST_EXACT) ->
             found.append(_summed(np.concatenate([np.zeros(0, U64), *map(from_planes, own["keys"])]), np.frombuffer(b"".join(own["counts"]), "<u4")))
         (keys, counts), (pairs, pair_counts) = found
         every, count = np.concatenate((keys ^ _SINGLE, pairs)), np.concatenate((counts, pair_counts))
-        block, _ = _filled(every, count, max(1 << 10, -(-int(level_of(count).sum()) * BITS_AN_ENTRY // 8) * 8))
+        block, _ = _filled(short_keys(every), count, max(1 << 10, -(-int(level_of(count).sum()) * BITS_AN_ENTRY // 8) * 8))
         levels = np.bincount(level_of(counts), minlength=LEVELS)[:LEVELS]
         context, which = np.unique(pairs & _LOW, return_inverse=True)
         mass = np.bincount(which, pair_counts / TYPICAL[level_of(pair_counts)], len(context))
@@ -235,7 +252,10 @@ def train(rows: DataFrame, text: str = "text", most_exact: int = MOST_EXACT) ->
     counted = rows.select(text).mapInArrow(tally, "part int, kind int, keys binary, counts binary")
     schema = "part int, block binary, tokens long, types long, levels array<long>, contexts binary, mass binary, times binary, keys binary, counts binary"
     counted = counted.repartition(max(partitions(rows.sparkSession), ranges), "part")
-    table = written(counted.groupBy("part").applyInPandas(gather, schema), "token-counts")
+    with scratch() as keep:
+        whole = written(counted.groupBy("part").applyInPandas(gather, schema), "token-sums")
+        backoff = _backoff(whole)
+        table = keep(written(whole.drop("contexts", "mass", "times"), "token-counts"))
     tokens = types = 0
     levels = np.zeros(LEVELS, np.int64)
     for r in table.select("tokens", "types", "levels").toLocalIterator():
@@ -256,7 +276,7 @@ def train(rows: DataFrame, text: str = "text", most_exact: int = MOST_EXACT) ->
     exact = cut(True).toArrow()
     keys = exact.column("key").to_numpy().view(U64)
     order = np.argsort(keys)
-    model = Model(table.select("part", "block"), ranges, size, tokens, types, keys[order], exact.column("n").to_numpy()[order], _backoff(table))
+    model = Model(table.select("part", "block"), ranges, size, tokens, types, keys[order], exact.column("n").to_numpy()[order], backoff)
     return model, cut(False)
 
 
@@ -290,8 +310,10 @@ def _backoff(table: DataFrame) -> np.ndarray:
     level = F.when(F.col("n") > 0, 1 + F.floor(F.log(F.col("n")) / F.lit(float(np.log(LOG_BASE))) + 1e-9)).otherwise(0)
     sums = mass.join(own, "context", "left").groupBy(level.alias("level")).agg(F.sum("mass").alias("mass"), F.sum("times").alias("n")).collect()
     out = np.ones(LEVELS)
-    for r in sums:
-        out[r["level"]] = np.clip((r["mass"] + 1) / (r["n"] + 1), 1e-3, 1)
+    found = {r["level"]: np.clip((r["mass"] + 1) / (r["n"] + 1), 1e-3, 1) for r in sums}
+    # the filter may read a level above the true one: a level without contexts has the share of the one below
+    for k in range(LEVELS):
+        out[k] = found.get(k, out[k - 1] if k > 1 else 1.0)
     return out
 
 
@@ -320,13 +342,13 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, text: str = "text") ->
         probes = probes_of(*sequences(words_of(text_of(rows.column(text).combine_chunks()), SPACED, lower=True)), ranges)
         part = probes.part[probes.order]
         cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        keys = [planes(x) for x in np.split(probes.keys[probes.order], cut[1:])]
+        keys = [short_planes(x) for x in np.split(probes.keys[probes.order], cut[1:])]
         return pa.table({"cell": pa.array(part[cut].astype(np.int64) * cells + at % cells), "slice": pa.array([at] * len(cut), pa.int64()), "keys": pa.array(keys, pa.binary())})
 
     def answer(asked: pa.Table, block: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.table({"slice": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
-        keys = [from_planes(x) for x in asked.column("keys").to_pylist()]
+        keys = [from_short_planes(x) for x in asked.column("keys").to_pylist()]
         levels = np.zeros(sum(map(len, keys)), np.uint8)
         if block.num_rows:
             bits = np.frombuffer(block.column("block")[0].as_py(), np.uint8)

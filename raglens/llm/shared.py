@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import threading
-import time
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -36,12 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
 
     Inside scratch() the table goes when that ends, else when the program does. Shuffle files that made
-    it are let go soon: Spark deletes them once the driver has collected what refers to them.
+    it are deleted at once: what follows reads the table.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/raglens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _let_go(spark)
+    cleanup = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, cleanup)
     scopes = getattr(_SCOPES, "held", [])
     (scopes[-1] if scopes else _KEPT).append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
@@ -50,16 +53,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 _KEPT: list[tuple[SparkSession, str]] = []
-#: Seconds between two collections on the driver, at least.
-_COLLECT_EVERY = 10.0
-_last_collected = 0.0
-
-
-def _let_go(spark: SparkSession) -> None:
-    global _last_collected
-    if time.monotonic() - _last_collected > _COLLECT_EVERY:
-        spark.sparkContext._jvm.System.gc()
-        _last_collected = time.monotonic()
+#: Spark's setting to delete an execution's shuffle files once it is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
