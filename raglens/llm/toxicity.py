@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str | No
     y = np.array([r["toxic"] for r in sample])
     model = fit(texts, y)
     if lang:
-        model.thresholds = thresholds(docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")).join(own, "doc_id"), model)
+        model.thresholds = thresholds(docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")), own, model)
     return model
 
 
@@ -207,10 +207,14 @@ def spread_windows(ids: np.ndarray) -> np.ndarray:
     return ids[(starts[:, None] + np.arange(WINDOW)).reshape(-1)]
 
 
-def thresholds(rows: DataFrame, model: Model) -> dict[str, float]:
-    """For each language with toxic rows the threshold of the best F1 score, from all rows (text, lang, toxic) in bins of their scores."""
+def thresholds(docs: DataFrame, labels: DataFrame, model: Model) -> dict[str, float]:
+    """For each language with toxic rows the threshold of the best F1 score, from all labelled rows in bins of their scores.
+
+    docs: doc_id, text, lang; all are scored where they are, and only their bins meet the labels (doc_id, toxic).
+    """
     place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
-    scored = score(rows.where("lang is not null"), model).groupBy("lang", place.alias("bin")).agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
+    scored = score(docs.where("lang is not null"), model).select("doc_id", "lang", place.alias("bin")).join(labels, "doc_id")
+    scored = scored.groupBy("lang", "bin").agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
     bins = scored.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("bin")).alias("at"), "hits", "n"))).alias("bins"), F.sum("hits").alias("all")).where("all > 0")
     # a row a language, of at most BINS bins
     return {r["lang"]: best_threshold(np.array([tuple(b) for b in r["bins"]]), r["all"]) for r in bins.toLocalIterator()}
