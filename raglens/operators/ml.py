@@ -20,14 +20,17 @@ def split(training: DataFrame) -> DataFrame:
 
 def train_classifier(training: DataFrame, trees: int = TREES) -> PipelineModel:
     """A forest over the f_ columns; fewer than LEAST_ROWS rows are an error."""
-    own = split(training).where("not held_out")
+    own = split(training).where("not held_out").persist()  # read by each pass of the fit
     if own.limit(LEAST_ROWS).count() < LEAST_ROWS:
+        own.unpersist()
         raise ValueError(f"fewer than {LEAST_ROWS} training rows")
     names = sorted(c for c in training.columns if c.startswith("f_"))
     labels = StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(own)
     forest = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=trees, maxDepth=DEPTH, seed=7)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=[*labels.labels, "unknown"])
-    return Pipeline(stages=[labels, VectorAssembler(inputCols=names, outputCol="x"), forest, back]).fit(own)
+    model = Pipeline(stages=[labels, VectorAssembler(inputCols=names, outputCol="x"), forest, back]).fit(own)
+    own.unpersist()
+    return model
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
