@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, sentencepiece_viterbi, substring_dedup, token_files, toxicity
+from raglens.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, sentencepiece_viterbi, substring_dedup, subvector_clusters, token_files, toxicity
 from raglens.session import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,7 +73,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_words(docs).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_toxicity, op4_language_id, op5_token_files, op6_fingerprints, op7_near_dedup, op8_sentencepiece, op9_decontaminate, op10_substring_dedup)}
+def op11_subvector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subvector_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_toxicity, op4_language_id, op5_token_files, op6_fingerprints, op7_near_dedup, op8_sentencepiece, op9_decontaminate, op10_substring_dedup, op11_subvector_clusters)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -149,4 +153,22 @@ select doc_id, len(w) as n_words, len(w) - coalesce(kept.n, 0) as n_removed, sha
 from words left join kept using (doc_id)
 """
 
-ORACLE_SQL = {"op1_chat_format": _OP1, "op7_near_dedup": _OP7, "op9_decontaminate": _OP9, "op10_substring_dedup": _OP10}
+
+
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    """Rounds of assignment and floored means, one after the other."""
+    parts = [
+        "v as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))))",
+        f"c0 as materialized (select row_number() over (order by sha256('1:' || vec_id)) - 1 as cluster, v as c from v qualify cluster < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} as materialized (select vec_id, v, cluster, d from (select vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: cast((p[1] - p[2]) * (p[1] - p[2]) as bigint))) as d from v cross join c{r}) qualify row_number() over (partition by vec_id order by d, cluster) = 1)")
+        if r < rounds:
+            parts.append(f"s{r} as materialized (select cluster, i, cast(floor(sum(x) / count(*)) as bigint) as m from (select cluster, unnest(v) as x, unnest(range(1, 65)) as i from a{r}) group by all)")
+            parts.append(f"c{r + 1} as materialized (select cluster, coalesce(m, c) as c from c{r} left join (select cluster, list(m order by i) as m from s{r} group by cluster) using (cluster))")
+    return f"""with {', '.join(parts)}
+select vec_id, cast(cluster as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (cluster)"""
+
+
+ORACLE_SQL = {"op11_subvector_clusters": _op11(), "op1_chat_format": _OP1, "op7_near_dedup": _OP7, "op9_decontaminate": _OP9, "op10_substring_dedup": _OP10}
