@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, sentencepiece_viterbi, substring_dedup, subvector_clusters, token_files, toxicity
+from raglens.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, prefix_trie, sentencepiece_viterbi, substring_dedup, subvector_clusters, token_files, toxicity
 from raglens.session import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,7 +77,11 @@ def op11_subvector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subvector_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_toxicity, op4_language_id, op5_token_files, op6_fingerprints, op7_near_dedup, op8_sentencepiece, op9_decontaminate, op10_substring_dedup, op11_subvector_clusters)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_toxicity, op4_language_id, op5_token_files, op6_fingerprints, op7_near_dedup, op8_sentencepiece, op9_decontaminate, op10_substring_dedup, op11_subvector_clusters, op13_prefix_trie)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -171,4 +175,24 @@ select vec_id, cast(cluster as int) as cluster, cast(d as bigint) as distance, c
 from a{rounds} join c{rounds} using (cluster)"""
 
 
-ORACLE_SQL = {"op11_subvector_clusters": _op11(), "op1_chat_format": _OP1, "op7_near_dedup": _OP7, "op9_decontaminate": _OP9, "op10_substring_dedup": _OP10}
+_CRC = "xor(list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda z: [cast(ord(z) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda s, b: case when b >= 0 then xor(s, b) else xor(s >> 1, (s & 1) * 3988292384) end), 4294967295)"
+_OP13 = f"""
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as p,
+    length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') as t, length(coalesce(text, '')) as chars from conversations where conv_id is not null),
+lists as (select conv_id, list(md5(t) || ' ' || chars order by p) as w from turns group by conv_id),
+heads as (select conv_id, w, {_CRC} % 6 as h from lists),
+rebuilt as (select a.conv_id, list_concat(coalesce(b.w, [])[1:a.h], a.w[a.h + 1:]) as w from heads a left join lists b on b.conv_id = a.conv_id - a.conv_id % 100),
+steps as (select conv_id, unnest(range(0, len(w) + 1)) as depth, w from rebuilt),
+paths as (select conv_id, depth, array_to_string(w[1:depth], ',') || ',' as path, len(w) = depth as ends, case when depth > 0 then cast(string_split(w[depth], ' ')[2] as bigint) else 0 end as chars,
+  case when depth > 0 then array_to_string(w[1:depth - 1], ',') || ',' end as up from steps),
+nodes as (select depth, path, any_value(up) as up, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256 from paths group by depth, path),
+kids as (select up, depth - 1 as depth, count(*) as n from nodes where depth > 0 group by all),
+marked as (select nodes.*, coalesce(kids.n, 0) as n_children, (n_convs - 1) * chars as saves from nodes left join kids on kids.up = nodes.path and kids.depth = nodes.depth),
+under as (select a.depth, a.path, sum(cast(b.n_children = 0 as int)) as leaves, sum(b.saves) as saves from marked a join marked b on b.depth >= a.depth and (a.depth = 0 or starts_with(b.path, a.path)) group by all)
+select m.conv_id, m.depth, u.conv_id as parent_conv_id, m.n_convs, m.n_children, cast(leaves as bigint) as n_leaves, cast(under.saves as bigint) as saved_tokens, m.ends_sha256
+from marked m join under using (depth, path) left join nodes u on u.path = m.up and u.depth = m.depth - 1
+"""
+
+
+ORACLE_SQL = {"op13_prefix_trie": _OP13, "op11_subvector_clusters": _op11(), "op1_chat_format": _OP1, "op7_near_dedup": _OP7, "op9_decontaminate": _OP9, "op10_substring_dedup": _OP10}
