@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, prefix_trie, sentencepiece_viterbi, substring_dedup, subvector_clusters, token_files, toxicity
+from raglens.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, page_text, prefix_trie, sentencepiece_viterbi, substring_dedup, subvector_clusters, token_files, toxicity
 from raglens.session import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,11 +77,16 @@ def op11_subvector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subvector_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return page_text.main_text(pages, page_text.train(pages))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_toxicity, op4_language_id, op5_token_files, op6_fingerprints, op7_near_dedup, op8_sentencepiece, op9_decontaminate, op10_substring_dedup, op11_subvector_clusters, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_toxicity, op4_language_id, op5_token_files, op6_fingerprints, op7_near_dedup, op8_sentencepiece, op9_decontaminate, op10_substring_dedup, op11_subvector_clusters, op12_page_text, op13_prefix_trie)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -175,6 +180,14 @@ select vec_id, cast(cluster as int) as cluster, cast(d as bigint) as distance, c
 from a{rounds} join c{rounds} using (cluster)"""
 
 
+# What the labeller should find: on these pages the article is an element of that name, and its texts stand in h1 and p.
+_OP12 = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article\b[^>]*>(.*?)(</article>|$)', 1) as h from pages),
+b as (select page_id, url, string_split_regex(regexp_replace(h, '(?is)<!--.*?-->|</?(b|i|a|em|strong|span)\b[^>]*>|<[^>]*$', '', 'g'), '(?is)</?(p|h[1-6]|ul|li|div)\b[^>]*>') as l from a),
+c as (select page_id, url, list_filter(list_transform(l, lambda t: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?is)<br\b[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\f\r\x0B]+', ' ', 'g'))), lambda t: t <> '') as l from b)
+select page_id, url, array_to_string(l, chr(10)) as text, length(array_to_string(l, chr(10))) as n_chars from c
+"""
+
 _CRC = "xor(list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda z: [cast(ord(z) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda s, b: case when b >= 0 then xor(s, b) else xor(s >> 1, (s & 1) * 3988292384) end), 4294967295)"
 _OP13 = f"""
 with turns as (
@@ -195,4 +208,4 @@ from marked m join under using (depth, path) left join nodes u on u.path = m.up
 """
 
 
-ORACLE_SQL = {"op13_prefix_trie": _OP13, "op11_subvector_clusters": _op11(), "op1_chat_format": _OP1, "op7_near_dedup": _OP7, "op9_decontaminate": _OP9, "op10_substring_dedup": _OP10}
+ORACLE_SQL = {"op12_page_text": _OP12, "op13_prefix_trie": _OP13, "op11_subvector_clusters": _op11(), "op1_chat_format": _OP1, "op7_near_dedup": _OP7, "op9_decontaminate": _OP9, "op10_substring_dedup": _OP10}
