@@ -116,3 +116,57 @@ def test_trie_of_nothing_and_ranges(spark):
         assert sorted((tuple(r) for r in found.collect()), key=str) == plain_trie(rows)
     finally:
         prefix_trie.RANGE = held
+
+
+# --- main text of pages ----------------------------------------------------------
+
+
+def test_leaf_blocks():
+    from raglens.llm.html_blocks import leaf_blocks
+
+    html = "<p>one<p>t<b>w</b>o &amp;&nbsp;<i>x</i><br>y<ul><li><a href='/'>three</a><li>fo<!-- <p> -->ur</ul><script>var t='</p>';</script><style>p{}</style><div title='a>b'>five</div>six<div"
+    found = leaf_blocks(html, tags=True)
+    assert [x.text for x in found] == ["one", "two & x y", "three", "four", "five", "six"]
+    assert found[2].linked == 1.0 and found[0].linked == 0.0
+    assert "ul" in found[3].tags and "p" not in found[3].tags and found[5].tags == ()
+    assert leaf_blocks("") == [] and leaf_blocks("<script>never ended <p>x") == [] and leaf_blocks("a < b & c")[0].text == "a < b & c"
+    deep = "<div class=a>" * 20000 + "x" + "<p>y"
+    assert [x.text for x in leaf_blocks(deep)] == ["x", "y"]
+
+
+def test_labeller_gradients():
+    from raglens.llm import page_text
+    from raglens.llm.html_blocks import leaf_blocks
+
+    pages = [leaf_blocks("<nav><a>x y</a></nav><p>a, b c.</p><p>d</p>"), leaf_blocks("<h1>q</h1>")]
+    blocks, y = page_text.Blocks.of(pages), np.array([0, 1, 1, 0], np.float32)
+    model, rng = page_text.Labeller.fresh(1), np.random.default_rng(0)
+    grads, _ = model.gradients(blocks, y, np.arange(2))
+    for name, g in grads.items():
+        for at in [np.unravel_index(np.abs(g).argmax(), g.shape), tuple(int(rng.integers(n)) for n in g.shape)]:
+            old, losses = model.p[name][at], []
+            for d in (1e-2, -1e-2):
+                model.p[name][at] = old + d
+                losses.append(model.gradients(blocks, y, np.arange(2))[1])
+            model.p[name][at] = old
+            assert abs((losses[0] - losses[1]) / 2e-2 - g[at]) < 3e-3, name
+    apart = [model.scores(page_text.Blocks.of([p])) for p in pages]
+    assert np.allclose(np.concatenate(apart), model.scores(blocks), atol=1e-5)
+
+
+def test_main_text_of_other_layouts(spark):
+    from raglens.llm import page_text
+
+    say = "The river rose in the night, and by morning the lower road was under water. Nobody had expected it."
+    body = f"<h1>River over its banks</h1><p>{say}</p><p>{say[::-1]}</p><ul><li>one thing, said.</li></ul>"
+    text = f"River over its banks\n{say}\n{say[::-1]}\none thing, said."
+    around = '<header><a href="/">My site</a></header><nav><ul><li><a>Home</a><li><a>News</a></ul></nav>{}<aside><h3>Related</h3><p>Read this too, it is long and it is good.</p></aside><div class="cookie-notice"><p>We use cookies, as all do.</p></div><section class="comments"><h3>Comments</h3><div class="comment"><p>I was there, and it was wet.</p></div></section><form><label>Mail</label><button>Go</button></form><footer>&copy; 2020 All rights.</footer>'
+    learnt = [(i, f"<nav><a>a {i}</a></nav><article><h1>{say[:20]}</h1><p>{say} {i}</p><p>{i} is here, they said.</p></article><footer>Contact us {i}</footer>") for i in range(40)]
+    tried = [around.format(f"<article>{body}</article>"), around.format(f"<main>{body}</main>"), around.format(f'<div class="post-content">{body}</div>'), None, "", "<nav>only</nav>", around.format(f"<article>{body}</article>")]
+    made = spark.createDataFrame([(i, None, h, "x") for i, h in learnt] + [(100 + i, "u", h, "y") for i, h in enumerate(tried)], "page_id long, url string, html string, text string").repartition(3)
+    got = {r["page_id"]: r for r in page_text.main_text(made, page_text.train(made)).collect()}
+    assert len(got) == 47 and got[3]["text"] == f"{say[:20]}\n{say} 3\n3 is here, they said."
+    for i in (100, 101, 102, 106):
+        assert got[i]["text"] == text and got[i]["n_chars"] == len(text), i
+    assert [got[i]["text"] for i in (103, 104, 105)] == ["", "", ""]
+    assert page_text.main_text(made.limit(0), page_text.Labeller.fresh(1)).collect() == []
