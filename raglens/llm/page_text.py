@@ -219,9 +219,14 @@ def own_label(leaf: Leaf) -> int:
 
 
 def train(pages: DataFrame, labelled: int = LABELLED, dressed: int = DRESSED, seed: int = 7) -> Labeller:
-    """Fitted on at most `labelled` pages of at most LABELLED_CHARS characters, and `dressed` ones from their texts."""
-    short = pages.where((F.length("html") <= LABELLED_CHARS) & F.lower("html").rlike("<(article|main)\\b")).select("html")
-    sample = [r["html"] for r in short.orderBy(F.xxhash64("html"), "html").limit(labelled).collect()]
+    """Fitted on at most `labelled` pages of at most LABELLED_CHARS characters, and `dressed` ones from their texts.
+
+    The sample is the pages of smallest hash; a bound on the hash, from their count, keeps all others in their tasks.
+    """
+    short = pages.where((F.length("html") <= LABELLED_CHARS) & F.lower("html").rlike("<(article|main)\\b")).select("html", F.xxhash64("page_id", "url", "html").alias("key"))
+    n = short.count()
+    bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * labelled // max(n, 1))
+    sample = [r["html"] for r in short.where(F.col("key") <= bound).orderBy("key", "html").limit(labelled).collect()]
     own = [leaf_blocks(h, tags=True) for h in sample]
     labels = [[own_label(x) for x in p] for p in own]
     article = [x.text for p, y in zip(own, labels, strict=True) for x, k in zip(p, y, strict=True) if k] or ["The text of a page.", "It goes on here, with more words than before."]

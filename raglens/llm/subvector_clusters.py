@@ -167,7 +167,7 @@ def cluster_vectors(vectors: DataFrame, k: int = 16, rounds: int = 3, size: int
     kept = scaled.where("_fits").select("id", F.transform("x", lambda e: F.floor(e * scale).cast("int")).alias("v"))
     wide = scaled.where("not _fits").select(F.col("id").alias("vec_id"))
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
-    first = kept.where("id is not null").orderBy(order, "v").limit(k).select("v").collect()  # k rows
+    first = kept.where("id is not null").orderBy(order, "v").limit(k).select("v").repartition(1).collect()  # the tasks' candidates meet in a task, k rows come here
     out = "vec_id {0}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string".format(kind)
     nothing = wide.select("vec_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in out.split(", ")[1:]])
     if not first:
