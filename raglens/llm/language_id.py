@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ TURNS = 6
 #: A language more must raise the log-likelihood by this, plus as much again for each e-fold of words.
 PENALTY = 3.0
 UNKNOWN = "und"
-#: The model holds BUCKETS numbers for each language.
-MOST_LANGUAGES = 1000
+#: Up to so many languages the model is a full table of buckets x languages; with more it holds only what was seen.
+TABLE_LANGUAGES = 256
+#: Words times languages that are held at once; beyond it slices get shorter, to a text at least.
+MOST_CELLS = 1 << 24
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -41,7 +44,7 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Counts the trigrams of all rows with a language."""
+    """Counts the trigrams of all rows with a language; any number of languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -63,14 +66,10 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     text = "text"
     total = known.mapInArrow(tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = [r["lang"] for r in total.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    model = np.zeros((BUCKETS, len(names)))
-    for r in total.toArrow().to_batches():
-        at = np.searchsorted(names, r.column("lang").to_pylist())
-        model[r.column("bucket").to_numpy(), at] = r.column("n").to_numpy()
-    return Model(names, np.log((model + 0.5) / (model.sum(0) + 0.5 * BUCKETS)).astype(np.float32))
+    names = sorted(r["lang"] for r in total.select("lang").distinct().toLocalIterator())
+    found = total.toArrow()  # BUCKETS rows a language at most
+    at = pc.index_in(found.column("lang").combine_chunks(), value_set=pa.array(names, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    return Model.of(names, found.column("bucket").to_numpy(), at, found.column("n").to_numpy())
 
 
 def _bucket_rows(part: Text) -> np.ndarray:
@@ -91,10 +90,42 @@ def _bucket_rows(part: Text) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages in order, and the log-probability of each bucket under each of them."""
+    """Languages in order, and the log-probability of each bucket under each of them.
+
+    With more than TABLE_LANGUAGES, log_p holds what a bucket not seen has, and `seen` what the others have beyond
+    that: where each bucket starts, then the language and value of each entry.
+    """
 
     names: list[str]
     log_p: np.ndarray
+    seen: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def of(cls, names: list[str], bucket: np.ndarray, lang: np.ndarray, n: np.ndarray) -> Model:
+        total = np.bincount(lang, weights=n, minlength=len(names)) + 0.5 * BUCKETS
+        if len(names) <= TABLE_LANGUAGES:
+            table = np.zeros((BUCKETS, len(names)))
+            table[bucket, lang] = n
+            return cls(names, np.log((table + 0.5) / total).astype(np.float32))
+        order = np.lexsort((lang, bucket))
+        value = np.log((n + 0.5) / 0.5).astype(np.float32)
+        starts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        return cls(names, np.log(0.5 / total).astype(np.float32), (starts, lang[order].astype(np.int32), value[order]))
+
+    def summed(self, buckets: np.ndarray, at: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """The log-probabilities of runs of buckets that start at `at`; of those not `counted` nothing."""
+        if self.seen is None:
+            values = self.log_p[buckets]
+            values[~counted] = 0
+            return np.add.reduceat(values, at, axis=0)
+        starts, lang, value = self.seen
+        run = np.repeat(np.arange(len(at)), np.diff(at, append=len(buckets)))[counted]
+        own = buckets[counted]
+        sizes = starts[own + 1] - starts[own]
+        entries = ragged(starts[own], sizes)
+        k = len(self.names)
+        out = np.bincount(np.repeat(run, sizes) * k + lang[entries], weights=value[entries], minlength=len(at) * k).reshape(len(at), k)
+        return (out + np.bincount(run, minlength=len(at))[:, None] * self.log_p).astype(np.float32)
 
     def word_likelihoods(self, part: Text) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each word under each language, and each row's first word (one more at the end)."""
@@ -107,9 +138,9 @@ class Model:
         spaced = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
         at = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
         spaced[ragged(at, size)] = part.data[ragged(words.starts[first], size)]
-        values = self.log_p[trigrams(spaced)]
-        values[at + size] = 0
-        return np.add.reduceat(values, at, axis=0)[which.reshape(-1)], words.first
+        counted = np.ones(len(spaced), bool)
+        counted[at + size] = False
+        return self.summed(trigrams(spaced).astype(np.int64), at, counted)[which.reshape(-1)], words.first
 
     def infer(self, part: Text) -> tuple[np.ndarray, np.ndarray]:
         """Each row's language proportions in its selected set, and its number of words."""
@@ -168,7 +199,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         model = sent.value
         for batch in batches:
-            for rows, part in slices(batch, text, LEAN_SLICE_BYTES):
+            for rows, part in slices(batch, text, min(LEAN_SLICE_BYTES, 2 * MOST_CELLS // max(len(model.names), 1))):
                 share, counts = model.infer(part)
                 best = share.argmax(1) if len(model.names) else np.zeros(len(counts), np.int64)
                 lettered = counts > 0

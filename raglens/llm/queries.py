@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raglens.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, page_text, prefix_trie, sentencepiece_viterbi, substring_dedup, subvector_clusters, token_files, toxicity
+from raglens.llm.shared import scratch, written
 from raglens.session import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,9 +36,12 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.train(docs, labels.where(_fold(5) != 0))
+    learnt = labels.where(_fold(5) != 0)
+    model = toxicity.train(docs, learnt, lang=None)
     rows = docs.select("doc_id", "text", "lang", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"))
-    return toxicity.score(rows, model, lang="lang").select("doc_id", "held_out", "score", "predicted", "flagged")
+    with scratch() as keep:
+        scored = keep(written(toxicity.score(rows, model).drop("text", "flagged"), "toxicity"))
+    return toxicity.flagged(scored, learnt).select("doc_id", "held_out", "score", "predicted", "flagged")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,11 @@ from raglens.llm.words import ALNUM, U64, mix, ragged, slices, words_of
 
 BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
 PAD = 1 << BITS
-#: The sample: so many rows of each label at most, by the order of a hash. Of a text of more than MOST_WORDS
-#: words it holds windows of WINDOW words, evenly spread over the whole text.
-MOST_ROWS, MOST_WORDS, WINDOW = 3000, 20_000, 100
+#: The sample: whole texts, so many rows of each label at most, by the order of a hash; rows beyond the words
+#: that a label has left stay out.
+MOST_ROWS, SAMPLE_WORDS = 3000, 12_000_000
+#: Words whose responses are held at once.
+PIECE = 1 << 18
 BINS = 1000
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 300, 128, 0.02
 
@@ -49,7 +51,29 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def pooled(self, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each text and filter the largest response (0 at least) and its place (-1: none)."""
+        """For each text and filter the largest response (0 at least) and its place (-1: none), piece by piece."""
+        gap, out = max(WIDTHS) - 1, []
+        if first[-1] <= PIECE:
+            return self._pooled(rows, first)
+        i, n = 0, len(first) - 1
+        while i < n:
+            j = max(int(np.searchsorted(first, first[i] + PIECE, side="right")) - 1, i + 1)
+            if first[j] - first[i] <= PIECE:
+                value, place = self._pooled(rows[first[i] : first[j]], first[i : j + 1] - first[i])
+                place[place >= 0] += first[i]
+            else:  # one long text: windows that start in a piece read on into the next
+                ends = int(first[j]) - gap
+                value, place = np.zeros((1, len(WIDTHS) * FILTERS), np.float32), np.full((1, len(WIDTHS) * FILTERS), -1)
+                for start in range(int(first[i]), ends, PIECE):
+                    part = rows[start : min(start + PIECE, ends) + gap]
+                    v, p = self._pooled(part, np.array([0, len(part)]))
+                    better = v > value
+                    value[better], place[better] = v[better], p[better] + start
+            out.append((value, place))
+            i = j
+        return np.concatenate([v for v, _ in out]), np.concatenate([p for _, p in out])
+
+    def _pooled(self, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, gap = len(first) - 1, max(WIDTHS) - 1
         sizes = np.diff(first) - gap
         filled = np.flatnonzero(sizes > 0)
@@ -168,12 +192,13 @@ def _step(model: Model, texts, labels, weight, rate: float, step: list) -> None:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str | None = "lang") -> Model:
-    """Fits on at most MOST_ROWS rows of each label (1, 0), then calibrates thresholds by language on all labelled rows.
+    """Fits on at most MOST_ROWS rows of each label (1, 0), then, given a language column, calibrates thresholds by language
+    on all labelled rows (flagged() does so from scores that are at hand).
 
-    A doc_id that `labels` holds twice is toxic if either says so; of a doc_id with several texts the one of the
+    The sample's texts are whole; together they have SAMPLE_WORDS words of each label at most. A doc_id that `labels` holds twice is toxic if either says so; of a doc_id with several texts the one of the
     smallest hash is in the sample. A language without toxic rows has the threshold 0.5.
     """
-    own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    own = _labelled(labels)
     order = F.xxhash64("doc_id")
     chosen = own.where("toxic = 1").orderBy(order).limit(MOST_ROWS).union(own.where("toxic = 0").orderBy(order).limit(MOST_ROWS))
 
@@ -181,45 +206,61 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str | No
         for batch in batches:
             for rows, part in slices(batch):
                 ids, first = buckets(words_of(part, ALNUM, lower=True))
-                ids = [ids[a : b - max(WIDTHS) + 1] for a, b in zip(first[:-1], first[1:], strict=True)]
-                data = pa.array([spread_windows(x).astype("<i4").tobytes() for x in ids], pa.binary())
+                data = pa.array([ids[a : b - max(WIDTHS) + 1].astype("<i4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "toxic")), data], ["doc_id", "toxic", "ids"])
 
     texts = docs.select("doc_id", F.col(text).alias("text"))
     # two limits bound what is broadcast and collected
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
-    sample = sorted(rows.mapInArrow(run, "doc_id long, toxic int, ids binary").collect(), key=lambda r: (r["doc_id"], bytes(r["ids"])))
+    coded = rows.mapInArrow(run, "doc_id long, toxic int, ids binary")
+    sample, left = [], {0: SAMPLE_WORDS, 1: SAMPLE_WORDS}
+    for r in coded.orderBy(order, "toxic").toLocalIterator():
+        if 4 * left[r["toxic"]] >= len(r["ids"]):
+            left[r["toxic"]] -= len(r["ids"]) // 4
+            sample.append((r["doc_id"], bytes(r["ids"]), r["toxic"]))
     if not sample:
         return fit([], np.zeros(0, np.int64))
-    texts = [np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in sample]
-    y = np.array([r["toxic"] for r in sample])
+    sample.sort(key=lambda r: r[:2])
+    texts = [np.frombuffer(ids, "<i4") for _, ids, _ in sample]
+    y = np.array([toxic for *_, toxic in sample])
     model = fit(texts, y)
     if lang:
         model.thresholds = thresholds(docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")), own, model)
     return model
 
 
-def spread_windows(ids: np.ndarray) -> np.ndarray:
-    """The words, or evenly spread windows of them if there are more than MOST_WORDS."""
-    if len(ids) <= MOST_WORDS:
-        return ids
-    starts = np.linspace(0, len(ids) - WINDOW, MOST_WORDS // WINDOW).astype(np.int64)
-    return ids[(starts[:, None] + np.arange(WINDOW)).reshape(-1)]
-
-
 def thresholds(docs: DataFrame, labels: DataFrame, model: Model) -> dict[str, float]:
     """For each language with toxic rows the threshold of the best F1 score, from all labelled rows in bins of their scores.
 
     docs: doc_id, text, lang; all are scored where they are, and only their bins meet the labels (doc_id, toxic).
     """
+    return calibrated(score(docs.where("lang is not null"), model), labels)
+
+
+def calibrated(scored: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """thresholds() from scores: doc_id, lang, score."""
     place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
-    scored = score(docs.where("lang is not null"), model).select("doc_id", "lang", place.alias("bin")).join(labels, "doc_id")
+    scored = scored.where("lang is not null").select("doc_id", "lang", place.alias("bin")).join(labels, "doc_id")
     scored = scored.groupBy("lang", "bin").agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
     bins = scored.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("bin")).alias("at"), "hits", "n"))).alias("bins"), F.sum("hits").alias("all")).where("all > 0")
     # a row a language, of at most BINS bins
     return {r["lang"]: best_threshold(np.array([tuple(b) for b in r["bins"]]), r["all"]) for r in bins.toLocalIterator()}
 
 
+def flagged(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores (doc_id, lang, score, ...) with flagged: by the language's threshold, 0.5 where it has none.
+
+    The scores are read twice, for the thresholds and for the flags: give a written table.
+    """
+    limits = calibrated(scored, _labelled(labels))
+    known = scored.sparkSession.createDataFrame(list(limits.items()), "lang string, _limit double")  # a row a language
+    return scored.join(F.broadcast(known), "lang", "left").withColumn("flagged", F.col("score") >= F.coalesce("_limit", F.lit(0.5))).select(*scored.columns, "flagged")
+
+
+def _labelled(labels: DataFrame) -> DataFrame:
+    return labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
 def best_threshold(bins: np.ndarray, hits: int) -> float:
     """bins: (minus the bin, toxic rows, all rows), from the highest score on; midway to the next lower bin."""
     f1 = 2 * np.cumsum(bins[:, 1]) / (np.cumsum(bins[:, 2]) + hits)

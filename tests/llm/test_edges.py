@@ -152,11 +152,57 @@ def test_chat_takes_long_and_odd_rows(spark):
     assert chat_format.format_conversations(docs.where("false")).count() == 0
 
 
-def test_thresholds_and_windows():
-    ids = np.arange(3 * toxicity.MOST_WORDS)
-    spread = toxicity.spread_windows(ids)
-    assert len(spread) == toxicity.MOST_WORDS and spread[0] == 0 and spread[-1] == ids[-1]
-    assert (toxicity.spread_windows(ids[:50]) == ids[:50]).all()
+def test_long_texts_are_pooled_in_pieces():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 500, n) for n in (3, 700, 0, 41, 5)]
+    model = toxicity.fit(texts, np.array([1, 0, 0, 1, 0]))
+    model._training = True
+    rows, first = toxicity._laid(texts)
+    whole, held = model.pooled(rows, first), toxicity.PIECE
+    toxicity.PIECE = 50
+    try:
+        value, place = model.pooled(rows, first)
+    finally:
+        toxicity.PIECE = held
+    assert np.array_equal(value, whole[0]) and np.array_equal(place, whole[1])
+
+
+def test_long_labelled_texts_are_learnt_whole(spark):
+    """What makes a text toxic stands at its end, beyond any number of other words."""
+    long = "calm words go on " * 500
+    docs = spark.createDataFrame([(i, long * (i % 3) + ("venom bile" if i % 2 else "milk honey"), "en") for i in range(16)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    held, toxicity.PIECE = toxicity.PIECE, 600
+    model = toxicity.train(docs, labels)
+    toxicity.PIECE = held
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.score(docs, model).collect())
+    held, toxicity.SAMPLE_WORDS = toxicity.SAMPLE_WORDS, 50
+    try:  # whole rows stay out, never parts of them
+        assert toxicity.train(docs, labels).thresholds
+    finally:
+        toxicity.SAMPLE_WORDS = held
+    scored = toxicity.score(docs, model)
+    assert {r["flagged"] for r in toxicity.flagged(scored.drop("flagged"), labels).where("predicted = 1").collect()} == {True}
+
+
+def test_any_number_of_languages(spark):
+    words = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{e}" for e in ("ra", "lo", "mi"))
+    docs = spark.createDataFrame([(k, words(k) * 3, f"l{k:04d}") for k in range(1001)], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.names) == 1001 and model.seen is not None
+    got = language_id.predict(docs.where("doc_id % 20 = 0"), model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got)
+    few = language_id.train(docs.where("doc_id < 30"))
+    held, language_id.TABLE_LANGUAGES = language_id.TABLE_LANGUAGES, 3
+    try:
+        sparse = language_id.train(docs.where("doc_id < 30"))
+    finally:
+        language_id.TABLE_LANGUAGES = held
+    part = text_of(pa.array([words(3), words(9) + " " + words(11), "", "zz"]))
+    assert np.allclose(few.word_likelihoods(part)[0], sparse.word_likelihoods(part)[0], atol=1e-3)
+
+
+def test_thresholds():
     # two toxic rows at 0.9, a clean one at 0.2: the threshold lies between
     assert 0.2 < toxicity.best_threshold(np.array([(-900, 2, 2), (-200, 0, 1)]), 2) < 0.9
 
