@@ -23,7 +23,7 @@ def _views() -> dict[str, str]:
   d.i * 448 as start_index, substring(d.text, cast(d.i * 448 + 1 as int), 512) as content, cast(d.i + 1 as int) as page,
   case when (cast(d.doc_id as bigint) + d.i) % 20 = 0 then 'gpt4o_vision' else cast(null as string) end as source, cast(floor((length(d.text) + 447) / 448.0) as bigint) as doc_chunks
 from (select w.*, cast(floor(w.start / 448.0) as bigint) as i from (select fx_documents.*, unnest(range(0, length(text), 448)) as start from fx_documents where length(text) > 0) w) d""",
-        "fx_eval_items": """select concat('q_', cast(item_id as string)) as id, split_part(text, '. ', 1) as question, text as ground_truth,
+        "fx_eval_items": """select concat('q_', cast(item_id as string)) as id, text as question, coalesce(next_text, text) as ground_truth,
   case item_id % 5 when 0 then cast(null as string) when 1 then '2020-06-01' when 2 then '2021-06-01' when 3 then 'not-a-date' else '2023-06-01' end as valid_from,
   case item_id % 6 when 1 then 'table' when 2 then 'chart' when 3 then 'spreadsheet' when 4 then 'mixed' else 'text' end as modality,
   item_id % 8 <> 0 as answerable,
@@ -31,7 +31,7 @@ from (select w.*, cast(floor(w.start / 448.0) as bigint) as i from (select fx_do
   case when item_id % 5 in (1, 2) then concat('tp_', cast(cast(floor(item_id / 5.0) as bigint) as string)) else cast(null as string) end as temporal_pair_id,
   case when item_id % 9 = 0 then 'v2' else cast(null as string) end as expected_version, item_id as ord,
   case when item_id % 3 = 0 then null else list_transform(range(0, 24), lambda j: concat('doc_', cast(((item_id * 24 + j) * 7 + 11) % t.m as string), '.html')) end as source_docs
-from benchmark cross join (select max(doc_id) + 1 as m from documents) t""",
+from benchmark left join (select item_id - 1 as before, text as next_text from benchmark) g on g.before = item_id cross join (select max(doc_id) + 1 as m from documents) t""",
         "fx_runs": """select concat('r_', cast(24 * x.experiment + row_number() over (partition by x.experiment order by r, c, p, f) - 1 as string)) as run_id, concat('e_', cast(x.experiment as string)) as experiment_id, r as retrieval_strategy,
   c as chunking_strategy, p as parsing_strategy, f as freshness_policy, 'gpt-4o-mini' as llm_model, 5 as top_k
 from (values ('vector_only'), ('hybrid'), ('hybrid_reranker')) a(r)
@@ -39,6 +39,10 @@ cross join (values ('recursive'), ('structure_aware')) b(c)
 cross join (values ('text_only'), ('text_table')) d(p)
 cross join (values ('none'), ('effective_date_filter')) e(f)
 cross join (select distinct cast(floor(event_id / (24.0 * m)) as bigint) as experiment from events cross join (select count(*) as m from benchmark) b) x""",
+        "fx_more_runs": """select concat('m_', r, '_', p, '_', f) as run_id, r as retrieval_strategy, 'recursive' as chunking_strategy, p as parsing_strategy, f as freshness_policy
+from (values ('vector_only'), ('bm25'), ('hybrid'), ('hybrid_reranker')) a(r)
+cross join (values ('text_table_vision'), ('spreadsheet_aware')) b(p)
+cross join (values ('recency_biased'), ('version_aware')) e(f)""",
         "fx_query_results": """select concat('r_', cast(24 * cast(floor(event_id / (24.0 * m)) as bigint) + event_id % 24 as string)) as run_id, concat('q_', cast(cast(floor(event_id / 24.0) as bigint) % m as string)) as query_id,
   concat('answer ', cast(event_id as string), ' ', event_type) as generated_answer,
   event_id as n, case when event_type = 'error' then 'error' when event_id % 17 = 0 then cast(null as string) else 'ok' end as status,
@@ -51,8 +55,7 @@ cross join (select distinct cast(floor(event_id / (24.0 * m)) as bigint) as expe
 from events cross join (select count(*) as m from benchmark) b""",
         "fx_retrieved": """select q.run_id, q.query_id, k.rank, c.chunk_id, c.filename, c.doc_version, c.chunk_type, c.effective_from, c.effective_to, c.content, c.page, c.source
 from fx_query_results q cross join (values (1), (2), (3), (4), (5)) k(rank)
-cross join (select max(doc_id) + 1 as m from documents) t
-join fx_chunks c on cast(c.doc_id as bigint) = (q.n * 7 + k.rank * 11) % t.m and c.start_index = 448 * ((q.n + k.rank) % c.doc_chunks)""",
+join fx_chunks c on cast(c.doc_id as bigint) = (q.n * 7 + k.rank * 11) % (select max(doc_id) + 1 from documents) and c.start_index = 448 * ((q.n + k.rank) % c.doc_chunks)""",
     }
 
 

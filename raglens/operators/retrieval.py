@@ -3,7 +3,7 @@
 Filters run before ranking. Which chunks a configuration sees depends only on the
 corpus key (parsing, chunking, freshness and question date) and on a chunk's type,
 tag and validity: chunks alike in these form a group, and keys meet groups, not
-chunks. Rankings are computed once for each key and question that are asked
+chunks; dates meet validities in a tree over time. Rankings are computed once for each key and question that are asked
 together, and shared by all configurations.
 """
 
@@ -76,7 +76,41 @@ def key_date(policy: str, at: str) -> Column:
 
 
 GROUPED_BY = ["chunk_type", "chunk_strategy", "effective_from", "effective_to"]
-SALTS = 16
+#: Seconds lie in 0 .. 2**LEVELS once moved by half of that; what is farther away counts as the end.
+LEVELS = 42
+
+
+def _moment(at: Column) -> Column:
+    half = 1 << (LEVELS - 1)
+    return F.least(F.greatest(at.cast("long"), F.lit(-half)), F.lit(half - 1)) + F.lit(half)
+
+
+def time_nodes(at: str) -> Column:
+    """The nodes of the tree over all seconds that hold a moment: one on each level, from the second up to all time."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: _node(level, F.call_function("shiftright", _moment(F.col(at)), level)))
+
+
+def interval_nodes(start: str, end: str) -> Column:
+    """The fewest nodes that make up a closed interval, two a level at most; a missing end is the end of time.
+
+    Any moment within it has exactly one of them in time_nodes().
+    """
+    first, stop = _moment(F.col(start)), _moment(F.coalesce(F.col(end).cast("long"), F.lit(1 << (LEVELS - 1)))) + 1
+    state = F.struct(first.alias("a"), stop.alias("b"), F.array().cast("array<long>").alias("nodes"))
+    odd = lambda x: x % 2 == 1
+
+    def step(s, level):
+        a, b = s["a"], s["b"]
+        left, right = (a < b) & odd(a), (a < b) & odd(b)
+        nodes = F.concat(s["nodes"], F.when(left, F.array(_node(level, a))).otherwise(F.array().cast("array<long>")), F.when(right & (b - 1 > a), F.array(_node(level, b - 1))).when(right & ~left, F.array(_node(level, b - 1))).otherwise(F.array().cast("array<long>")))
+        up = lambda x: F.call_function("shiftright", x, F.lit(1))
+        return F.struct(up(a + left.cast("long")).alias("a"), up(b).alias("b"), nodes.alias("nodes"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), state, step)["nodes"]
+
+
+def _node(level: Column, place: Column) -> Column:
+    return level.cast("long") * F.lit(1 << (LEVELS + 1)) + place
 
 
 def with_group(chunks: DataFrame) -> DataFrame:
@@ -85,16 +119,21 @@ def with_group(chunks: DataFrame) -> DataFrame:
 
 
 def eligible_groups(keys: DataFrame, chunks: DataFrame) -> DataFrame:
-    """keys with each `group` of chunks that they see. Keys meet groups by chunk type, dealt over SALTS parts of each."""
-    groups = with_group(chunks).select("group", *GROUPED_BY).distinct().withColumn("_salt", F.pmod(F.xxhash64("group"), F.lit(SALTS)))
-    rules = [(p, k) for p, kinds in CHUNK_TYPES.items() for k in kinds]
-    allowed = keys.sparkSession.createDataFrame(rules, "parsing_strategy string, _kind string")
-    known = keys.join(allowed, "parsing_strategy")
-    # an unknown parsing strategy sees every type
-    other = keys.where(~F.coalesce(F.col("parsing_strategy").isin(*CHUNK_TYPES), F.lit(False))).crossJoin(groups.select(F.col("chunk_type").alias("_kind")).distinct())
-    typed = known.select(*keys.columns, "_kind").unionByName(other).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    joined = groups.join(typed.withColumnRenamed("_salt", "_part"), F.col("chunk_type").eqNullSafe(F.col("_kind")) & (F.col("_salt") == F.col("_part")))
-    return joined.where(chunking_fits("chunking_strategy", "chunk_strategy", "chunk_type") & freshness_fits("freshness_policy", "at")).select(*keys.columns, "group")
+    """keys with each `group` of chunks that they see.
+
+    A dated key meets groups by the nodes of the time tree: its date lies in one node a level, a validity is made
+    up of a few, and they have one in common where they fit. Dates are matched once, whatever the settings; keys
+    without a date, no more than there are settings, see groups of any validity.
+    """
+    groups = with_group(chunks).select("group", *GROUPED_BY).distinct()
+    dated = F.coalesce(F.col("freshness_policy").isin(*DATED_POLICIES) & F.col("at").isNotNull(), F.lit(False))
+    dates = keys.where(dated).select("at").distinct().select("at", F.explode(time_nodes("at")).alias("_node"))
+    nodes = groups.where("effective_from is not null").select("*", F.explode(interval_nodes("effective_from", "effective_to")).alias("_node"))
+    fits = type_fits("parsing_strategy", "chunk_type") & chunking_fits("chunking_strategy", "chunk_strategy", "chunk_type")
+    valid = dates.join(nodes, "_node").select("at", "group", "chunk_type", "chunk_strategy")
+    seen = keys.where(dated).join(valid, "at").where(fits).select(*keys.columns, "group")
+    free = groups.join(F.broadcast(keys.where(~dated)), fits).select(*keys.columns, "group")  # as many keys as settings
+    return seen.unionByName(free)
 
 
 def eligible_chunks(keys: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -172,9 +211,10 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, groups: DataFrame, keys:
     chunks (chunk_id, content, group) are seen by the keys that `groups` (keys, group) gives; asked (keys,
     question_id) says which questions each key is asked, all by default. Tokens are split at white space, case
     kept. An idf below zero becomes FLOOR times the mean idf of the key's vocabulary. Frequencies are counted
-    for groups and then summed for keys. The chunks stay where they are: blocks of TERM_BLOCK questions go to
-    them with their terms' idf, each task multiplies its chunks' term weights with the block and keeps the k
-    best for each key and question, and the tasks' candidates meet for the last ranking.
+    for groups and then summed for keys. The chunks stay where they are: blocks of TERM_BLOCK questions and
+    KEY_BLOCK keys go to them with their terms' idf, one after the other, so that no more than a block is ever at
+    the driver; each task adds up its chunks' postings and keeps the k best for each key and question, and the
+    tasks' candidates meet for the last ranking.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     own = drop_null_content(chunks, lexical=True).select("chunk_id", "group", words(F.col("content")).alias("w"))
@@ -191,60 +231,100 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, groups: DataFrame, keys:
     idf = idf.join(wanted, "term", "left_semi").join(mean, "_key").select("_key", "term", "avg_length", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     pairs = named.select("_key").distinct().crossJoin(questions.select("question_id")) if asked is None else asked.select(F.to_json(F.struct(*keys)).alias("_key"), "question_id").distinct()
 
-    spark = questions.sparkSession
-    blocks = max(1, -(-questions.count() // TERM_BLOCK))
-    part = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    of = lambda df, n: df.where(part == n) if blocks > 1 else df
+    spark, found = questions.sparkSession, None
     kinds = f"_key string, question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
-    scopes = seen.toArrow()  # a row for each group of chunks that a key sees
-    lengths = {r["_key"]: r["avg_length"] for r in size.collect()}
-    found, weights = None, idf.select("_key", "term", "idf").toArrow() if blocks == 1 else None
-    for n in range(blocks):
-        block = TermBlock.of(of(questions, n).select("question_id").toArrow(), of(terms, n).toArrow(), of(pairs, n).toArrow(), scopes, lengths, weights if weights is not None else idf.join(of(terms, n).select("term").distinct(), "term", "left_semi").select("_key", "term", "idf").toArrow())
-        best = own.mapInArrow(_best_terms(spark.sparkContext.broadcast(block), k), kinds)
-        found = best if found is None else found.union(best)
+    parts = lambda n, block: max(1, -(-n // block))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)) if n > 1 else F.lit(0)
+    key_parts, question_parts = parts(size.count(), KEY_BLOCK), parts(questions.count(), TERM_BLOCK)
+    for i in range(key_parts):
+        mine = lambda df: df.where(part("_key", key_parts) == i)  # noqa: B023, E731
+        scopes, lengths = mine(seen).toArrow(), mine(size).select("_key", "avg_length").toArrow()
+        for j in range(question_parts):
+            own_terms = terms.where(part("question_id", question_parts) == j)
+            own_pairs = mine(pairs).where(part("question_id", question_parts) == j).toArrow()
+            if own_pairs.num_rows == 0:
+                continue
+            weights = mine(idf).join(own_terms.select("term").distinct(), "term", "left_semi").select("_key", "term", "idf").toArrow()
+            block = TermBlock.of(own_terms.toArrow(), own_pairs, scopes, lengths, weights)
+            best = own.mapInArrow(_best_terms(spark.sparkContext.broadcast(block), k), kinds)
+            found = best if found is None else found.union(best)
+    if found is None:
+        found = spark.createDataFrame([], kinds)
     order = Window.partitionBy("_key", "question_id").orderBy(F.col("score").desc(), "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
     return ranked.join(named.select("_key", *keys).distinct(), "_key").select(*keys, "question_id", "chunk_id", "score", "rank")
 
 
-#: Questions whose terms go to every task at a time.
-TERM_BLOCK = 512
-#: Chunks whose term weights a task holds at a time.
-CHUNK_BLOCK = 512
+#: Questions, and keys, whose terms go to every task at a time.
+TERM_BLOCK, KEY_BLOCK = 512, 128
+#: Chunks whose scores a task holds at a time.
+CHUNK_BLOCK = 1024
+#: A term in more than this share of the questions is multiplied densely, others follow their postings.
+COMMON = 1 / 16
 
 
 @dataclass
 class TermBlock:
-    """Questions as columns of term counts, and for each key its idf, mean length, groups and questions."""
+    """Some keys' questions: which terms they have how often, densely for common terms, as postings for the others;
+    for each key the idf of the terms, mean length, groups and questions."""
 
     ids: pa.Array
     vocabulary: pa.Array
+    dense: np.ndarray  # each term's row in times, or -1
     times: np.ndarray
+    starts: np.ndarray
+    questions: np.ndarray
+    counts: np.ndarray
     names: list[str]
-    idf: list[np.ndarray]
+    idf: np.ndarray
     length: list[float]
     asked: list[np.ndarray]
     seen_by: dict
 
     @classmethod
-    def of(cls, ids: pa.Table, terms: pa.Table, pairs: pa.Table, scopes: pa.Table, lengths: dict, idf: pa.Table) -> TermBlock:
-        ids, vocabulary = ids.column("question_id").combine_chunks(), pc.unique(terms.column("term").combine_chunks())
-        where = lambda table, name, values: pc.index_in(table.column(name).combine_chunks(), value_set=values).to_numpy(zero_copy_only=False)
-        times = np.zeros((len(vocabulary), len(ids)))
-        times[where(terms, "term", vocabulary), where(terms, "question_id", ids)] = terms.column("times").to_numpy()
-        names = [x for x in pc.unique(scopes.column("_key")).to_pylist() if x in lengths]
+    def of(cls, terms: pa.Table, pairs: pa.Table, scopes: pa.Table, lengths: pa.Table, idf: pa.Table) -> TermBlock:
+        ids, vocabulary = pc.unique(pairs.column("question_id").combine_chunks()), pc.unique(terms.column("term").combine_chunks())
+        where = lambda table, name, values: pc.index_in(table.column(name).combine_chunks(), value_set=values).fill_null(-1).to_numpy(zero_copy_only=False)
+        term, question, n = where(terms, "term", vocabulary), where(terms, "question_id", ids), terms.column("times").to_numpy()
+        term, question, n = term[question >= 0], question[question >= 0], n[question >= 0]
+        order = np.lexsort((question, term))
+        term, question, n = term[order], question[order], n[order]
+        starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+        common = np.flatnonzero(np.diff(starts) > COMMON * len(ids))
+        dense = np.full(len(vocabulary), -1)
+        dense[common] = np.arange(len(common))
+        times, held = np.zeros((len(common), len(ids))), dense[term] >= 0
+        times[dense[term[held]], question[held]] = n[held]
+        names = lengths.column("_key").to_pylist()
         known = pa.array(names, pa.string())
         weight = np.zeros((len(names), len(vocabulary)))
-        key, term = where(idf, "_key", known), where(idf, "term", vocabulary)
-        weight[key, term] = idf.column("idf").to_numpy()
-        own, question = where(pairs, "_key", known), where(pairs, "question_id", ids)
-        asked = [np.unique(question[own == i]).astype(np.int64) for i in range(len(names))]
+        weight[where(idf, "_key", known), where(idf, "term", vocabulary)] = idf.column("idf").to_numpy()
+        own, asked_for = where(pairs, "_key", known), where(pairs, "question_id", ids)
+        asked = [np.unique(asked_for[own == i]) for i in range(len(names))]
         seen_by: dict = {}
         for i, g in zip(where(scopes, "_key", known).tolist(), scopes.column("group").to_pylist(), strict=True):
-            if i == i and len(asked[int(i)]):
-                seen_by.setdefault(g, []).append(int(i))
-        return cls(ids, vocabulary, times, names, list(weight), [lengths[x] for x in names], asked, seen_by)
+            if i >= 0 and len(asked[i]):
+                seen_by.setdefault(g, []).append(i)
+        return cls(ids, vocabulary, dense, times, starts, question, n.astype(float), names, weight, lengths.column("avg_length").to_pylist(), asked, seen_by)
+
+    def scores(self, key: int, row: np.ndarray, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """chunks x asked questions; the chunks' terms as entries: row, term, how often."""
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / self.length[key])) * self.idf[key, term]
+        at, asked = self.dense[term], self.asked[key]
+        common = at >= 0
+        own = np.zeros((len(size), len(self.times)))
+        own[row[common], at[common]] = weight[common]
+        out = own @ self.times[:, asked]
+        row, term, weight = row[~common], term[~common], weight[~common]
+        n = self.starts[term + 1] - self.starts[term]
+        ends = np.cumsum(n)
+        entry = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - self.starts[term], n)
+        place = np.full(len(self.ids), -1)
+        place[asked] = np.arange(len(asked))
+        column = place[self.questions[entry]]
+        hit = column >= 0
+        out += np.bincount((np.repeat(row, n) * len(asked) + column)[hit], (np.repeat(weight, n) * self.counts[entry])[hit], out.size).reshape(out.shape)
+        return np.round(out, 6)
 
 
 def _best_terms(sent, k: int):
@@ -253,36 +333,47 @@ def _best_terms(sent, k: int):
         for whole in batches:
             for start in range(0, whole.num_rows, CHUNK_BLOCK):
                 batch = whole.slice(start, CHUNK_BLOCK)
+                groups = batch.column("group").to_pylist()
+                batch = batch.filter(pa.array([g in block.seen_by for g in groups]))
+                if batch.num_rows == 0:
+                    continue
                 batch = batch.take(pc.sort_indices(batch.column("chunk_id")))  # of equal scores the smaller id wins
-                lists, names, groups = batch.column("w"), np.array(batch.column("chunk_id").to_pylist()), np.array(batch.column("group").to_pylist())
-                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                at = pc.index_in(lists.flatten(), value_set=block.vocabulary)
-                row, hit = np.repeat(np.arange(len(size)), size), at.is_valid().to_numpy(zero_copy_only=False)
-                tf = np.zeros((len(size), len(block.vocabulary)))
-                np.add.at(tf, (row[hit], at.drop_null().to_numpy()), 1)
-                for g in np.unique(groups).tolist():
-                    for key in block.seen_by.get(g, ()):
-                        _merge(block, held, key, tf[groups == g], size[groups == g], names[groups == g], k)
+                _score_chunks(block, held, batch, k)
         for key, (value, which) in held.items():
-            ids = block.ids.take(pa.array(np.repeat(block.asked[key], value.shape[1])))
-            yield pa.RecordBatch.from_arrays([pa.array([block.names[key]] * which.size, pa.string()), ids, pa.array(which.reshape(-1).tolist()), pa.array(value.reshape(-1))], ["_key", "question_id", "chunk_id", "score"])
+            made = value.reshape(-1) > -np.inf
+            ids = block.ids.take(pa.array(np.repeat(block.asked[key], value.shape[1])[made]))
+            yield pa.RecordBatch.from_arrays([pa.array([block.names[key]] * int(made.sum()), pa.string()), ids, pa.array(which.reshape(-1)[made].tolist()), pa.array(value.reshape(-1)[made])], ["_key", "question_id", "chunk_id", "score"])
 
     return run
 
 
-def _merge(block: TermBlock, held: dict, key: int, tf: np.ndarray, size: np.ndarray, names: np.ndarray, k: int) -> None:
-    """Scores some chunks, in order of their ids, for the questions of a key, and keeps the k best of each."""
-    used = np.flatnonzero(tf.any(0))
-    tf = tf[:, used]
-    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / block.length[key])[:, None]) * block.idf[key][used]
-    scores = np.round((weight @ block.times[np.ix_(used, block.asked[key])]).T, 6)
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    value, which = np.take_along_axis(scores, top, 1), names[top]
-    if key in held:
-        value, which = np.concatenate((held[key][0], value), axis=1), np.concatenate((held[key][1], which), axis=1)
-        top = np.lexsort((which, -value), axis=1)[:, :k]
-        value, which = np.take_along_axis(value, top, 1), np.take_along_axis(which, top, 1)
-    held[key] = value, which
+def _score_chunks(block: TermBlock, held: dict, batch: pa.RecordBatch, k: int) -> None:
+    """Scores chunks, in order of their ids, for the keys that see them, and keeps the k best of each question."""
+    lists, names, groups = batch.column("w"), np.array(batch.column("chunk_id").to_pylist(), object), np.array(batch.column("group").to_pylist())
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.index_in(lists.flatten(), value_set=block.vocabulary)
+    hit = at.is_valid().to_numpy(zero_copy_only=False)
+    entry, tf = np.unique(np.repeat(np.arange(len(size)), size)[hit] * len(block.vocabulary) + at.drop_null().to_numpy(), return_counts=True)
+    row, term = np.divmod(entry, max(len(block.vocabulary), 1))
+    for key in sorted({x for g in np.unique(groups).tolist() for x in block.seen_by[g]}):
+        seen = np.array([key in block.seen_by[g] for g in groups.tolist()])
+        of, own = np.cumsum(seen) - 1, seen[row]
+        scores = block.scores(key, of[row[own]], term[own], tf[own], size[seen])
+        if key not in held:
+            held[key] = np.full((scores.shape[1], k), -np.inf), np.full((scores.shape[1], k), None, object)
+        value, which = held[key]
+        # questions whose k-th score no chunk here reaches are done with
+        open_ = np.flatnonzero(scores.max(0) >= value[:, -1])
+        if len(open_) == 0:
+            continue
+        top = np.argsort(-scores[:, open_].T, axis=1, kind="stable")[:, :k]
+        new = np.take_along_axis(scores[:, open_].T, top, 1)
+        ids = names[seen][top]
+        pool, pool_ids = np.concatenate((value[open_], new), 1), np.concatenate((which[open_], ids), 1)
+        for q, (v, w) in enumerate(zip(pool.tolist(), pool_ids.tolist(), strict=True)):
+            best = sorted(((-x, n) for x, n in zip(v, w, strict=True) if n is not None))[:k]
+            value[open_[q], : len(best)] = [-x for x, _ in best]
+            which[open_[q], : len(best)] = [n for _, n in best]
 
 
 def rrf_fuse(vector: DataFrame, lexical: DataFrame, keys: list[str], content: str, limit: int, weights=RRF_WEIGHTS, c: int = RRF_C, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -332,26 +423,30 @@ def retrieve(runs: DataFrame, items: DataFrame, chunks: DataFrame, k: int = 5, e
     keys = ["parsing_strategy", "chunking_strategy", "freshness_policy", "at"]
     by = [*keys, "question_id"]
     own = with_group(drop_null_content(chunks))
-    date = F.coalesce(key_date("freshness_policy", "date"), F.lit(-1))
+    strategy = F.when(F.col("retrieval_strategy").isin(*STRATEGIES), F.col("retrieval_strategy")).otherwise("vector_only")
+    settings = runs.select(*keys[:3], strategy.alias("strategy")).distinct()
     dated = items.select(F.col("id").alias("question_id"), to_epoch("valid_from").alias("date"))
-    settings = runs.select(*keys[:3]).distinct()
-    asked = dated.crossJoin(F.broadcast(settings)).select(*keys[:3], date.alias("at"), "question_id")  # at most 64 settings
-    # small tables that the plan below reads many times
-    asked = asked.persist()
-    groups = eligible_groups(corpus_keys(runs, items), chunks).withColumn("at", F.coalesce("at", F.lit(-1))).persist()
+
+    def asked(*names: str) -> DataFrame:
+        """The keys and questions of runs with these strategies."""
+        some = settings.where(F.col("strategy").isin(*names)).select(*keys[:3]).distinct()  # at most 64 settings
+        return dated.crossJoin(F.broadcast(some)).select(*keys[:3], F.coalesce(key_date("freshness_policy", "date"), F.lit(-1)).alias("at"), "question_id")
+
+    groups = eligible_groups(corpus_keys(runs, items), chunks).withColumn("at", F.coalesce("at", F.lit(-1)))
     questions = items.select(F.col("id").alias("question_id"), "question")
 
-    lexical = bm25_top_k(questions, own.select("chunk_id", "content", "group"), groups, keys, k, asked)
+    lexical = bm25_top_k(questions, own.select("chunk_id", "content", "group"), groups, keys, k, asked("bm25", "hybrid", "hybrid_reranker"))
     vectors = vector_top_k(questions.withColumn("embedding", embedding("question")), own.select(F.col("chunk_id").alias("vec_id"), embedding("content").alias("embedding"), "group"), k, "group")
-    near = vectors.drop("rank").join(groups, "group").join(asked, by, "left_semi")
+    near = vectors.drop("rank").join(groups, "group").join(asked("vector_only", "hybrid", "hybrid_reranker"), by, "left_semi")
     best = Window.partitionBy(*by).orderBy(F.col("similarity").desc(), "vec_id")
     vector = near.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select(*by, F.col("vec_id").alias("chunk_id"), "rank")
 
     texts = own.select("chunk_id", "content", "effective_from")
     named = lambda df: df.select(*by, "chunk_id", "rank").join(texts, "chunk_id")
     vector, lexical = named(vector), named(lexical)
-    hybrid = rrf_fuse(vector, lexical, by, "content", 2 * k, carry=("chunk_id", "effective_from"))
-    reranked = rerank(hybrid.join(questions, "question_id"), by, k, score_pairs("question", "content"))
+    both = lambda df: df.join(asked("hybrid", "hybrid_reranker"), by, "left_semi")
+    hybrid = rrf_fuse(both(vector), both(lexical), by, "content", 2 * k, carry=("chunk_id", "effective_from"))
+    reranked = rerank(hybrid.join(asked("hybrid_reranker"), by, "left_semi").join(questions, "question_id"), by, k, score_pairs("question", "content"))
     lists = [(vector, F.lit(False)), (lexical, F.lit(False)), (hybrid, F.lit(False)), (reranked, F.col("reranked"))]
     every = None
     for name, (rows, flag) in zip(STRATEGIES, lists, strict=True):
@@ -359,6 +454,5 @@ def retrieve(runs: DataFrame, items: DataFrame, chunks: DataFrame, k: int = 5, e
         every = part if every is None else every.unionByName(part)
     newest = recency_sort(every.where("freshness_policy = 'recency_biased'"), [*by, "strategy"])
     every = every.where("coalesce(freshness_policy, '') <> 'recency_biased'").unionByName(newest)
-    strategy = F.when(F.col("retrieval_strategy").isin(*STRATEGIES), F.col("retrieval_strategy")).otherwise("vector_only")
     wanted = runs.select("run_id", *keys[:3], strategy.alias("strategy"))
     return every.join(wanted, [*keys[:3], "strategy"]).select("run_id", F.col("question_id").alias("query_id"), "chunk_id", "rank", "reranked")

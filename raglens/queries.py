@@ -44,17 +44,18 @@ def runs(spark, d):
     return view(spark, d, "fx_runs").withColumns({"status": F.lit("done"), "evaluated_at": F.lit(1), "diagnosed_at": F.lit(1)})
 
 
-def results(spark, d):
-    """Results with cost and chunks by rank."""
-    found = view(spark, d, "fx_retrieved").groupBy("run_id", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "filename", "doc_version", "chunk_type", "effective_from", "effective_to", "content", "page", "source"))).alias("retrieved_chunks"))
+def results(spark, d, content=False):
+    """Results with cost and chunks by rank; the chunks' texts come along only where they are read."""
+    found = view(spark, d, "fx_retrieved")
+    found = (found if content else found.withColumn("content", F.lit(None).cast("string"))).groupBy("run_id", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "filename", "doc_version", "chunk_type", "effective_from", "effective_to", "content", "page", "source"))).alias("retrieved_chunks"))
     kind = "array<struct<rank:int,chunk_id:string,filename:string,doc_version:string,chunk_type:string,effective_from:bigint,effective_to:bigint,content:string,page:int,source:string>>"
     own = view(spark, d, "fx_query_results").withColumn("llm_model", F.lit("gpt-4o-mini"))
     joined = accounting.token_cost(own).join(found, ["run_id", "query_id"], "left")
     return joined.withColumn("retrieved_chunks", F.coalesce(F.col("retrieved_chunks").cast(kind), F.array().cast(kind)))
 
 
-def diagnoses(spark, d):
-    return diagnosis.diagnose(results(spark, d), items(spark, d))
+def diagnoses(spark, d, content=False):
+    return diagnosis.diagnose(results(spark, d, content), items(spark, d))
 
 
 def run_metrics(spark, d):
@@ -278,7 +279,7 @@ select run_id, query_id, concat('# Question', chr(10), coalesce(i.question, ''),
   chr(10), chr(10), '# Category', chr(10), coalesce(failure_category, 'UNDIAGNOSED'), chr(10), {_DESCRIBED}) as prompt
 from dg left join fx_eval_items i on i.id = query_id left join shown using (run_id, query_id)""")
 def g22_reasoning_prompt(spark, d):
-    return diagnosis.reasoning_prompt(diagnoses(spark, d), items(spark, d))
+    return diagnosis.reasoning_prompt(diagnoses(spark, d, content=True), items(spark, d))
 
 
 @query("""with e as (select event_id as id, event_id % 3 as k from events)
@@ -743,10 +744,11 @@ def b10_to_epoch(spark, d):
 # --- retrieval --------------------------------------------------------------
 
 
-_ELIGIBLE = f"""with {IT}, keys as (select distinct parsing_strategy, chunking_strategy, freshness_policy, case when freshness_policy = 'effective_date_filter' then at end as at from fx_runs cross join (select distinct at from it)),
-el as (select k.*, c.* from keys k join fx_chunks c on c.chunk_type = 'text' or k.parsing_strategy = 'text_table' and c.chunk_type = 'table'
+_DATED = "freshness_policy in ('effective_date_filter', 'version_aware')"
+_ELIGIBLE = f"""with {IT}, keys as (select distinct parsing_strategy, chunking_strategy, freshness_policy, case when {_DATED} then at end as at from fx_runs cross join (select distinct at from it)),
+el as (select k.*, c.* from keys k join fx_chunks c on c.chunk_type = 'text' or k.parsing_strategy in ('text_table', 'text_table_vision') and c.chunk_type = 'table' or k.parsing_strategy = 'text_table_vision' and c.chunk_type = 'image' or k.parsing_strategy = 'spreadsheet_aware' and c.chunk_type = 'spreadsheet_cell'
 where (c.chunk_strategy = k.chunking_strategy or c.chunk_strategy = 'atomic')
-and (k.freshness_policy = 'none' or k.at is null or c.effective_from <= k.at and (c.effective_to is null or c.effective_to >= k.at)))"""
+and (k.at is null or c.effective_from <= k.at and (c.effective_to is null or c.effective_to >= k.at)))"""
 
 
 @query(f"{_ELIGIBLE} select parsing_strategy, chunking_strategy, freshness_policy, at, count(*) as n, count(distinct doc_id) as docs from el group by all")
@@ -776,7 +778,7 @@ def d7_vector_top_k(spark, d):
 
 
 _BM = f"""{_ELIGIBLE}, co as (select parsing_strategy as p, chunking_strategy as c, freshness_policy as f, coalesce(at, -1) as t, chunk_id, content from el),
-ask as (select distinct parsing_strategy as p, chunking_strategy as c, freshness_policy as f, coalesce(case when freshness_policy = 'effective_date_filter' then at end, -1) as t, id, question from fx_runs cross join it),
+ask as (select distinct parsing_strategy as p, chunking_strategy as c, freshness_policy as f, coalesce(case when {_DATED} then at end, -1) as t, id, question from fx_runs cross join it),
 words as (select chunk_id, list_filter(regexp_split_to_array(content, '[ \\t\\n\\f\\r\\x0B]+'), lambda w: w <> '') as w from fx_chunks where content <> ''),
 tok as (select p, c, f, t, chunk_id, w from co join words using (chunk_id)),
 sz as (select p, c, f, t, count(*) as n, avg(len(w)) as al from tok group by all),
@@ -842,7 +844,7 @@ _VECTOR = lambda t: "[" + ", ".join(f"(length({t}) - length(replace({t}, '{c}',
 _WORDSET = lambda t: f"list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^A-Za-z0-9_]+'), lambda w: w <> ''))"
 
 
-@query(f"""{_BM}, cv as (select chunk_id, content, {_VECTOR('lower(content)')} as v from fx_chunks where content is not null),
+_RETRIEVE = f"""{_BM}, cv as (select chunk_id, content, effective_from, {_VECTOR('lower(content)')} as v from fx_chunks where content is not null),
 qv as (select id, question, {_VECTOR('lower(question)')} as u from fx_eval_items),
 sim as (select id, chunk_id, round(case when list_sum(u) = 0 or list_sum(v) = 0 then 0.0 else list_cosine_similarity(u, v) end, 9) as s from qv cross join cv),
 vec as (select p, c, f, t, id, chunk_id, row_number() over (partition by p, c, f, t, id order by s desc, chunk_id) as rank from co join ask using (p, c, f, t) join sim using (id, chunk_id) qualify rank <= 5),
@@ -850,12 +852,28 @@ two as (select p, c, f, t, id, chunk_id, 0.6 / (rank + 60) as part, 0 as src, ra
 hy0 as (select p, c, f, t, id, content, round(sum(part), 9) as score, min((src, rank)) as seen, arg_min(chunk_id, src * 1000 + rank) as chunk_id from two join cv using (chunk_id) group by all),
 hy as (select *, row_number() over (partition by p, c, f, t, id order by score desc, seen, content) as rank from hy0),
 re as (select hy.* exclude (rank), row_number() over (partition by p, c, f, t, id order by round(coalesce(len(list_intersect({_WORDSET('question')}, {_WORDSET('content')})) / nullif(len({_WORDSET('question')}), 0), 0.0), 12) desc, hy.rank) as place from hy join qv using (id) qualify place <= 5),
-every as (select 'vector_only' as r, p, c, f, t, id, chunk_id, rank from vec union all select 'hybrid', p, c, f, t, id, chunk_id, rank from hy union all select 'hybrid_reranker', p, c, f, t, id, chunk_id, place from re)
-select run_id, id as query_id, chunk_id, rank, every.r = 'hybrid_reranker' as reranked from every join fx_runs x on x.retrieval_strategy = every.r and x.parsing_strategy = p and x.chunking_strategy = c and x.freshness_policy = f""")
+ranked as (select 'vector_only' as r, p, c, f, t, id, chunk_id, rank from vec union all select 'bm25', p, c, f, t, id, chunk_id, rank from lex union all select 'hybrid', p, c, f, t, id, chunk_id, rank from hy union all select 'hybrid_reranker', p, c, f, t, id, chunk_id, place from re),
+every as (select r, p, c, f, t, id, chunk_id, case when f = 'recency_biased' then row_number() over (partition by r, p, c, f, t, id order by coalesce(effective_from, 0) desc, rank) else rank end as rank from ranked join (select chunk_id, effective_from from cv) using (chunk_id))
+select run_id, id as query_id, chunk_id, rank, every.r = 'hybrid_reranker' as reranked from every join fx_runs x on x.retrieval_strategy = every.r and x.parsing_strategy = p and x.chunking_strategy = c and x.freshness_policy = f"""
+
+
+@query(_RETRIEVE)
 def d14_retrieve(spark, d):
     return retrieval.retrieve(runs(spark, d), items(spark, d), view(spark, d, "fx_chunks"), embedding=letters)
 
 
+@query(_RETRIEVE.replace("fx_runs", "fx_more_runs"))
+def d14_retrieve_policies(spark, d):
+    """All four strategies under the policies and parsings that the other runs don't have."""
+    return retrieval.retrieve(view(spark, d, "fx_more_runs"), items(spark, d), view(spark, d, "fx_chunks"), embedding=letters)
+
+
+@query(_ELIGIBLE.replace("fx_runs", "fx_more_runs") + " select parsing_strategy, chunking_strategy, freshness_policy, at, count(*) as n from el group by all")
+def d5_eligible_policies(spark, d):
+    own = retrieval.eligible_chunks(retrieval.corpus_keys(view(spark, d, "fx_more_runs"), items(spark, d)), view(spark, d, "fx_chunks"))
+    return own.groupBy("parsing_strategy", "chunking_strategy", "freshness_policy", "at").agg(F.count("*").alias("n"))
+
+
 # --- models' contracts and streams ------------------------------------------
 
 
