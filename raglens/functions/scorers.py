@@ -27,21 +27,39 @@ def score_pairs(question: str | Column, content: str | Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, F.array_distinct(tokens(content)))), F.size(q)), F.lit(0.0))
 
 
-def generate(rows: DataFrame, model: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """rows (question, chunks) with generated_answer, status and error_message; a model's exception becomes an error row."""
+def generate(rows: DataFrame, model: Callable[[pd.Series], pd.Series | pd.DataFrame] | None = None) -> DataFrame:
+    """rows with generated_answer, input_tokens, output_tokens, status and error_message.
+
+    Without a model the chunk that has most of the question answers, and words count as tokens. A model takes a
+    batch of prompts and gives answers, or a frame of answer, input_tokens and output_tokens (0 where it reports
+    none). Where it fails for a batch it is asked again prompt by prompt, so only the rows that fail are errors.
+    """
     if model is None:
         best = F.array_max(F.transform("chunks", lambda c: F.struct(score_pairs(F.col("question"), c["content"]).alias("s"), (-c["rank"]).alias("r"), c["content"].alias("content"))))
-        return rows.withColumns({"generated_answer": F.coalesce(best["content"], F.lit("")), "status": F.lit("ok"), "error_message": F.lit(None).cast("string")})
-
-    @F.pandas_udf("answer string, error string")
+        answer = F.coalesce(best["content"], F.lit(""))
+        asked = F.size(tokens("question")) + F.aggregate("chunks", F.lit(0), lambda n, c: n + F.coalesce(F.size(tokens(c["content"])), F.lit(0)))
+        return rows.withColumns({"generated_answer": answer, "input_tokens": F.coalesce(asked, F.lit(0)).cast("long"), "output_tokens": F.size(tokens(answer)).cast("long"), "status": F.lit("ok"), "error_message": F.lit(None).cast("string")})
+
+    def answers(prompts: pd.Series) -> pd.DataFrame:
+        made = model(prompts)
+        made = made if isinstance(made, pd.DataFrame) else pd.DataFrame({"answer": list(made)})
+        made = made.reindex(columns=["answer", "input_tokens", "output_tokens"]).reset_index(drop=True)
+        if len(made) != len(prompts):
+            raise ValueError(f"{len(made)} answers to {len(prompts)} prompts")
+        return made.assign(**{c: made[c].fillna(0).astype("int64") for c in ("input_tokens", "output_tokens")}, error=None)
+
+    @F.pandas_udf("answer string, input_tokens long, output_tokens long, error string")
     def call(prompts: pd.Series) -> pd.DataFrame:
         try:
-            return pd.DataFrame({"answer": model(prompts), "error": None})
-        except Exception as e:  # noqa: BLE001 - an error becomes rows
-            return pd.DataFrame({"answer": "", "error": [str(e)] * len(prompts)})
+            return answers(prompts)
+        except Exception as whole:  # noqa: BLE001 - errors become rows
+            if len(prompts) == 1:
+                return pd.DataFrame({"answer": [""], "input_tokens": [0], "output_tokens": [0], "error": [str(whole)]})
+            return pd.concat([call.func(prompts.iloc[i : i + 1]) for i in range(len(prompts))], ignore_index=True)
 
     out = rows.withColumn("_a", call("prompt"))
-    return out.withColumns({"generated_answer": F.col("_a.answer"), "status": F.when(F.col("_a.error").isNull(), "ok").otherwise("error"), "error_message": F.col("_a.error")}).drop("_a")
+    made = {"generated_answer": F.col("_a.answer"), "input_tokens": F.col("_a.input_tokens"), "output_tokens": F.col("_a.output_tokens")}
+    return out.withColumns(made | {"status": F.when(F.col("_a.error").isNull(), "ok").otherwise("error"), "error_message": F.col("_a.error")}).drop("_a")
 
 
 def score_answers(rows: DataFrame) -> DataFrame:

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raglens.functions.scalars import is_blank, stripped
-from raglens.functions.scorers import embed
+from raglens.functions.scalars import is_blank
+from raglens.functions.scorers import DIM
+from raglens.operators import splitting
 
 SIZE, OVERLAP = 512, 64
-SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
-#: Markdown headings, lines in capitals, numbered sections whose number ends in a separator.
-HEADING = r"(?U)^(#{1,4}\s.+|[A-Z][A-Z\s]{3,}|(Section|Article|Part|Chapter)\s+\d+\s*[–—:.-]\s+\S.{0,100})$"
 
 
 def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -26,105 +25,55 @@ def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Da
     return out.where(~is_blank("content")).withColumn("end_index", F.col("start_index") + F.length("content"))
 
 
-def split_recursive(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:
-    """Splits at the first separator that occurs, which starts the next piece; larger pieces split further."""
-    at = next((k for k, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    mark, finer = separators[at], separators[at + 1 :]
-    if mark:
-        parts = text.split(mark)
-        pieces = [p for p in [parts[0], *(mark + x for x in parts[1:])] if p]
-    else:
-        pieces = list(text)
-    out: list[str] = []
-    held: list[str] = []
-    for piece in pieces:
-        if len(piece) < size:
-            held.append(piece)
-            continue
-        out += _packed(held, size, overlap)
-        held = []
-        out += split_recursive(piece, size, overlap, finer) if finer else [piece]
-    return out + _packed(held, size, overlap)
-
-
-def _packed(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Runs of pieces of up to `size` characters; each next run starts with up to `overlap` of the last one."""
-    out, run, length = [], [], 0
-    for piece in pieces:
-        if run and length + len(piece) > size:
-            if joined := "".join(run).strip():
-                out.append(joined)
-            while run and (length > overlap or length + len(piece) > size):
-                length -= len(run.pop(0))
-        run.append(piece)
-        length += len(piece)
-    if joined := "".join(run).strip():
-        out.append(joined)
-    return out
+def _by_text(docs: DataFrame, made: str, rows_of: Callable[[list[str]], Iterable[list[tuple]]]) -> DataFrame:
+    """doc_id and new columns: some rows for each text, a batch of texts at a time; a null text is empty."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [c.split()[0] for c in made.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                found = list(rows_of([t or "" for t in batch.column("text").to_pylist()]))
+                sizes = [len(rows) for rows in found]
+                ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                columns = list(zip(*(r for rows in found for r in rows), strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, _KINDS[n.split()[1]]) for c, n in zip(columns, made.split(", "), strict=True))], ["doc_id", *names])
 
-def chunk_recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, chunk_idx, start_index, content; offsets come from searching on from a cursor that never moves back."""
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {made}")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                cursor = 0
-                for k, chunk in enumerate(split_recursive(text or "", size, overlap)):
-                    found = (text or "").find(chunk, cursor)
-                    cursor = max(cursor, found)
-                    rows.append((doc, k, cursor, chunk))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "start_index", "content"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk_idx int, start_index int, content string")
+#: Texts whose chunks are held at a time.
+TEXTS = 256
+_KINDS = {"int": pa.int32(), "string": pa.string()}
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence")).where(~is_blank("sentence"))
+def chunk_recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, chunk_idx, start_index, content; offsets come from searching on from a cursor that never moves back."""
+    rows = lambda text: [(k, start, chunk) for k, (start, chunk) in enumerate(splitting.recursive_chunks(text, size, overlap))]
+    return _by_text(docs, "chunk_idx int, start_index int, content string", lambda texts: map(rows, texts))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    both = norm(a) * norm(b)
-    return F.when(both > 0, dot / both).otherwise(0.0)
+def chunk_semantic(docs: DataFrame, threshold: float = 0.85, vectors: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """doc_id, chunk_idx, start_index, end_index, content, sentence_count: sentences joined while neighbours are alike;
+    texts of up to three sentences stay whole. `vectors` embeds a list of sentences, by default as embed() does."""
+    embedder = vectors or (lambda texts: splitting.hashed_counts(texts, DIM))
 
+    def rows(texts: list[str]) -> Iterator[list[tuple]]:
+        for own in splitting.semantic_chunks(texts, threshold, embedder):
+            yield [(k, *r) for k, r in enumerate(own)]
 
-def chunk_semantic(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Sentences joined while neighbours are alike; texts of up to three sentences stay whole."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    own = sentences(docs).withColumn("v", embed("sentence"))
-    split = F.coalesce((cosine(F.lag("v").over(order), F.col("v")) < threshold).cast("int"), F.lit(0))
-    own = own.withColumn("split", split).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
-    own = own.withColumn("group", F.when(F.col("n") <= 3, 0).otherwise(F.sum("split").over(order)))
-    rows = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
-    out = own.groupBy("doc_id", "group").agg(rows.alias("r"), F.first("n").alias("n"))
-    joined = out.select("doc_id", F.col("group").cast("int").alias("chunk_idx"), F.array_join(F.transform("r", lambda x: x["sentence"]), " ").alias("content"), F.size("r").alias("sentence_count"), "n")
-    whole = docs.select("doc_id", F.col("text").alias("_text"))
-    return joined.join(whole, "doc_id").select("doc_id", "chunk_idx", F.when(F.col("n") <= 3, F.col("_text")).otherwise(F.col("content")).alias("content"), "sentence_count")
+    return _by_text(docs, "chunk_idx int, start_index int, end_index int, content string, sentence_count int", rows)
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """doc_id, section, section_title, content: text before the first heading is a section without title."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("head", F.col("line").rlike(HEADING).cast("int"))
-    lines = lines.withColumn("section", F.sum("head").over(Window.partitionBy("doc_id").orderBy("pos")))
-    out = lines.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "head"))).alias("r"))
-    title = F.when(F.col("r")[0]["head"] == 1, stripped(F.col("r")[0]["line"]))
-    out = out.select("doc_id", "section", title.alias("section_title"), F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("content"))
-    return out.where(~is_blank("content"))
+def chunk_structure(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, section, section_title, chunk_idx, start_index, content: sections from heading to heading, each chunked by
+    chunk_recursive; text before the first heading is a section without title; offsets count from the text's start."""
 
+    def rows(text: str) -> list[tuple]:
+        return [(n, title, k, base + start, chunk) for n, title, base, own in splitting.sections(text) for k, (start, chunk) in enumerate(splitting.recursive_chunks(own, size, overlap))]
 
-def chunk_structure(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Sections, each chunked by chunk_recursive; offsets count from the document's start."""
-    own = sections(docs)
-    before = F.sum(F.length("content") + 1).over(Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1))
-    own = own.withColumn("base", F.coalesce(before, F.lit(0)))
-    key = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("section").cast("string"))
-    chunks = chunk_recursive(own.select(key.alias("doc_id"), F.col("content").alias("text")), size, overlap).withColumnRenamed("doc_id", "_key")
-    joined = own.drop("content").withColumn("_key", key).join(chunks, "_key")
-    return joined.select("doc_id", "section", "section_title", "chunk_idx", (F.col("base") + F.col("start_index")).alias("start_index"), "content")
+    return _by_text(docs, "section int, section_title string, chunk_idx int, start_index int, content string", lambda texts: map(rows, texts))
 
 
 def heading_flag() -> Column:

@@ -23,8 +23,9 @@ def _date(c: str) -> Column:
     return F.when(F.col(c).rlike(_DATE), F.expr(f"try_cast({c} as date)"))
 
 
-def _fault(on: Column, field: str | None, message: str) -> Column:
-    return F.when(on, F.struct(F.lit(field).cast("string").alias("field"), F.lit(message).alias("message")))
+def _fault(on: Column, field: str | None, message: str | Column) -> Column:
+    said = F.lit(message) if isinstance(message, str) else message
+    return F.when(on, F.struct(F.lit(field).cast("string").alias("field"), said.alias("message")))
 
 
 def _unknown(c: str, known: list[str]) -> Column:
@@ -50,7 +51,7 @@ def validate_eval_items(items: DataFrame) -> DataFrame:
     docs = F.exists("source_docs", is_blank)
     checks = [_fault(F.coalesce("extra_cells", F.lit(False)), None, "more cells than the header")]
     checks += [_fault(is_blank(c), c, "required") for c in ("id", "question", "ground_truth")]
-    checks.append(_fault(~is_blank("id") & (F.col("_first") < F.col("ord")), "id", "duplicate"))
+    checks.append(_fault(~is_blank("id") & (F.col("_first") < F.col("ord")), "id", F.concat(F.lit("duplicate, first seen in row "), F.col("_first").cast("string"))))
     checks.append(_fault(F.coalesce(docs, F.lit(False)), "source_docs", "not a list of names"))
     checks += _dates()
     checks += [_fault(_unknown("modality", MODALITIES), "modality", "unknown"), _fault(_unknown("difficulty", DIFFICULTIES), "difficulty", "unknown")]
@@ -122,10 +123,16 @@ def register_eval_set(items: DataFrame, documents: DataFrame, name: str | None =
     return named.crossJoin(F.broadcast(one)).where("_faults = 0").drop("_faults").withColumn("n_unmatched", F.size("unmatched").cast("long"))
 
 
-def validate_document_ids(ids: DataFrame, documents: DataFrame) -> DataFrame:
-    """Unknown ids in the order given, each once."""
-    first = ids.groupBy("doc_id").agg(F.min("position").alias("position"))
-    return first.join(documents.select("doc_id"), "doc_id", "left_anti").orderBy("position")
+def validate_document_ids(ids: DataFrame | None, documents: DataFrame) -> DataFrame:
+    """doc_id, position, error: unknown ids in the order given, each once; None stands for all documents and has no
+    fault, a list without any id is one."""
+    kind = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, position long, error string"
+    if ids is None:
+        return documents.sparkSession.createDataFrame([], kind)
+    first = ids.groupBy("doc_id").agg(F.min("position").cast("long").alias("position"))
+    unknown = first.join(documents.select("doc_id"), "doc_id", "left_anti").withColumn("error", F.lit("unknown document"))
+    empty = ids.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("position"), F.lit("no document is named").alias("error"))
+    return unknown.unionByName(empty).orderBy("position")
 
 
 def normalise_quotes(c: str | Column) -> Column:

@@ -65,13 +65,40 @@ def join_integrity(results: DataFrame, items: DataFrame) -> DataFrame:
     return lost.union(twice)
 
 
+def missing_results(runs: DataFrame, results: DataFrame, items: DataFrame) -> DataFrame:
+    """run_id, query_id that a run has no result of. items: id, ord (its number in the set, from 0, each once).
+
+    Each run's questions are bits of its bitmaps, one for 32,768 numbers; only runs with fewer bits than there are
+    items are taken apart again.
+    """
+    place = F.col("ord").cast("long") + 1
+    numbered = items.select(F.col("id").alias("query_id"), F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    held = results.select("run_id", "query_id").join(numbered, "query_id").groupBy("run_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    whole = numbered.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("all"), F.count("*").alias("n"))  # a row for 32,768 items
+    counted = held.join(F.broadcast(whole.select("bucket", "n")), "bucket").withColumn("short", F.bitmap_count("bits") < F.col("n"))
+    # buckets that a run lacks whole count as zeros
+    total = whole.agg(F.sum("n").alias("total"))
+    full = counted.groupBy("run_id").agg(F.sum(F.bitmap_count("bits")).alias("got"))
+    short = runs.select("run_id").distinct().join(full, "run_id", "left").join(F.broadcast(total), F.coalesce("got", F.lit(0)) < F.col("total")).select("run_id")
+    numbers = F.sequence(F.lit(0), F.lit(4095))
+
+    def left(bits: Column) -> Column:
+        byte = lambda c, i: F.conv(F.hex(F.substring(c, i + 1, F.lit(1))), 16, 10).cast("int")
+        open_ = lambda i: byte(F.col("all"), i).bitwiseAND(F.bitwise_not(F.coalesce(byte(bits, i), F.lit(0))))
+        bit = lambda i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(open_(i), k) == 1), lambda k: i * 8 + k)
+        return F.flatten(F.transform(F.filter(numbers, lambda i: open_(i) != 0), bit))
+
+    every = short.join(F.broadcast(whole.select("bucket", "all")), F.lit(True))  # a row for 32,768 items beside each short run
+    gaps = every.join(held, ["run_id", "bucket"], "left").select("run_id", "bucket", F.explode(left(F.col("bits")).cast("array<long>")).alias("bit"))
+    return gaps.join(numbered, ["bucket", "bit"]).select("run_id", "query_id")
+
+
 def completeness(runs: DataFrame, results: DataFrame, items: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """issue, run_id, query_id: missing, errored, unscored, undiagnosed results, and runs without any."""
     key = ["run_id", "query_id"]
-    expected = items.select(F.col("id").alias("query_id")).crossJoin(runs.select("run_id"))
     issue = lambda df, name: df.select(F.lit(name).alias("issue"), *key)
     empty = runs.join(results, "run_id", "left_anti").select(F.lit("empty_run").alias("issue"), "run_id", F.lit(None).cast("string").alias("query_id"))
-    return issue(expected.join(results, key, "left_anti"), "missing").union(issue(results.where(~is_ok()), "errored")).union(issue(results.where(is_ok() & sanitize_score("answer_correctness").isNull()), "unscored")).union(issue(diagnoses.where("failure_category is null"), "undiagnosed")).union(empty)
+    return issue(missing_results(runs, results, items), "missing").union(issue(results.where(~is_ok()), "errored")).union(issue(results.where(is_ok() & sanitize_score("answer_correctness").isNull()), "unscored")).union(issue(diagnoses.where("failure_category is null"), "undiagnosed")).union(empty)
 
 
 def csv_cells(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,43 +217,50 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, groups: DataFrame, keys:
     the driver; each task adds up its chunks' postings and keeps the k best for each key and question, and the
     tasks' candidates meet for the last ranking.
     """
+    spark = questions.sparkSession
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     own = drop_null_content(chunks, lexical=True).select("chunk_id", "group", words(F.col("content")).alias("w"))
-    named = groups.select(F.to_json(F.struct(*keys)).alias("_key"), "group", *keys)
-    seen = named.select("_key", "group")
-    size = own.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).join(seen, "group")
-    size = size.groupBy("_key").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg_length"))
-    spread = own.select("group", F.explode(F.array_distinct("w")).alias("term")).groupBy("group", "term").agg(F.count("*").alias("df"))
-    idf = spread.join(seen, "group").groupBy("_key", "term").agg(F.sum("df").alias("df")).join(size, "_key")
-    idf = idf.withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = idf.groupBy("_key").agg(F.avg("idf").alias("mean_idf"))
+    key = F.xxhash64(F.to_json(F.struct(*keys))).alias("_key")
+    seen = groups.select(key, "group").persist(StorageLevel.DISK_ONLY)
+    # frequencies by group: all that is needed of the texts, however many keys there are
+    spread = own.select("group", F.explode(F.array_distinct("w")).alias("term")).groupBy("group", "term").agg(F.count("*").alias("df")).persist(StorageLevel.DISK_ONLY)
+    counts = own.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).join(seen, "group")
+    size = counts.groupBy("_key").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg_length"))
     terms = questions.select("question_id", F.explode(words(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    wanted = terms.select("term").distinct()
-    idf = idf.join(wanted, "term", "left_semi").join(mean, "_key").select("_key", "term", "avg_length", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    pairs = named.select("_key").distinct().crossJoin(questions.select("question_id")) if asked is None else asked.select(F.to_json(F.struct(*keys)).alias("_key"), "question_id").distinct()
-
-    spark, found = questions.sparkSession, None
-    kinds = f"_key string, question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
-    parts = lambda n, block: max(1, -(-n // block))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)) if n > 1 else F.lit(0)
-    key_parts, question_parts = parts(size.count(), KEY_BLOCK), parts(questions.count(), TERM_BLOCK)
-    for i in range(key_parts):
-        mine = lambda df: df.where(part("_key", key_parts) == i)  # noqa: B023, E731
-        scopes, lengths = mine(seen).toArrow(), mine(size).select("_key", "avg_length").toArrow()
-        for j in range(question_parts):
-            own_terms = terms.where(part("question_id", question_parts) == j)
-            own_pairs = mine(pairs).where(part("question_id", question_parts) == j).toArrow()
-            if own_pairs.num_rows == 0:
-                continue
-            weights = mine(idf).join(own_terms.select("term").distinct(), "term", "left_semi").select("_key", "term", "idf").toArrow()
-            block = TermBlock.of(own_terms.toArrow(), own_pairs, scopes, lengths, weights)
-            best = own.mapInArrow(_best_terms(spark.sparkContext.broadcast(block), k), kinds)
-            found = best if found is None else found.union(best)
+    pairs = (groups.select(*keys).distinct().crossJoin(questions.select("question_id")) if asked is None else asked).select(key, *keys, "question_id").distinct()
+    parts = max(1, -(-questions.count() // TERM_BLOCK))
+    part = F.pmod(F.xxhash64("question_id"), F.lit(parts)) if parts > 1 else F.lit(0)
+    kinds = f"_key long, question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+    key_parts = max(1, -(-pairs.select("_key").distinct().count() // KEY_BLOCK))
+    found = None
+    try:
+        for i in range(key_parts):
+            sizes = (size.where(F.pmod(F.xxhash64("_key"), F.lit(key_parts)) == i) if key_parts > 1 else size).collect()  # about KEY_BLOCK rows
+            mine = [r["_key"] for r in sizes]
+            scopes = seen.where(F.col("_key").isin(mine))
+            known = F.broadcast(spark.createDataFrame([(r["_key"], r["n"]) for r in sizes], "_key long, n long"))  # KEY_BLOCK rows
+            idf = spread.join(scopes, "group").groupBy("_key", "term").agg(F.sum("df").alias("df")).join(known, "_key")
+            idf = idf.select("_key", "term", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+            for j in range(parts):
+                own_pairs = pairs.where((part == j) & F.col("_key").isin(mine)).select("_key", "question_id").toArrow()
+                if own_pairs.num_rows == 0:
+                    continue
+                own_terms = terms.where(part == j)
+                wanted = own_terms.select("term").distinct().withColumn("_wanted", F.lit(True))
+                # one pass over each key's vocabulary: its mean, and what the questions ask of it
+                held = idf.join(wanted, "term", "left").groupBy("_key").agg(F.avg("idf").alias("mean"), F.collect_list(F.when(F.col("_wanted"), F.struct("term", "idf"))).alias("terms"))
+                weights = held.select("_key", "mean", F.explode("terms").alias("t")).select("_key", "t.term", F.when(F.col("t.idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("t.idf")).alias("idf"))
+                block = TermBlock.of(own_terms.toArrow(), own_pairs, scopes.toArrow(), {r["_key"]: r["avg_length"] for r in sizes}, weights.toArrow())
+                best = own.mapInArrow(_best_terms(spark.sparkContext.broadcast(block), k), kinds)
+                found = best if found is None else found.union(best)
+    finally:
+        seen.unpersist()
+        spread.unpersist()
     if found is None:
         found = spark.createDataFrame([], kinds)
     order = Window.partitionBy("_key", "question_id").orderBy(F.col("score").desc(), "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
-    return ranked.join(named.select("_key", *keys).distinct(), "_key").select(*keys, "question_id", "chunk_id", "score", "rank")
+    return ranked.join(pairs, ["_key", "question_id"]).select(*keys, "question_id", "chunk_id", "score", "rank")
 
 
 #: Questions, and keys, whose terms go to every task at a time.
@@ -275,14 +283,14 @@ class TermBlock:
     starts: np.ndarray
     questions: np.ndarray
     counts: np.ndarray
-    names: list[str]
+    names: list[int]
     idf: np.ndarray
     length: list[float]
     asked: list[np.ndarray]
     seen_by: dict
 
     @classmethod
-    def of(cls, terms: pa.Table, pairs: pa.Table, scopes: pa.Table, lengths: pa.Table, idf: pa.Table) -> TermBlock:
+    def of(cls, terms: pa.Table, pairs: pa.Table, scopes: pa.Table, lengths: dict[int, float], idf: pa.Table) -> TermBlock:
         ids, vocabulary = pc.unique(pairs.column("question_id").combine_chunks()), pc.unique(terms.column("term").combine_chunks())
         where = lambda table, name, values: pc.index_in(table.column(name).combine_chunks(), value_set=values).fill_null(-1).to_numpy(zero_copy_only=False)
         term, question, n = where(terms, "term", vocabulary), where(terms, "question_id", ids), terms.column("times").to_numpy()
@@ -295,8 +303,8 @@ class TermBlock:
         dense[common] = np.arange(len(common))
         times, held = np.zeros((len(common), len(ids))), dense[term] >= 0
         times[dense[term[held]], question[held]] = n[held]
-        names = lengths.column("_key").to_pylist()
-        known = pa.array(names, pa.string())
+        names = list(lengths)
+        known = pa.array(names, pa.int64())
         weight = np.zeros((len(names), len(vocabulary)))
         weight[where(idf, "_key", known), where(idf, "term", vocabulary)] = idf.column("idf").to_numpy()
         own, asked_for = where(pairs, "_key", known), where(pairs, "question_id", ids)
@@ -305,7 +313,7 @@ class TermBlock:
         for i, g in zip(where(scopes, "_key", known).tolist(), scopes.column("group").to_pylist(), strict=True):
             if i >= 0 and len(asked[i]):
                 seen_by.setdefault(g, []).append(i)
-        return cls(ids, vocabulary, dense, times, starts, question, n.astype(float), names, weight, lengths.column("avg_length").to_pylist(), asked, seen_by)
+        return cls(ids, vocabulary, dense, times, starts, question, n.astype(float), names, weight, list(lengths.values()), asked, seen_by)
 
     def scores(self, key: int, row: np.ndarray, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
         """chunks x asked questions; the chunks' terms as entries: row, term, how often."""
@@ -342,7 +350,7 @@ def _best_terms(sent, k: int):
         for key, (value, which) in held.items():
             made = value.reshape(-1) > -np.inf
             ids = block.ids.take(pa.array(np.repeat(block.asked[key], value.shape[1])[made]))
-            yield pa.RecordBatch.from_arrays([pa.array([block.names[key]] * int(made.sum()), pa.string()), ids, pa.array(which.reshape(-1)[made].tolist()), pa.array(value.reshape(-1)[made])], ["_key", "question_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([block.names[key]] * int(made.sum()), pa.int64()), ids, pa.array(which.reshape(-1)[made].tolist()), pa.array(value.reshape(-1)[made])], ["_key", "question_id", "chunk_id", "score"])
 
     return run
 

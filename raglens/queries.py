@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -545,7 +546,7 @@ case when ord % 4 = 0 then '2020-01-01' when ord % 9 = 2 then '2024-02-30' end a
 ord % 14 <> 0 as answerable_valid, ord % 15 <> 0 as evidence_valid, ord % 16 = 0 as extra_cells, case when ord % 3 = 0 then null when ord % 6 = 1 then ['a', ' '] when ord % 6 = 2 then [] else ['f_' || cast(ord % 8 as varchar)] end as source_docs, temporal_pair_id, ord from fx_eval_items),
 f as (select *, min(ord) over (partition by id) as first, case when regexp_full_match(valid_from, '\\d{4}-\\d{2}-\\d{2}') then try_cast(valid_from as date) end as a, case when regexp_full_match(valid_to, '\\d{4}-\\d{2}-\\d{2}') then try_cast(valid_to as date) end as b from i)"""
 _DATES = "select ord, id, 'valid_from' as field, 'not a date' as message from f where valid_from is not null and a is null union all select ord, id, 'valid_to', 'not a date' from f where valid_to is not null and b is null union all select ord, id, 'valid_to', 'before valid_from' from f where a > b"
-_KINDS = "select ord, id, 'modality', 'unknown' from f where modality = 'video' union all select ord, id, 'difficulty', 'unknown' from f where difficulty = 'trivial' union all select ord, id, 'id', 'duplicate' from f where first < ord"
+_KINDS = "select ord, id, 'modality', 'unknown' from f where modality = 'video' union all select ord, id, 'difficulty', 'unknown' from f where difficulty = 'trivial' union all select ord, id, 'id', '@dup' from f where first < ord"
 
 
 def _faulty(spark, d):
@@ -555,13 +556,13 @@ def _faulty(spark, d):
     return items(spark, d).withColumns({"id": F.when(on(11, 3), F.concat(F.lit("q_"), (n - 1).cast("string"))).otherwise(F.col("id")), "question": F.when(on(10), "\n ").otherwise(F.col("question")), "valid_to": F.when(on(4), "2020-01-01").when(on(9, 2), "2024-02-30"), "modality": F.when(on(13), "video").otherwise(F.col("modality")), "difficulty": F.when(on(3), "easy").when(on(3, 1), "trivial"), "answerable_valid": ~on(14), "evidence_valid": ~on(15), "extra_cells": on(16), "source_docs": F.when(~on(3), F.when(on(6, 1), texts(F.lit("a"), F.lit(" "))).when(on(6, 2), texts()).otherwise(texts(F.concat(F.lit("f_"), (n % 8).cast("string")))))})
 
 
-@query(f"""with {_ITEMS} {_DATES} union all {_KINDS} union all select ord, id, 'question', 'required' from f where ord % 10 = 0 union all select ord, id, 'source_docs', 'not a list of names' from f where ord % 6 = 1 and ord % 3 <> 0
+@query(f"""with {_ITEMS} {_DATES} union all {_KINDS.replace("'@dup'", "concat('duplicate, first seen in row ', first)")} union all select ord, id, 'question', 'required' from f where ord % 10 = 0 union all select ord, id, 'source_docs', 'not a list of names' from f where ord % 6 = 1 and ord % 3 <> 0
 union all select ord, id, 'answerable', 'not a boolean' from f where not answerable_valid union all select ord, id, 'evidence', 'neither object nor text' from f where not evidence_valid union all select ord, id, null, 'more cells than the header' from f where extra_cells""")
 def c5_validate_eval_items(spark, d):
     return evalsets.validate_eval_items(_faulty(spark, d))
 
 
-@query(f"""with {_ITEMS} {_DATES} union all {_KINDS} union all select ord, id, 'question', 'empty' from f where ord % 10 = 0 union all select ord, id, 'source_docs', 'missing' from f where source_docs is null union all select ord, id, 'difficulty', 'missing' from f where difficulty is null
+@query(f"""with {_ITEMS} {_DATES} union all {_KINDS.replace('@dup', 'duplicate')} union all select ord, id, 'question', 'empty' from f where ord % 10 = 0 union all select ord, id, 'source_docs', 'missing' from f where source_docs is null union all select ord, id, 'difficulty', 'missing' from f where difficulty is null
 union all select ord, id, 'failure_type', 'unknown' from f where failure_type = 'NO_FAILURE' union all select ord, id, 'failure_type', 'unanswerable' from f where not answerable and failure_type <> 'UNANSWERABLE' union all select ord, id, 'source_docs', 'answerable without documents' from f where answerable and len(source_docs) = 0
 union all select ord, id, 'source_docs', 'not in the manifest: ' || x from (select ord, id, unnest(source_docs) as x from f) where x not in ('f_1', 'f_4', 'a')""")
 def c6_validate_strict(spark, d):
@@ -711,6 +712,26 @@ def b3_chunk_semantic(spark, d):
     return chunking.chunk_semantic(table(spark, d, "documents"))
 
 
+def letter_counts(texts: list[str]) -> np.ndarray:
+    return np.array([[t.count(c) for c in _LETTERS] for t in map(str.lower, texts)], float)
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_VECTOR = lambda t: "[" + ", ".join(f"(length({t}) - length(replace({t}, '{c}', '')))::double" for c in _LETTERS) + "]"
+
+
+@query(rf"""with d as (select doc_id, text, list_filter(list_transform(string_split(regexp_replace(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([.!?])[ \t\n\f\r\x0B]+', '\1<cut>', 'g'), '<cut>'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') as s from documents where text <> ''),
+e as (select doc_id, unnest(s) as x, unnest(range(1, len(s) + 1)) as pos from d where len(s) > 3),
+v as (select doc_id, x, pos, {_VECTOR("lower(x)")} as v from e),
+c as (select doc_id, x, pos, case when list_sum(v) = 0 or list_sum(lag(v) over w) = 0 then 0.0 else list_cosine_similarity(v, lag(v) over w) end < 0.85 and pos > 1 as cut from v window w as (partition by doc_id order by pos)),
+g as (select doc_id, x, pos, sum(cast(cut as int)) over (partition by doc_id order by pos) as k from c)
+select doc_id, cast(k as int) as chunk_idx, string_agg(x, ' ' order by pos) as content, cast(count(*) as int) as sentence_count from g group by doc_id, k
+union all select doc_id, 0, text, len(s) from d where len(s) <= 3""")
+def b3_chunk_letters(spark, d):
+    """Semantic chunks by letter counts, an embedding that SQL can count too."""
+    return chunking.chunk_semantic(table(spark, d, "documents"), vectors=letter_counts).select("doc_id", "chunk_idx", "content", "sentence_count")
+
+
 @query()
 def b4_chunk_structure(spark, d):
     return chunking.chunk_structure(table(spark, d, "documents"))
@@ -839,8 +860,6 @@ def letters(text):
     return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
 
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_VECTOR = lambda t: "[" + ", ".join(f"(length({t}) - length(replace({t}, '{c}', '')))::double" for c in _LETTERS) + "]"
 _WORDSET = lambda t: f"list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^A-Za-z0-9_]+'), lambda w: w <> ''))"
 
 
@@ -934,11 +953,14 @@ def j2_score_pairs(spark, d):
     return items(spark, d).select("id", F.round(scorers.score_pairs("question", "ground_truth"), 6).alias("score"))
 
 
-@query(f"with {_TOKENS} select id, case when len(list_intersect(q, t)) >= len(q) then ground_truth else question end as generated_answer, 'ok' as status from tok")
+_COUNT = lambda t: f"len(list_filter(regexp_split_to_array(lower({t}), '[^A-Za-z0-9_]+'), lambda w: w <> ''))"
+
+
+@query(f"with {_TOKENS} select id, case when len(list_intersect(q, t)) >= len(q) then ground_truth else question end as generated_answer, 'ok' as status, 2 * {_COUNT('question')} + {_COUNT('ground_truth')} as input_tokens, {_COUNT('case when len(list_intersect(q, t)) >= len(q) then ground_truth else question end')} as output_tokens from tok")
 def j3_generate(spark, d):
     chunk = lambda rank, c: F.struct(F.lit(rank).alias("rank"), F.col(c).alias("content"))
     own = items(spark, d).withColumn("chunks", F.array(chunk(1, "ground_truth"), chunk(2, "question")))
-    return scorers.generate(own).select("id", "generated_answer", "status")
+    return scorers.generate(own).select("id", "generated_answer", "status", "input_tokens", "output_tokens")
 
 
 # --- further operators of ingest, sets and scope ------------------------------
@@ -1049,7 +1071,7 @@ def c3_validate_configs(spark, d):
     return configs.validate_configs(own)
 
 
-@query("select case when item_id % 2 = 0 then cast(item_id as varchar) else concat('x', item_id % 7) end as doc_id, min(item_id) as position from benchmark where item_id % 2 = 1 or cast(item_id as varchar) not in (select doc_id from fx_documents) group by 1")
+@query("select case when item_id % 2 = 0 then cast(item_id as varchar) else concat('x', item_id % 7) end as doc_id, min(item_id) as position, 'unknown document' as error from benchmark where item_id % 2 = 1 or cast(item_id as varchar) not in (select doc_id from fx_documents) group by 1")
 def c9_validate_document_ids(spark, d):
     known = F.when(F.col("item_id") % 2 == 0, F.col("item_id").cast("string")).otherwise(F.concat(F.lit("x"), (F.col("item_id") % 7).cast("string")))
     return evalsets.validate_document_ids(table(spark, d, "benchmark").select(known.alias("doc_id"), F.col("item_id").alias("position")), view(spark, d, "fx_documents"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from raglens.functions.scalars import is_blank, stripped
 
@@ -42,7 +43,13 @@ def parse_eval_row(rows: DataFrame) -> DataFrame:
 
 
 def read_eval_set_csv(spark: SparkSession, path: str) -> DataFrame:
-    return parse_eval_row(spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=True, escape='"'))
+    """Items of CSV files with a header; extra_cells marks rows with more cells than that, even empty ones."""
+    options = {"header": True, "mode": "PERMISSIVE", "multiLine": True, "escape": '"'}
+    names = spark.read.csv(path, **options).columns
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "_row")])  # the row, where it has more or fewer cells
+    rows = spark.read.schema(kind).csv(path, columnNameOfCorruptRecord="_row", **options)
+    commas = F.length(F.regexp_replace(F.regexp_replace("_row", r'"(?:[^"]|"")*"', ""), "[^,]", ""))
+    return parse_eval_row(rows.withColumn("extra_cells", F.coalesce(commas >= len(names), F.lit(False))).drop("_row"))
 
 
 def suffix(name: str | Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raglens.functions.scalars import is_ok
 from raglens.operators.chunking import chunk_fixed
 from raglens.operators.diagnosis import diagnose
-from raglens.operators.lifecycle import experiment_status
 from raglens.sources.ingest import replace_document_chunks
 
 
@@ -71,10 +73,24 @@ def stream_ingest(documents: DataFrame, store: str, checkpoint: str):
 
 
 def stream_evaluate(results: DataFrame, items: DataFrame, out: str, checkpoint: str):
-    """New results to diagnoses, each (run_id, query_id) once."""
-    once = results.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["run_id", "query_id"]) if results.isStreaming else results.dropDuplicates(["run_id", "query_id"])
-    found = diagnose(once, items).select("run_id", "query_id", "failure_category", "confidence")
-    return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    """New results to diagnoses in `out`, each (run_id, query_id) once, however much later it comes again.
+
+    What `out` holds is the memory: a batch leaves out the keys that earlier batches have written, of which it
+    reads the buckets of its own runs only; a repeated batch writes its rows anew. Items are read in each batch.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark, key = batch.sparkSession, ["run_id", "query_id"]
+        new = batch.dropDuplicates(key).withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)))
+        if _exists(spark, out):
+            touched = F.broadcast(new.select("bucket").distinct())  # BUCKETS rows at most
+            held = spark.read.schema("run_id string, query_id string, bucket long, batch long").parquet(out).where(F.col("batch") < batch_id)
+            new = new.join(held.join(touched, "bucket", "left_semi").select(*key), key, "left_anti")
+        found = diagnose(new, items).select(*key, "failure_category", "confidence")
+        named = found.withColumns({"bucket": F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)), "batch": F.lit(batch_id).cast("long")})
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(out)
+
+    return results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
 def latest_runs(rows: DataFrame) -> DataFrame:
@@ -83,29 +99,43 @@ def latest_runs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("experiment_id", "run_id").agg(F.max(state).alias("r")).select("experiment_id", "run_id", "r.ts", "r.status", "r.evaluated_at", "r.diagnosed_at")
 
 
-def stream_experiment_status(run_events: DataFrame, out: str, checkpoint: str):
-    """Run events (experiment_id, run_id, ts, status, evaluated_at, diagnosed_at) to changes of experiment states.
+def next_status(runs: list[tuple]) -> str | None:
+    """experiment_status() of one experiment's runs: (status, evaluated, diagnosed)."""
+    if any(status in ("pending", "running") for status, *_ in runs):
+        return None
+    done = [r for r in runs if r[0] == "done"]
+    if not done:
+        return "failed"
+    return "done" if all(r[2] for r in done) else "diagnosing" if all(r[1] for r in done) else "evaluating"
+
 
-    The latest row of each run stays in `out`/runs, the state last emitted in `out`/states, a folder a batch each;
-    a batch reads those of the batch before, so that a repeated one changes nothing. `out`/changes/batch=n has
-    the experiments whose state is new: each state, done too, is emitted once.
+def status_changes(run_events: DataFrame) -> DataFrame:
+    """Run events to (experiment_id, next_status), a row whenever an experiment's state is new; each state is emitted once.
+
+    An experiment's state holds the latest row of each of its runs (as latest_runs() picks it) and what was emitted
+    last; a batch loads the experiments it has events of, and no others.
     """
+    rows = run_events.select(F.col("experiment_id").cast("string").alias("experiment_id"), F.col("run_id").cast("string").alias("run_id"), F.col("ts").cast("double").alias("ts"), F.col("diagnosed_at").isNotNull().alias("diagnosed"), F.col("evaluated_at").isNotNull().alias("evaluated"), "status")
+
+    def step(key: tuple, frames, state):
+        runs, emitted, first = ({}, None, True) if not state.exists else (json.loads(state.get[0]), state.get[1], False)
+        for frame in frames:
+            for run, ts, diagnosed, evaluated, status in zip(frame["run_id"], frame["ts"], frame["diagnosed"], frame["evaluated"], frame["status"], strict=True):
+                row = [float(ts), bool(diagnosed), bool(evaluated), status or ""]
+                runs[run] = max(runs.get(run, row), row)
+        found = next_status([(status, evaluated, diagnosed) for _, diagnosed, evaluated, status in runs.values()])
+        state.update((json.dumps(runs), found))
+        if first or found != emitted:
+            yield pd.DataFrame({"experiment_id": [key[0]], "next_status": pd.Series([found], dtype=object)})
+
+    return rows.groupBy("experiment_id").applyInPandasWithState(step, "experiment_id string, next_status string", "runs string, emitted string", "append", "NoTimeout")
+
+
+def stream_experiment_status(run_events: DataFrame, out: str, checkpoint: str):
+    """Run events (experiment_id, run_id, ts, status, evaluated_at, diagnosed_at) to changes of experiment states, a folder
+    `out`/changes/batch=n a batch; a repeated batch writes its folder anew."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark, rows = batch.sparkSession, batch.select("experiment_id", "run_id", "ts", "status", "evaluated_at", "diagnosed_at")
-        before = batch_id - 1
-        known = _exists(spark, f"{out}/states/batch={before}")
-        if known:
-            rows = spark.read.parquet(f"{out}/runs/batch={before}").unionByName(rows)
-        latest_runs(rows).write.mode("overwrite").parquet(f"{out}/runs/batch={batch_id}")
-        states = experiment_status(spark.read.parquet(f"{out}/runs/batch={batch_id}"))
-        states.write.mode("overwrite").parquet(f"{out}/states/batch={batch_id}")
-        states = spark.read.parquet(f"{out}/states/batch={batch_id}")
-        if known:
-            old = spark.read.parquet(f"{out}/states/batch={before}").withColumnRenamed("next_status", "old")
-            states = states.join(old, "experiment_id", "left").where("not next_status <=> old").drop("old")
-        states.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
-        for name in ("runs", "states"):
-            _delete(spark, f"{out}/{name}/batch={batch_id - 2}")
-
-    return run_events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
+
+    return status_changes(run_events).writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -1,6 +1,12 @@
+import os
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from raglens.operators import accounting, chunking, diagnosis, evalsets, lifecycle, metrics, ranking, reporting, retrieval
+from raglens.functions import scorers
+
+from raglens.operators import accounting, chunking, diagnosis, evalsets, lifecycle, metrics, ml, ranking, reporting, retrieval, splitting
 from raglens.plans import configs
 from raglens.sources import ingest
 from raglens.streaming import jobs
@@ -68,6 +74,92 @@ def test_chunks(spark):
     assert all(r["section_title"] is None for r in chunking.chunk_structure(docs).collect())
 
 
+def plain_split(text, size, overlap, separators=("\n\n", "\n", ". ", " ", "")):
+    """The recursive splitter written out: a list of pieces, merged one by one."""
+    at = next((k for k, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    mark, finer, out, held = separators[at], separators[at + 1 :], [], []
+    parts = text.split(mark) if mark else list(text)
+    pieces = [p for p in ([parts[0], *(mark + x for x in parts[1:])] if mark else parts) if p]
+
+    def merged(pieces):
+        found, run, length = [], [], 0
+        for piece in pieces:
+            if run and length + len(piece) > size:
+                found.append("".join(run).strip())
+                while run and (length > overlap or length + len(piece) > size):
+                    length -= len(run.pop(0))
+            run.append(piece)
+            length += len(piece)
+        return [x for x in (*found, "".join(run).strip()) if x]
+
+    for piece in pieces:
+        if len(piece) < size:
+            held.append(piece)
+            continue
+        out += merged(held)
+        held = []
+        out += plain_split(piece, size, overlap, finer) if finer else [piece]
+    return out + merged(held)
+
+
+def plain_offsets(text, chunks):
+    cursor, out = 0, []
+    for c in chunks:
+        cursor = max(cursor, text.find(c, cursor))
+        out.append((cursor, c))
+    return out
+
+
+def test_recursive_chunks_equal_a_plain_splitter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet") if os.path.isdir("/root/testdata/sf0.001") else spark.createDataFrame([], "doc_id long, text string")
+    odd = ["\n\n\nab\n\n\n\ncd\n" * 60, "x" * 1500 + ". " + "y z " * 300, ". . . " * 400, " ", "\n" * 700, "é\u2003" * 600, "A" * 511 + "\n\n" + "B" * 512]
+    whole = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(odd, -50)), "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in whole.collect()}
+    found = {}
+    for r in chunking.chunk_recursive(whole).orderBy("doc_id", "chunk_idx").collect():
+        found.setdefault(r["doc_id"], []).append((r["start_index"], r["content"]))
+    for i, text in texts.items():
+        assert found.get(i, []) == plain_offsets(text, plain_split(text, 512, 64)), i
+    for size, overlap in ((10, 3), (7, 0), (20, 19)):
+        for text in odd:
+            text = text[:400]
+            assert splitting.recursive_chunks(text, size, overlap) == plain_offsets(text, plain_split(text, size, overlap))
+
+
+def test_structure_has_headings_over_lines(spark):
+    text = "intro words\n\nABSTRACT TEXT\nMORE CAPITALS\nbody one\n# Title\nbody two\nSection 2(a) is no heading\nSection 3 – Terms.\nend"
+    docs = spark.createDataFrame([(1, text), (2, "no heading here"), (3, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["section"], r["section_title"], r["start_index"], r["content"]) for r in chunking.chunk_structure(docs).orderBy("doc_id", "section").collect()]
+    assert [g[:3] for g in got] == [(1, 0, None), (1, 1, "ABSTRACT TEXT\nMORE CAPITALS"), (1, 2, "# Title"), (1, 3, "Section 3 – Terms."), (2, 0, None)]
+    assert all(text[g[3] :].startswith(g[4]) for g in got if g[0] == 1)
+
+
+def test_semantic_chunks_start_at_zero(spark):
+    rows = [(1, "One cat sat. One cat sat! Rain fell down? Rain fell down. Rain fell down."), (2, "A. B. C."), (3, ""), (4, None), (5, "a b. c d. e f. g h. i j.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["chunk_idx"], r["start_index"], r["content"], r["sentence_count"]) for r in chunking.chunk_semantic(docs).orderBy("doc_id", "chunk_idx").collect()]
+    assert got[:3] == [(1, 0, 0, "One cat sat. One cat sat!", 2), (1, 1, 26, "Rain fell down? Rain fell down. Rain fell down.", 3), (2, 0, 0, "A. B. C.", 3)]
+    assert [g[1] for g in got if g[0] == 5] == [0, 1, 2, 3, 4]
+    texts = ["Some Words here, some_words", "", "x"]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", scorers.embed("t").alias("v")).orderBy("i").collect()
+    assert np.array_equal(splitting.hashed_counts(texts, scorers.DIM), np.array([r["v"] for r in made]))
+
+
+def test_dates_meet_validities(spark):
+    """100,000 different dates; each sees exactly the groups whose closed validity holds it."""
+    rng = np.random.default_rng(5)
+    start = rng.integers(-(10**6), 10**6, 60)
+    spans = [(int(a), None if i % 7 == 0 else int(a + rng.integers(0, 10**6))) for i, a in enumerate(start)] + [(5, 5), (None, 9), (7, 3)]
+    chunks = spark.createDataFrame([(f"c{i}", "text", "recursive", *s) for i, s in enumerate(spans)], "chunk_id string, chunk_type string, chunk_strategy string, effective_from long, effective_to long")
+    dates = np.unique(rng.integers(-(10**6), 2 * 10**6, 100_000)).tolist() + [5, 6]
+    keys = spark.createDataFrame([("text_only", "recursive", "version_aware", d) for d in sorted(set(dates))], "parsing_strategy string, chunking_strategy string, freshness_policy string, at long")
+    found = dict(retrieval.eligible_groups(keys, chunks).groupBy("at").count().collect())
+    held = [(a, np.inf if b is None else b) for a, b in spans if a is not None]
+    at = np.array(sorted(set(dates)))
+    want = sum(((at >= a) & (at <= b)).astype(int) for a, b in held)
+    assert found == {int(d): int(n) for d, n in zip(at, want, strict=True) if n}
+
+
 def test_bm25_keeps_chunks_without_hits(spark):
     chunks = spark.createDataFrame([(1, "a", "x y"), (1, "b", "x x z"), (1, "c", "w")], "group int, chunk_id string, content string")
     groups = spark.createDataFrame([(7, 1)], "key int, group int")
@@ -124,9 +216,43 @@ def test_readers(spark, tmp_path):
     for name, text in (("list.json", '[{"id": "x"}, {"id": "y"}]'), ("object.json", '{"items": [{"id": "x"}, {"id": "y"}]}')):
         (tmp_path / name).write_text(text)
         assert [(r["ord"], r["id"]) for r in ingest.read_eval_set_json(spark, str(tmp_path / name)).orderBy("ord").collect()] == [(0, "x"), (1, "y")]
-    (tmp_path / "e.csv").write_text('id,source_docs,answerable\nx," a ; ;b",Yes\ny,,perhaps\n')
-    got = [(r["source_docs"], r["answerable"], r["answerable_valid"]) for r in ingest.read_eval_set_csv(spark, str(tmp_path / "e.csv")).orderBy("id").collect()]
-    assert got == [(["a", "b"], True, True), (None, None, False)]
+    (tmp_path / "e.csv").write_text('id,source_docs,answerable\nx," a ; ;b",Yes\ny,,perhaps\nz,a,no,more\nzz,a,no,\nzzz,a\n')
+    got = [(r["source_docs"], r["answerable"], r["answerable_valid"], r["extra_cells"]) for r in ingest.read_eval_set_csv(spark, str(tmp_path / "e.csv")).orderBy("id").collect()]
+    assert got == [(["a", "b"], True, True, False), (None, None, False, False), (["a"], False, True, True), (["a"], False, True, True), (["a"], None, True, False)]
+
+
+def test_document_ids(spark):
+    docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    ids = spark.createDataFrame([("x", 2), ("a", 1), ("x", 0)], "doc_id string, position long")
+    assert [tuple(r) for r in evalsets.validate_document_ids(ids, docs).collect()] == [("x", 0, "unknown document")]
+    assert [r["error"] for r in evalsets.validate_document_ids(ids.limit(0), docs).collect()] == ["no document is named"]
+    assert evalsets.validate_document_ids(None, docs).collect() == []
+
+
+def test_model_answers_and_errors(spark):
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise ValueError("no answer")
+        return pd.DataFrame({"answer": prompts.str.upper(), "input_tokens": prompts.str.len(), "output_tokens": [7] + [None] * (len(prompts) - 1)})
+
+    rows = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "fine")], "id int, prompt string").coalesce(1)
+    got = [(r["generated_answer"], r["input_tokens"], r["output_tokens"], r["status"], r["error_message"]) for r in scorers.generate(rows, model).orderBy("id").collect()]
+    assert got == [("GOOD", 4, 7, "ok", None), ("", 0, 0, "error", "no answer"), ("FINE", 4, 7, "ok", None)]
+    plain = scorers.generate(rows, lambda p: p.str[:2]).where("id <> 2").orderBy("id").collect()
+    assert [(r["generated_answer"], r["input_tokens"]) for r in plain] == [("go", 0), ("fi", 0)]
+
+
+def test_missing_results_by_bitmaps(spark):
+    items = spark.createDataFrame([(f"q{i}", i) for i in range(40_000)], "id string, ord long")
+    runs = spark.createDataFrame([("whole",), ("short",), ("none",)], "run_id string")
+    gone = {3, 8, 32_767, 32_768, 39_999}
+    rows = items.select(F.lit("whole").alias("run_id"), F.col("id").alias("query_id")).union(items.where(~F.col("ord").isin(*gone)).select(F.lit("short"), "id"))
+    found = reporting.missing_results(runs, rows.union(rows.limit(5)), items)
+    got = {(r["run_id"], r["n"]) for r in found.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {("short", 5), ("none", 40_000)}
+    assert {r["query_id"] for r in found.where("run_id = 'short'").collect()} == {f"q{i}" for i in gone}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
 
 
 def test_repeated_text_keeps_its_chunks(spark):
@@ -158,7 +284,15 @@ def test_stream_evaluate_equals_batch(spark, tmp_path):
     for _ in range(2):
         jobs.stream_evaluate(spark.readStream.schema(results.schema).parquet(str(tmp_path / "in")), items, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
     want = diagnosis.diagnose(spark.read.parquet(str(tmp_path / "in")), items).select("run_id", "query_id", "failure_category", "confidence")
-    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, want.collect()))
+    held = lambda: sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(want.columns).collect()))
+    first = sorted(map(str, want.collect()))
+    assert held() == first
+    # the same results two hours and two days later add nothing; a new one does
+    later = results.union(results.limit(1).withColumn("run_id", F.lit("r9")))
+    for hours in (2, 48):
+        later.withColumn("ts", F.col("ts") + F.expr(f"interval {hours} hours")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_evaluate(spark.readStream.schema(results.schema).parquet(str(tmp_path / "in")), items, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+        assert len(held()) == len(first) + 1 and set(first) < set(held())
 
 
 def test_stream_status_keeps_runs_over_batches(spark, tmp_path):
