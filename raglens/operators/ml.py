@@ -9,13 +9,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LEAST_ROWS, TREES, DEPTH, HELD_OUT = 10, 200, 4, 0.2
+LEAST_ROWS, TREES, DEPTH, HELD_OUT, STRATIFIED = 10, 200, 4, 0.2, 20
 
 
 def split(training: DataFrame) -> DataFrame:
-    """training with held_out: a fifth of each label's rows, by a hash."""
+    """training with held_out: a fifth of each label's rows, by the order of a hash.
+
+    With fewer than STRATIFIED rows, or a label of one row, every label can't be on both sides: a fifth of all by hash then.
+    """
     order = Window.partitionBy("label").orderBy(F.xxhash64("run_id", "query_id"), "run_id", "query_id")
-    return training.withColumn("held_out", F.percent_rank().over(order) > 1 - HELD_OUT)
+    share = 1 / HELD_OUT
+    sizes = training.groupBy("label").count().agg((F.coalesce(F.min("count"), F.lit(0)) >= 2).alias("_two"), (F.coalesce(F.sum("count"), F.lit(0)) >= STRATIFIED).alias("_many"))
+    ranked = training.withColumn("_rank", F.percent_rank().over(order)).join(F.broadcast(sizes))  # one row
+    plain = F.pmod(F.xxhash64("query_id", "run_id"), F.lit(round(share))) == 0
+    return ranked.withColumn("held_out", F.when(F.col("_two") & F.col("_many"), F.col("_rank") > 1 - HELD_OUT).otherwise(plain)).drop("_rank", "_two", "_many")
 
 
 def train_classifier(training: DataFrame, trees: int = TREES) -> PipelineModel:
@@ -62,3 +69,12 @@ def report(model: PipelineModel, training: DataFrame) -> DataFrame:
     joined = support.join(hit, "truth", "left").join(said, "truth", "left").na.fill(0)
     f1 = F.round(2 * F.col("hits") / (F.col("said") + F.col("support")), 4)
     return joined.select(F.col("truth").alias("label"), F.coalesce(F.round(F.try_divide("hits", "said"), 4), F.lit(0.0)).alias("precision"), F.round(F.col("hits") / F.col("support"), 4).alias("recall"), f1.alias("f1"), "support")
+
+
+def reliability(model: PipelineModel, training: DataFrame, bins: int = 10) -> DataFrame:
+    """bin, n, probability, share: the held-out rows by predicted probability, and how many of them are right."""
+    own = split(training).where("held_out")
+    pairs = own.select("run_id", "query_id", F.col("label").alias("truth")).join(predict(model, own), ["run_id", "query_id"])
+    place = F.least(F.floor(F.col("probability") * bins), F.lit(bins - 1)).cast("int")
+    right = F.avg((F.col("truth") == F.col("label")).cast("double"))
+    return pairs.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("probability"), 4).alias("probability"), F.round(right, 4).alias("share"))

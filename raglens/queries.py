@@ -265,6 +265,24 @@ def g15_classifier_report(spark, d):
     return ml.report(ml.train_classifier(own), own)
 
 
+@query()
+def g15_accuracy(spark, d):
+    own = diagnosis.training_set(diagnoses(spark, d), feedback(spark, d))
+    return ml.accuracy(ml.train_classifier(own), own)
+
+
+@query()
+def g15_importances(spark, d):
+    own = diagnosis.training_set(diagnoses(spark, d), feedback(spark, d))
+    return ml.importances(ml.train_classifier(own), spark)
+
+
+@query()
+def g15_reliability(spark, d):
+    own = diagnosis.training_set(diagnoses(spark, d), feedback(spark, d))
+    return ml.reliability(ml.train_classifier(own), own)
+
+
 @query()
 def g16_predict(spark, d):
     own = diagnosis.training_set(diagnoses(spark, d), feedback(spark, d))
@@ -641,6 +659,25 @@ def c8_check_cells(spark, d):
 # --- ingest and chunking ----------------------------------------------------
 
 
+@query("select n_regionkey as region, n_name as filename, case when n_nationkey % 3 = 0 then 'v1' else concat('v', n_nationkey) end as version_label, case when n_nationkey % 2 = 0 then '2024-01-01' end as effective_from, null as effective_to from nation")
+def a1_manifest(spark, d):
+    """A manifest for each region, written as JSON from the table and read again."""
+    n = F.col("n_nationkey")
+    entry = F.struct(F.col("n_name").alias("filename"), F.when(n % 3 == 1, F.concat(F.lit("v"), n.cast("string"))).when(n % 3 == 2, F.concat(F.lit(" v"), n.cast("string"), F.lit(" "))).alias("version_label"), F.when(n % 2 == 0, "2024-01-01").alias("effective_from"), F.lit(" ").alias("effective_to"))
+    texts = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.to_json(F.struct(F.collect_list(entry).alias("documents"))).alias("text"))
+    return ingest.parse_manifest(texts).select("region", "filename", F.trim("version_label").alias("version_label"), "effective_from", "effective_to")
+
+
+@query("select item_id % 7 as set_no, concat('q', item_id) as id, text as question, case when item_id % 2 = 0 then item_id % 3 = 0 end as answerable, row_number() over (partition by item_id % 7 order by item_id) - 1 as ord from benchmark")
+def a9_eval_set(spark, d):
+    """Seven sets, some a list, some an object, written as JSON from the table and read again."""
+    n = F.col("item_id")
+    entry = F.struct(n.alias("_at"), F.concat(F.lit("q"), n.cast("string")).alias("id"), F.col("text").alias("question"), F.when(n % 2 == 0, n % 3 == 0).alias("answerable"))
+    sets = table(spark, d, "benchmark").groupBy((n % 7).alias("set_no")).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    texts = sets.select("set_no", F.when(F.col("set_no") % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.struct("items"))).alias("text"))
+    return ingest.parse_eval_set(texts).select("set_no", "id", "question", "answerable", "ord")
+
+
 _URL_TYPE = "case lower(regexp_extract(f, '\\.[^.]+$')) when '.pdf' then 'pdf' when '.docx' then 'docx' when '.doc' then 'docx' when '.xlsx' then 'xlsx' when '.csv' then 'csv' when '.html' then 'html' when '.htm' then 'html' else 'unknown' end"
 _NAMED = "n as (select doc_id, concat('f', cast(doc_id as varchar), case doc_id % 6 when 0 then '.PDF' when 1 then '.doc' when 2 then '.csv' when 3 then '.htm' when 4 then '.xlsx' else '.bin' end) as f from documents)"
 

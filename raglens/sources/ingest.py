@@ -13,20 +13,33 @@ FILE_TYPES = {".pdf": "pdf", ".docx": "docx", ".doc": "docx", ".xlsx": "xlsx", "
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def parse_manifest(texts: DataFrame, text: str = "text") -> DataFrame:
+    """The documents of JSON manifests, an object with `documents` each; other columns stay, a missing version is v1."""
     kind = "documents array<struct<filename:string,source_url:string,version_label:string,effective_from:string,effective_to:string,description:string,sha256:string>>"
-    rows = spark.read.schema(kind).option("multiLine", True).json(path).selectExpr("inline(documents)")
+    rest = [c for c in texts.columns if c != text]
+    rows = texts.select(*rest, F.inline(F.from_json(text, kind)["documents"]))
     empty = lambda c: F.nullif(F.trim(c), F.lit(""))
     return rows.withColumns({"version_label": F.coalesce(empty("version_label"), F.lit("v1")), "effective_from": empty("effective_from"), "effective_to": empty("effective_to")})
 
 
-def read_eval_set_json(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a list, or of an object's `items`; anything else is an error. sha256 is the file's."""
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return parse_manifest(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
+
+
+def parse_eval_set(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Items of JSON sets: a list, or an object's `items`; anything else is an error. Other columns stay; ord counts from 0."""
     item = "array<struct<id:string,question:string,ground_truth:string,source_docs:array<string>,valid_from:string,valid_to:string,modality:string,difficulty:string,answerable:boolean,failure_type:string,temporal_pair_id:string,expected_version:string>>"
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
-    items = F.when(F.trim("text").startswith("["), F.from_json("text", item)).otherwise(F.from_json("text", f"items {item}")["items"])
-    checked = raw.withColumn("items", F.coalesce(items, F.raise_error(F.concat(F.lit("no list of items: "), F.col("path"))).cast(item)))
-    return checked.select("sha256", F.posexplode("items").alias("ord", "item")).select("ord", "item.*", "sha256")
+    rest = [c for c in texts.columns if c != text]
+    items = F.when(F.ltrim(text).startswith("["), F.from_json(text, item)).otherwise(F.from_json(text, f"items {item}")["items"])
+    checked = texts.select(*rest, F.coalesce(items, F.raise_error(F.concat(F.lit("no list of items: "), F.substring(text, 1, 80))).cast(item)).alias("items"))
+    return checked.select(*rest, F.posexplode("items").alias("ord", "item")).select(*rest, "ord", "item.*")
+
+
+def read_eval_set_json(spark: SparkSession, path: str) -> DataFrame:
+    """parse_eval_set() of files, with the file's sha256."""
+    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
+    found = parse_eval_set(raw)
+    return found.select("ord", *[c for c in found.columns if c not in ("ord", "sha256")], "sha256")
 
 
 def parse_eval_row(rows: DataFrame) -> DataFrame:

@@ -382,3 +382,25 @@ def test_an_empty_or_overlong_set_is_one_fault(spark):
     assert [r["message"] for r in evalsets.validate_eval_items(spark.createDataFrame([], schema)).collect()] == ["no items"]
     many = spark.range(evalsets.MOST_ITEMS + 1).select(F.col("id").cast("int").alias("ord"), F.lit(None).cast("string").alias("id"), F.lit("q").alias("question"), F.lit("t").alias("ground_truth"))
     assert [r["message"] for r in evalsets.validate_eval_items(many).collect()] == ["too many items"]
+
+
+def test_classifier_is_judged_on_held_out_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [("r", f"q{i}", "A" if x > 0.5 else "B", float(x), float(rng.random())) for i, x in enumerate(rng.random(120))]
+    own = spark.createDataFrame(rows, "run_id string, query_id string, label string, f_x double, f_noise double").cache()
+    parts = {r["query_id"]: r["held_out"] for r in ml.split(own).collect()}
+    for label in "AB":
+        n = [parts[q] for _, q, k, *_ in rows if k == label]
+        assert abs(sum(n) - 0.2 * len(n)) <= 1
+    model = ml.train_classifier(own, trees=20)
+    said = {r["query_id"]: (r["label"], r["probability"]) for r in ml.predict(model, own).collect()}
+    held = [(q, k) for _, q, k, *_ in rows if parts[q]]
+    right = sum(said[q][0] == k for q, k in held)
+    got = ml.accuracy(model, own).first()
+    assert got["n"] == len(held) and abs(got["accuracy"] - right / len(held)) < 1e-4 and right / len(held) > 0.8
+    table = ml.importances(model, spark).collect()
+    assert [r["feature"] for r in table] == ["f_x", "f_noise"] and abs(sum(r["importance"] for r in table) - 1) < 1e-6
+    bins = ml.reliability(model, own).collect()
+    assert sum(r["n"] for r in bins) == len(held) and all(abs(r["probability"] - np.mean([said[q][1] for q, _ in held if min(int(said[q][1] * 10), 9) == r["bin"]])) < 1e-3 for r in bins)
+    few = own.limit(12).union(own.limit(1).withColumn("label", F.lit("C")))
+    assert 0 <= ml.split(few).where("held_out").count() < 13 and "C" in {r["label"] for r in ml.split(few).collect()}
