@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from raglens.fixtures import run_sql, view, with_views
 from raglens.functions import scalars, scorers
-from raglens.operators import accounting, chunking, diagnosis, evalsets, lifecycle, metrics, ml, ranking, reporting, retrieval
+from raglens.operators import accounting, chunking, diagnosis, evalsets, lifecycle, metrics, ml, ranking, reporting, retrieval, vector_lists
 from raglens.plans import configs
 from raglens.session import table
 from raglens.sources import ingest
@@ -802,6 +802,26 @@ def b10_to_epoch(spark, d):
 # --- retrieval --------------------------------------------------------------
 
 
+def _probed(spark, d):
+    own = table(spark, d, "embeddings")
+    questions = own.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "question_id")
+    lists = vector_lists.train_lists(own)
+    return questions, own, vector_lists.probed_top_k(questions, vector_lists.with_list(own, lists), lists, 10)
+
+
+@query()
+def d7_probed_top_k(spark, d):
+    """Every fiftieth vector against all, by lists of a trained quantiser."""
+    return _probed(spark, d)[2]
+
+
+@query("select count(*) as n, true as enough from embeddings where vec_id % 50 = 0")
+def d7_probed_recall(spark, d):
+    """Whether the lists find at least nine of ten of the exact nearest vectors."""
+    questions, own, found = _probed(spark, d)
+    return vector_lists.recall(questions, own, found, 10).agg(F.count("*").alias("n"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
 _DATED = "freshness_policy in ('effective_date_filter', 'version_aware')"
 _ELIGIBLE = f"""with {IT}, keys as (select distinct parsing_strategy, chunking_strategy, freshness_policy, case when {_DATED} then at end as at from fx_runs cross join (select distinct at from it)),
 el as (select k.*, c.* from keys k join fx_chunks c on c.chunk_type = 'text' or k.parsing_strategy in ('text_table', 'text_table_vision') and c.chunk_type = 'table' or k.parsing_strategy = 'text_table_vision' and c.chunk_type = 'image' or k.parsing_strategy = 'spreadsheet_aware' and c.chunk_type = 'spreadsheet_cell'

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from raglens.functions import scorers
 
-from raglens.operators import accounting, chunking, diagnosis, evalsets, lifecycle, metrics, ml, ranking, reporting, retrieval, splitting
+from raglens.operators import accounting, chunking, diagnosis, evalsets, lifecycle, metrics, ml, ranking, reporting, retrieval, splitting, vector_lists
 from raglens.plans import configs
 from raglens.sources import ingest
 from raglens.streaming import jobs
@@ -404,3 +404,22 @@ def test_classifier_is_judged_on_held_out_rows(spark):
     assert sum(r["n"] for r in bins) == len(held) and all(abs(r["probability"] - np.mean([said[q][1] for q, _ in held if min(int(said[q][1] * 10), 9) == r["bin"]])) < 1e-3 for r in bins)
     few = own.limit(12).union(own.limit(1).withColumn("label", F.lit("C")))
     assert 0 <= ml.split(few).where("held_out").count() < 13 and "C" in {r["label"] for r in ml.split(few).collect()}
+
+
+def test_probed_lists_find_most_of_the_nearest(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (20, 16))
+    rows = [(i, (centres[i % 20] + rng.normal(0, 0.4, 16)).tolist()) for i in range(1500)] + [(1500, None), (1501, [0.0] * 16)]
+    own = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    questions = own.where("vec_id % 50 = 0 and embedding is not null").withColumnRenamed("vec_id", "question_id")
+    centroids = vector_lists.train_lists(own, lists=16, sample=500)
+    assert centroids.centroids.shape == (16, 16) and 1 <= centroids.probes <= 16
+    listed = vector_lists.with_list(own, centroids)
+    assert listed.count() == 1501
+    kept = own.where("embedding is not null")
+    found = vector_lists.probed_top_k(questions, listed, centroids, 10)
+    assert np.mean([r["recall"] for r in vector_lists.recall(questions, kept, found, 10).collect()]) >= 0.9
+    whole = vector_lists.probed_top_k(questions, listed, centroids, 10, probes=16)
+    assert all(r["recall"] == 1 for r in vector_lists.recall(questions, kept, whole, 10).collect())
+    none = own.limit(0)
+    assert vector_lists.probed_top_k(questions, vector_lists.with_list(none, centroids), vector_lists.train_lists(none), 10).collect() == []
