@@ -219,7 +219,10 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, groups: DataFrame, keys:
     """
     spark = questions.sparkSession
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    own = drop_null_content(chunks, lexical=True).select("chunk_id", "group", words(F.col("content")).alias("w"))
+    texts, tasks = drop_null_content(chunks, lexical=True).select("chunk_id", "group", "content"), spark.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < tasks:  # a table of few splits would keep most of the cores idle
+        texts = texts.repartition(tasks)
+    own = texts.select("chunk_id", "group", words(F.col("content")).alias("w"))
     key = F.xxhash64(F.to_json(F.struct(*keys))).alias("_key")
     seen = groups.select(key, "group").persist(StorageLevel.DISK_ONLY)
     # frequencies by group: all that is needed of the texts, however many keys there are
