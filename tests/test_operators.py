@@ -337,7 +337,7 @@ def test_new_metrics_take_the_place_of_old_ones(spark):
 
 def test_headings_and_blanks(spark):
     lines = ["Section 2.1 applies here", "GPT4 2024", "Section 1 – Definitions.", "INTRODUCTION", "## Two", "Section 2(a)(1)", "Article 7: x"]
-    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").orderBy("i").select(F.col("x").rlike(chunking.HEADING)).collect()]
+    got = [bool(splitting.HEADING.search(x)) for x in lines]
     assert got == [False, False, True, True, True, False, True]
     assert chunking.chunk_fixed(spark.createDataFrame([(1, "\n\t" * 300)], "doc_id long, text string")).count() == 0
 
