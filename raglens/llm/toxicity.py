@@ -144,7 +144,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     weight = np.where(labels == 1, n / (2 * positive), n / (2 * (n - positive)))
     step = [np.zeros_like(x) for x in (*model.filters, *model.bias, model.output)]
     model._training = True
-    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // n))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-n // BATCH)))  # a small sample is passed more often
     for epoch in range(epochs):
         rate = RATE / (1 + 3 * epoch / epochs)
         order = rng.permutation(n)
