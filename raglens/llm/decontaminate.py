@@ -1,14 +1,15 @@
 """Benchmark decontamination by an FM-index over each shard of the training documents.
 
-A shard is what a task reads, up to SHARD_BYTES of it. Its words become the ids
-of the benchmark's vocabulary; only stretches whose every few words in a row
-also stand in a row in some benchmark item can hold an occurrence, and just
-these are indexed. All distinct test phrases are then searched backwards at
-once through wavelet-matrix ranks, occurrences are located by sampled suffix
-positions, and their spans are merged for each document.
-
-The test phrases go to the workers in slices of at most `most_bytes` benchmark
-text; a larger benchmark is searched slice by slice and the spans merged after.
+A shard is what a task reads, up to SHARD_BYTES of it. All its words, as ids of
+its own vocabulary, are indexed, one sequence a document. The test phrases are
+searched backwards together through wavelet-matrix ranks; those that share a
+suffix interval are the same phrase, located once by sampled suffix positions,
+and the spans of all are merged for each document. Words are compared as 64-bit
+hashes.
+
+The test items go to the workers as word hashes, in slices of about `most_bytes`
+of their text; the driver holds one slice at a time. A benchmark of several
+slices is searched slice by slice and the spans merged after.
 """
 
 from __future__ import annotations
@@ -22,112 +23,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raglens.llm.fm_index import FMIndex
-from raglens.llm.shared import beside, column, free_name, schema_of, written
-from raglens.llm.words import ALNUM, LEAN_SLICE_BYTES, U64, grams, ragged, slices, text_of, tidy, words_of
+from raglens.llm.shared import beside, column, free_name, schema_of, scratch, written
+from raglens.llm.words import ALNUM, LEAN_SLICE_BYTES, U64, ragged, slices, text_of, tidy, words_of
 
 WINDOW = 10
 MOST_BYTES = 16 << 20
-#: Text of one shard, about.
-SHARD_BYTES = 32 << 20
-_FILTER_BITS = 20
+#: Text of one shard, about; a longer document makes one alone.
+SHARD_BYTES = 16 << 20
 
 
 @dataclass
 class Phrases:
-    """The distinct windows of some items: word ids laid end to end, and each window's items."""
+    """The windows of some items: the items' word hashes laid end to end, each window's first word, length and item."""
 
-    vocabulary: np.ndarray
-    symbols: np.ndarray
+    hashes: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
-    items: list[str]
     item_of: np.ndarray
-    item_first: np.ndarray
-    order: int
-    runs: np.ndarray
-    run_filter: np.ndarray
+    items: list[str | None]
 
     @classmethod
     def of(cls, items: pa.Table, window: int = WINDOW) -> Phrases:
         words = words_of(text_of(items.column("text")), ALNUM, lower=True)
-        vocabulary, ids = np.unique(words.hashes, return_inverse=True)
-        ids = ids + 1
         counts = words.counts
-        lengths = np.minimum(counts, window)
         n = np.where(counts > 0, np.maximum(counts - window, 0) + 1, 0)
-        row, start = np.repeat(np.arange(len(n)), n), ragged(words.first[:-1], n)
-        length = lengths[row]
-        key = np.zeros((len(start), window + 1), np.int64)
-        key[:, 0] = length
-        for k in range(window):
-            on = length > k
-            key[on, k + 1] = ids[start[on] + k]
-        distinct, which = np.unique(key, axis=0, return_inverse=True) if len(key) else (key, np.zeros(0, np.int64))
-        which = which.reshape(-1)
-        pairs = np.unique(np.stack([which, row], 1), axis=0) if len(which) else np.zeros((0, 2), np.int64)
-        symbols = distinct[:, 1:][np.arange(window) < distinct[:, :1]]
-        length = distinct[:, 0]
-        order = int(min(3, length.min(initial=3)))
-        places = ragged(words.first[:-1], np.maximum(counts - order + 1, 0))
-        runs = np.unique(grams(words.hashes, order)[places]) if len(words.hashes) >= order else np.zeros(0, U64)
-        run_filter = np.zeros(1 << _FILTER_BITS, bool)
-        run_filter[runs >> U64(64 - _FILTER_BITS)] = True
-        return cls(vocabulary, symbols, np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64), length, items.column("item_id").to_pylist(), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), order, runs, run_filter)
-
-
-def stretches(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start and length, in words, of what can hold an occurrence in documents whose words start at `first`, and its symbols."""
+        item = np.repeat(np.arange(len(n)), n)
+        return cls(words.hashes, ragged(words.first[:-1], n), np.minimum(counts, window)[item], item, items.column("item_id").to_pylist())
+
+    def known(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items' words as symbols 1, 2, .. of a vocabulary, and the windows of which it has every word."""
+        if len(vocabulary) == 0 or len(self.hashes) == 0:
+            return np.zeros(len(self.hashes), np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(vocabulary, self.hashes), len(vocabulary) - 1)
+        there = vocabulary[at] == self.hashes
+        missing = np.concatenate(([0], np.cumsum(~there)))
+        return at + 1, np.flatnonzero(missing[self.starts + self.lengths] == missing[self.starts])
+
+
+@dataclass
+class Hits:
+    """What a shard's documents hold: merged spans (row, first word, end) and distinct (row, item), each in order of rows."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    with_item: np.ndarray
+    item: np.ndarray
+
+
+def hits(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> Hits:
+    """All occurrences of the windows in a shard whose documents' words start at `first` (one more at the end)."""
     none = np.zeros(0, np.int64)
-    q, least = phrases.order, int(phrases.lengths.min(initial=WINDOW))
-    if len(phrases.lengths) == 0 or len(hashes) < q:
-        return none, none, none
-    key = grams(hashes, q)
-    hit = np.flatnonzero(phrases.run_filter[key >> U64(64 - _FILTER_BITS)])
-    at = np.minimum(np.searchsorted(phrases.runs, key[hit]), len(phrases.runs) - 1)
-    hit = hit[phrases.runs[at] == key[hit]]
-    row = np.searchsorted(first, hit, side="right") - 1
-    hit, row = (x[hit + q <= first[row + 1]] for x in (hit, row))
-    if len(hit) == 0:
-        return none, none, none
-    new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1])))
-    begin = np.flatnonzero(new)
-    start, length = hit[begin], np.diff(np.append(begin, len(hit))) + q - 1
-    start, length = start[length >= least], length[length >= least]
-    return start, length, np.searchsorted(phrases.vocabulary, hashes[ragged(start, length)]) + 1
-
-
-def occurrences(phrases: Phrases, start: np.ndarray, length: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word place) of every occurrence in the stretches of a shard."""
-    if len(start) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    index = FMIndex(symbols, np.concatenate(([0], np.cumsum(length)[:-1])), len(phrases.vocabulary) + 1)
-    lo, hi = index.search(phrases.symbols, phrases.starts, phrases.lengths)
-    window = np.repeat(np.arange(len(lo)), hi - lo)
-    where = index.locate(ragged(lo, hi - lo))
-    stretch = np.searchsorted(index.first, where, side="right") - 1
-    return window, start[stretch] + where - index.first[stretch]
-
-
-def spans_of(phrases: Phrases, window: np.ndarray, place: np.ndarray, first: np.ndarray):
-    """Merged word spans (row, start, end) and distinct (row, item) of a shard's documents."""
-    cover = np.zeros(int(first[-1]) + 1, np.int32)
-    np.add.at(cover, place, 1)
-    np.add.at(cover, place + phrases.lengths[window], -1)
-    inside = np.cumsum(cover[:-1]) > 0
-    edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
+    vocabulary, symbols = np.unique(hashes, return_inverse=True)
+    pattern, windows = phrases.known(vocabulary)
+    if len(windows) == 0:
+        return Hits(none, none, none, none, none)
+    index = FMIndex(symbols + 1, first[:-1], len(vocabulary) + 1)
+    lo, hi = index.search(pattern, phrases.starts[windows], phrases.lengths[windows])
+    found = np.flatnonzero(lo < hi)
+    lo, hi, windows = lo[found], hi[found], windows[found]
+    # equal windows, and only those, share interval and length
+    _, one, which = np.unique(lo * (WINDOW + 1) + phrases.lengths[windows], return_index=True, return_inverse=True)
+    many = hi[one] - lo[one]
+    phrase, place = np.repeat(np.arange(len(one)), many), index.locate(ragged(lo[one], many))
+    # in the index each document ends with a terminator, so that no two spans of different documents touch
+    cover = np.bincount(place, minlength=index.n + 1) - np.bincount(place + phrases.lengths[windows[one]][phrase], minlength=index.n + 1)
+    edge = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # spans of two documents may touch: cut them at each document's first word
-    cuts = first[1:-1]
-    if len(cuts) and len(start):
-        owner = np.searchsorted(start, cuts, side="right") - 1
-        split = cuts[(owner >= 0) & (cuts > start[np.maximum(owner, 0)]) & (cuts < end[np.maximum(owner, 0)])]
-        split = np.unique(split)
-        start, end = np.sort(np.append(start, split)), np.sort(np.append(end, split))
-    row = np.searchsorted(first, place, side="right") - 1
-    counts = phrases.item_first[window + 1] - phrases.item_first[window]
-    item = phrases.item_of[ragged(phrases.item_first[window], counts)]
-    pairs = np.unique(np.stack([np.repeat(row, counts), item], 1), axis=0)
-    return np.searchsorted(first, start, side="right") - 1, start, end, pairs[:, 0], pairs[:, 1]
+    row = np.searchsorted(index.first, start, side="right") - 1
+    holder = np.searchsorted(index.first, place, side="right") - 1
+    with_item, item = _items(holder, phrase, which, phrases.item_of[windows])
+    return Hits(row, start - index.first[row], end - index.first[row], with_item, item)
+
+
+def _items(row: np.ndarray, phrase: np.ndarray, which: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, item) of rows with phrases; item[k] has the phrase which[k]. Phrases of the same items count as one."""
+    if len(row) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = _distinct(which, item)
+    cuts = np.searchsorted(pairs[0], np.arange(int(which.max()) + 2))
+    sets: dict[bytes, int] = {}
+    held, of = [], np.zeros(len(cuts) - 1, np.int64)
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        of[k] = sets.setdefault(pairs[1][a:b].tobytes(), len(sets))
+        if of[k] == len(held):
+            held.append((a, b - a))
+    at = np.array(held, np.int64)
+    row, kind = _distinct(row, of[phrase])
+    return _distinct(np.repeat(row, at[kind, 1]), pairs[1][ragged(at[kind, 0], at[kind, 1])])
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of two columns of small numbers, in order."""
+    most = int(b.max(initial=0)) + 1
+    key = np.unique(a * most + b)
+    return key // most, key % most
 
 
 class Shard:
@@ -138,32 +128,29 @@ class Shard:
         self._empty()
 
     def _empty(self) -> None:
-        self.rows, self.counts, self.found, self.words, self.size = [], [], [], 0, 0
+        self.rows, self.counts, self.hashes, self.size = [], [], [], 0
 
     def add(self, rows: pa.RecordBatch, part) -> None:
         words = words_of(part, ALNUM, lower=True)
-        start, length, symbols = stretches(self.phrases, words.hashes, words.first)
-        self.found.append((start + self.words, length, symbols))
+        self.hashes.append(words.hashes)
         self.rows.append(rows)
         self.counts.append(words.counts)
-        self.words, self.size = self.words + int(words.first[-1]), self.size + len(part.data)
+        self.size += len(part.data)
 
     def close(self) -> Iterator[pa.RecordBatch]:
         """The documents with n_words, starts, ends and items."""
         if not self.rows:
             return
-        phrases = self.phrases
         first = np.concatenate(([0], np.cumsum(np.concatenate(self.counts))))
-        window, place = occurrences(phrases, *(np.concatenate([f[k] for f in self.found]) for k in range(3)))
-        row, start, end, with_item, item = spans_of(phrases, window, place, first)
-        titles = np.array([*phrases.items, None], object)
+        hashes, self.hashes = np.concatenate(self.hashes), []
+        found = hits(self.phrases, hashes, first)
+        titles = np.array([*self.phrases.items, None], object)
         begin = 0
         for rows, counts in zip(self.rows, self.counts, strict=True):
             n = begin + np.arange(len(counts) + 1)
-            at, own = np.searchsorted(row, n).astype(np.int32), np.searchsorted(with_item, n).astype(np.int32)
-            base = first[row[at[0] : at[-1]]]
-            lists = [pa.ListArray.from_arrays(at - at[0], pa.array((x[at[0] : at[-1]] - base).astype(np.int32))) for x in (start, end)]
-            named = pa.ListArray.from_arrays(own - own[0], pa.array(titles[item[own[0] : own[-1]]].tolist(), pa.string()))
+            at, own = np.searchsorted(found.row, n).astype(np.int32), np.searchsorted(found.with_item, n).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(at - at[0], pa.array(x[at[0] : at[-1]].astype(np.int32))) for x in (found.start, found.end)]
+            named = pa.ListArray.from_arrays(own - own[0], pa.array(titles[found.item[own[0] : own[-1]]].tolist(), pa.string()))
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in self.names), pa.array(counts), *lists, named], [*self.names, "n_words", "starts", "ends", "items"])
             begin += len(counts)
         self._empty()
@@ -189,13 +176,13 @@ def find_spans(docs: DataFrame, phrases: Phrases, text: str = "text") -> DataFra
     return docs.mapInArrow(tidy(run), schema_of(docs, names, FOUND))
 
 
-def phrase_slices(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> list[Phrases]:
-    """The benchmark's windows in slices of about most_bytes of text at most, each fetched by itself."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+def phrase_slices(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> tuple[int, Iterator[Phrases]]:
+    """The number of slices of about most_bytes of text at most, and the windows of each, fetched when it is its turn."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-2 * total // most_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [Phrases.of(items.where(part == k).toArrow() if n > 1 else items.toArrow()) for k in range(n)]
+    return n, (Phrases.of((items.where(part == k) if n > 1 else items).toArrow()) for k in range(n))
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -205,15 +192,24 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     have no words. Items without an id count for spans, not among the items. Rows that are repeated,
     or share an id, each get their own result. Input columns named like an output give way to it.
     """
-    parts = phrase_slices(benchmark, most_bytes)
-    if len(parts) == 1:
-        return find_spans(docs, parts[0], text).withColumn("items", _ids(F.col("items")))
+    n, parts = phrase_slices(benchmark, most_bytes)
+    if n == 1:
+        return find_spans(docs, next(parts), text).withColumn("items", _ids(F.col("items")))
     docs = docs.select(*map(column, beside(docs, ["n_words", "starts", "ends", "items"])))
     row = free_name(docs, "_row")
-    marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    found = find_spans(marked, parts[0], text).withColumnRenamed(row, "_row")
-    for other in parts[1:]:
-        found = found.unionByName(find_spans(marked, other, text).withColumnRenamed(row, "_row"))
+    with scratch() as keep:
+        marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+        found = None
+        for part in parts:
+            own = written(find_spans(marked.select(column(row).alias("_row"), column(text).alias("text")), part).drop("text"), "spans")
+            found = own if found is None else found.unionByName(own)
+        kept = keep(written(_merged(found), "merged-spans"))
+        keep(marked)
+    return marked.join(kept.withColumnRenamed("_row", row), row).drop(row)
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """_row, n_words, starts, ends, items of the spans that several slices found."""
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct(x["starts"].alias("s"), x["ends"].alias("e")))
     kept = found.select("_row", "n_words", spans.alias("spans"), "items").groupBy("_row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     empty = F.lit(None).cast("array<struct<s:int,e:int>>")
@@ -225,8 +221,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     runs = F.aggregate("spans", F.coalesce(empty, F.array().cast("array<struct<s:int,e:int>>")), join)
     kept = kept.select("_row", "n_words", runs.alias("runs"), "items")
-    kept = kept.select("_row", "n_words", F.col("runs.s").alias("starts"), F.col("runs.e").alias("ends"), _ids(F.col("items")).alias("items"))
-    return marked.join(kept.withColumnRenamed("_row", row), row).drop(row)
+    return kept.select("_row", "n_words", F.col("runs.s").alias("starts"), F.col("runs.e").alias("ends"), _ids(F.col("items")).alias("items"))
 
 
 def _ids(items):

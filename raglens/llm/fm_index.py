@@ -192,20 +192,40 @@ class FMIndex:
 
 
 def _sorted(text: np.ndarray, end: np.ndarray, longest: int, keep: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The suffix array by prefix doubling, and by length 1, 2, 4, .. up to `keep` each place's rank."""
+    """The suffix array by prefix doubling, and by length 1, 2, 4, .. up to `keep` each place's rank.
+
+    A rank is the sorted place of the first suffix with the same symbols; a step sorts only suffixes that
+    still share theirs.
+    """
     n, k = len(text), 1
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    ranks = [(1, rank)]
-    while k < longest and int(rank.max(initial=0)) + 1 < n:
-        key = rank * (n + 1) + _shifted(rank, end, k)
-        order = np.argsort(key)
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+    order = np.argsort(text, kind="stable")
+    key, slots = text[order], np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order], tied = _heads(key, slots)
+    ranks = [(1, rank.copy())] if keep else []
+    slots = slots[tied]
+    while k < longest and len(slots):
+        at = order[slots]
+        to = at + k
+        key = rank[at] * (n + 1) + np.where(to <= end[at], rank[np.minimum(to, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[slots] = at
+        rank[at], tied = _heads(key, slots)
+        slots = slots[tied]
         k *= 2
         if k <= keep:
-            ranks.append((k, rank))
-    return np.argsort(rank, kind="stable"), ranks
+            ranks.append((k, rank.copy()))
+    # equal suffixes in order of their places
+    left = order[slots]
+    order[slots] = left[np.lexsort((left, rank[left]))]
+    return order, ranks
+
+
+def _heads(key: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys in these slots: the slot of the first equal one, and whether there are others equal."""
+    new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+    return np.maximum.accumulate(np.where(new, slots, 0)), ~(new & np.append(new[1:], True))
 
 
 def _shifted(rank: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:

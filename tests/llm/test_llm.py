@@ -14,8 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from raglens.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, sentencepiece_viterbi, substring_dedup, token_files, toxicity
-from raglens.llm.fm_index import FMIndex, WaveletMatrix
-from raglens.llm.words import text_of
+from raglens.llm.fm_index import FMIndex, WaveletMatrix, _sorted
+from raglens.llm.words import ALNUM as ALNUM_BYTES
+from raglens.llm.words import text_of, words_of
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -76,6 +77,49 @@ def test_wavelet_and_fm_index():
         assert found == true
 
 
+def test_suffixes_are_sorted_with_ties_by_place():
+    rng = np.random.default_rng(8)
+    parts = [rng.integers(1, 4, n) for n in (40, 0, 3, 200)] * 3 + [np.ones(60, np.int64)]
+    starts = np.cumsum([0, *map(len, parts[:-1])])
+    symbols = np.concatenate(parts)
+    lengths = np.array([len(p) for p in parts])
+    text = np.concatenate([np.append(p, 0) for p in parts])
+    end = np.repeat(starts + np.arange(len(parts)) + lengths, lengths + 1)
+    order, ranks = _sorted(text, end, int(lengths.max()) + 1, 4)
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: (text[i : end[i]].tolist(), i))
+    for k, rank in ranks:
+        own = [tuple(text[i : end[i] + 1].tolist()[:k]) for i in range(len(text))]
+        assert len(set(own)) == len(set(rank.tolist())) == len(set(zip(own, rank.tolist(), strict=True)))
+    index = FMIndex(symbols, starts, 4, sample=8)
+    assert index.locate(np.arange(index.n)).tolist() == order.tolist()
+
+
+def test_hits_of_a_shard():
+    rng = np.random.default_rng(9)
+    common = " ".join(f"c{k}" for k in range(30))
+    docs = [" ".join(f"w{x}" for x in rng.integers(0, 3, n)) for n in (0, 1, 50, 400, 0, 7)] + [common, "", common, f"x {common}", common + " w1 w2 w1"]
+    items = [" ".join(docs[3].split()[20:45]), common, common, "w1 w2", "absent w1", "", "w0 w0 w0", docs[2]]
+    words = words_of(text_of(pa.array(docs)), ALNUM_BYTES, lower=True)
+    phrases = decontaminate.Phrases.of(pa.table({"item_id": [str(k) for k in range(len(items))], "text": items}))
+    found = decontaminate.hits(phrases, words.hashes, words.first)
+    spans, pairs = [], set()
+    for d, text in enumerate(docs):
+        w, hit = text.split(), set()
+        for i, item in enumerate(items):
+            t = item.split()
+            n = min(len(t), 10)
+            for a in range(len(t) - n + 1 if n else 0):
+                for b in range(len(w) - n + 1):
+                    if w[b : b + n] == t[a : a + n]:
+                        hit.update(range(b, b + n))
+                        pairs.add((d, i))
+        spans += [(d, k) for k in sorted(hit)]
+    assert [(r, k) for r, a, b in zip(found.row.tolist(), found.start.tolist(), found.end.tolist(), strict=True) for k in range(a, b)] == spans
+    assert list(zip(found.with_item.tolist(), found.item.tolist(), strict=True)) == sorted(pairs)
+    none = decontaminate.hits(phrases, words.hashes[:0], np.zeros(3, np.int64))
+    assert len(none.row) == len(none.item) == 0
+
+
 def test_repeated_windows_of_one_index():
     rng = np.random.default_rng(6)
     base = rng.integers(1, 5, 300)
