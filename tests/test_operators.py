@@ -423,3 +423,21 @@ def test_probed_lists_find_most_of_the_nearest(spark):
     assert all(r["recall"] == 1 for r in vector_lists.recall(questions, kept, whole, 10).collect())
     none = own.limit(0)
     assert vector_lists.probed_top_k(questions, vector_lists.with_list(none, centroids), vector_lists.train_lists(none), 10).collect() == []
+
+
+def test_percentiles_of_large_runs(spark):
+    """Runs above and below the size that is ranked whole, with ties, nulls, errors and runs without a latency."""
+    rng = np.random.default_rng(3)
+    rows = [("ties", "ok", float(x)) for x in rng.choice([5, 5, 5, 90, 1000], 6000)]
+    rows += [("wide", None, float(x)) for x in rng.lognormal(5, 2, 30001)] + [("wide", "error", 1e9)] * 2000 + [("wide", "ok", None)] * 700
+    rows += [("edge", "ok", 1.0)] * 1900 + [("edge", "ok", 2.0)] * 1900 + [("edge", "ok", float("nan"))] * 200
+    rows += [("few", "ok", float(x)) for x in range(8)] + [(None, "ok", 3.0), ("none", "ok", None), ("failed", "error", 1.0)]
+    results = spark.createDataFrame(rows, "run_id string, status string, latency_ms double")
+    got = {r["run_id"]: (r["latency_p50_ms"], r["latency_p95_ms"]) for r in metrics.latency_percentiles(results).collect()}
+    whole = results.where("coalesce(status, 'ok') <> 'error'").groupBy("run_id").agg(F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
+    expected = {r["run_id"]: tuple(r["q"] or (None, None)) for r in whole.collect()}
+    assert got.keys() == expected.keys() and len(got) == 6
+    for run, pair in expected.items():
+        assert [x is None for x in got[run]] == [x is None for x in pair]
+        assert np.allclose([x for x in got[run] if x is not None], [x for x in pair if x is not None], rtol=0, atol=1e-6, equal_nan=True)
+    assert metrics.latency_percentiles(results.where("false")).count() == 0
