@@ -16,7 +16,8 @@ def tokens(c: str | Column) -> Column:
 
 
 def embed(text: str | Column, dim: int = DIM) -> Column:
-    """A vector of hashed token counts."""
+    """A vector of hashed token counts; a null text is empty."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     places = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
 

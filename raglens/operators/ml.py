@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -12,17 +13,52 @@ from pyspark.sql import functions as F
 LEAST_ROWS, TREES, DEPTH, HELD_OUT, STRATIFIED = 10, 200, 4, 0.2, 20
 
 
+#: Hashes are cut into 2^12 slices; rows are ordered within a stratum's one slice only.
+SLICE_BITS = 12
+
+
+def quotas(training: DataFrame) -> DataFrame:
+    """stratum, n, held: how many rows of each stratum are held out, a fifth of all together, rounded up.
+
+    Strata are the labels; what rounding down leaves goes to the largest remainders, of equal ones to the first label.
+    With fewer than STRATIFIED rows, or a label of one row, every label can't be on both sides: all are one stratum.
+    """
+    whole = Window.partitionBy()  # over a row a label
+    labels = training.groupBy(F.coalesce("label", F.lit("")).alias("label")).agg(F.count("*").alias("n"))
+    apart = (F.min("n").over(whole) >= 2) & (F.sum("n").over(whole) >= STRATIFIED)
+    strata = labels.select(F.when(apart, F.col("label")).alias("stratum"), "n").groupBy("stratum").agg(F.sum("n").alias("n"))
+    share = round(1 / HELD_OUT)
+    sized = strata.withColumn("all", F.sum("n").over(whole)).withColumn("want", F.expr(f"(all + {share - 1}) div {share}"))
+    parts = sized.withColumns({"least": F.expr("n * want div all"), "rest": F.expr("n * want % all")})
+    order = Window.orderBy(F.desc("rest"), "stratum")
+    extra = F.row_number().over(order) <= F.col("want") - F.sum("least").over(whole)
+    return parts.select("stratum", "n", (F.col("least") + extra.cast("int")).alias("held"))
+
+
 def split(training: DataFrame) -> DataFrame:
-    """training with held_out: a fifth of each label's rows, by the order of a hash.
+    """training with held_out: quotas() of rows, by the order of a hash of run_id and query_id.
 
-    With fewer than STRATIFIED rows, or a label of one row, every label can't be on both sides: a fifth of all by hash then.
+    Counts of slices of the hash say in which slice a stratum's quota ends; only that slice's hashes are ordered. The
+    last hash of each quota is found at once, in one pass over training, and comes back as a row a stratum.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("run_id", "query_id"), "run_id", "query_id")
-    share = 1 / HELD_OUT
-    sizes = training.groupBy("label").count().agg((F.coalesce(F.min("count"), F.lit(0)) >= 2).alias("_two"), (F.coalesce(F.sum("count"), F.lit(0)) >= STRATIFIED).alias("_many"))
-    ranked = training.withColumn("_rank", F.percent_rank().over(order)).join(F.broadcast(sizes))  # one row
-    plain = F.pmod(F.xxhash64("query_id", "run_id"), F.lit(round(share))) == 0
-    return ranked.withColumn("held_out", F.when(F.col("_two") & F.col("_many"), F.col("_rank") > 1 - HELD_OUT).otherwise(plain)).drop("_rank", "_two", "_many")
+    hashed, stratum = F.xxhash64("run_id", "query_id"), F.coalesce("label", F.lit(""))
+    keys = training.select(stratum.alias("label"), hashed.alias("_hash"), F.shiftright(hashed, 64 - SLICE_BITS).alias("_slice")).persist(StorageLevel.DISK_ONLY)
+    try:
+        wanted = [tuple(r) for r in quotas(keys).collect()]  # a row a label
+        apart = any(r[0] is not None for r in wanted)
+        held = training.sparkSession.createDataFrame([(r[0] or "", r[2]) for r in wanted], "_stratum string, held long")
+        own = keys.withColumn("_stratum", F.col("label") if apart else F.lit(""))
+        cells = own.groupBy("_stratum", "_slice").agg(F.count("*").alias("n"))
+        upto = cells.withColumn("upto", F.sum("n").over(Window.partitionBy("_stratum").orderBy("_slice")))  # 2^SLICE_BITS rows a stratum
+        ends = upto.join(held, "_stratum").where("upto >= held and upto - n < held").select("_stratum", "_slice", F.expr("held - upto + n").alias("take"))
+        place = F.row_number().over(Window.partitionBy("_stratum").orderBy("_hash"))
+        last = own.join(ends, ["_stratum", "_slice"]).withColumn("_n", place).where("_n = take")
+        cuts = [tuple(r) for r in last.select("_stratum", "_hash").collect()]  # a row a label
+    finally:
+        keys.unpersist()
+    known = training.sparkSession.createDataFrame(cuts, "_stratum string, _cut long")
+    out = training.withColumn("_stratum", stratum if apart else F.lit("")).join(known, "_stratum", "left")
+    return out.withColumn("held_out", F.coalesce(hashed <= F.col("_cut"), F.lit(False))).select(*training.columns, "held_out")
 
 
 def train_classifier(training: DataFrame, trees: int = TREES) -> PipelineModel:
@@ -40,15 +76,21 @@ def train_classifier(training: DataFrame, trees: int = TREES) -> PipelineModel:
     return model
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def predict(model: PipelineModel, rows: DataFrame, *also: str) -> DataFrame:
+    """run_id, query_id and the columns `also` of rows, with label and its probability."""
     out = model.transform(rows)
-    return out.withColumn("p", F.array_max(vector_to_array("probability"))).select("run_id", "query_id", F.col("predicted").alias("label"), F.round("p", 6).alias("probability"))
+    return out.withColumn("p", F.array_max(vector_to_array("probability"))).select("run_id", "query_id", *also, F.col("predicted").alias("label"), F.round("p", 6).alias("probability"))
+
+
+def judged(model: PipelineModel, training: DataFrame) -> DataFrame:
+    """The held-out rows with their label as truth, and predict()'s label and probability."""
+    own = split(training).where("held_out")
+    return predict(model, own.withColumn("truth", F.col("label")), "truth")
 
 
 def accuracy(model: PipelineModel, training: DataFrame) -> DataFrame:
     """accuracy and rows of the held-out rows."""
-    own = split(training).where("held_out")
-    pairs = own.select("run_id", "query_id", F.col("label").alias("truth")).join(predict(model, own), ["run_id", "query_id"])
+    pairs = judged(model, training)
     return pairs.agg(F.round(F.avg((F.col("truth") == F.col("label")).cast("double")), 4).alias("accuracy"), F.count("*").alias("n"))
 
 
@@ -58,10 +100,46 @@ def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, round(float(v), 9)) for n, v in zip(names, forest.featureImportances.toArray(), strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+#: Rows among which values change places.
+PERMUTED = 1000
+
+
+def permuted(rows: DataFrame, names: list[str], repeats: int, block: int = PERMUTED) -> DataFrame:
+    """rows for each feature and repetition, with the feature's values of other rows; once as they are, feature NULL.
+
+    Rows are dealt to blocks of about `block` by a hash. Within a block in the hash's order, a row takes the value of
+    the row some places on, a number of places that differs by repetition: nothing is ordered over all rows.
+    """
+    blocks = max(1, -(-rows.count() // block))
+    hashed = F.xxhash64("run_id", "query_id", F.lit("permuted"))
+    own = F.struct(hashed.alias("_hash"), "run_id", "query_id", "label", *names)
+    dealt = rows.groupBy(F.pmod(hashed, F.lit(blocks)).alias("_block")).agg(F.array_sort(F.collect_list(own)).alias("r"))
+    size = F.size("r")
+
+    def shifted(repeat):
+        by = F.when(size > 1, 1 + F.pmod(F.xxhash64("_block", repeat), size - 1)).otherwise(0).cast("int")
+        return F.transform("r", lambda x, i: F.struct(repeat.alias("repeat"), x.alias("own"), F.get("r", F.pmod(i + by, size)).alias("other")))
+
+    pairs = dealt.select("r", "_block", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("k")).select(F.inline(shifted(F.col("k"))))
+    taken = lambda name: F.struct(F.lit(name).alias("feature"), *[F.col(f"{'other' if c == name else 'own'}.{c}").alias(c) for c in names])
+    moved = pairs.select("repeat", "own.run_id", "own.query_id", "own.label", F.inline(F.array(*map(taken, names))))
+    return moved.unionByName(rows.select(F.lit(0).alias("repeat"), "run_id", "query_id", "label", F.lit(None).cast("string").alias("feature"), *names))
+
+
+def permutation_importances(model: PipelineModel, training: DataFrame, repeats: int = 5) -> DataFrame:
+    """feature, importance, spread: how much accuracy on the held-out rows is lost, on average of the repetitions and
+    as their standard deviation, where a feature's values change places. One job for all features and repetitions."""
+    names = model.stages[1].getInputCols()
+    said = model.transform(permuted(split(training).where("held_out"), names, repeats))
+    each = said.groupBy("feature", "repeat").agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"))
+    whole = F.max(F.when(F.col("feature").isNull(), F.col("accuracy"))).over(Window.partitionBy())  # a row a feature and repetition
+    lost = each.withColumn("lost", whole - F.col("accuracy")).where("feature is not null").groupBy("feature")
+    return lost.agg(F.round(F.avg("lost"), 9).alias("importance"), F.round(F.stddev_pop("lost"), 9).alias("spread"))
+
+
 def report(model: PipelineModel, training: DataFrame) -> DataFrame:
     """label, precision, recall, f1 and support on the held-out rows."""
-    own = split(training).where("held_out")
-    pairs = own.select("run_id", "query_id", F.col("label").alias("truth")).join(predict(model, own), ["run_id", "query_id"])
+    pairs = judged(model, training)
     counts = pairs.groupBy("truth", "label").agg(F.count("*").alias("n"))
     hit = counts.where("truth = label").select("truth", F.col("n").alias("hits"))
     support = counts.groupBy("truth").agg(F.sum("n").alias("support"))
@@ -73,8 +151,7 @@ def report(model: PipelineModel, training: DataFrame) -> DataFrame:
 
 def reliability(model: PipelineModel, training: DataFrame, bins: int = 10) -> DataFrame:
     """bin, n, probability, share: the held-out rows by predicted probability, and how many of them are right."""
-    own = split(training).where("held_out")
-    pairs = own.select("run_id", "query_id", F.col("label").alias("truth")).join(predict(model, own), ["run_id", "query_id"])
+    pairs = judged(model, training)
     place = F.least(F.floor(F.col("probability") * bins), F.lit(bins - 1)).cast("int")
     right = F.avg((F.col("truth") == F.col("label")).cast("double"))
     return pairs.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("probability"), 4).alias("probability"), F.round(right, 4).alias("share"))

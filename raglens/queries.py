@@ -277,6 +277,21 @@ def g15_importances(spark, d):
     return ml.importances(ml.train_classifier(own), spark)
 
 
+@query(f"""{_LABELS}, c as (select label, count(*) as n, sum(count(*)) over () as m, (sum(count(*)) over () + 4) // 5 as want from l group by label),
+p as (select *, n * want // m as least, n * want % m as rest from c)
+select label, n, cast(least + case when row_number() over (order by rest desc, label) <= want - sum(least) over () then 1 else 0 end as bigint) as held from p""")
+def g15_split(spark, d):
+    """How many rows of each label the split holds out."""
+    own = ml.split(diagnosis.training_set(diagnoses(spark, d), feedback(spark, d)))
+    return own.groupBy("label").agg(F.count("*").alias("n"), F.count_if("held_out").alias("held"))
+
+
+@query()
+def g15_permutation_importances(spark, d):
+    own = diagnosis.training_set(diagnoses(spark, d), feedback(spark, d))
+    return ml.permutation_importances(ml.train_classifier(own), own)
+
+
 @query()
 def g15_reliability(spark, d):
     own = diagnosis.training_set(diagnoses(spark, d), feedback(spark, d))
@@ -359,14 +374,17 @@ def h6_baseline_comparison(spark, d):
     return ranking.baseline_comparison(runs(spark, d), run_metrics(spark, d))
 
 
-@query(f"""{ALL}, j as (select * from fx_runs join met using (run_id)),
+_RECOMMENDED = f"""{ALL}, j as (select * from fx_runs join met using (run_id)),
 o as (select 'lowest_cost' as objective, run_id, avg_cost_usd as value, row_number() over (order by round(avg_cost_usd, 9), run_id) as k from j where avg_cost_usd is not null
 union all select 'best_latency', run_id, latency_p50_ms, row_number() over (order by round(latency_p50_ms, 9), run_id) from j where latency_p50_ms is not null
 union all select 'best_faithfulness', run_id, faithfulness, row_number() over (order by round(faithfulness, 9) desc, run_id) from j where faithfulness is not null
 union all select 'best_for_tables', run_id, multimodal_grounding_rate, row_number() over (order by round(multimodal_grounding_rate, 9) desc, run_id) from j where multimodal_grounding_rate is not null and parsing_strategy = 'text_table'
 union all select 'best_for_drift', run_id, freshness_validity, row_number() over (order by round(freshness_validity, 9) desc, run_id) from j where freshness_validity is not null and freshness_policy <> 'none'
 union all select 'best_for_long_pdfs', run_id, context_recall, row_number() over (order by round(context_recall, 9) desc, run_id) from j where context_recall is not null and parsing_strategy = 'text_table'
-union all select 'best_overall', run_id, v, row_number() over (order by round(v, 9) desc, run_id) from (select run_id, 0.4 * faithfulness + 0.3 * answer_correctness + 0.2 * context_recall + 0.1 * (1 - avg_cost_usd / max(avg_cost_usd) over ()) as v from j where faithfulness is not null and answer_correctness is not null and context_recall is not null and avg_cost_usd is not null))
+union all select 'best_overall', run_id, v, row_number() over (order by round(v, 9) desc, run_id) from (select run_id, 0.4 * faithfulness + 0.3 * answer_correctness + 0.2 * context_recall + 0.1 * (1 - avg_cost_usd / max(avg_cost_usd) over ()) as v from j where faithfulness is not null and answer_correctness is not null and context_recall is not null and avg_cost_usd is not null))"""
+
+
+@query(f"""{_RECOMMENDED}
 select objective, 'ok' as status, run_id, round(value, 9) as value from o where k = 1""")
 def h7_recommend(spark, d):
     return ranking.recommend(runs(spark, d), run_metrics(spark, d))
@@ -377,7 +395,17 @@ def h8_explain_run(spark, d):
     return ranking.explain_run(runs(spark, d), run_metrics(spark, d))
 
 
-@query()
+@query(f"""{_RECOMMENDED}
+select objective, 'ok' as status, run_id, round(value, 9) as value, case objective
+  when 'best_overall' then printf('best overall: composite of faithfulness, correctness, recall and cost %.2f', value)
+  when 'lowest_cost' then printf('lowest mean cost of a query: $%.4f', value)
+  when 'best_latency' then printf('fastest median answer: %.0f ms', value)
+  when 'best_faithfulness' then printf('highest faithfulness: %.3f', value)
+  when 'best_for_tables' then printf('best for tables and sheets: grounding rate %.3f with parsing ', value) || parsing_strategy
+  when 'best_for_drift' then printf('best under temporal drift: freshness validity %.3f with policy ', value) || freshness_policy
+  else printf('best for long documents: context recall %.3f with parsing ', value) || parsing_strategy end as rationale
+from o join fx_runs using (run_id) where k = 1
+union all select 'best_of_luck', 'ok', min(run_id), 0.0, 'chosen by default for best_of_luck' from j""")
 def h8_explain_recommendations(spark, d):
     known = ranking.recommend(runs(spark, d), run_metrics(spark, d), [*ranking.OBJECTIVES, "best_of_luck"])
     return ranking.explain_recommendations(known, runs(spark, d))

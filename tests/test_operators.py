@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from raglens.functions import scorers
@@ -206,7 +207,7 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     for k in range(2):
         docs.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.stream_ingest(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "store")).count() == chunking.chunk_fixed(docs).count()
+    assert jobs.current_chunks(spark, str(tmp_path / "store")).count() == chunking.chunk_fixed(docs).count()
 
 
 def test_readers(spark, tmp_path):
@@ -319,7 +320,59 @@ def test_emptied_documents_lose_their_chunks(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         docs = spark.readStream.schema(spark.createDataFrame([], schema).schema).parquet(str(tmp_path / "in"))
         jobs.stream_ingest(docs, str(tmp_path / "store"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
-    assert [(r["doc_id"], r["content"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()] == [(2, "z" * 100)]
+    assert [(r["doc_id"], r["content"]) for r in jobs.current_chunks(spark, str(tmp_path / "store")).collect()] == [(2, "z" * 100)]
+
+
+def test_a_batch_writes_only_its_own_chunks(spark, tmp_path):
+    """Batches, compactions between them and a compaction ended halfway give each document's last chunks."""
+    store, schema = str(tmp_path / "store"), "doc_id long, text string"
+    batches = [[(i, f"a{i} " * 300) for i in range(6)] + [(None, "nobody")], [(1, "b1"), (2, None)], [(2, "c2 " * 400), (3, " "), (9, "c9")], [(9, "d9")]]
+    want: dict = {}
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        docs = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.stream_ingest(docs, store, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+        want |= {i: text for i, text in rows if i is not None}
+        plain = chunking.chunk_fixed(spark.createDataFrame(list(want.items()), schema))
+        read = lambda: sorted(map(str, jobs.current_chunks(spark, store).select(plain.columns).collect()))
+        expected = sorted(map(str, plain.collect()))
+        assert read() == expected
+        (written,) = [f for f in (tmp_path / "store").iterdir() if f.name == f"gen={2 * k}"]
+        assert {r["doc_id"] for r in spark.read.parquet(str(written)).collect()} == {i for i, _ in rows if i is not None}
+        if k == 1:
+            jobs.compact_chunks(spark, store)
+            assert [f.name for f in (tmp_path / "store").iterdir()] == ["gen=3"] and read() == expected
+        if k == 2:
+            (tmp_path / "store" / "gen=5" / "_temporary").mkdir(parents=True)
+            assert read() == expected
+    jobs.compact_chunks(spark, store)
+    jobs.compact_chunks(spark, store)
+    assert [f.name for f in (tmp_path / "store").iterdir() if (f / "_SUCCESS").exists()] == ["gen=7"] and read() == expected
+    with pytest.raises(FileNotFoundError):
+        jobs.current_chunks(spark, str(tmp_path / "none"))
+
+
+def test_statuses_of_random_events(spark, tmp_path):
+    """The changes of each batch against a plain recount of all events so far."""
+    rng, schema = np.random.default_rng(5), "experiment_id string, run_id string, ts long, status string, evaluated_at long, diagnosed_at long"
+    held, last = [], {}
+    for k in range(4):
+        made = [(f"e{e}", f"r{r}", int(rng.integers(30)) if rng.random() < 0.9 else None, str(rng.choice(["pending", "done", "done", "done", "failed"])), *(1 if rng.random() < 0.8 else None for _ in range(2))) for e, r in zip(rng.integers(4, size=12).tolist(), rng.integers(3, size=12).tolist(), strict=True)]
+        held += made
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_experiment_status(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+        got = {r["experiment_id"]: r["next_status"] for r in spark.read.parquet(str(tmp_path / "out" / "changes" / f"batch={k}")).collect()}
+        runs: dict = {}
+        for e, r, ts, status, evaluated, diagnosed in held:
+            row = (-1 if ts is None else ts, diagnosed is not None, evaluated is not None, status)
+            runs[e, r] = max(runs.get((e, r), row), row)
+        now = {}
+        for e in {e for e, _ in runs}:
+            own = [row for (x, _), row in runs.items() if x == e]
+            done = [row for row in own if row[3] == "done"]
+            now[e] = None if any(row[3] == "pending" for row in own) else "failed" if not done else "done" if all(row[1] for row in done) else "diagnosing" if all(row[2] for row in done) else "evaluating"
+        assert got == {e: state for e, state in now.items() if e not in last or last[e] != state}
+        last = now
 
 
 def test_grounding_counts_source_documents_only(spark):
@@ -406,6 +459,82 @@ def test_classifier_is_judged_on_held_out_rows(spark):
     assert 0 <= ml.split(few).where("held_out").count() < 13 and "C" in {r["label"] for r in ml.split(few).collect()}
 
 
+def test_the_split_holds_exact_quotas(spark):
+    """Largest remainders by label, the rows of smallest hashes; one stratum where labels are too few."""
+
+    def want(sizes):
+        whole = -(-sum(sizes.values()) // 5)
+        held = {k: n * whole // sum(sizes.values()) for k, n in sizes.items()}
+        rest = sorted(sizes, key=lambda k: (-(sizes[k] * whole % sum(sizes.values())), k))
+        return {k: held[k] + (k in rest[: whole - sum(held.values())]) for k in sizes}
+
+    for sizes in ({"A": 7003, "B": 11, "C": 2, "D": 9, "": 6}, {"A": 3, "B": 3}, {"A": 30, "B": 1}, {"A": 21}):
+        rows = [(f"r{i % 7}", f"q{i}", k, float(i)) for k, n in sizes.items() for i in range(n)]
+        own = spark.createDataFrame(rows, "run_id string, query_id string, label string, f_x double").withColumn("query_id", F.concat("query_id", F.lit("_"), "label"))
+        got = ml.split(own).withColumn("h", F.xxhash64("run_id", "query_id")).collect()
+        assert len(got) == len(rows) and set(got[0].asDict()) == {"run_id", "query_id", "label", "f_x", "held_out", "h"}
+        strata = {k: [r for r in got if r["label"] == k] for k in sizes} if min(sizes.values()) > 1 and len(rows) >= 20 else {"": got}
+        for k, n in want({k: len(v) for k, v in strata.items()}).items():
+            assert {r["query_id"] for r in strata[k] if r["held_out"]} == {r["query_id"] for r in sorted(strata[k], key=lambda r: r["h"])[:n]}
+    assert ml.split(own.limit(0)).collect() == []
+
+
+def test_permuted_values_and_their_importances(spark):
+    rng = np.random.default_rng(6)
+    rows = [("r", f"q{i}", "A" if x > 0.5 else "B", float(x), i) for i, x in enumerate(rng.random(90))]
+    own = spark.createDataFrame(rows, "run_id string, query_id string, label string, f_x double, f_noise long").cache()
+    names = ["f_noise", "f_x"]
+    for block in (20, 1000):
+        found = ml.permuted(own, names, 3, block).toPandas()
+        assert len(found) == 90 * (1 + 2 * 3)
+        for (feature, _), part in found.dropna(subset="feature").groupby(["feature", "repeat"]):
+            part, other = part.set_index("query_id"), next(n for n in names if n != feature)
+            plain = {q: {"f_x": x, "f_noise": n} for _, q, _, x, n in rows}
+            assert sorted(part[feature]) == sorted(v[feature] for v in plain.values())
+            assert all(part.loc[q, other] == v[other] for q, v in plain.items()) and sum(part.loc[q, feature] != v[feature] for q, v in plain.items()) > 80
+    model = ml.train_classifier(own, trees=20)
+    got = {r["feature"]: (r["importance"], r["spread"]) for r in ml.permutation_importances(model, own, 3).collect()}
+    said = model.transform(ml.permuted(ml.split(own).where("held_out"), names, 3)).select("feature", "repeat", "label", "predicted").toPandas()
+    right = (said["label"] == said["predicted"]).groupby([said["feature"].fillna("-"), said["repeat"]]).mean()
+    for name in names:
+        lost = right["-", 0] - right[name]
+        assert np.allclose(got[name], (lost.mean(), lost.std(ddof=0)), atol=1e-8)
+    assert got["f_x"][0] > 0.2 > abs(got["f_noise"][0])
+    assert ml.permuted(own.limit(0), names, 2).collect() == []
+
+
+def test_embedding_counts_hashed_words(spark):
+    import re
+
+    texts = ["One two two, THREE", "", None, "a_b 7"]
+    got = [r["v"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scorers.embed("t", 8).alias("v")).collect()]
+    words = sorted({w for t in texts if t for w in re.split(r"\W+", t.lower()) if w})
+    places = {r["w"]: r["h"] % 8 for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    for text, vector in zip(texts, got, strict=True):
+        want = [0.0] * 8
+        for w in re.split(r"\W+", (text or "").lower()):
+            if w:
+                want[places[w]] += 1
+        assert vector == want
+
+
+def test_html_elements_against_plain_python(spark):
+    import re
+
+    pages = ["<h1>T &amp; U</h1><p>a <b>b</b>\nc</p><script><p>no</p></script><table><tr><td>1</td></tr></table><p> </p><ul><li>x</li></ul><table>2</table>", "", None, "plain"]
+    got = [(r["page_id"], r["content"], r["chunk_type"], r["table_id"], r["is_heading"]) for r in ingest.html_to_elements(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).orderBy("page_id", "elem_idx").collect()]
+    want = []
+    for i, page in enumerate(pages):
+        tables = 0
+        for m in re.finditer(r"(?is)<(h[1-6]|p|li|table)\b[^>]*>(.*?)</\1>", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", page or "")):
+            text = " ".join(re.sub(r"<[^>]*>", " ", m[2]).replace("&amp;", "&").split())
+            if text:
+                table = m[1] == "table"
+                want.append((i, text, "table" if table else "text", f"table_{tables}" if table else None, m[1][0] == "h"))
+                tables += table
+    assert got == want and len(want) == 5
+
+
 def test_probed_lists_find_most_of_the_nearest(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(0, 1, (20, 16))
