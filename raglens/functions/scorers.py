@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 64
+#: The character of place 0 where places are counted in a string; the next ones follow.
+_FIRST = ord("0")
 
 
 def tokens(c: str | Column) -> Column:
@@ -16,10 +18,17 @@ def tokens(c: str | Column) -> Column:
 
 
 def embed(text: str | Column, dim: int = DIM) -> Column:
-    """A vector of hashed token counts; a null text is empty."""
+    """A vector of hashed token counts; a null text is empty.
+
+    The text is cut and hashed once a row: as the one element of an array it is bound to a name, and places are counted
+    in a string of one character a token.
+    """
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    places = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+    mark = lambda k: chr(_FIRST + k)
+    alphabet = F.lit("".join(map(mark, range(dim))))
+    marks = F.array_join(F.transform(tokens(text), lambda w: F.substring(alphabet, F.pmod(F.xxhash64(w), F.lit(dim)).cast("int") + 1, F.lit(1))), "")
+    count = lambda s, k: (F.length(s) - F.length(F.replace(s, F.lit(mark(k)), F.lit("")))).cast("double")
+    return F.get(F.transform(F.array(marks), lambda s: F.array(*[count(s, k) for k in range(dim)])), F.lit(0))
 
 
 def score_pairs(question: str | Column, content: str | Column) -> Column:

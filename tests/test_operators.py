@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -570,3 +571,19 @@ def test_percentiles_of_large_runs(spark):
         assert [x is None for x in got[run]] == [x is None for x in pair]
         assert np.allclose([x for x in got[run] if x is not None], [x for x in pair if x is not None], rtol=0, atol=1e-6, equal_nan=True)
     assert metrics.latency_percentiles(results.where("false")).count() == 0
+
+
+def test_embedding_cuts_a_text_once(spark):
+    """Its time is that of cutting the text, not that times the vector's places."""
+    texts = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 977}" for j in range(3000))) for i in range(1000)], "i long, t string").cache()
+
+    def seconds(c):
+        took = []
+        for _ in range(2):
+            began = time.time()
+            texts.select(F.sum(F.hash(c))).collect()
+            took.append(time.time() - began)
+        return min(took)
+
+    texts.count()
+    assert seconds(scorers.embed("t")) < 8 * seconds(scorers.tokens("t")) + 1
