@@ -52,18 +52,33 @@ def split(training: DataFrame) -> DataFrame:
         upto = cells.withColumn("upto", F.sum("n").over(Window.partitionBy("_stratum").orderBy("_slice")))  # 2^SLICE_BITS rows a stratum
         ends = upto.join(held, "_stratum").where("upto >= held and upto - n < held").select("_stratum", "_slice", F.expr("held - upto + n").alias("take"))
         place = F.row_number().over(Window.partitionBy("_stratum").orderBy("_hash"))
-        last = own.join(ends, ["_stratum", "_slice"]).withColumn("_n", place).where("_n = take")
+        last = own.join(F.broadcast(ends), ["_stratum", "_slice"]).withColumn("_n", place).where("_n = take")
         cuts = [tuple(r) for r in last.select("_stratum", "_hash").collect()]  # a row a label
     finally:
         keys.unpersist()
     known = training.sparkSession.createDataFrame(cuts, "_stratum string, _cut long")
-    out = training.withColumn("_stratum", stratum if apart else F.lit("")).join(known, "_stratum", "left")
+    out = training.withColumn("_stratum", stratum if apart else F.lit("")).join(F.broadcast(known), "_stratum", "left")  # rows stay where they are: strata are few and of unlike sizes
     return out.withColumn("held_out", F.coalesce(hashed <= F.col("_cut"), F.lit(False))).select(*training.columns, "held_out")
 
 
+def prepared(training: DataFrame) -> DataFrame:
+    """run_id, query_id, label, the f_ columns and held_out, for all that follows on one training set.
+
+    The rows are computed once and stay on the executors' disks: the split, the fit and the judgement read them there.
+    Spark frees them when nothing refers to them any more.
+    """
+    names = ["run_id", "query_id", "label", *(c for c in training.columns if c.startswith("f_"))]
+    return split(training.select(*names).localCheckpoint(storageLevel=StorageLevel.DISK_ONLY))
+
+
+def _parted(training: DataFrame) -> DataFrame:
+    """training with held_out; what prepared() gave has it."""
+    return training if "held_out" in training.columns else split(training)
+
+
 def train_classifier(training: DataFrame, trees: int = TREES) -> PipelineModel:
     """A forest over the f_ columns; fewer than LEAST_ROWS rows are an error."""
-    own = split(training).where("not held_out").persist()  # read by each pass of the fit
+    own = _parted(training).where("not held_out").persist()  # read by each pass of the fit
     if own.limit(LEAST_ROWS).count() < LEAST_ROWS:
         own.unpersist()
         raise ValueError(f"fewer than {LEAST_ROWS} training rows")
@@ -84,7 +99,7 @@ def predict(model: PipelineModel, rows: DataFrame, *also: str) -> DataFrame:
 
 def judged(model: PipelineModel, training: DataFrame) -> DataFrame:
     """The held-out rows with their label as truth, and predict()'s label and probability."""
-    own = split(training).where("held_out")
+    own = _parted(training).where("held_out")
     return predict(model, own.withColumn("truth", F.col("label")), "truth")
 
 
@@ -102,6 +117,8 @@ def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
 
 #: Rows among which values change places.
 PERMUTED = 1000
+#: Tasks of the prediction for each core, so that blocks even out.
+TASKS_A_CORE = 4
 
 
 def permuted(rows: DataFrame, names: list[str], repeats: int, block: int = PERMUTED) -> DataFrame:
@@ -120,7 +137,10 @@ def permuted(rows: DataFrame, names: list[str], repeats: int, block: int = PERMU
         by = F.when(size > 1, 1 + F.pmod(F.xxhash64("_block", repeat), size - 1)).otherwise(0).cast("int")
         return F.transform("r", lambda x, i: F.struct(repeat.alias("repeat"), x.alias("own"), F.get("r", F.pmod(i + by, size)).alias("other")))
 
-    pairs = dealt.select("r", "_block", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("k")).select(F.inline(shifted(F.col("k"))))
+    each = dealt.select("r", "_block", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("k"))
+    # few bytes become many rows to predict: as many tasks as there are cores, whatever the size of the blocks
+    each = each.repartition(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, "_block", "k")
+    pairs = each.select(F.inline(shifted(F.col("k"))))
     taken = lambda name: F.struct(F.lit(name).alias("feature"), *[F.col(f"{'other' if c == name else 'own'}.{c}").alias(c) for c in names])
     moved = pairs.select("repeat", "own.run_id", "own.query_id", "own.label", F.inline(F.array(*map(taken, names))))
     return moved.unionByName(rows.select(F.lit(0).alias("repeat"), "run_id", "query_id", "label", F.lit(None).cast("string").alias("feature"), *names))
@@ -130,7 +150,7 @@ def permutation_importances(model: PipelineModel, training: DataFrame, repeats:
     """feature, importance, spread: how much accuracy on the held-out rows is lost, on average of the repetitions and
     as their standard deviation, where a feature's values change places. One job for all features and repetitions."""
     names = model.stages[1].getInputCols()
-    said = model.transform(permuted(split(training).where("held_out"), names, repeats))
+    said = model.transform(permuted(_parted(training).where("held_out"), names, repeats))
     each = said.groupBy("feature", "repeat").agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"))
     whole = F.max(F.when(F.col("feature").isNull(), F.col("accuracy"))).over(Window.partitionBy())  # a row a feature and repetition
     lost = each.withColumn("lost", whole - F.col("accuracy")).where("feature is not null").groupBy("feature")

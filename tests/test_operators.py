@@ -587,3 +587,23 @@ def test_embedding_cuts_a_text_once(spark):
 
     texts.count()
     assert seconds(scorers.embed("t")) < 8 * seconds(scorers.tokens("t")) + 1
+
+
+def test_a_prepared_training_set_is_computed_once(spark):
+    """The split, the fit and all judgements read what prepared() computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("r", f"q{i}", "AB"[i * 7 % 10 > 4], float(i * 7 % 10), "text") for i in range(200)]
+    plain = spark.createDataFrame(rows, "run_id string, query_id string, label string, f_x double, more string")
+    own = ml.prepared(plain.mapInArrow(passed, plain.schema))
+    assert own.columns == ["run_id", "query_id", "label", "f_x", "held_out"]
+    model = ml.train_classifier(own, trees=5)
+    got = ml.accuracy(model, own).first(), ml.report(model, own).collect(), ml.reliability(model, own).collect(), ml.permutation_importances(model, own, 2).collect()
+    assert ml.predict(model, own).count() == 200 and seen.value == 200
+    assert sorted(map(tuple, own.collect())) == sorted(tuple(r[c] for c in own.columns) for r in ml.split(plain).collect())
+    assert got[0]["n"] == 40
