@@ -607,3 +607,10 @@ def test_a_prepared_training_set_is_computed_once(spark):
     assert ml.predict(model, own).count() == 200 and seen.value == 200
     assert sorted(map(tuple, own.collect())) == sorted(tuple(r[c] for c in own.columns) for r in ml.split(plain).collect())
     assert got[0]["n"] == 40
+
+
+def test_a_cosine_at_the_threshold_does_not_cut():
+    """17 / sqrt(5 * 80) is 0.85 and not below it; the product of the two rounded roots is a little larger."""
+    v = np.array([[1, 1, 1, 1, 1, 0], [0, 2, 5, 5, 5, 1], [0, 2, 5, 5, 5, 1], [0, 2, 5, 5, 5, 1]], float)
+    assert len(splitting.semantic_chunks(["A. B. C. D."], 0.85, lambda _: v)[0]) == 1
+    assert len(splitting.semantic_chunks(["A. B. C. D."], 0.8500001, lambda _: v)[0]) == 2
