@@ -29,6 +29,8 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_C, RRF_WEIGHTS = 60, (0.6, 0.4)
 #: Questions of one matrix product; their vectors go to every task.
 QUESTION_BLOCK = 4096
+#: Similarities that a task holds at a time.
+CELLS = 1 << 21
 
 
 def filter_scope(chunks: DataFrame, doc_ids: DataFrame | None) -> DataFrame:
@@ -186,19 +188,21 @@ def _nearest(sent, k: int, grouped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
         held: dict = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        step = max(1, CELLS // max(1, len(ids)))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             sims = np.round(q @ _unit(batch.column("embedding")).T, 9)
             names = np.array(batch.column("vec_id").to_pylist())
+            by_name = np.argsort(names, kind="stable")  # of equal similarities the smaller id wins
             groups = np.array(batch.column("group").to_pylist()) if grouped else np.zeros(len(names), np.int64)
             for g in np.unique(groups).tolist():
-                own = np.flatnonzero(groups == g)
-                value, which = sims[:, own], np.broadcast_to(names[own], (len(ids), len(own)))
+                own = by_name[groups[by_name] == g]
+                top = np.argsort(-sims[:, own], axis=1, kind="stable")[:, :k]
+                value, which = np.take_along_axis(sims[:, own], top, 1), names[own][top]
                 if g in held:
                     value, which = np.concatenate((held[g][0], value), axis=1), np.concatenate((held[g][1], which), axis=1)
-                order = np.lexsort((which, -value), axis=1)[:, :k]
-                held[g] = np.take_along_axis(value, order, 1), np.take_along_axis(which, order, 1)
+                    order = np.lexsort((which, -value), axis=1)[:, :k]
+                    value, which = np.take_along_axis(value, order, 1), np.take_along_axis(which, order, 1)
+                held[g] = value, which
         for g, (value, which) in held.items():
             made = {"question_id": ids.take(pa.array(np.repeat(np.arange(len(ids)), value.shape[1]))), "vec_id": pa.array(which.reshape(-1).tolist()), **({"group": pa.array([g] * which.size)} if grouped else {}), "similarity": pa.array(value.reshape(-1))}
             yield pa.RecordBatch.from_arrays(list(made.values()), list(made))

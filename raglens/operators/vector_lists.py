@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from raglens.operators.retrieval import QUESTION_BLOCK, _unit, vector_top_k
+from raglens.operators.retrieval import CELLS, QUESTION_BLOCK, _unit, vector_top_k
 
 #: Vectors of the sample at most, and turns of k-means over it.
 SAMPLE, TURNS = 20_000, 12
@@ -115,10 +115,12 @@ def _within_lists(sent, k: int):
                 names = np.array(batch.column("vec_id").take(pa.array(own)).to_pylist())
                 order = np.argsort(names, kind="stable")  # of equal similarities the smaller id wins
                 own, names = own[order], names[order]
-                sims = np.round(unit[asked[c]] @ vectors[own].T, 9)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                questions = ids.take(pa.array(np.repeat(asked[c], top.shape[1])))
-                yield pa.RecordBatch.from_arrays([questions, pa.array(names[top].reshape(-1).tolist()), pa.array(np.take_along_axis(sims, top, 1).reshape(-1))], ["question_id", "vec_id", "similarity"])
+                step = max(1, CELLS // len(own))
+                for some in (asked[c][at : at + step] for at in range(0, len(asked[c]), step)):
+                    sims = np.round(unit[some] @ vectors[own].T, 9)
+                    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    questions = ids.take(pa.array(np.repeat(some, top.shape[1])))
+                    yield pa.RecordBatch.from_arrays([questions, pa.array(names[top].reshape(-1).tolist()), pa.array(np.take_along_axis(sims, top, 1).reshape(-1))], ["question_id", "vec_id", "similarity"])
 
     return run
 

@@ -1,8 +1,10 @@
 import os
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -614,3 +616,27 @@ def test_a_cosine_at_the_threshold_does_not_cut():
     v = np.array([[1, 1, 1, 1, 1, 0], [0, 2, 5, 5, 5, 1], [0, 2, 5, 5, 5, 1], [0, 2, 5, 5, 5, 1]], float)
     assert len(splitting.semantic_chunks(["A. B. C. D."], 0.85, lambda _: v)[0]) == 1
     assert len(splitting.semantic_chunks(["A. B. C. D."], 0.8500001, lambda _: v)[0]) == 2
+
+
+def test_similarities_are_held_a_slice_at_a_time(monkeypatch):
+    """Vectors of a batch meet the questions in slices of CELLS, whatever the size of both; results are the same."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (6000, 8)).astype(float)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"v{i}" for i in rng.permutation(6000)]), pa.array(x.tolist()), pa.array((np.arange(6000) % 2).tolist())], ["vec_id", "embedding", "group"])
+    sent = type("Sent", (), {"value": (pa.array(np.arange(2000)), retrieval._unit(pa.array(x[:2000].tolist())))})
+
+    def found():
+        tracemalloc.start()
+        out = pa.Table.from_batches(list(retrieval._nearest(sent, 5, True)(iter([batch])))).to_pandas()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    out, peak = found()
+    assert peak < 150e6
+    monkeypatch.setattr(retrieval, "CELLS", 1 << 30)
+    pd.testing.assert_frame_equal(out, found()[0])
+    sims = np.round(sent.value[1][7] @ retrieval._unit(batch.column("embedding")).T, 9)
+    want = sorted((-s, v) for s, v, g in zip(sims, batch.column("vec_id").to_pylist(), batch.column("group").to_pylist()) if g == 1)[:5]
+    got = out[(out["question_id"] == 7) & (out["group"] == 1)]
+    assert list(zip(-got["similarity"], got["vec_id"])) == want
