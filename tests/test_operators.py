@@ -640,3 +640,20 @@ def test_similarities_are_held_a_slice_at_a_time(monkeypatch):
     want = sorted((-s, v) for s, v, g in zip(sims, batch.column("vec_id").to_pylist(), batch.column("group").to_pylist()) if g == 1)[:5]
     got = out[(out["question_id"] == 7) & (out["group"] == 1)]
     assert list(zip(-got["similarity"], got["vec_id"])) == want
+
+
+def test_mean_costs_round_the_same_in_any_order(spark):
+    """Means halfway between two figures go up, however double sums would come out."""
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for g in range(60):
+        units = rng.integers(50_000, 110_000, 32)
+        units[0] += (16 - units.sum()) % 32  # the mean is some figure and a half
+        want[f"r{g}"] = (int(units.sum()) // 32 + 1) / 1e9
+        rows += [(f"r{g}", f"q{i}", "ok", round(int(u) * 1e-9, 9)) for i, u in enumerate(units)]
+    own = spark.createDataFrame(rows, "run_id string, query_id string, status string, cost_usd double")
+    scores = {c: F.lit(None).cast("double") for c in metrics.SCORES}
+    chunk = "array<struct<chunk_type:string,filename:string,effective_from:bigint,effective_to:bigint>>"
+    own = own.withColumns({"latency_ms": F.lit(1.0), "input_tokens": F.lit(1), "output_tokens": F.lit(1), "retrieved_chunks": F.array().cast(chunk)} | scores)
+    items = spark.createDataFrame([], "id string, valid_from string, modality string, source_docs array<string>")
+    found = metrics.compute_run_metrics(own.select("run_id").distinct(), own, items).select("run_id", "avg_cost_usd").collect()
+    assert {r["run_id"]: r["avg_cost_usd"] for r in found} == want
