@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from raglens import queries
 from raglens.functions import scorers
 
 from raglens.operators import accounting, chunking, diagnosis, evalsets, lifecycle, metrics, ml, ranking, reporting, retrieval, splitting, vector_lists
@@ -657,3 +658,9 @@ def test_mean_costs_round_the_same_in_any_order(spark):
     items = spark.createDataFrame([], "id string, valid_from string, modality string, source_docs array<string>")
     found = metrics.compute_run_metrics(own.select("run_id").distinct(), own, items).select("run_id", "avg_cost_usd").collect()
     assert {r["run_id"]: r["avg_cost_usd"] for r in found} == want
+
+
+def test_chunk_texts_come_along_as_far_as_prompts_show_them(spark):
+    own = queries.results(spark, "/root/testdata/sf0.001", content=True)
+    longest = own.select(F.max(F.array_max(F.transform("retrieved_chunks", lambda c: F.length(c["content"]))))).first()[0]
+    assert longest == diagnosis.PROMPT_CHARS
