@@ -9,8 +9,10 @@ together, and shared by all configurations.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -215,23 +217,24 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, groups: DataFrame, keys:
 
     chunks (chunk_id, content, group) are seen by the keys that `groups` (keys, group) gives; asked (keys,
     question_id) says which questions each key is asked, all by default. Tokens are split at white space, case
-    kept. An idf below zero becomes FLOOR times the mean idf of the key's vocabulary. Frequencies are counted
-    for groups and then summed for keys. The chunks stay where they are: blocks of TERM_BLOCK questions and
-    KEY_BLOCK keys go to them with their terms' idf, one after the other, so that no more than a block is ever at
-    the driver; each task adds up its chunks' postings and keeps the k best for each key and question, and the
-    tasks' candidates meet for the last ranking.
+    kept. An idf below zero becomes FLOOR times the mean idf of the key's vocabulary. The chunks are read twice: one
+    pass counts frequencies by group, so that a row is shuffled for each term of a task's groups and not for each
+    word (terms meet as 64-bit hashes); then blocks of TERM_BLOCK questions and KEY_BLOCK keys go to the chunks with their terms' idf, one
+    after the other, so that no more than a block is ever at the driver; each task adds up its chunks' postings and
+    keeps the k best for each key and question, and the tasks' candidates meet for the last ranking.
     """
     spark = questions.sparkSession
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    texts, tasks = drop_null_content(chunks, lexical=True).select("chunk_id", "group", "content"), spark.sparkContext.defaultParallelism
-    if texts.rdd.getNumPartitions() < tasks:  # a table of few splits would keep most of the cores idle
-        texts = texts.repartition(tasks)
-    own = texts.select("chunk_id", "group", words(F.col("content")).alias("w"))
+    own, tasks = chunks.select("chunk_id", F.col("group").cast("long").alias("group"), "content"), spark.sparkContext.defaultParallelism  # tasks leave out chunks without content: a filter here would cut each text out of its document once more
+    if own.rdd.getNumPartitions() < tasks:  # a table of few splits would keep most of the cores idle
+        own = own.repartition(tasks)
     key = F.xxhash64(F.to_json(F.struct(*keys))).alias("_key")
-    seen = groups.select(key, "group").persist(StorageLevel.DISK_ONLY)
+    seen = groups.select(key, F.col("group").cast("long").alias("group")).localCheckpoint()
     # frequencies by group: all that is needed of the texts, however many keys there are
-    spread = own.select("group", F.explode(F.array_distinct("w")).alias("term")).groupBy("group", "term").agg(F.count("*").alias("df")).persist(StorageLevel.DISK_ONLY)
-    counts = own.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).join(seen, "group")
+    counted = own.select("group", "content").mapInArrow(_count_terms, "group long, term string, df long, words long")
+    hashed = F.when(F.col("term").isNull(), F.col("group")).otherwise(F.xxhash64("term"))
+    spread = counted.select(hashed.alias("hash"), "group", "df", "words").repartition("hash").sortWithinPartitions("hash").persist(StorageLevel.DISK_ONLY)
+    counts = spread.where("words is not null").groupBy("group").agg(F.sum("df").alias("n"), F.sum("words").alias("words")).join(seen, "group")
     size = counts.groupBy("_key").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg_length"))
     terms = questions.select("question_id", F.explode(words(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
     pairs = (groups.select(*keys).distinct().crossJoin(questions.select("question_id")) if asked is None else asked).select(key, *keys, "question_id").distinct()
@@ -242,26 +245,22 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, groups: DataFrame, keys:
     found = None
     try:
         for i in range(key_parts):
-            sizes = (size.where(F.pmod(F.xxhash64("_key"), F.lit(key_parts)) == i) if key_parts > 1 else size).collect()  # about KEY_BLOCK rows
-            mine = [r["_key"] for r in sizes]
-            scopes = seen.where(F.col("_key").isin(mine))
-            known = F.broadcast(spark.createDataFrame([(r["_key"], r["n"]) for r in sizes], "_key long, n long"))  # KEY_BLOCK rows
-            idf = spread.join(scopes, "group").groupBy("_key", "term").agg(F.sum("df").alias("df")).join(known, "_key")
-            idf = idf.select("_key", "term", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+            sizes = {r["_key"]: (r["n"], r["avg_length"]) for r in (size.where(F.pmod(F.xxhash64("_key"), F.lit(key_parts)) == i) if key_parts > 1 else size).collect()}  # about KEY_BLOCK rows
+            scopes = seen.where(F.col("_key").isin(list(sizes)))
+            scope = scopes.toArrow()
+            sums = spread.where("words is null").select("hash", "group", "df").mapInArrow(_sum_idf(spark.sparkContext.broadcast((sizes, scope))), "_key long, total double, n long")
+            means = dict(sums.groupBy("_key").agg(F.sum("total") / F.sum("n")).collect())  # as many rows as sizes
             for j in range(parts):
-                own_pairs = pairs.where((part == j) & F.col("_key").isin(mine)).select("_key", "question_id").toArrow()
+                own_pairs = pairs.where((part == j) & F.col("_key").isin(list(sizes))).select("_key", "question_id").toArrow()
                 if own_pairs.num_rows == 0:
                     continue
                 own_terms = terms.where(part == j)
-                wanted = own_terms.select("term").distinct().withColumn("_wanted", F.lit(True))
-                # one pass over each key's vocabulary: its mean, and what the questions ask of it
-                held = idf.join(wanted, "term", "left").groupBy("_key").agg(F.avg("idf").alias("mean"), F.collect_list(F.when(F.col("_wanted"), F.struct("term", "idf"))).alias("terms"))
-                weights = held.select("_key", "mean", F.explode("terms").alias("t")).select("_key", "t.term", F.when(F.col("t.idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("t.idf")).alias("idf"))
-                block = TermBlock.of(own_terms.toArrow(), own_pairs, scopes.toArrow(), {r["_key"]: r["avg_length"] for r in sizes}, weights.toArrow())
+                wanted = spread.where("words is null").join(F.broadcast(own_terms.select("term").distinct().withColumn("hash", F.xxhash64("term"))), "hash")  # the terms of a block of questions
+                df = wanted.groupBy("group", "term").agg(F.sum("df").alias("df")).join(scopes, "group").groupBy("_key", "term").agg(F.sum("df").alias("df"))
+                block = TermBlock.of(own_terms.toArrow(), own_pairs, scope, sizes, means, df.toArrow())
                 best = own.mapInArrow(_best_terms(spark.sparkContext.broadcast(block), k), kinds)
                 found = best if found is None else found.union(best)
     finally:
-        seen.unpersist()
         spread.unpersist()
     if found is None:
         found = spark.createDataFrame([], kinds)
@@ -273,9 +272,90 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, groups: DataFrame, keys:
 #: Questions, and keys, whose terms go to every task at a time.
 TERM_BLOCK, KEY_BLOCK = 512, 128
 #: Chunks whose scores a task holds at a time.
-CHUNK_BLOCK = 1024
+CHUNK_BLOCK = 4096
 #: A term in more than this share of the questions is multiplied densely, others follow their postings.
 COMMON = 1 / 16
+#: Terms that a task counts before it hands their counts on.
+HELD_TERMS = 1 << 19
+
+
+def _with_content(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(pc.greater(pc.binary_length(batch.column("content")), 0))  # nulls go too
+
+
+def _tokens(content: pa.Array) -> list[list[bytes]]:
+    """Each text's tokens; bytes are split at the same six characters as \\s in Spark."""
+    return [text.split() for text in content.cast(pa.binary()).to_pylist()]
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many chunks of a group a term is; a row without a term has the group's chunks and words."""
+    held: dict[int, Counter] = {}
+    sizes: dict[int, list[int]] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for g, counter in held.items():
+            names, (n, total) = pa.array([*counter, None], pa.binary()).cast(pa.string()), sizes[g]
+            made = [pa.array(np.full(len(names), g)), names, pa.array([*counter.values(), n], pa.int64()), pa.array([None] * len(counter) + [total], pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, ["group", "term", "df", "words"])
+        held.clear()
+        sizes.clear()
+
+    for batch in batches:
+        batch = _with_content(batch)
+        for g, words in zip(batch.column("group").to_pylist(), _tokens(batch.column("content")), strict=True):
+            if g not in held:
+                held[g], sizes[g] = Counter(), [0, 0]
+            held[g].update(set(words))
+            sizes[g][0] += 1
+            sizes[g][1] += len(words)
+        if sum(map(len, held.values())) > HELD_TERMS:
+            yield from rows()
+    yield from rows()
+
+
+def _sum_idf(sent):
+    """Over counts in the order of their terms' hashes: each key's sum of the idf of its vocabulary, and how many terms that has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, scope = sent.value
+        names, groups = list(sizes), pc.unique(scope.column("group").combine_chunks())
+        sees = np.zeros((len(names), len(groups) + 1), bool)  # the last for groups that no key here sees
+        sees[_place(scope, "_key", pa.array(names, pa.int64())), _place(scope, "group", groups)] = True
+        totals, terms, rest = np.zeros(len(names)), np.zeros(len(names), np.int64), None
+
+        def add(rows: pa.Table, first: np.ndarray) -> None:
+            term, group, df = np.cumsum(first) - 1, _place(rows, "group", groups), rows.column("df").to_numpy()
+            for i, name in enumerate(names):
+                own = sees[i, group]
+                d = np.bincount(term[own], df[own])
+                d = d[d > 0]
+                totals[i] += _idf(sizes[name][0], d).sum()
+                terms[i] += len(d)
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rows.num_rows == 0:
+                continue
+            first = np.diff(rows.column("hash").to_numpy(), prepend=0) != 0
+            first[0] = True
+            last = int(np.flatnonzero(first)[-1])  # the last term may go on in the next batch
+            add(rows.slice(0, last), first[:last])
+            rest = rows.slice(last)
+        if rest is not None:
+            add(rest, np.arange(rest.num_rows) == 0)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(totals), pa.array(terms)], ["_key", "total", "n"])
+
+    return run
+
+
+def _idf(n, df: np.ndarray) -> np.ndarray:
+    return np.log(n - df + 0.5) - np.log(df + 0.5)
+
+
+def _place(table: pa.Table, name: str, values: pa.Array) -> np.ndarray:
+    """Where each row's value is among values, or -1."""
+    return pc.index_in(table.column(name).combine_chunks(), value_set=values).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
 @dataclass
@@ -297,10 +377,9 @@ class TermBlock:
     seen_by: dict
 
     @classmethod
-    def of(cls, terms: pa.Table, pairs: pa.Table, scopes: pa.Table, lengths: dict[int, float], idf: pa.Table) -> TermBlock:
+    def of(cls, terms: pa.Table, pairs: pa.Table, scopes: pa.Table, sizes: dict[int, tuple[int, float]], means: dict[int, float], df: pa.Table) -> TermBlock:
         ids, vocabulary = pc.unique(pairs.column("question_id").combine_chunks()), pc.unique(terms.column("term").combine_chunks())
-        where = lambda table, name, values: pc.index_in(table.column(name).combine_chunks(), value_set=values).fill_null(-1).to_numpy(zero_copy_only=False)
-        term, question, n = where(terms, "term", vocabulary), where(terms, "question_id", ids), terms.column("times").to_numpy()
+        term, question, n = _place(terms, "term", vocabulary), _place(terms, "question_id", ids), terms.column("times").to_numpy()
         term, question, n = term[question >= 0], question[question >= 0], n[question >= 0]
         order = np.lexsort((question, term))
         term, question, n = term[order], question[order], n[order]
@@ -310,50 +389,57 @@ class TermBlock:
         dense[common] = np.arange(len(common))
         times, held = np.zeros((len(common), len(ids))), dense[term] >= 0
         times[dense[term[held]], question[held]] = n[held]
-        names = list(lengths)
+        names = list(sizes)
         known = pa.array(names, pa.int64())
-        weight = np.zeros((len(names), len(vocabulary)))
-        weight[where(idf, "_key", known), where(idf, "term", vocabulary)] = idf.column("idf").to_numpy()
-        own, asked_for = where(pairs, "_key", known), where(pairs, "question_id", ids)
+        weight, of = np.zeros((len(names), len(vocabulary))), _place(df, "_key", known)
+        value = _idf(np.array([sizes[x][0] for x in names])[of], df.column("df").to_numpy())
+        weight[of, _place(df, "term", vocabulary)] = np.where(value < 0, FLOOR * np.array([means.get(x) or 0.0 for x in names])[of], value)
+        own, asked_for = _place(pairs, "_key", known), _place(pairs, "question_id", ids)
         asked = [np.unique(asked_for[own == i]) for i in range(len(names))]
         seen_by: dict = {}
-        for i, g in zip(where(scopes, "_key", known).tolist(), scopes.column("group").to_pylist(), strict=True):
+        for i, g in zip(_place(scopes, "_key", known).tolist(), scopes.column("group").to_pylist(), strict=True):
             if i >= 0 and len(asked[i]):
                 seen_by.setdefault(g, []).append(i)
-        return cls(ids, vocabulary, dense, times, starts, question, n.astype(float), names, weight, list(lengths.values()), asked, seen_by)
+        return cls(ids, vocabulary, dense, times, starts, question, n.astype(float), names, weight, [sizes[x][1] for x in names], asked, seen_by)
+
+    def postings(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the terms that are not common, the asked questions: where each term's begin, their places in asked, how often."""
+        place = np.full(len(self.ids), -1)
+        place[asked] = np.arange(len(asked))
+        term, column = np.repeat(np.arange(len(self.dense)), np.diff(self.starts)), place[self.questions]
+        held = (column >= 0) & (self.dense[term] < 0)
+        return np.searchsorted(term[held], np.arange(len(self.dense) + 1)), column[held], self.counts[held]
 
-    def scores(self, key: int, row: np.ndarray, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """chunks x asked questions; the chunks' terms as entries: row, term, how often."""
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / self.length[key])) * self.idf[key, term]
+    def scores(self, key: int, postings: tuple, row: np.ndarray, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """asked questions x chunks, not rounded; the chunks' terms as entries: row, term, how often."""
+        weight = tf * (K1 + 1) / (tf + (K1 * (1 - B + B / self.length[key] * size))[row]) * self.idf[key, term]
         at, asked = self.dense[term], self.asked[key]
         common = at >= 0
-        own = np.zeros((len(size), len(self.times)))
-        own[row[common], at[common]] = weight[common]
-        out = own @ self.times[:, asked]
-        row, term, weight = row[~common], term[~common], weight[~common]
-        n = self.starts[term + 1] - self.starts[term]
+        own = np.zeros((len(self.times), len(size)))
+        own[at[common], row[common]] = weight[common]
+        out = self.times[:, asked].T @ own
+        starts, columns, counts = postings
+        n = starts[term + 1] - starts[term]
+        row, term, weight, n = row[n > 0], term[n > 0], weight[n > 0], n[n > 0]
         ends = np.cumsum(n)
-        entry = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - self.starts[term], n)
-        place = np.full(len(self.ids), -1)
-        place[asked] = np.arange(len(asked))
-        column = place[self.questions[entry]]
-        hit = column >= 0
-        out += np.bincount((np.repeat(row, n) * len(asked) + column)[hit], (np.repeat(weight, n) * self.counts[entry])[hit], out.size).reshape(out.shape)
-        return np.round(out, 6)
+        entry = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - starts[term], n)
+        out += np.bincount(columns[entry] * len(size) + np.repeat(row, n), np.repeat(weight, n) * counts[entry], out.size).reshape(out.shape)
+        return out
 
 
 def _best_terms(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = sent.value, {}
-        for whole in batches:
+        number = {term.encode(): i for i, term in enumerate(block.vocabulary.to_pylist())}
+        known, postings = pa.array(list(block.seen_by), pa.int64()), {}
+        for whole in map(_with_content, batches):
             for start in range(0, whole.num_rows, CHUNK_BLOCK):
                 batch = whole.slice(start, CHUNK_BLOCK)
-                groups = batch.column("group").to_pylist()
-                batch = batch.filter(pa.array([g in block.seen_by for g in groups]))
+                batch = batch.filter(pc.is_in(batch.column("group"), value_set=known))
                 if batch.num_rows == 0:
                     continue
                 batch = batch.take(pc.sort_indices(batch.column("chunk_id")))  # of equal scores the smaller id wins
-                _score_chunks(block, held, batch, k)
+                _score_chunks(block, number, postings, held, batch, k)
         for key, (value, which) in held.items():
             made = value.reshape(-1) > -np.inf
             ids = block.ids.take(pa.array(np.repeat(block.asked[key], value.shape[1])[made]))
@@ -362,33 +448,38 @@ def _best_terms(sent, k: int):
     return run
 
 
-def _score_chunks(block: TermBlock, held: dict, batch: pa.RecordBatch, k: int) -> None:
+def _score_chunks(block: TermBlock, number: dict, postings: dict, held: dict, batch: pa.RecordBatch, k: int) -> None:
     """Scores chunks, in order of their ids, for the keys that see them, and keeps the k best of each question."""
-    lists, names, groups = batch.column("w"), np.array(batch.column("chunk_id").to_pylist(), object), np.array(batch.column("group").to_pylist())
-    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    at = pc.index_in(lists.flatten(), value_set=block.vocabulary)
-    hit = at.is_valid().to_numpy(zero_copy_only=False)
-    entry, tf = np.unique(np.repeat(np.arange(len(size)), size)[hit] * len(block.vocabulary) + at.drop_null().to_numpy(), return_counts=True)
-    row, term = np.divmod(entry, max(len(block.vocabulary), 1))
-    for key in sorted({x for g in np.unique(groups).tolist() for x in block.seen_by[g]}):
-        seen = np.array([key in block.seen_by[g] for g in groups.tolist()])
-        of, own = np.cumsum(seen) - 1, seen[row]
-        scores = block.scores(key, of[row[own]], term[own], tf[own], size[seen])
+    lists, names = _tokens(batch.column("content")), batch.column("chunk_id").to_pylist()
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    at = np.fromiter(map(number.get, chain.from_iterable(lists), repeat(-1)), np.int64, int(size.sum()))
+    entry, tf = np.unique((np.repeat(np.arange(len(size)), size) * len(number) + at)[at >= 0], return_counts=True)
+    row, term = np.divmod(entry, max(len(number), 1))
+    groups, group = np.unique(batch.column("group").to_numpy(), return_inverse=True)
+    for key in sorted({x for g in groups.tolist() for x in block.seen_by[g]}):
+        seen = np.array([key in block.seen_by[g] for g in groups.tolist()])[group]
+        of, own, mine = np.cumsum(seen) - 1, seen[row], np.flatnonzero(seen)
+        if (same := block.asked[key].tobytes()) not in postings:
+            postings[same] = block.postings(block.asked[key])
+        scores = block.scores(key, postings[same], of[row[own]], term[own], tf[own], size[mine])
         if key not in held:
-            held[key] = np.full((scores.shape[1], k), -np.inf), np.full((scores.shape[1], k), None, object)
+            held[key] = np.full((len(scores), k), -np.inf), np.full((len(scores), k), None, object)
         value, which = held[key]
-        # questions whose k-th score no chunk here reaches are done with
-        open_ = np.flatnonzero(scores.max(0) >= value[:, -1])
-        if len(open_) == 0:
+        for q, rows in _open_rows(scores, value[:, -1], which[:, -1], lambda i, mine=mine: names[mine[i]], k):
+            pool = sorted([*((-x, n) for x, n in zip(value[q].tolist(), which[q].tolist(), strict=True) if n is not None), *zip((-np.round(scores[q, rows], 6)).tolist(), (names[i] for i in mine[rows].tolist()), strict=True)])[:k]
+            value[q, : len(pool)] = [-x for x, _ in pool]
+            which[q, : len(pool)] = [n for _, n in pool]
+
+
+def _open_rows(scores: np.ndarray, bar: np.ndarray, last: np.ndarray, name: Callable, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The questions whose k-th place (its score and id) a chunk here can take, each with its k best chunks; ids ascend."""
+    best = np.round(scores.max(1), 6)
+    for q in np.flatnonzero(best >= bar).tolist():
+        if best[q] == bar[q] and not name(0) < last[q]:  # a tie goes to the smaller id
             continue
-        top = np.argsort(-scores[:, open_].T, axis=1, kind="stable")[:, :k]
-        new = np.take_along_axis(scores[:, open_].T, top, 1)
-        ids = names[seen][top]
-        pool, pool_ids = np.concatenate((value[open_], new), 1), np.concatenate((which[open_], ids), 1)
-        for q, (v, w) in enumerate(zip(pool.tolist(), pool_ids.tolist(), strict=True)):
-            best = sorted(((-x, n) for x, n in zip(v, w, strict=True) if n is not None))[:k]
-            value[open_[q], : len(best)] = [-x for x, _ in best]
-            which[open_[q], : len(best)] = [n for _, n in best]
+        own = scores[q]
+        rows = np.flatnonzero(own >= max(bar[q] - 1e-6, np.partition(own, -k)[-k] - 1e-6 if len(own) > k else -np.inf))
+        yield q, rows[np.argsort(-np.round(own[rows], 6), kind="stable")[:k]]
 
 
 def rrf_fuse(vector: DataFrame, lexical: DataFrame, keys: list[str], content: str, limit: int, weights=RRF_WEIGHTS, c: int = RRF_C, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -173,6 +173,33 @@ def test_bm25_keeps_chunks_without_hits(spark):
     assert [r["chunk_id"] for r in got] == ["b", "a"] and got[0]["score"] > 0 and got[1]["score"] == 0
 
 
+def test_bm25_counts_by_group(spark, monkeypatch):
+    """A task hands on one row a group and term, not one a word; a tie opens a question for smaller ids only."""
+    batch = pa.RecordBatch.from_pydict({"group": pa.array([1, 1, 2, 1, 1], pa.int64()), "content": ["x x\x0by", "x\u2003z", " ", "", None]})
+    got = sorted((r["group"], r["term"] or "", r["df"], r["words"]) for out in retrieval._count_terms(iter([batch])) for r in out.to_pylist())
+    assert got == [(1, "", 2, 4), (1, "x", 1, None), (1, "x\u2003z", 1, None), (1, "y", 1, None), (2, "", 1, 0)]
+    scores, bar = np.array([[1.0, 2.0, 2.0], [1.0, 2.0, 2.0], [3.0, 2.0, 2.0], [0.0, 1.0, 0.0]]), np.array([2.0, 2.0, 2.0, -np.inf])
+    found = {q: rows.tolist() for q, rows in retrieval._open_rows(scores, bar, np.array(["a", "c", "a", None], object), lambda i: "b", 2)}
+    assert found == {1: [1, 2], 2: [0, 1], 3: [1, 0]}
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 3)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefghij"), rng.integers(1, 9))) for _ in range(20)] * 3
+    chunks = spark.createDataFrame([(i % 4, f"c{i:02d}", t) for i, t in enumerate(texts)] + [(9, "z", None), (0, "zz", "")], "group int, chunk_id string, content string")
+    groups = spark.createDataFrame([("p", 0), ("p", 1), ("p", 2), ("q", 1), ("q", 3)], "key string, group int")
+    asks = {"s": "a b", "t": "c c j", "u": "nowhere"}
+    found = retrieval.bm25_top_k(spark.createDataFrame(list(asks.items()), "question_id string, question string"), chunks, groups, ["key"], 4)
+    for key, own in (("p", (0, 1, 2)), ("q", (1, 3))):
+        seen = [(f"c{i:02d}", t.split()) for i, t in enumerate(texts) if i % 4 in own]
+        df = {w: sum(w in x for _, x in seen) for w in "abcdefghij"}
+        idf = {w: np.log(len(seen) - n + 0.5) - np.log(n + 0.5) for w, n in df.items() if n}
+        low, mean = np.mean(list(idf.values())), np.mean([len(x) for _, x in seen])
+        weight = lambda w, x: (idf[w] if idf[w] >= 0 else 0.25 * low) * x.count(w) * 2.5 / (x.count(w) + 1.5 * (0.25 + 0.75 * len(x) / mean)) if w in idf else 0.0  # noqa: B023, E731
+        for q, ask in asks.items():
+            want = sorted((-round(sum(weight(w, x) for w in ask.split()), 6), name) for name, x in seen)[:4]
+            got = [(-r["score"], r["chunk_id"]) for r in found.where((F.col("key") == key) & (F.col("question_id") == q)).orderBy("rank").collect()]
+            assert [n for _, n in got] == [n for _, n in want] and np.allclose([v for v, _ in got], [v for v, _ in want], atol=2e-6)
+
+
 def test_html_and_types(spark):
     row = spark.range(1).select(ingest.html_to_text(F.lit("<p>a&amp;b</p><script>x()</script><b>c</b>")).alias("t"), ingest.detect_file_type(F.lit("A.Doc")).alias("k")).first()
     assert (row["t"], row["k"]) == ("a&b c", "docx")
