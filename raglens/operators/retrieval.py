@@ -192,26 +192,25 @@ def _nearest(sent, k: int, grouped: bool):
         held: dict = {}
         step = max(1, CELLS // max(1, len(ids)))
         for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
-            sims = np.round(q @ _unit(batch.column("embedding")).T, 9)
-            names = np.array(batch.column("vec_id").to_pylist())
-            by_name = np.argsort(names, kind="stable")  # of equal similarities the smaller id wins
-            groups = np.array(batch.column("group").to_pylist()) if grouped else np.zeros(len(names), np.int64)
+            batch = batch.take(pc.sort_indices(batch.column("vec_id")))  # of equal similarities the smaller id wins
+            sims, names = q @ _unit(batch.column("embedding")).T, batch.column("vec_id").to_pylist()
+            sims[np.isnan(sims)] = NOWHERE
+            groups = batch.column("group").to_numpy(zero_copy_only=False) if grouped else np.zeros(len(names), np.int64)
             for g in np.unique(groups).tolist():
-                own = by_name[groups[by_name] == g]
-                top = np.argsort(-sims[:, own], axis=1, kind="stable")[:, :k]
-                value, which = np.take_along_axis(sims[:, own], top, 1), names[own][top]
-                if g in held:
-                    value, which = np.concatenate((held[g][0], value), axis=1), np.concatenate((held[g][1], which), axis=1)
-                    order = np.lexsort((which, -value), axis=1)[:, :k]
-                    value, which = np.take_along_axis(value, order, 1), np.take_along_axis(which, order, 1)
-                held[g] = value, which
+                _keep_best(held, g, sims[:, groups == g] if grouped else sims, np.flatnonzero(groups == g), names, k, 9)
         for g, (value, which) in held.items():
-            made = {"question_id": ids.take(pa.array(np.repeat(np.arange(len(ids)), value.shape[1]))), "vec_id": pa.array(which.reshape(-1).tolist()), **({"group": pa.array([g] * which.size)} if grouped else {}), "similarity": pa.array(value.reshape(-1))}
-            yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
+            made = value.reshape(-1) > -np.inf
+            value = np.where(value == NOWHERE, np.nan, value).reshape(-1)[made]
+            own = {"question_id": ids.take(pa.array(np.repeat(np.arange(len(ids)), k)[made])), "vec_id": pa.array(which.reshape(-1)[made].tolist()), **({"group": pa.array([g] * len(value))} if grouped else {}), "similarity": pa.array(value)}
+            yield pa.RecordBatch.from_arrays(list(own.values()), list(own))
 
     return run
 
 
+#: Below any similarity: stands for one that is not a number.
+NOWHERE = -2.0
+
+
 def bm25_top_k(questions: DataFrame, chunks: DataFrame, groups: DataFrame, keys: list[str], k: int, asked: DataFrame | None = None) -> DataFrame:
     """keys, question_id, chunk_id, score, rank: Okapi BM25 over each key's own chunks; k chunks even at score 0.
 
@@ -462,24 +461,31 @@ def _score_chunks(block: TermBlock, number: dict, postings: dict, held: dict, ba
         if (same := block.asked[key].tobytes()) not in postings:
             postings[same] = block.postings(block.asked[key])
         scores = block.scores(key, postings[same], of[row[own]], term[own], tf[own], size[mine])
-        if key not in held:
-            held[key] = np.full((len(scores), k), -np.inf), np.full((len(scores), k), None, object)
-        value, which = held[key]
-        for q, rows in _open_rows(scores, value[:, -1], which[:, -1], lambda i, mine=mine: names[mine[i]], k):
-            pool = sorted([*((-x, n) for x, n in zip(value[q].tolist(), which[q].tolist(), strict=True) if n is not None), *zip((-np.round(scores[q, rows], 6)).tolist(), (names[i] for i in mine[rows].tolist()), strict=True)])[:k]
-            value[q, : len(pool)] = [-x for x, _ in pool]
-            which[q, : len(pool)] = [n for _, n in pool]
-
-
-def _open_rows(scores: np.ndarray, bar: np.ndarray, last: np.ndarray, name: Callable, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The questions whose k-th place (its score and id) a chunk here can take, each with its k best chunks; ids ascend."""
-    best = np.round(scores.max(1), 6)
+        _keep_best(held, key, scores, mine, names, k, 6)
+
+
+def _keep_best(held: dict, key, scores: np.ndarray, mine: np.ndarray, names: list, k: int, digits: int) -> None:
+    """Puts each question's k best of these chunks, names[mine] in ascending order, among what held has of the key."""
+    if key not in held:
+        held[key] = np.full((len(scores), k), -np.inf), np.full((len(scores), k), None, object)
+    value, which = held[key]
+    for q, rows in _open_rows(scores, value[:, -1], which[:, -1], names[mine[0]], k, digits):
+        old = [(-x, n) for x, n in zip(value[q].tolist(), which[q].tolist(), strict=True) if n is not None]
+        new = zip((-np.round(scores[q, rows], digits)).tolist(), (names[i] for i in mine[rows].tolist()), strict=True)
+        pool = sorted([*old, *new])[:k]
+        value[q, : len(pool)] = [-x for x, _ in pool]
+        which[q, : len(pool)] = [n for _, n in pool]
+
+
+def _open_rows(scores: np.ndarray, bar: np.ndarray, last: np.ndarray, first: str | int, k: int, digits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The questions whose k-th place (its score and id) a chunk here can take, each with its k best chunks; ids ascend from first."""
+    best, margin = np.round(scores.max(1), digits), 10.0**-digits
     for q in np.flatnonzero(best >= bar).tolist():
-        if best[q] == bar[q] and not name(0) < last[q]:  # a tie goes to the smaller id
+        if best[q] == bar[q] and not first < last[q]:  # a tie goes to the smaller id
             continue
         own = scores[q]
-        rows = np.flatnonzero(own >= max(bar[q] - 1e-6, np.partition(own, -k)[-k] - 1e-6 if len(own) > k else -np.inf))
-        yield q, rows[np.argsort(-np.round(own[rows], 6), kind="stable")[:k]]
+        rows = np.flatnonzero(own >= max(bar[q], np.partition(own, -k)[-k] if len(own) > k else -np.inf) - margin)
+        yield q, rows[np.argsort(-np.round(own[rows], digits), kind="stable")[:k]]
 
 
 def rrf_fuse(vector: DataFrame, lexical: DataFrame, keys: list[str], content: str, limit: int, weights=RRF_WEIGHTS, c: int = RRF_C, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -515,6 +521,8 @@ def assemble_context(candidates: DataFrame, keys: list[str], k: int) -> DataFram
     return out.withColumn("context", F.array_join(F.transform(F.slice("chunks", 1, k), lambda c: c["content"]), "\n\n---\n\n"))
 
 
+#: So many ids of chunks go to every task.
+FEW = 1 << 18
 STRATEGIES = ("vector_only", "bm25", "hybrid", "hybrid_reranker")
 
 
@@ -528,7 +536,8 @@ def retrieve(runs: DataFrame, items: DataFrame, chunks: DataFrame, k: int = 5, e
     """
     keys = ["parsing_strategy", "chunking_strategy", "freshness_policy", "at"]
     by = [*keys, "question_id"]
-    own = with_group(drop_null_content(chunks))
+    own = with_group(chunks)
+    cut = drop_null_content(own.select("chunk_id", "group", F.explode(F.array("content")).alias("content")))  # a text is made once a row, not once for each use in filters and embeddings
     strategy = F.when(F.col("retrieval_strategy").isin(*STRATEGIES), F.col("retrieval_strategy")).otherwise("vector_only")
     settings = runs.select(*keys[:3], strategy.alias("strategy")).distinct()
     dated = items.select(F.col("id").alias("question_id"), to_epoch("valid_from").alias("date"))
@@ -538,16 +547,19 @@ def retrieve(runs: DataFrame, items: DataFrame, chunks: DataFrame, k: int = 5, e
         some = settings.where(F.col("strategy").isin(*names)).select(*keys[:3]).distinct()  # at most 64 settings
         return dated.crossJoin(F.broadcast(some)).select(*keys[:3], F.coalesce(key_date("freshness_policy", "date"), F.lit(-1)).alias("at"), "question_id")
 
-    groups = eligible_groups(corpus_keys(runs, items), chunks).withColumn("at", F.coalesce("at", F.lit(-1)))
+    groups = eligible_groups(corpus_keys(runs, items), chunks).withColumn("at", F.coalesce("at", F.lit(-1))).localCheckpoint()
     questions = items.select(F.col("id").alias("question_id"), "question")
 
-    lexical = bm25_top_k(questions, own.select("chunk_id", "content", "group"), groups, keys, k, asked("bm25", "hybrid", "hybrid_reranker"))
-    vectors = vector_top_k(questions.withColumn("embedding", embedding("question")), own.select(F.col("chunk_id").alias("vec_id"), embedding("content").alias("embedding"), "group"), k, "group")
+    lexical = bm25_top_k(questions, own.select("chunk_id", "content", "group"), groups, keys, k, asked("bm25", "hybrid", "hybrid_reranker")).localCheckpoint()
+    vectors = vector_top_k(questions.withColumn("embedding", embedding("question")), cut.select(F.col("chunk_id").alias("vec_id"), embedding("content").alias("embedding"), "group"), k, "group")
     near = vectors.drop("rank").join(groups, "group").join(asked("vector_only", "hybrid", "hybrid_reranker"), by, "left_semi")
     best = Window.partitionBy(*by).orderBy(F.col("similarity").desc(), "vec_id")
-    vector = near.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select(*by, F.col("vec_id").alias("chunk_id"), "rank")
+    vector = near.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select(*by, F.col("vec_id").alias("chunk_id"), "rank").localCheckpoint()
 
-    texts = own.select("chunk_id", "content", "effective_from")
+    # rankings are computed once and hold ids; only the texts they name are shuffled
+    ranked = vector.select("chunk_id").union(lexical.select("chunk_id")).distinct().localCheckpoint()
+    few = F.broadcast(ranked) if ranked.count() <= FEW else ranked
+    texts = own.select("chunk_id", "content", "effective_from").join(few, "chunk_id", "left_semi").localCheckpoint()
     named = lambda df: df.select(*by, "chunk_id", "rank").join(texts, "chunk_id")
     vector, lexical = named(vector), named(lexical)
     both = lambda df: df.join(asked("hybrid", "hybrid_reranker"), by, "left_semi")

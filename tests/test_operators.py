@@ -179,7 +179,7 @@ def test_bm25_counts_by_group(spark, monkeypatch):
     got = sorted((r["group"], r["term"] or "", r["df"], r["words"]) for out in retrieval._count_terms(iter([batch])) for r in out.to_pylist())
     assert got == [(1, "", 2, 4), (1, "x", 1, None), (1, "x\u2003z", 1, None), (1, "y", 1, None), (2, "", 1, 0)]
     scores, bar = np.array([[1.0, 2.0, 2.0], [1.0, 2.0, 2.0], [3.0, 2.0, 2.0], [0.0, 1.0, 0.0]]), np.array([2.0, 2.0, 2.0, -np.inf])
-    found = {q: rows.tolist() for q, rows in retrieval._open_rows(scores, bar, np.array(["a", "c", "a", None], object), lambda i: "b", 2)}
+    found = {q: rows.tolist() for q, rows in retrieval._open_rows(scores, bar, np.array(["a", "c", "a", None], object), "b", 2, 6)}
     assert found == {1: [1, 2], 2: [0, 1], 3: [1, 0]}
     monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 3)
     rng = np.random.default_rng(3)
@@ -200,6 +200,24 @@ def test_bm25_counts_by_group(spark, monkeypatch):
             assert [n for _, n in got] == [n for _, n in want] and np.allclose([v for v, _ in got], [v for v, _ in want], atol=2e-6)
 
 
+def test_rankings_are_computed_once(spark):
+    """What is asked for reads rankings, not chunks; copies and chunks without content leave the order as it is."""
+    chunks = spark.createDataFrame([(f"c{i}", "text", "recursive", 0, None, f"word{i % 3} word") for i in range(9)] + [("n", "text", "recursive", 0, None, None), ("o", "text", "recursive", 0, None, "")], "chunk_id string, chunk_type string, chunk_strategy string, effective_from long, effective_to long, content string")
+    items = spark.createDataFrame([("q", "word1 ab", None), ("r", "word2", "2020-01-01")], "id string, question string, valid_from string")
+    runs = spark.createDataFrame([(s, s, "text_only", "recursive", f) for s in retrieval.STRATEGIES for f in ("none", "recency_biased")], "run_id string, retrieval_strategy string, parsing_strategy string, chunking_strategy string, freshness_policy string")
+    found = retrieval.retrieve(runs, items, chunks, 3, queries.letters)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault((r["run_id"], r["query_id"]), {})[r["rank"]] = r["chunk_id"]
+    assert [got["bm25", "q"][k] for k in (1, 2, 3)] == ["c1", "c4", "c7"] and [got["bm25", "r"][k] for k in (1, 2, 3)] == ["c2", "c5", "c8"]
+    assert [got["vector_only", "q"][k] for k in (1, 2, 3)] == ["c0", "c1", "c2"]  # digits are no letters: all alike
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)] + [(99, [float("nan"), 1.0])], "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [2.0, 2.0]), (2, [3.0, 0.0])], "question_id long, embedding array<double>")
+    top = retrieval.vector_top_k(asked, vectors, 3).orderBy("question_id", "rank").collect()
+    assert [(r["question_id"], r["vec_id"], r["similarity"]) for r in top] == [(1, 1, 1.0), (1, 3, 1.0), (1, 5, 1.0), (2, 0, 1.0), (2, 2, 1.0), (2, 4, 1.0)]
+
+
 def test_html_and_types(spark):
     row = spark.range(1).select(ingest.html_to_text(F.lit("<p>a&amp;b</p><script>x()</script><b>c</b>")).alias("t"), ingest.detect_file_type(F.lit("A.Doc")).alias("k")).first()
     assert (row["t"], row["k"]) == ("a&b c", "docx")
