@@ -200,6 +200,16 @@ def test_bm25_counts_by_group(spark, monkeypatch):
             assert [n for _, n in got] == [n for _, n in want] and np.allclose([v for v, _ in got], [v for v, _ in want], atol=2e-6)
 
 
+def test_letters_are_counted_in_batches(spark):
+    texts = spark.createDataFrame([("Aaz\u00c9\u212a\u0130!",), ("",), (None,)], "t string")
+    low = F.lower("t")
+    plain = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    made = texts.select(queries.letters(F.col("t")).alias("own"), plain.alias("plain"))
+    assert all(r["own"] == r["plain"] for r in made.collect())
+    plan = texts.select(queries.letters(F.col("t")).alias("own"))._jdf.queryExecution().executedPlan().toString()
+    assert "replace(" not in plan
+
+
 def test_rankings_are_computed_once(spark):
     """What is asked for reads rankings, not chunks; copies and chunks without content leave the order as it is."""
     chunks = spark.createDataFrame([(f"c{i}", "text", "recursive", 0, None, f"word{i % 3} word") for i in range(9)] + [("n", "text", "recursive", 0, None, None), ("o", "text", "recursive", 0, None, "")], "chunk_id string, chunk_type string, chunk_strategy string, effective_from long, effective_to long, content string")
