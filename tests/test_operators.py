@@ -228,6 +228,23 @@ def test_rankings_are_computed_once(spark):
     assert [(r["question_id"], r["vec_id"], r["similarity"]) for r in top] == [(1, 1, 1.0), (1, 3, 1.0), (1, 5, 1.0), (2, 0, 1.0), (2, 2, 1.0), (2, 4, 1.0)]
 
 
+def test_comparison_computes_metrics_once(spark):
+    """Each run's metrics are made once for the baseline, the best other run and the deltas."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        asked.add(1)
+        return v
+
+    kind = "run_id string, retrieval_strategy string, chunking_strategy string, parsing_strategy string, freshness_policy string"
+    runs = spark.createDataFrame([(f"r{i}", "vector_only" if i % 2 else "hybrid", "recursive", "text_only", "none") for i in range(6)], kind)
+    made = spark.createDataFrame([(f"r{i}", *[0.1 * i + 0.01 * j for j in range(len(ranking.SORTABLE))]) for i in range(6)], "run_id string, " + ", ".join(f"{m} double" for m in ranking.SORTABLE))
+    counted = made.withColumn("faithfulness", F.udf(seen, "double")("faithfulness"))
+    got = ranking.baseline_comparison(runs, counted).collect()
+    assert [(r["baseline_id"], r["run_id"], r["error"], r["improvements"], r["regressions"]) for r in got] == [("r1", "r5", None, 7, 2)]
+    assert asked.value == 6
+
+
 def test_html_and_types(spark):
     row = spark.range(1).select(ingest.html_to_text(F.lit("<p>a&amp;b</p><script>x()</script><b>c</b>")).alias("t"), ingest.detect_file_type(F.lit("A.Doc")).alias("k")).first()
     assert (row["t"], row["k"]) == ("a&b c", "docx")
