@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -10,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from raglens.functions.forests import Forest
+
 LEAST_ROWS, TREES, DEPTH, HELD_OUT, STRATIFIED = 10, 200, 4, 0.2, 20
 
 
@@ -121,16 +125,21 @@ PERMUTED = 1000
 TASKS_A_CORE = 4
 
 
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """rows with _hash and _block: blocks of about `block` rows by a hash, in whose order a block's rows stand."""
+    blocks = max(1, -(-rows.count() // block))
+    hashed = F.xxhash64("run_id", "query_id", F.lit("permuted"))
+    return rows.withColumns({"_hash": hashed, "_block": F.pmod(hashed, F.lit(blocks))})
+
+
 def permuted(rows: DataFrame, names: list[str], repeats: int, block: int = PERMUTED) -> DataFrame:
     """rows for each feature and repetition, with the feature's values of other rows; once as they are, feature NULL.
 
     Rows are dealt to blocks of about `block` by a hash. Within a block in the hash's order, a row takes the value of
     the row some places on, a number of places that differs by repetition: nothing is ordered over all rows.
     """
-    blocks = max(1, -(-rows.count() // block))
-    hashed = F.xxhash64("run_id", "query_id", F.lit("permuted"))
-    own = F.struct(hashed.alias("_hash"), "run_id", "query_id", "label", *names)
-    dealt = rows.groupBy(F.pmod(hashed, F.lit(blocks)).alias("_block")).agg(F.array_sort(F.collect_list(own)).alias("r"))
+    own = F.struct("_hash", "run_id", "query_id", "label", *names)
+    dealt = _dealt(rows, block).groupBy("_block").agg(F.array_sort(F.collect_list(own)).alias("r"))
     size = F.size("r")
 
     def shifted(repeat):
@@ -148,10 +157,31 @@ def permuted(rows: DataFrame, names: list[str], repeats: int, block: int = PERMU
 
 def permutation_importances(model: PipelineModel, training: DataFrame, repeats: int = 5) -> DataFrame:
     """feature, importance, spread: how much accuracy on the held-out rows is lost, on average of the repetitions and
-    as their standard deviation, where a feature's values change places. One job for all features and repetitions."""
-    names = model.stages[1].getInputCols()
-    said = model.transform(permuted(_parted(training).where("held_out"), names, repeats))
-    each = said.groupBy("feature", "repeat").agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"))
+    as their standard deviation, where a feature's values change places. One job for all features and repetitions.
+
+    The rows are those of permuted(), but they are never made: a block's rows come to the forest's tables as they are.
+    """
+    rows, names = _parted(training).where("held_out"), model.stages[1].getInputCols()
+    forest, said = Forest(model.stages[2]), model.stages[3].getLabels()
+
+    def counted(block: pa.Table) -> pa.Table:
+        block = block.sort_by([(c, "ascending") for c in ("_hash", "run_id", "query_id")])
+        columns = [block.column(c).to_numpy().astype(float) for c in names]
+        for name, values in zip(names, columns, strict=True):
+            if np.isnan(values).any():  # as Spark's assembler has it
+                raise ValueError(f"{name} has no value in some row")
+        n, shifts = len(block), [block.column(f"_by{k}")[0].as_py() for k in range(repeats)]
+        labels = np.array([said.index(x) if x in said else -1 for x in block.column("label").to_pylist()])
+        first, known = np.array([said.index(x) for x in said]), n - block.column("label").null_count
+        right = [(f, k, (first[c] == labels).sum()) for f, k, c in forest.moved(columns, [1 + s % (n - 1) if n > 1 else 0 for s in shifts])]
+        return pa.table({"feature": pa.array([None if f is None else names[f] for f, _, _ in right], pa.string()), "repeat": pa.array([k for _, k, _ in right], pa.int32()), "right": pa.array([int(r) for *_, r in right], pa.int64()), "n": pa.array([known] * len(right), pa.int64())})
+
+    places = {f"_by{k}": F.xxhash64("_block", F.lit(k + 1)) for k in range(repeats)}
+    dealt = _dealt(rows, PERMUTED).select("_block", "_hash", "run_id", "query_id", "label", *names, *[c.alias(n) for n, c in places.items()])
+    # few bytes become many predictions: as many tasks as there are cores, whatever the size of the blocks
+    spread = dealt.repartition(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, "_block")
+    counts = spread.groupBy("_block").applyInArrow(counted, "feature string, repeat int, right long, n long")
+    each = counts.groupBy("feature", "repeat").agg(F.try_divide(F.sum("right"), F.sum("n")).alias("accuracy"))
     whole = F.max(F.when(F.col("feature").isNull(), F.col("accuracy"))).over(Window.partitionBy())  # a row a feature and repetition
     lost = each.withColumn("lost", whole - F.col("accuracy")).where("feature is not null").groupBy("feature")
     return lost.agg(F.round(F.avg("lost"), 9).alias("importance"), F.round(F.stddev_pop("lost"), 9).alias("spread"))

@@ -579,6 +579,33 @@ def test_permuted_values_and_their_importances(spark):
     assert ml.permuted(own.limit(0), names, 2).collect() == []
 
 
+def test_importances_need_no_copies_of_rows(spark, monkeypatch):
+    """A block's rows meet the forest's tables once; classes and importances are those of Spark's model on all copies."""
+    rng = np.random.default_rng(11)
+    rows = [(f"r{i % 3}", f"q{i}", "ABC"[int(x + z / 4) % 3], float(x), float(rng.random()), float(z), 1.0) for i, (x, z) in enumerate(zip(rng.integers(0, 6, 900), rng.integers(0, 5, 900)))]
+    own = ml.prepared(spark.createDataFrame(rows, "run_id string, query_id string, label string, f_x double, f_y double, f_z double, f_one double"))
+    model = ml.train_classifier(own, trees=30)
+    names, monkey = model.stages[1].getInputCols(), ml.PERMUTED
+    odd = own.withColumn("label", F.when(F.col("query_id") == "q7", "D").when(F.col("query_id").endswith("1"), None).otherwise(F.col("label")))
+    forest = ml.Forest(model.stages[2])
+    near = [[x + d for x in t for d in (-1e-9, 0.0, 1e-9)] or [0.0] for t in forest.thresholds]
+    points = [[float(rng.choice(c)) for c in near] for _ in range(500)]
+    said = model.transform(spark.createDataFrame([("r", f"q{i}", "A", *p) for i, p in enumerate(points)], ["run_id", "query_id", "label", *names])).toPandas()["prediction"]
+    (feature, repeat, classes), *_ = forest.moved(list(np.array(points).T), [1])
+    assert feature is None and repeat == 0 and (classes == said).all() and len(set(said)) == 3
+    for rows, block in ((own, monkey), (odd, 40)):
+        copies = model.transform(ml.permuted(rows.where("held_out"), names, 3, block)).dropna(subset="label").toPandas()
+        right = (copies["label"] == copies["predicted"]).groupby([copies["feature"].fillna("-"), copies["repeat"]]).mean()
+        with monkeypatch.context() as m:
+            m.setattr(ml, "PERMUTED", block)
+            m.setattr(ml, "permuted", None)
+            got = {r["feature"]: (r["importance"], r["spread"]) for r in ml.permutation_importances(model, rows, 3).collect()}
+        assert got.keys() == set(names) and got["f_one"] == (0, 0)
+        for name in names:
+            lost = right["-", 0] - right[name]
+            assert np.allclose(got[name], (lost.mean(), lost.std(ddof=0)), atol=1e-8)
+
+
 def test_embedding_counts_hashed_words(spark):
     import re
 
