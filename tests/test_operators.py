@@ -763,3 +763,50 @@ def test_chunk_texts_come_along_as_far_as_prompts_show_them(spark):
     own = queries.results(spark, "/root/testdata/sf0.001", content=True)
     longest = own.select(F.max(F.array_max(F.transform("retrieved_chunks", lambda c: F.length(c["content"]))))).first()[0]
     assert longest == diagnosis.PROMPT_CHARS
+
+
+def test_a_bucket_gets_each_text_once(spark, monkeypatch):
+    """Texts are moved for the buckets that name them, not for the answers; splits and joins of many leave the same rows."""
+    rng, original = np.random.default_rng(12), diagnosis._filled
+    texts = [(f"{d}#{i}", v, f"text {d} {i} {v} " * 40) for d in range(40) for i in range(2) for v in range(1 + (d == 3))]
+    named = [[(f"{(d + k * k) % 41}#{k % 2}", 0 if k != 1 else d % 2) for k in range(n % 6)] for n, d in enumerate(rng.integers(0, 40, 600).tolist())] + [[("5#0", 0), ("5#1", 0)]] * 900
+    own = spark.createDataFrame([("r", f"q{n}", n, [(f, k, n) for f, k in c]) for n, c in enumerate(named)], "run_id string, query_id string, n int, retrieved_chunks array<struct<chunk_id:string,text_key:int,page:int>>").localCheckpoint()
+    known = {(c, k): t[: diagnosis.PROMPT_CHARS] for c, k, t in texts}
+    bucket = lambda c: F.shiftright(F.substring_index(c, "#", 1).cast("long"), 3)
+
+    def found():
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for batch in batches:
+                seen.add(batch.column("_row").null_count)
+                yield batch
+
+        monkeypatch.setattr(diagnosis, "_filled", lambda batches: original(counted(batches)))
+        given = spark.createDataFrame(texts, "chunk_id string, text_key int, content string")
+        rows = diagnosis.with_texts(own, given, bucket).collect()
+        assert len(rows) == len(named)
+        for r in rows:
+            assert [tuple(c) for c in r["retrieved_chunks"]] == [(f, k, r["n"], known.get((f, k))) for f, k in named[r["n"]]] and r["query_id"] == f"q{r['n']}"
+        return seen.value
+
+    home = lambda f: int(f.partition("#")[0]) // 8
+    far = {(home(c[0][0]), x) for c in named for x in c if x in known and home(x[0]) != home(c[0][0])}
+    assert found() == len(texts) + len(far) < 400
+    monkeypatch.setattr(diagnosis, "MOST_FAR", 0)
+    assert found() == len(texts) + len(far)
+    monkeypatch.setattr(diagnosis, "MOST_ANSWERS", 300)
+    assert len(texts) + len(far) < found() < 600
+    empty = diagnosis.with_texts(own.limit(0), spark.createDataFrame(texts, "chunk_id string, text_key int, content string"), bucket)
+    assert empty.collect() == []
+
+
+def test_prompts_have_the_texts_of_their_chunks(spark):
+    """The query's prompts are those of results that carry the texts, and its shuffles carry no text with an answer."""
+    d = "/root/testdata/sf0.001"
+    items = queries.items(spark, d)
+    whole = diagnosis.reasoning_prompt(diagnosis.diagnose(queries.results(spark, d, content=True), items), items)
+    got = queries.g22_reasoning_prompt(spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    grouped = queries.diagnoses(spark, d, keyed=True).select(F.col("retrieved_chunks.content").alias("c")).where(F.exists("c", lambda c: c.isNotNull()))
+    assert grouped.count() == 0
